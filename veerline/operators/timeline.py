@@ -32,15 +32,23 @@ _NSALT = "_n_salt"
 
 def last_flag(df: DataFrame, account: str = "account", pos: str = "pos", flag: str = "is_flag",
               carry: Mapping[str, str | Column] | None = None) -> DataFrame:
-    """One row per account that has a flagged row: position of its last flagged row, carried
-    columns of that row, and ``n_rows`` (all rows of the account). Accounts without a flag drop out."""
+    """One row per account that has a flagged row: position of its last flagged row
+    (``flag_pos``), ``n_rows`` (all rows of the account) and the carried columns of the flagged row.
+    Accounts without a flag drop out.
+
+    The aggregate keeps fixed-width buffers only (hash aggregate with map-side combine); carried
+    columns, which may be long texts, come from an equi-join with the flagged rows alone."""
+    stats = (df.groupBy(account)
+             .agg(F.max(F.when(F.col(flag), F.col(pos))).alias("flag_pos"),
+                  F.count(F.lit(1)).alias("n_rows"))
+             .where(F.col("flag_pos").isNotNull()))
     carry = dict(carry or {})
-    fields = [F.col(pos).alias("flag_pos")]
-    fields += [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in carry.items()]
-    agg = (df.groupBy(account)
-           .agg(F.max_by(F.struct(*fields), F.when(F.col(flag), F.col(pos))).alias("_flag"),
-                F.count(F.lit(1)).alias("n_rows")))
-    return agg.where(F.col("_flag").isNotNull()).select(account, "_flag.*", "n_rows")
+    if not carry:
+        return stats
+    flagged = df.where(F.col(flag)).select(
+        F.col(account), F.col(pos).alias("flag_pos"),
+        *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in carry.items()])
+    return stats.join(flagged, [account, "flag_pos"])
 
 
 def hot_accounts(flags: DataFrame, account: str = "account",
@@ -106,21 +114,21 @@ def pair_carry_forward(chunks: DataFrame, account: str = "account", side: str =
                        own_prefix: str = "own_", other_prefix: str = "other_") -> DataFrame:
     """J3 + J4: pair own chunk i with other chunk min(i, last other chunk).
 
-    Accounts without any row on one side drop out (inner join). The other side is folded into one
-    sorted array per account; its length is bounded by the chunk limit, so the pairing is a
-    lookup, not a range join."""
+    Accounts without any row on one side drop out (J4). ``chunks`` must come from a chunk limit
+    (``chunk_sides(max_chunks=...)``): one group by account folds each side into a sorted array of
+    at most max_chunks entries, so the pairing is an array lookup - one exchange, no range join."""
     value_cols = [c for c in chunks.columns if c not in (account, side, "chunk_id")]
-    own = chunks.where(F.col(side)).select(account, "chunk_id",
-                                           *[F.col(c).alias(own_prefix + c) for c in value_cols])
-    other = (chunks.where(~F.col(side))
-             .groupBy(account)
-             .agg(F.array_sort(F.collect_list(F.struct("chunk_id", *value_cols))).alias("_other")))
-    picked = F.element_at(F.col("_other"), F.least(F.col("chunk_id"), F.size("_other") - 1) + 1)
-    return (own.join(other, account)
-            .select(account, "chunk_id",
-                    *[own_prefix + c for c in value_cols],
-                    picked["chunk_id"].alias(other_prefix + "chunk_id"),
-                    *[picked[c].alias(other_prefix + c) for c in value_cols]))
+    entry = F.struct("chunk_id", *value_cols)
+    folded = (chunks.groupBy(account)
+              .agg(F.array_sort(F.collect_list(F.when(F.col(side), entry))).alias("_own"),
+                   F.array_sort(F.collect_list(F.when(~F.col(side), entry))).alias("_other"))
+              .where((F.size("_own") > 0) & (F.size("_other") > 0)))
+    own = folded.select(account, "_other", F.explode("_own").alias("_o"))
+    picked = F.element_at(F.col("_other"), F.least(F.col("_o.chunk_id"), F.size("_other") - 1) + 1)
+    return own.select(account, F.col("_o.chunk_id").alias("chunk_id"),
+                      *[F.col("_o")[c].alias(own_prefix + c) for c in value_cols],
+                      picked["chunk_id"].alias(other_prefix + "chunk_id"),
+                      *[picked[c].alias(other_prefix + c) for c in value_cols])
 
 
 def chunk_label(chunk_id: Column | str, first: int, later: int) -> Column:
