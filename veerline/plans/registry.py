@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every plan module so that its queries are registered."""
     from veerline.plans import (  # noqa: F401
         docs_queries,
+        eval_queries,
         sampling_queries,
         text_queries,
         timeline_queries,
