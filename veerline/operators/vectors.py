@@ -38,12 +38,15 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def rank_by_similarity(df: DataFrame, vec: str, query_vec: str, group: Sequence[str], pos: str,
-                       k: int | None = None) -> DataFrame:
+                       k: int | None = None, digits: int | None = None) -> DataFrame:
     """T4: order the rows of each group by cosine distance to the group's query vector (ties by
-    ``pos``); adds ``distance`` and 1-based ``sim_rank``; optional top ``k`` per group."""
+    ``pos``); adds ``distance`` (rounded to ``digits`` when given, so float noise never reorders
+    near-ties) and 1-based ``sim_rank``; optional top ``k`` per group."""
+    dist = cosine_distance(vec, query_vec)
+    if digits is not None:
+        dist = F.round(dist, digits)
     w = Window.partitionBy(*group).orderBy("distance", pos)
-    out = (df.withColumn("distance", cosine_distance(vec, query_vec))
-           .withColumn("sim_rank", F.row_number().over(w)))
+    out = df.withColumn("distance", dist).withColumn("sim_rank", F.row_number().over(w))
     return out.where(F.col("sim_rank") <= k) if k is not None else out
 
 

@@ -89,13 +89,8 @@ def cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
 select vec_id, label, distance, row_number() over (partition by label order by distance, vec_id) as sim_rank from dist""")
 def rank_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """T4: vectors of each group re-ordered by distance to the group's query vector."""
-    e = with_query_vector(spark, sf).withColumn("dist6", F.round(V.cosine_distance("embedding", "qvec"), 6))
-    ranked = V.rank_by_similarity(e.withColumn("qvec", F.col("qvec")), "embedding", "qvec", ["label"], "vec_id")
-    # rank on the rounded distance so that float noise never reorders near-ties
-    from pyspark.sql import Window
-    w = Window.partitionBy("label").orderBy("dist6", "vec_id")
-    return ranked.select("vec_id", "label", F.col("dist6").alias("distance"),
-                         F.row_number().over(w).alias("sim_rank"))
+    ranked = V.rank_by_similarity(with_query_vector(spark, sf), "embedding", "qvec", ["label"], "vec_id", digits=6)
+    return ranked.select("vec_id", "label", "distance", "sim_rank")
 
 
 @register("embedding_to_columns", sql="select vec_id, " + ", ".join(
