@@ -33,8 +33,9 @@ def norm(a: Column | str) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    """V6: 1 - a.b / (|a| |b|)."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """V6: 1 - a.b / (|a| |b|); null when either vector is all zeros."""
+    den = norm(a) * norm(b)
+    return F.when(den != 0, F.lit(1.0) - dot(a, b) / den)
 
 
 def rank_by_similarity(df: DataFrame, vec: str, query_vec: str, group: Sequence[str], pos: str,
@@ -45,11 +46,17 @@ def rank_by_similarity(df: DataFrame, vec: str, query_vec: str, group: Sequence[
     dist = cosine_distance(vec, query_vec)
     if digits is not None:
         dist = F.round(dist, digits)
-    w = Window.partitionBy(*group).orderBy("distance", pos)
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last("distance"), pos)
     out = df.withColumn("distance", dist).withColumn("sim_rank", F.row_number().over(w))
     return out.where(F.col("sim_rank") <= k) if k is not None else out
 
 
+def letter_counts(text: Column | str, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """A transparent stand-in embedder: how often each letter occurs (array<double>)."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))).cast("double") for ch in letters])
+
+
 def embedding_to_columns(vec: Column | str, prefix: str, dim: int) -> list[Column]:
     """Array -> prefix_1 .. prefix_dim (one select, for export only)."""
     v = _c(vec)

@@ -254,3 +254,66 @@ def decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     vocab, ids = doc_vocab_and_ids(spark, sf)
     trunc = ids.select("doc_id", D.truncate_tokens("ids", 64).alias("t"))
     return D.decode_pieces(trunc, "doc_id", "t", vocab)
+
+
+# ------------------------------------------------------------------ X2, ranked variant
+def ranked_chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """C11 -> W5 -> V6 -> T4 -> A2: opinion phrases stripped from each sentence, the chunk
+    budgeted, kept sentences ordered by cosine distance to the flagged text (letter-count
+    vectors), joined."""
+    from veerline.operators import vectors as V
+    from veerline.plans.text_queries import STRIP_WORDS
+    chunks, _ = conversation_chunks(spark, sf)
+    stripped = chunks.withColumn("text", T.remove_words("text", STRIP_WORDS))
+    marked = D.mark_budget(stripped, ["conv_id", "own", "chunk_id"], "turn", "text", BUDGET)
+    scored = marked.withColumn("distance", F.round(V.cosine_distance(V.letter_counts("text"), V.letter_counts("flag_text")), 6))
+    return (scored.groupBy("conv_id", "own", "chunk_id")
+            .agg(D.ranked_text_agg("distance", "turn", "text"), F.count_if("kept").alias("n_kept")))
+
+
+def _sql_letters(e: str) -> str:
+    return "[" + ", ".join(f"(length({e}) - length(replace({e}, '{c}', '')))::double" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+def _sql_ranked() -> str:
+    from veerline.plans.text_queries import STRIP_WORDS, sql_remove_words
+    st = sql_remove_words("text", STRIP_WORDS)
+    return f"""
+fu as (select conv_id, min(turn) as ft from conversations where role = 'user' group by conv_id),
+tl as (select c.conv_id, c.turn, c.text, (c.role = 'user' and c.turn = fu.ft) as is_flag,
+              concat('@', c.role, '_', cast(c.conv_id as varchar)) as handle
+       from conversations c left join fu on c.conv_id = fu.conv_id),
+f as (select conv_id, max(case when is_flag then turn end) as flag_pos from tl group by conv_id),
+fl as (select f.conv_id, f.flag_pos, t.text as flag_text, t.handle as flag_handle
+       from f join tl t on t.conv_id = f.conv_id and t.turn = f.flag_pos
+       where length(t.text) > 0 and ({_SQL_ANY_FLAG})),
+tail as (select t.conv_id, t.turn, {sql_clean('t.text', LEXICON)} as text, t.handle = fl.flag_handle as own, fl.flag_text
+         from tl t join fl on t.conv_id = fl.conv_id where t.turn > fl.flag_pos),
+kept as (select * from tail where not regexp_matches(text, {_sql_str(_SQL_PROMO)})),
+p as (select *, row_number() over (partition by conv_id, own order by turn) - 1 as side_rank from kept),
+ch as (select conv_id, turn, own, flag_text, {st} as text, cast(floor(side_rank / {CHUNK}.0) as int) as chunk_id
+       from p where side_rank < {CHUNK * MAX_CHUNKS}),
+bud as (select *, case when text <> '' then len({_SQL_TOKENS}) + 1 else 0 end as cost from ch),
+mk as (select *, text <> '' and sum(cost) over (partition by conv_id, own, chunk_id order by turn
+                 rows between unbounded preceding and current row) <= {BUDGET} as kept_flag,
+              {_sql_letters('text')} as va, {_sql_letters('flag_text')} as vb from bud),
+sc as (select *, case when sqrt(list_dot_product(va, va)) * sqrt(list_dot_product(vb, vb)) <> 0 then
+                 round(1 - list_dot_product(va, vb) / (sqrt(list_dot_product(va, va)) * sqrt(list_dot_product(vb, vb))), 6) end as distance
+       from mk)
+select conv_id, own, chunk_id,
+       coalesce(string_agg(text, '[SEP]' order by distance nulls last, turn) filter (where kept_flag), '') as text_ranked,
+       count_if(kept_flag) as n_kept
+from sc group by 1, 2, 3"""
+
+
+@register("chunk_documents_ranked", sql="with " + _sql_ranked())
+def chunk_documents_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """X2 ranked variant (C11 -> W5 -> V6 -> T4 -> A2) per (account, side, chunk)."""
+    return ranked_chunk_texts(spark, sf)
+
+
+@register("letter_embedding", sql=f"select doc_id, {_sql_letters('text')} as embedding from documents")
+def letter_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """V7 with the letter-count embedder (an engine-independent stand-in for a model)."""
+    from veerline.operators import vectors as V
+    return read_table(spark, sf, "documents").select("doc_id", V.letter_counts("text").alias("embedding"))
