@@ -108,11 +108,11 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
       4. pos = remaining changers with label 1 (seed order); m = |pos|;
          neg = first m//2 shuffled others + first m//2 shuffled random users.
       5. k = int(train_share * m): train = first k of pos and of neg (shuffle order); valid = rest.
-    Two counts (n and m) are the only actions."""
-    oc = relabel(changers)
-    onc = relabel(others, constant=0)
-    rnd = relabel(randoms)
+    Two counts (n and m) are the only actions. The three sources feed both counts and the
+    result, so they are materialised once (reliable checkpoint in ``spark.checkpoint.dir``)
+    instead of being derived three times."""
     keys = list(row_key)
+    oc, onc, rnd = materialise_sources([relabel(changers), relabel(others, constant=0), relabel(randoms)])
 
     t_pos = semi_join_accounts(oc.where(F.col("label") == 1), test_accounts, account)
     n = t_pos.count()
@@ -135,6 +135,16 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     return union_common_columns([test.withColumn("split", F.lit("test")), train_valid])
 
 
+def materialise_sources(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """Write several frames once, as one tagged union, to the shared checkpoint folder; return
+    each frame read back with its own columns (cuts lineage; survives executor loss)."""
+    from veerline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(frames[0].sparkSession)
+    tagged = [f.withColumn("_src", F.lit(i)) for i, f in enumerate(frames)]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).checkpoint(eager=True)
+    return [union.where(F.col("_src") == i).select(*f.columns) for i, f in enumerate(frames)]
+
+
 def class_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """A3: rows per split and label."""
     return df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
