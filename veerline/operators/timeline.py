@@ -61,11 +61,15 @@ def hot_accounts(flags: DataFrame, account: str = "account",
 
 
 def tail_after_flag(df: DataFrame, flags: DataFrame, account: str = "account", pos: str = "pos",
-                    rows_per_task: int = DEFAULT_ROWS_PER_TASK, keep_salt: bool = False) -> DataFrame:
+                    rows_per_task: int = DEFAULT_ROWS_PER_TASK, keep_salt: bool = False,
+                    stats: DataFrame | None = None) -> DataFrame:
     """Rows strictly after the account's last flag, with the columns of ``flags`` attached.
 
-    Equi-join on (account, salt); the flag row is replicated once per salt value of hot accounts."""
-    hot = F.broadcast(hot_accounts(flags, account, rows_per_task))
+    Equi-join on (account, salt); the flag row is replicated once per salt value of hot accounts.
+    ``stats`` (``last_flag`` without carried columns) is where the hot list comes from when
+    ``flags`` carries columns or was filtered: it keeps the flagged-row join out of the
+    broadcast side."""
+    hot = F.broadcast(hot_accounts(stats if stats is not None else flags, account, rows_per_task))
     nsalt = F.coalesce(F.col(_NSALT), F.lit(1))
     left = (df.join(hot, account, "left")
             .withColumn(_SALT, F.pmod(F.xxhash64(F.col(pos)), nsalt).cast("int"))

@@ -48,7 +48,8 @@ def conversation_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     """W2 -> P1 -> C10 -> P3 -> P5 -> W3/W4: the chunked rows after the flag, and the flags."""
     timeline = conversation_timeline(spark, sf)
     flags = conversation_flags(timeline)
-    tail = tl.tail_after_flag(timeline, flags, "conv_id", "turn", keep_salt=True)
+    stats = tl.last_flag(timeline, "conv_id", "turn", "is_flag")
+    tail = tl.tail_after_flag(timeline, flags, "conv_id", "turn", keep_salt=True, stats=stats)
     tail = (tail.withColumn("likes", T.parse_abbrev_count("likes_raw"))
             .withColumn("reposts", T.parse_abbrev_count("reposts_raw"))
             .withColumn("text", T.clean_text("text", LEXICON)))

@@ -31,7 +31,8 @@ def events_flags(timeline: DataFrame) -> DataFrame:
 
 def events_tail(spark: SparkSession, sf: str, keep_salt: bool = False) -> DataFrame:
     timeline = events_timeline(spark, sf)
-    return tl.tail_after_flag(timeline, events_flags(timeline), "user_id", "event_id", keep_salt=keep_salt)
+    stats = tl.last_flag(timeline, "user_id", "event_id", "is_flag")
+    return tl.tail_after_flag(timeline, stats, "user_id", "event_id", keep_salt=keep_salt)
 
 
 def event_chunks(spark: SparkSession, sf: str, chunk_size: int, max_chunks: int | None) -> DataFrame:
