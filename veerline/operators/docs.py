@@ -88,34 +88,52 @@ def build_vocabulary(tokens: DataFrame, token: str = "token", hex_digits: int =
 def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
     """V2: array<string> -> array<bigint> ids in token order; unknown tokens -> UNK_ID.
 
-    posexplode + equi-join on the token + ordered re-fold per document."""
-    exploded = docs.select(key, F.posexplode(tokens_col).alias("p", "token"))
+    posexplode_outer + equi-join on the token + ordered re-fold per document; a document without
+    tokens keeps one null row, so it folds to an empty array without a second join. A hot token
+    is handled by AQE's skew-join split (the re-fold shuffles by document anyway)."""
+    exploded = docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
     joined = exploded.join(vocab, "token", "left")
-    ids = F.array_sort(F.collect_list(F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))))
-    encoded = joined.groupBy(key).agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
-    # documents without tokens keep an empty array
-    return docs.select(key).join(encoded, key, "left").select(
-        key, F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
+    ids = F.array_sort(F.collect_list(item))
+    return joined.groupBy(key).agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
+
+
+def vocabulary_and_ids(docs: DataFrame, key: str, tokens_col: str, hex_digits: int = 3
+                       ) -> tuple[DataFrame, DataFrame]:
+    """V2 in one pass: the vocabulary built from the documents' own tokens, and every document
+    encoded with it. Tokens are exploded once into one exchange keyed by the token; the
+    vocabulary's distinct and the encoding join both need exactly that partitioning, so the
+    exchange is shared (tokenization and the big shuffle run once)."""
+    exploded = (docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
+                .repartition("token"))
+    # Same columns as the join side and a filter on an aggregate value: nothing is pushed
+    # below the shared exchange, so both sides read the very same shuffle output.
+    distinct = (exploded.groupBy("token").agg(F.max(key).alias("_k"), F.max("p").alias("_p"))
+                .where(F.col("_p").isNotNull() & F.col("_k").isNotNull()).select("token"))
+    ranked = global_rank(distinct, seeded_key(["token"], None), tiebreak=["token"], hex_digits=hex_digits)
+    vocab = ranked.select("token", (F.col("rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"))
+    joined = exploded.join(vocab, "token", "left")
+    item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
+    ids = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("ids"))
+    return vocab, ids
 
 
 def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
     """V3: ids -> text by decoding each id alone, applying the special-token rules, and
-    concatenating without separator; a null id list decodes to ''."""
+    concatenating without separator; a null or empty id list decodes to ''."""
     specials = vocab.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id bigint")
     full_vocab = vocab.select("token", F.col("token_id").cast("bigint")).unionByName(specials)
-    exploded = ids_df.select(key, F.posexplode(F.coalesce(F.col(ids), F.array().cast("array<bigint>")))
-                             .alias("p", "token_id"))
+    exploded = ids_df.select(key, F.posexplode_outer(ids).alias("p", "token_id"))
     piece = F.coalesce(F.col("token"), F.lit(""))
     for s in DECODE_REMOVE:
         piece = F.replace(piece, F.lit(s), F.lit(""))
     for s in DECODE_TO_BLANK:
         piece = F.replace(piece, F.lit(s), F.lit(" "))
-    joined = exploded.join(full_vocab, "token_id", "left").select(key, "p", piece.alias("piece"))
-    folded = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "piece"))), lambda x: x["piece"]), "")
-        .alias("decoded"))
-    return ids_df.select(key).join(folded, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
+    joined = exploded.join(full_vocab, "token_id", "left")
+    item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), piece.alias("piece")))
+    return joined.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
 
 
 def attention_mask(ids: Column | str, pad_id: int = PAD_ID, sep_id: int = SEP_ID) -> Column:

@@ -178,9 +178,7 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_vocab_and_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    toks = doc_tokens(spark, sf)
-    vocab = D.build_vocabulary(toks.select(F.explode("tokens").alias("token")))
-    return vocab, D.encode_tokens(toks, "doc_id", "tokens", vocab)
+    return D.vocabulary_and_ids(doc_tokens(spark, sf), "doc_id", "tokens")
 
 
 def _ids_text(c) -> F.Column:
