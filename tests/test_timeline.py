@@ -74,3 +74,27 @@ def test_partition_count_invariance(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
     assert len(results[0]) == 13
+
+
+def test_rank_within_groups_splits_hot_groups(spark):
+    rows = [("h", i * 3 % 1000) for i in range(1000)] + [("c", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, o int").withColumn("o", F.col("o") * 7 + 1)
+    exact = tl.rank_within_groups(df, ["g"], "o", "r", rows_per_task=10**9)
+    split = tl.rank_within_groups(df, ["g"], "o", "r", rows_per_task=37)
+    a = sorted(tuple(r) for r in exact.collect())
+    b = sorted(tuple(r) for r in split.collect())
+    assert a == b
+    h = sorted(r["r"] for r in split.where("g = 'h'").collect())
+    assert h == list(range(1, 1001))
+
+
+def test_chunk_timeline_with_hot_sides_equals_plain(spark):
+    base = TQ.events_timeline(spark, SF_MID)
+    stats = tl.last_flag(base, "user_id", "event_id", "is_flag")
+    tail = tl.tail_after_flag(base, stats, "user_id", "event_id", keep_salt=True)
+
+    def run(rpt):
+        ch = tl.chunk_sides(tail, 2, None, "user_id", "own", "event_id", rows_per_task=rpt)
+        return sorted(tuple(r) for r in ch.select("user_id", "event_id", "side_rank", "chunk_id").collect())
+
+    assert run(tl.DEFAULT_ROWS_PER_TASK) == run(3)

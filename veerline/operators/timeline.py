@@ -92,14 +92,41 @@ def first_rows_per_side(tail: DataFrame, k: int, account: str = "account", side:
             .where(F.col("side_rank") < k).drop(_SALT))
 
 
+def rank_within_groups(df: DataFrame, keys: list[str], order: str, rank_col: str = "rank",
+                       rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
+    """Exact 1-based rank by ``order`` inside each group of ``keys``, without sorting a hot group
+    in one task.
+
+    Groups with more than ``rows_per_task`` rows are cut into ceil(n / rows_per_task) equal-width
+    ranges of ``order``; range sizes are prefix-summed into offsets and ``row_number`` runs inside
+    each range. The offsets table has fewer than 2 * total_rows / rows_per_task rows (a proven
+    bound, so it is broadcast); other groups are one range with offset 0."""
+    sizes = (df.groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+             .where(F.col("_n") > rows_per_task)
+             .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_nb"), "_lo", "_hi"))
+    span = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    bucket = F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(
+        F.least(F.floor(span * F.col("_nb")).cast("int"), F.col("_nb") - 1))
+    d = df.join(F.broadcast(sizes), keys, "left").withColumn("_bk", bucket)
+    prior = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (d.where(F.col("_nb").isNotNull()).groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+               .select(*keys, "_bk", F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_off")))
+    inner = Window.partitionBy(*keys, "_bk").orderBy(order)
+    return (d.join(F.broadcast(offsets), [*keys, "_bk"], "left")
+            .withColumn(rank_col, F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(inner))
+            .drop("_nb", "_lo", "_hi", "_bk", "_off"))
+
+
 def chunk_sides(tail: DataFrame, chunk_size: int, max_chunks: int | None, account: str = "account",
-                side: str = "own", pos: str = "pos") -> DataFrame:
+                side: str = "own", pos: str = "pos", rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """W3 + W4: ``chunk_id`` = rank within (account, side) div chunk_size; only chunks < max_chunks.
 
-    With ``max_chunks=None`` every chunk is kept (no limit, plain window per (account, side))."""
+    With ``max_chunks=None`` every chunk is kept: an exact per-side rank that splits hot sides
+    (``rank_within_groups``)."""
     if max_chunks is None:
-        w = Window.partitionBy(account, side).orderBy(pos)
-        ranked = tail.drop(_SALT).withColumn("side_rank", F.row_number().over(w) - 1)
+        ranked = rank_within_groups(tail.drop(_SALT), [account, side], pos, "_rank", rows_per_task)
+        ranked = ranked.withColumn("side_rank", F.col("_rank") - 1).drop("_rank")
     else:
         ranked = first_rows_per_side(tail, chunk_size * max_chunks, account, side, pos)
     return ranked.withColumn("chunk_id", F.floor(F.col("side_rank") / chunk_size).cast("int"))
