@@ -37,17 +37,28 @@ def conversation_timeline(spark: SparkSession, sf: str) -> DataFrame:
                     likes.alias("likes_raw"), reposts.alias("reposts_raw")))
 
 
-def conversation_flags(timeline: DataFrame) -> DataFrame:
+def conversation_flags(timeline: DataFrame, keywords=KEYWORDS) -> DataFrame:
     """W1 + P4 + P2: last flagged row, kept only when its raw text is non-empty and holds a keyword."""
     flags = tl.last_flag(timeline, "conv_id", "turn", "is_flag",
                          carry={"flag_text": "text", "flag_handle": "handle"})
-    return flags.where((F.length("flag_text") > 0) & T.contains_any("flag_text", KEYWORDS))
+    return flags.where((F.length("flag_text") > 0) & T.contains_any("flag_text", keywords))
 
 
-def conversation_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """W2 -> P1 -> C10 -> P3 -> P5 -> W3/W4: the chunked rows after the flag, and the flags."""
+def path_account_handle() -> F.Column:
+    """Non-changer variant: the account is the timeline file's base name (S2); handle = '@' + name."""
+    path = F.concat(F.lit("file:///data/users/user_"), F.col("conv_id").cast("string"), F.lit(".csv"))
+    return F.concat(F.lit("@"), T.account_from_path(path))
+
+
+def conversation_chunks(spark: SparkSession, sf: str, keywords=KEYWORDS,
+                        account_handle: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """W2 -> P1 -> C10 -> P3 -> P5 -> W3/W4: the chunked rows after the flag, and the flags.
+
+    Own posts are those with the flagged row's handle, or ``account_handle`` when given."""
     timeline = conversation_timeline(spark, sf)
-    flags = conversation_flags(timeline)
+    flags = conversation_flags(timeline, keywords)
+    if account_handle is not None:
+        flags = flags.withColumn("flag_handle", account_handle)
     stats = tl.last_flag(timeline, "conv_id", "turn", "is_flag")
     tail = tl.tail_after_flag(timeline, flags, "conv_id", "turn", keep_salt=True, stats=stats)
     tail = (tail.withColumn("likes", T.parse_abbrev_count("likes_raw"))
@@ -68,8 +79,8 @@ def chunk_features(chunks: DataFrame, with_text: bool) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, sf: str, with_text: bool, first_label: int = 1,
-                 later_label: int = 3) -> DataFrame:
-    chunks, flags = conversation_chunks(spark, sf)
+                 later_label: int = 3, keywords=KEYWORDS, account_handle: F.Column | None = None) -> DataFrame:
+    chunks, flags = conversation_chunks(spark, sf, keywords, account_handle)
     pairs = tl.pair_carry_forward(chunk_features(chunks, with_text), "conv_id", "own")
     out = pairs.join(flags.select("conv_id", "flag_handle"), "conv_id")
     cols = [T.normalise_handle("flag_handle").alias("account_name"), F.col("chunk_id"),
@@ -85,7 +96,14 @@ def feature_rows(spark: SparkSession, sf: str, with_text: bool, first_label: int
 
 
 # ------------------------------------------------------------------ DuckDB oracle building blocks
-_SQL_ANY_FLAG = " or ".join(f"contains(t.text, {_sql_str(w)})" for w in KEYWORDS)
+KEYWORDS_OTHERS = ["ein", "and", "los", "des "]
+
+
+def _sql_any_flag(words) -> str:
+    return " or ".join(f"contains(t.text, {_sql_str(w)})" for w in words)
+
+
+_SQL_ANY_FLAG = _sql_any_flag(KEYWORDS)
 _SQL_PROMO = "|".join(__import__("re").escape(w) for w in PROMOTIONS)
 
 
@@ -97,7 +115,9 @@ def _sql_parse(e: str) -> str:
 
 _SQL_TOKENS = f"regexp_extract_all(text, {_sql_str(D.TOKEN_PATTERN)})"
 
-SQL_CHUNKS = f"""
+def sql_chunks(keywords=KEYWORDS, handle_sql: str | None = None) -> str:
+    fl_handle = handle_sql if handle_sql is not None else "t.handle"
+    return f"""
 fu as (select conv_id, min(turn) as ft from conversations where role = 'user' group by conv_id),
 tl as (select c.conv_id, c.turn, c.text, (c.role = 'user' and c.turn = fu.ft) as is_flag,
               concat('@', c.role, '_', cast(c.conv_id as varchar)) as handle,
@@ -105,9 +125,9 @@ tl as (select c.conv_id, c.turn, c.text, (c.role = 'user' and c.turn = fu.ft) as
               case when c.role = 'user' then concat(cast(c.turn as varchar), 'M') else cast(length(c.text) as varchar) end as reposts_raw
        from conversations c left join fu on c.conv_id = fu.conv_id),
 f as (select conv_id, max(case when is_flag then turn end) as flag_pos from tl group by conv_id),
-fl as (select f.conv_id, f.flag_pos, t.text as flag_text, t.handle as flag_handle
+fl as (select f.conv_id, f.flag_pos, t.text as flag_text, {fl_handle} as flag_handle
        from f join tl t on t.conv_id = f.conv_id and t.turn = f.flag_pos
-       where length(t.text) > 0 and ({_SQL_ANY_FLAG})),
+       where length(t.text) > 0 and ({_sql_any_flag(keywords)})),
 tail as (select t.conv_id, t.turn, {_sql_parse('t.likes_raw')} as likes, {_sql_parse('t.reposts_raw')} as reposts,
                 {sql_clean('t.text', LEXICON)} as text, t.handle = fl.flag_handle as own
          from tl t join fl on t.conv_id = fl.conv_id where t.turn > fl.flag_pos),
@@ -135,6 +155,9 @@ pairs as (select o.conv_id, o.chunk_id, o.likes as posts_like, r.likes as repost
                  join r on r.conv_id = o.conv_id and r.chunk_id = least(o.chunk_id, rm.last_chunk))
 """
 
+
+SQL_CHUNKS = sql_chunks()
+
 _SQL_X1_COLS = ("replace(fl.flag_handle, '@', '') as account_name, pairs.chunk_id, posts_like, reposts_like, "
                 "posts_repost, reposts_repost, case when pairs.chunk_id = 0 then 1 else 3 end as label")
 
@@ -145,6 +168,21 @@ def timeline_features(spark: SparkSession, sf: str) -> DataFrame:
     return feature_rows(spark, sf, with_text=False)
 
 
+_SQL_PATH_HANDLE = ("concat('@', split_part(split_part(concat('file:///data/users/user_', cast(t.conv_id as varchar), '.csv'), "
+                    "'/', -1), '.', 1))")
+
+
+@register("timeline_features_others", sql=f"""with {sql_chunks(KEYWORDS_OTHERS, _SQL_PATH_HANDLE)}
+select replace(fl.flag_handle, '@', '') as account_name, pairs.chunk_id, posts_like, reposts_like, posts_repost,
+       reposts_repost, case when pairs.chunk_id = 0 then 2 else 0 end as label
+from pairs join fl on pairs.conv_id = fl.conv_id""")
+def timeline_features_others(spark: SparkSession, sf: str) -> DataFrame:
+    """X1, non-changer variant: account from the file name (S2), own = '@' + name, its own
+    keyword list, labels 2 (chunk 0) and 0 (later chunks)."""
+    return feature_rows(spark, sf, with_text=False, first_label=2, later_label=0,
+                        keywords=KEYWORDS_OTHERS, account_handle=path_account_handle())
+
+
 @register("chunk_documents", sql=f"""with {SQL_CHUNKS} select {_SQL_X1_COLS}, posts_text_sorted, posts_text_random,
 reposts_text_sorted, reposts_text_random, posts_n_kept, reposts_n_kept from pairs join fl on pairs.conv_id = fl.conv_id""")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
