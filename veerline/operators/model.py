@@ -58,15 +58,21 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
                  validation_tol: float = 0.01, seed: int = 42, parallelism: int = 5
                  ) -> list[GBTClassificationModel]:
     """M3: one boosted-tree model per fold, trained on the other folds, stopping early on the
-    held-out fold (validation indicator column). Depth-5 trees have at most 32 leaves."""
+    held-out fold (validation indicator column). Depth-5 trees have at most 32 leaves. A fold
+    without held-out rows (tiny inputs) trains on the rest for ``max_iter`` rounds; with no
+    training rows at all there is no model (empty list)."""
     ensure_checkpoint_dir(df.sparkSession)
+    sizes = {r[0]: r[1] for r in df.groupBy(fold).count().collect()}  # at most n_folds rows
+    if not sizes:
+        return []
 
     def fit(k: int) -> GBTClassificationModel:
+        common = dict(featuresCol=features, labelCol=label, stepSize=step_size, maxDepth=max_depth,
+                      maxIter=max_iter, seed=seed, checkpointInterval=10)
+        if sizes.get(k, 0) == 0 or sizes.get(k, 0) == sum(sizes.values()):
+            return GBTClassifier(**common).fit(df.where(F.col(fold) != k) if sizes.get(k, 0) == 0 else df)
         train = df.withColumn("_is_val", F.col(fold) == k)
-        gbt = GBTClassifier(featuresCol=features, labelCol=label, stepSize=step_size, maxDepth=max_depth,
-                            maxIter=max_iter, validationIndicatorCol="_is_val", validationTol=validation_tol,
-                            seed=seed, checkpointInterval=10)
-        return gbt.fit(train)
+        return GBTClassifier(validationIndicatorCol="_is_val", validationTol=validation_tol, **common).fit(train)
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
         return list(pool.map(fit, range(n_folds)))

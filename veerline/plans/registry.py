@@ -33,6 +33,7 @@ def load_all() -> None:
     from veerline.plans import (  # noqa: F401
         docs_queries,
         eval_queries,
+        flow_queries,
         io_queries,
         model_queries,
         sampling_queries,
