@@ -82,7 +82,7 @@ def feature_rows(spark: SparkSession, sf: str, with_text: bool, first_label: int
                  later_label: int = 3, keywords=KEYWORDS, account_handle: F.Column | None = None) -> DataFrame:
     chunks, flags = conversation_chunks(spark, sf, keywords, account_handle)
     pairs = tl.pair_carry_forward(chunk_features(chunks, with_text), "conv_id", "own")
-    out = pairs.join(flags.select("conv_id", "flag_handle"), "conv_id")
+    out = pairs.join(flags.select("conv_id", "flag_handle", "flag_text"), "conv_id")
     cols = [T.normalise_handle("flag_handle").alias("account_name"), F.col("chunk_id"),
             F.col("own_likes").alias("posts_like"), F.col("other_likes").alias("reposts_like"),
             F.col("own_reposts").alias("posts_repost"), F.col("other_reposts").alias("reposts_repost"),
@@ -91,7 +91,8 @@ def feature_rows(spark: SparkSession, sf: str, with_text: bool, first_label: int
         cols += [F.col("own_text_sorted").alias("posts_text_sorted"), F.col("own_text_random").alias("posts_text_random"),
                  F.col("other_text_sorted").alias("reposts_text_sorted"),
                  F.col("other_text_random").alias("reposts_text_random"),
-                 F.col("own_n_kept").alias("posts_n_kept"), F.col("other_n_kept").alias("reposts_n_kept")]
+                 F.col("own_n_kept").alias("posts_n_kept"), F.col("other_n_kept").alias("reposts_n_kept"),
+                 F.col("flag_text")]
     return out.select(*cols)
 
 
@@ -184,9 +185,11 @@ def timeline_features_others(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("chunk_documents", sql=f"""with {SQL_CHUNKS} select {_SQL_X1_COLS}, posts_text_sorted, posts_text_random,
-reposts_text_sorted, reposts_text_random, posts_n_kept, reposts_n_kept from pairs join fl on pairs.conv_id = fl.conv_id""")
+reposts_text_sorted, reposts_text_random, posts_n_kept, reposts_n_kept, fl.flag_text
+from pairs join fl on pairs.conv_id = fl.conv_id""")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """X1's rows with the budgeted chunk texts of both sides, in order and shuffled."""
+    """X1's rows with the budgeted chunk texts of both sides, in order and shuffled, and the
+    flagged post copied to every record (J5)."""
     return feature_rows(spark, sf, with_text=True)
 
 
