@@ -31,3 +31,10 @@ def test_macro_metrics_labels_only_predicted(spark):
     m = E.macro_metrics(df).first()
     assert m["balanced_accuracy"] == 0.5
     assert abs(m["macro_precision"] - round((0.5 + 1.0 + 0.0) / 3, 6)) < 1e-9
+
+
+def test_best_round_patience():
+    from veerline.operators.model import best_round
+    assert best_round([3, 2, 1, 1.5, 1.2, 1.1], 3) == (3, True)
+    assert best_round([3, 2, 1, 0.9], 3) == (4, False)
+    assert best_round([1.0] * 5, 2) == (1, True)

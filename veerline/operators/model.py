@@ -53,29 +53,61 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", n_
     return df.join(folds, by)
 
 
+def best_round(mean_losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Early stopping on the fold-mean held-out loss: the 1-based round with the lowest loss, and
+    whether the rule fired (``patience`` rounds without a new best were seen)."""
+    best, best_loss = 0, float("inf")
+    for r, loss in enumerate(mean_losses):
+        if loss < best_loss:
+            best, best_loss = r, loss
+        elif r - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label", fold: str = "fold",
-                 n_folds: int = 5, max_iter: int = 100, step_size: float = 0.1, max_depth: int = 5,
-                 validation_tol: float = 0.01, seed: int = 42, parallelism: int = 5
+                 n_folds: int = 5, max_iter: int = 1000, early_stopping_rounds: int = 20,
+                 step_size: float = 0.1, max_depth: int = 5, seed: int = 42, parallelism: int = 5
                  ) -> list[GBTClassificationModel]:
-    """M3: one boosted-tree model per fold, trained on the other folds, stopping early on the
-    held-out fold (validation indicator column). Depth-5 trees have at most 32 leaves. A fold
-    without held-out rows (tiny inputs) trains on the rest for ``max_iter`` rounds; with no
-    training rows at all there is no model (empty list)."""
+    """M3: one boosted-tree model per fold, trained on the other folds, all cut at the round where
+    the fold-mean held-out log-loss stopped improving for ``early_stopping_rounds`` rounds
+    (k-fold early stopping). Depth-5 trees have at most 32 leaves.
+
+    Fits are independent jobs run side by side. The number of rounds grows by doubling until the
+    stopping rule fires (or ``max_iter``), each fold's loss per round comes from
+    ``evaluateEachIteration`` on its held-out rows, and the folds are refit to the chosen round
+    (same seed, no subsampling: the same first trees). The training rows are written once to the
+    shared checkpoint folder, so repeated fits do not recompute their lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    sizes = {r[0]: r[1] for r in df.groupBy(fold).count().collect()}  # at most n_folds rows
+    data = df.select(features, label, fold).checkpoint(eager=True)
+    sizes = {r[0]: r[1] for r in data.groupBy(fold).count().collect()}  # at most n_folds rows
     if not sizes:
         return []
-
-    def fit(k: int) -> GBTClassificationModel:
-        common = dict(featuresCol=features, labelCol=label, stepSize=step_size, maxDepth=max_depth,
-                      maxIter=max_iter, seed=seed, checkpointInterval=10)
-        if sizes.get(k, 0) == 0 or sizes.get(k, 0) == sum(sizes.values()):
-            return GBTClassifier(**common).fit(df.where(F.col(fold) != k) if sizes.get(k, 0) == 0 else df)
-        train = df.withColumn("_is_val", F.col(fold) == k)
-        return GBTClassifier(validationIndicatorCol="_is_val", validationTol=validation_tol, **common).fit(train)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
-        return list(pool.map(fit, range(n_folds)))
+    total = sum(sizes.values())
+
+    def fit(k: int, rounds: int) -> GBTClassificationModel:
+        train = data.where(F.col(fold) != k) if 0 < sizes.get(k, 0) < total else data
+        return GBTClassifier(featuresCol=features, labelCol=label, stepSize=step_size, maxDepth=max_depth,
+                             maxIter=rounds, seed=seed, checkpointInterval=10).fit(train)
+
+    def fit_all(rounds: int) -> list[GBTClassificationModel]:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
+            return list(pool.map(lambda k: fit(k, rounds), range(n_folds)))
+
+    held = [k for k in range(n_folds) if 0 < sizes.get(k, 0) < total]
+    rounds = min(max_iter, early_stopping_rounds + 1)
+    while True:
+        models = fit_all(rounds)
+        if not held:
+            return models
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(held)))) as pool:
+            losses = list(pool.map(lambda k: models[k].evaluateEachIteration(data.where(F.col(fold) == k)), held))
+        mean = [sum(fl[r] for fl in losses) / len(losses) for r in range(rounds)]
+        best, stopped = best_round(mean, early_stopping_rounds)
+        if stopped or rounds >= max_iter:
+            break
+        rounds = min(2 * rounds, max_iter)
+    return models if best == rounds else fit_all(best)
 
 
 def predict_folds(models: Sequence, rows: DataFrame, key: Sequence[str], features: str = "features") -> DataFrame:

@@ -48,7 +48,7 @@ def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("train_cv_gbt")
 def train_cv_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    """M3: five boosted-tree fits with early stopping on the held-out fold; trees per fold."""
+    """M3: five boosted-tree fits cut at the fold-mean early-stopping round; trees per fold."""
     models, _ = trained(spark, sf)
     return spark.createDataFrame([(k, m.getNumTrees) for k, m in enumerate(models)], "fold int, n_trees int")
 
