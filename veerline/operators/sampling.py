@@ -26,17 +26,18 @@ def seeded_key(cols: Sequence[str], seed: int | None) -> Column:
 
 
 def global_rank(df: DataFrame, key: Column, tiebreak: Sequence[str] = (), hex_digits: int = 3,
-                partition_by: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
+                partition_by: Sequence[str] = (), rank_col: str = "rank", few_groups: bool = False) -> DataFrame:
     """1-based rank of each row in the order (key, *tiebreak), optionally within groups.
 
     ``key`` must be a hex string whose prefixes spread rows evenly (an md5). Buckets are the first
-    ``hex_digits`` characters; at most 16**hex_digits buckets per group."""
+    ``hex_digits`` characters; at most 16**hex_digits buckets per group. ``few_groups`` states that
+    ``partition_by`` has a handful of values (e.g. a source tag), so the offsets stay small."""
     d = df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, hex_digits))
     counts = d.groupBy(*partition_by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     prior = Window.partitionBy(*partition_by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*partition_by, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
-    # Without groups the offset table has at most 16**hex_digits rows: a proven bound.
-    offsets = F.broadcast(offsets) if not partition_by else offsets
+    # Without groups (or with a few) the offset table has at most 16**hex_digits rows per group.
+    offsets = F.broadcast(offsets) if (not partition_by or few_groups) else offsets
     inner = Window.partitionBy(*partition_by, "_b").orderBy("_k", *tiebreak)
     return (d.join(offsets, [*partition_by, "_b"])
             .withColumn(rank_col, (F.col("_off") + F.row_number().over(inner)).cast("bigint"))
@@ -108,31 +109,42 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
       4. pos = remaining changers with label 1 (seed order); m = |pos|;
          neg = first m//2 shuffled others + first m//2 shuffled random users.
       5. k = int(train_share * m): train = first k of pos and of neg (shuffle order); valid = rest.
-    Two counts (n and m) are the only actions. The three sources feed both counts and the
-    result, so they are materialised once (reliable checkpoint in ``spark.checkpoint.dir``)
-    instead of being derived three times."""
+    Every split of the rule keeps only the columns common to the three sources, so they travel as
+    one union tagged by source (``_src``): three ranks partitioned by the tag instead of six.
+    Two counts (n and m) are the only actions; the union is materialised once (reliable
+    checkpoint in ``spark.checkpoint.dir``) because it feeds both counts and the result."""
     keys = list(row_key)
-    oc, onc, rnd = materialise_sources([relabel(changers), relabel(others, constant=0), relabel(randoms)])
+    frames = [relabel(changers), relabel(others, constant=0), relabel(randoms)]
+    common = [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
+    tagged = reduce(lambda a, b: a.unionByName(b),
+                    [f.select(*common, F.lit(i).alias("_src")) for i, f in enumerate(frames)])
+    src = tagged.checkpoint(eager=True)
+    is_pos = (F.col("_src") == 0) & (F.col("label") == 1)
+
+    def first_per_source(df: DataFrame, n_each: int) -> DataFrame:
+        ranked = global_rank(df, seeded_key(keys, test_seed), tiebreak=keys, partition_by=["_src"],
+                             rank_col="_r", few_groups=True)
+        return ranked.where(F.col("_r") <= n_each).drop("_r")
 
-    t_pos = semi_join_accounts(oc.where(F.col("label") == 1), test_accounts, account)
+    t_pos = semi_join_accounts(src.where(is_pos), test_accounts, account)
     n = t_pos.count()
-    t_onc = head_after_shuffle(semi_join_accounts(onc, test_accounts, account), keys, test_seed, n // 2)
-    t_rnd = head_after_shuffle(rnd, keys, test_seed, n // 2)
-    test = union_common_columns([t_pos, t_onc, t_rnd])
-    test_acc = test.select(account).distinct()
+    t_neg = first_per_source(
+        semi_join_accounts(src.where(F.col("_src") == 1), test_accounts, account)
+        .unionByName(src.where(F.col("_src") == 2)), n // 2)
+    test = t_pos.unionByName(t_neg)
 
-    oc_r, onc_r, rnd_r = (anti_join_accounts(f, test_acc, account) for f in (oc, onc, rnd))
-    pos = oc_r.where(F.col("label") == 1)
+    rest = anti_join_accounts(src, test.select(account).distinct(), account)
+    pos = rest.where(is_pos)
     m = pos.count()
-    neg = union_common_columns([head_after_shuffle(onc_r, keys, test_seed, m // 2),
-                                head_after_shuffle(rnd_r, keys, test_seed, m // 2)])
+    neg = first_per_source(rest.where(F.col("_src") != 0), m // 2)
     k = int(m * train_share)
-    pos_ranked = shuffled_rank(pos, keys, seed, "_r")
-    neg_ranked = shuffled_rank(neg, keys, test_seed, "_r")
-    split = F.when(F.col("_r") <= k, F.lit("train")).otherwise(F.lit("valid"))
-    train_valid = union_common_columns([pos_ranked.withColumn("split", split),
-                                        neg_ranked.withColumn("split", split)]).drop("_r")
-    return union_common_columns([test.withColumn("split", F.lit("test")), train_valid])
+    grp = F.when(F.col("_src") == 0, F.lit(0)).otherwise(F.lit(1))
+    key = F.when(F.col("_grp") == 0, seeded_key(keys, seed)).otherwise(seeded_key(keys, test_seed))
+    both = pos.unionByName(neg).withColumn("_grp", grp)
+    ranked = global_rank(both, key, tiebreak=keys, partition_by=["_grp"], rank_col="_r", few_groups=True)
+    train_valid = ranked.withColumn("split", F.when(F.col("_r") <= k, F.lit("train")).otherwise(F.lit("valid")))
+    return (test.withColumn("split", F.lit("test")).select(*common, "split")
+            .unionByName(train_valid.select(*common, "split")))
 
 
 def materialise_sources(frames: Sequence[DataFrame]) -> list[DataFrame]:
