@@ -73,3 +73,10 @@ def test_first_keyword_and_contains(spark):
     assert one(spark, T.contains_any("s", ["c", "q"]), "abc") is True
     assert one(spark, T.matches_any_regex("s", ["a.b", "(x)"]), "a.b") is True
     assert one(spark, T.matches_any_regex("s", ["a.b"]), "axb") is False
+
+
+def test_pluggable_tokenizer_in_budget(spark):
+    tok = D.tokenizer_udf(lambda texts: [t.split() for t in texts])
+    df = spark.createDataFrame([(0, 1, "a b c"), (0, 2, "d e"), (0, 3, "f")], "g int, pos int, text string")
+    marked = D.mark_budget(df, ["g"], "pos", "text", 6, n_tokens=F.size(tok(F.col("text"))))
+    assert [r["kept"] for r in marked.orderBy("pos").collect()] == [True, False, False]

@@ -9,7 +9,7 @@ is small at run time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +38,19 @@ def tokenize(text: Column | str, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def tokenizer_udf(tokenize_batch: Callable[[list[str]], list[list[str]]]):
+    """V1 with a user's tokenizer: ``tokenize_batch(texts) -> tokens per text`` runs on Arrow
+    batches (one call per batch, model state loaded once per worker). Same output type as
+    ``tokenize``, so it drops into the token budget, vocabulary and encoding unchanged."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def _tokenize(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(tokenize_batch(texts.fillna("").tolist())), index=texts.index)
+
+    return _tokenize
+
+
 def mark_budget(df: DataFrame, keys: Sequence[str], pos: str, text: str, budget: int,
                 n_tokens: Column | None = None) -> DataFrame:
     """Flag ``kept`` the sentences taken in order while the total cost stays <= budget.
