@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def tokenizer_udf(tokenize_batch: Callable[[list[str]], list[list[str]]]):
     """V1 with a user's tokenizer: ``tokenize_batch(texts) -> tokens per text`` runs on Arrow
     batches (one call per batch, model state loaded once per worker). Same output type as
     ``tokenize``, so it drops into the token budget, vocabulary and encoding unchanged."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def _tokenize(texts: pd.Series) -> pd.Series:
         return pd.Series(list(tokenize_batch(texts.fillna("").tolist())), index=texts.index)
