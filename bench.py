@@ -35,10 +35,11 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     load_all()
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus))
-    # warm the JVM (class loading, codegen caches) on the smallest data set
+    # warm the JVM (class loading, JIT, codegen caches) with every query shape on the smallest data
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    if os.path.isdir(warm):
-        QUERIES["event_chunk_pairs"](spark, warm).write.format("noop").mode("overwrite").save()
+    if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+        for name in names:
+            QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.perf_counter()
