@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from scripts.type_audit import spark_to_duck
 from veerline.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
@@ -42,6 +43,9 @@ def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     cols = sdf.columns
     s_rows = sorted((tuple(_norm(x) for x in r) for r in sdf.collect()), key=repr)
+    rel = con.sql(ORACLE[name])
+    s_types = {f.name: spark_to_duck(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert s_types == dict(zip(rel.columns, map(str, rel.types)))
     res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(dcols)

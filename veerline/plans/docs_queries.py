@@ -143,7 +143,7 @@ agg as (select conv_id, own, chunk_id, count(*) as n, cast(sum(likes) as bigint)
                coalesce(string_agg(text, '[SEP]' order by turn) filter (where kept_flag), '') as text_sorted,
                coalesce(string_agg(text, '[SEP]' order by md5(concat_ws('|', cast(conv_id as varchar), cast(own as varchar),
                         cast(chunk_id as varchar), cast(turn as varchar), '{SEED}'))) filter (where kept_flag), '') as text_random,
-               count_if(kept_flag) as n_kept
+               count_if(kept_flag)::bigint as n_kept
         from mk group by 1, 2, 3),
 o as (select * from agg where own),
 r as (select * from agg where not own),
@@ -193,7 +193,7 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return feature_rows(spark, sf, with_text=True)
 
 
-@register("token_budget_prefix", sql=f"with {SQL_CHUNKS} select conv_id, own, chunk_id, turn, cost, kept_flag as kept from mk")
+@register("token_budget_prefix", sql=f"with {SQL_CHUNKS} select conv_id, own, chunk_id, turn, cost::int as cost, kept_flag as kept from mk")
 def token_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     chunks, _ = conversation_chunks(spark, sf)
     marked = D.mark_budget(chunks, ["conv_id", "own", "chunk_id"], "turn", "text", BUDGET)
@@ -238,7 +238,7 @@ ids as (select d.doc_id, coalesce(enc.ids, []::bigint[]) as ids from documents d
 
 
 @register("tokenize_text", sql=f"""
-select doc_id, len({_SQL_TOKENS}) as n_tokens, array_to_string({_SQL_TOKENS}, '|') as tokens_text from documents
+select doc_id, len({_SQL_TOKENS})::int as n_tokens, array_to_string({_SQL_TOKENS}, '|') as tokens_text from documents
 """)
 def tokenize_text(spark: SparkSession, sf: str) -> DataFrame:
     t = doc_tokens(spark, sf)
@@ -251,7 +251,7 @@ def build_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return vocab.select("token", F.col("token_id").cast("bigint"))
 
 
-@register("encode_tokens", sql=f"with {_SQL_VOCAB} select doc_id, len(ids) as n_ids, array_to_string(ids, ',') as ids_text from ids")
+@register("encode_tokens", sql=f"with {_SQL_VOCAB} select doc_id, len(ids)::int as n_ids, array_to_string(ids, ',') as ids_text from ids")
 def encode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     _, ids = doc_vocab_and_ids(spark, sf)
     return ids.select("doc_id", F.size("ids").alias("n_ids"), _ids_text(F.col("ids")).alias("ids_text"))
@@ -261,7 +261,7 @@ _SQL_TRUNC = "list_concat([2::bigint], ids[1:62], [3::bigint])"
 
 
 @register("truncate_tokens", sql=f"""with {_SQL_VOCAB}
-select doc_id, len({_SQL_TRUNC}) as n_ids, array_to_string({_SQL_TRUNC}, ',') as ids_text from ids""")
+select doc_id, len({_SQL_TRUNC})::int as n_ids, array_to_string({_SQL_TRUNC}, ',') as ids_text from ids""")
 def truncate_tokens(spark: SparkSession, sf: str) -> DataFrame:
     _, ids = doc_vocab_and_ids(spark, sf)
     t = D.truncate_tokens("ids", 64)
@@ -342,7 +342,7 @@ sc as (select *, case when sqrt(list_dot_product(va, va)) * sqrt(list_dot_produc
        from mk)
 select conv_id, own, chunk_id,
        coalesce(string_agg(text, '[SEP]' order by distance nulls last, turn) filter (where kept_flag), '') as text_ranked,
-       count_if(kept_flag) as n_kept
+       count_if(kept_flag)::bigint as n_kept
 from sc group by 1, 2, 3"""
 
 

@@ -86,7 +86,7 @@ def cosine_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("rank_by_similarity", sql=f"""with {_SQL_Q}
-select vec_id, label, distance, row_number() over (partition by label order by distance, vec_id) as sim_rank from dist""")
+select vec_id, label, distance, (row_number() over (partition by label order by distance, vec_id))::int as sim_rank from dist""")
 def rank_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """T4: vectors of each group re-ordered by distance to the group's query vector."""
     ranked = V.rank_by_similarity(with_query_vector(spark, sf), "embedding", "qvec", ["label"], "vec_id", digits=6)
@@ -182,8 +182,8 @@ round(case when count_if(label = 1 and pred = 1) + count_if(label = 1 and pred <
 round(case when 2 * count_if(label = 1 and pred = 1) + count_if(label <> 1 and pred = 1) + count_if(label = 1 and pred <> 1) = 0 then 0.0
       else 2 * count_if(label = 1 and pred = 1) / (2 * count_if(label = 1 and pred = 1) + count_if(label <> 1 and pred = 1)
                                                   + count_if(label = 1 and pred <> 1)) end, 6) as f1,
-count_if(label = 1 and pred = 1) as tp, count_if(label <> 1 and pred = 1) as fp,
-count_if(label = 1 and pred <> 1) as fn, count_if(label <> 1 and pred <> 1) as tn
+count_if(label = 1 and pred = 1)::bigint as tp, count_if(label <> 1 and pred = 1)::bigint as fp,
+count_if(label = 1 and pred <> 1)::bigint as fn, count_if(label <> 1 and pred <> 1)::bigint as tn
 """
 
 
@@ -193,7 +193,7 @@ def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("fold_metrics", sql=f"""with {_SQL_PRED}
-select fold, {_SQL_BIN} from (select fold, label, cast(round_even(prob, 0) as int) as pred from fp) group by fold""")
+select fold::int as fold, {_SQL_BIN} from (select fold, label, cast(round_even(prob, 0) as int) as pred from fp) group by fold""")
 def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Each fold's own thresholded predictions scored."""
     p = fold_predictions(spark, sf).withColumn("pred", E.threshold_prediction("prob"))
@@ -222,7 +222,7 @@ gains as (select fold, case when i < 30 then concat('posts_embedding_', cast(i +
                  sum(abs(x)) as gain from px group by 1, 2),
 mean as (select feature, sum(gain) / 5 as importance from gains group by feature),
 ratio as (select feature, importance, importance / sum(importance) over () as importance_ratio,
-                 row_number() over (order by importance desc, feature) as rank from mean)
+                 (row_number() over (order by importance desc, feature))::int as rank from mean)
 """
 
 
@@ -265,7 +265,7 @@ def evaluate_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("stratified_folds", sql="""
-select vec_id, label, (row_number() over (partition by label order by md5(concat_ws('|', cast(vec_id as varchar), '42')), vec_id) - 1) % 5 as fold
+select vec_id, label, ((row_number() over (partition by label order by md5(concat_ws('|', cast(vec_id as varchar), '42')), vec_id) - 1) % 5)::int as fold
 from (select vec_id, case when label < 5 then 1 else 0 end as label from embeddings)""")
 def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     """M2: 5 folds, stratified by label, in seeded shuffle order (balanced to +-1 per label)."""

@@ -14,7 +14,7 @@ from veerline.sources.tables import read_table
 
 
 @register("read_timelines", sql="""
-select conv_id as account, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 as seq
+select conv_id as account, turn, role, text, (row_number() over (partition by conv_id order by turn) - 1)::int as seq
 from conversations""")
 def read_timelines(spark: SparkSession, sf: str) -> DataFrame:
     """Per-account CSV files (texts with newlines and quotes) read back; file order = seq."""
@@ -82,7 +82,7 @@ def append_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("write_outcome_slices", sql=f"""with {eval_queries._SQL_PRED}
 select case when label = 1 and pred = 1 then 'tp' when label = 0 and pred = 1 then 'fp'
-            when label = 1 and pred = 0 then 'fn' else 'tn' end as outcome, count(*) as n, sum(vec_id) as id_sum
+            when label = 1 and pred = 0 then 'fn' else 'tn' end as outcome, count(*) as n, sum(vec_id)::bigint as id_sum
 from pr group by 1""")
 def write_outcome_slices(spark: SparkSession, sf: str) -> DataFrame:
     """One CSV folder per confusion cell, read back and counted."""

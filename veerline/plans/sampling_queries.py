@@ -205,7 +205,7 @@ def filter_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("unwrap_first", sql="""
-select conv_id, turn, len([string_split(text, ' ')][1]) as n_words, [string_split(text, ' ')][1][1] as first_word
+select conv_id, turn, len([string_split(text, ' ')][1])::int as n_words, [string_split(text, ' ')][1][1] as first_word
 from conversations""")
 def unwrap_first(spark: SparkSession, sf: str) -> DataFrame:
     """P10: the first element of a nested list ([[words]] -> [words])."""

@@ -142,7 +142,7 @@ def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("skip_empty_flag", sql=f"""
-select c.conv_id, c.turn as flag_turn, length(c.text) as flag_len
+select c.conv_id, c.turn as flag_turn, length(c.text)::int as flag_len
 from conversations c join {_SQL_FLAG_TURN} f on c.conv_id = f.conv_id and c.turn = f.flag_turn
 where length(c.text) > 0
 """)

@@ -159,7 +159,7 @@ def carry_forward_chunk_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("require_both_sides", sql=f"""
 with {_CTE_TAIL}
-select user_id, count_if(own) as n_own, count_if(not own) as n_other from p
+select user_id, count_if(own)::bigint as n_own, count_if(not own)::bigint as n_other from p
 group by user_id having count_if(own) >= 1 and count_if(not own) >= 1
 """)
 def require_both_sides(spark: SparkSession, sf: str) -> DataFrame:
