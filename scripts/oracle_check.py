@@ -24,7 +24,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v if os.environ.get("ORACLE_EXACT") else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "asDict"):
@@ -37,7 +37,8 @@ def norm(v):
 
 
 def rows_key(rows):
-    return sorted((tuple(norm(x) for x in r) for r in rows), key=repr)
+    """Rows as sorted reprs: strict about types and signs (0.0 vs -0.0, 1 vs 1.0)."""
+    return sorted(repr(tuple(norm(x) for x in r)) for r in rows)
 
 
 def main() -> int:

@@ -338,7 +338,7 @@ mk as (select *, text <> '' and sum(cost) over (partition by conv_id, own, chunk
                  rows between unbounded preceding and current row) <= {BUDGET} as kept_flag,
               {_sql_letters('text')} as va, {_sql_letters('flag_text')} as vb from bud),
 sc as (select *, case when sqrt(list_dot_product(va, va)) * sqrt(list_dot_product(vb, vb)) <> 0 then
-                 round(1 - list_dot_product(va, vb) / (sqrt(list_dot_product(va, va)) * sqrt(list_dot_product(vb, vb))), 6) end as distance
+                 round(1 - list_dot_product(va, vb) / (sqrt(list_dot_product(va, va)) * sqrt(list_dot_product(vb, vb))), 6) + 0.0 end as distance
        from mk)
 select conv_id, own, chunk_id,
        coalesce(string_agg(text, '[SEP]' order by distance nulls last, turn) filter (where kept_flag), '') as text_ranked,

@@ -66,7 +66,7 @@ def feature_gains(spark: SparkSession, sf: str) -> DataFrame:
 _SQL_Q = """
 q as (select label, arg_min(embedding, vec_id) as qvec from embeddings group by label),
 eq as (select e.vec_id, e.label, e.embedding::double[] as a, q.qvec::double[] as b from embeddings e join q on e.label = q.label),
-dist as (select vec_id, label, round(1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) as distance from eq)
+dist as (select vec_id, label, round(1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) + 0.0 as distance from eq)
 """
 _SQL_PRED = """
 fp as (select vec_id, case when label < 5 then 1 else 0 end as label, f.fold, ((vec_id * 7 + f.fold) % 11) / 10.0 as prob
