@@ -48,3 +48,15 @@ def test_streaming_cleaning(spark):
     q.stop()
     rows = spark.sql("select * from cleaned_posts").collect()
     assert [(r["id"], r["text"], r["likes"]) for r in rows] == [(1, "hi &", 1200)]
+
+
+def test_streaming_file_to_file(spark):
+    base = tempfile.mkdtemp(prefix="veerline-test-")
+    spark.createDataFrame([(1, "#tag hello 👍🏽", "2K"), (2, "coupon deal", "5")],
+                          "id int, text string, likes string").write.parquet(base + "/in")
+    q = text_stream.start_cleaning(spark, base + "/in", "id int, text string, likes string", base + "/out",
+                                   name=os.path.basename(base), promotions=["coupon"], count_cols=["likes"])
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.read.parquet(base + "/out").collect()
+    assert [(r["id"], r["text"], r["likes"]) for r in rows] == [(1, "hello", 2000)]

@@ -41,7 +41,11 @@ def read_timelines(spark: SparkSession, path: str | Sequence[str], schema: Struc
 
 
 def write_timelines(df: DataFrame, path: str, account: str, order: str) -> None:
-    """One CSV folder per account (``account=<key>``), rows in ``order`` inside each file."""
+    """One CSV folder per account (``account=<key>``), rows in ``order`` inside each file.
+
+    This is the interchange layout of per-account timelines: one file per account, so one task
+    writes each account. For very large accounts keep Parquet with an explicit order column
+    instead (readers then need no file order)."""
     (df.repartition(account).sortWithinPartitions(account, order)
      .write.mode("overwrite").options(**CSV_OPTIONS).partitionBy(account).csv(path))
 
