@@ -80,3 +80,7 @@ def test_pluggable_tokenizer_in_budget(spark):
     df = spark.createDataFrame([(0, 1, "a b c"), (0, 2, "d e"), (0, 3, "f")], "g int, pos int, text string")
     marked = D.mark_budget(df, ["g"], "pos", "text", 6, n_tokens=F.size(tok(F.col("text"))))
     assert [r["kept"] for r in marked.orderBy("pos").collect()] == [True, False, False]
+
+
+def test_emoji_trade_mark_and_text_symbols(spark):
+    assert one(spark, T.remove_emoji("s"), "a™b↔c→d") == "abc→d"

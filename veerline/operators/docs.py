@@ -148,6 +148,19 @@ def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> Da
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
 
 
+def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+    """V3 for the flagged post: the id list decoded as one text, special tokens kept: tokens
+    joined by blanks, '##' continuation pieces glued to the token before; null ids give ''."""
+    specials = vocab.sparkSession.createDataFrame(
+        [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id bigint")
+    full_vocab = vocab.select("token", F.col("token_id").cast("bigint")).unionByName(specials)
+    exploded = ids_df.select(key, F.posexplode_outer(ids).alias("p", "token_id"))
+    joined = exploded.join(full_vocab, "token_id", "left")
+    item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), F.coalesce("token", F.lit("")).alias("t")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " ")
+    return joined.groupBy(key).agg(F.replace(text, F.lit(" ##"), F.lit("")).alias("decoded"))
+
+
 def attention_mask(ids: Column | str, pad_id: int = PAD_ID, sep_id: int = SEP_ID) -> Column:
     """V4: true unless the id is the pad or the separator id."""
     return F.transform(_c(ids), lambda x: ~x.isin(pad_id, sep_id))

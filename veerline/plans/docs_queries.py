@@ -357,3 +357,40 @@ def letter_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """V7 with the letter-count embedder (an engine-independent stand-in for a model)."""
     from veerline.operators import vectors as V
     return read_table(spark, sf, "documents").select("doc_id", V.letter_counts("text").alias("embedding"))
+
+
+# ------------------------------------------------------------------ V3, flagged post decoded whole
+def flag_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Token ids of each conversation's flagged turn ([CLS] ... [SEP], at most 64 ids) and the
+    vocabulary of those texts."""
+    flags = conversation_flags(conversation_timeline(spark, sf), keywords=[""])
+    toks = flags.select("conv_id", D.tokenize("flag_text").alias("tokens"))
+    vocab, ids = D.vocabulary_and_ids(toks, "conv_id", "tokens")
+    return vocab, ids.select("conv_id", D.truncate_tokens("ids", 64).alias("ids"))
+
+
+_SQL_FLAG_VOCAB = f"""
+fu as (select conv_id, min(turn) as ft from conversations where role = 'user' group by conv_id),
+fl as (select c.conv_id, c.text from conversations c join fu on c.conv_id = fu.conv_id and c.turn = fu.ft
+       where length(c.text) > 0),
+toks as (select conv_id, {_SQL_TOKENS} as tokens from fl),
+vocab as (select token, row_number() over (order by md5(token), token) + 3 as token_id
+          from (select distinct unnest(tokens) as token from toks)),
+full_vocab as (select token, token_id from vocab union all
+               select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, token_id)),
+ex as (select conv_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as p from toks),
+enc as (select ex.conv_id, list(coalesce(v.token_id, 1) order by ex.p) as ids
+        from ex left join vocab v on ex.token = v.token group by ex.conv_id),
+ids as (select t.conv_id, list_concat([2::bigint], coalesce(enc.ids, [])[1:62], [3::bigint]) as ids
+        from toks t left join enc on t.conv_id = enc.conv_id),
+ex2 as (select conv_id, unnest(ids) as token_id, generate_subscripts(ids, 1) as p from ids)
+"""
+
+
+@register("decode_flag_tokens", sql=f"""with {_SQL_FLAG_VOCAB}
+select ex2.conv_id, replace(string_agg(coalesce(fv.token, ''), ' ' order by ex2.p), ' ##', '') as decoded
+from ex2 left join full_vocab fv on ex2.token_id = fv.token_id group by ex2.conv_id""")
+def decode_flag_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 (flagged post): ids decoded whole, special tokens kept."""
+    vocab, ids = flag_ids(spark, sf)
+    return D.decode_whole(ids, "conv_id", "ids", vocab)
