@@ -98,3 +98,29 @@ def test_chunk_timeline_with_hot_sides_equals_plain(spark):
         return sorted(tuple(r) for r in ch.select("user_id", "event_id", "side_rank", "chunk_id").collect())
 
     assert run(tl.DEFAULT_ROWS_PER_TASK) == run(3)
+
+
+def test_sort_merge_path_with_salting_equals_default(spark):
+    """The plan used at scale (no broadcast, salted hot accounts) gives the same pairs."""
+    def pairs_for(rows_per_task):
+        base = TQ.events_timeline(spark, SF_MID)
+        stats = tl.last_flag(base, "user_id", "event_id", "is_flag")
+        tail = tl.tail_after_flag(base, stats, "user_id", "event_id", rows_per_task=rows_per_task, keep_salt=True)
+        ch = tl.chunk_sides(tail, 5, 3, "user_id", "own", "event_id")
+        return sorted(tuple(r) for r in tl.pair_carry_forward(tl.chunk_engagement(ch, {"v": "value"}, "user_id", "own"),
+                                                              "user_id", "own").collect())
+
+    default = pairs_for(tl.DEFAULT_ROWS_PER_TASK)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        forced = pairs_for(5)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert forced == default and len(default) == 105
