@@ -118,6 +118,8 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
     tagged = reduce(lambda a, b: a.unionByName(b),
                     [f.select(*common, F.lit(i).alias("_src")) for i, f in enumerate(frames)])
+    from veerline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tagged.sparkSession)
     src = tagged.checkpoint(eager=True)
     is_pos = (F.col("_src") == 0) & (F.col("label") == 1)
 

@@ -84,7 +84,10 @@ def tail_after_flag(df: DataFrame, flags: DataFrame, account: str = "account", p
 def first_rows_per_side(tail: DataFrame, k: int, account: str = "account", side: str = "own",
                         pos: str = "pos") -> DataFrame:
     """W3/W4 core: keep the first ``k`` rows (by ``pos``) of each (account, side); adds 0-based
-    ``side_rank``. Needs the ``_salt`` column of ``tail_after_flag(keep_salt=True)``."""
+    ``side_rank``. Uses the ``_salt`` column of ``tail_after_flag(keep_salt=True)`` to spread hot
+    accounts; without it every account is one group."""
+    if _SALT not in tail.columns:
+        tail = tail.withColumn(_SALT, F.lit(0))
     w1 = Window.partitionBy(account, side, _SALT).orderBy(pos)
     w2 = Window.partitionBy(account, side).orderBy(pos)
     level1 = tail.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")
