@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -92,7 +93,8 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
 
     def fit_all(rounds: int) -> list[GBTClassificationModel]:
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
-            return list(pool.map(lambda k: fit(k, rounds), range(n_folds)))
+            # fits inherit the caller's job group / scheduler pool (cancellable together)
+            return list(pool.map(inheritable_thread_target(lambda k: fit(k, rounds)), range(n_folds)))
 
     held = [k for k in range(n_folds) if 0 < sizes.get(k, 0) < total]
     rounds = min(max_iter, early_stopping_rounds + 1)
@@ -101,7 +103,8 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
         if not held:
             return models
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(held)))) as pool:
-            losses = list(pool.map(lambda k: models[k].evaluateEachIteration(data.where(F.col(fold) == k)), held))
+            losses = list(pool.map(inheritable_thread_target(
+                lambda k: models[k].evaluateEachIteration(data.where(F.col(fold) == k))), held))
         mean = [sum(fl[r] for fl in losses) / len(losses) for r in range(rounds)]
         best, stopped = best_round(mean, early_stopping_rounds)
         if stopped or rounds >= max_iter:
