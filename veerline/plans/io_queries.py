@@ -101,3 +101,11 @@ def write_importance(spark: SparkSession, sf: str) -> DataFrame:
     io.write_importance(imp, path)
     return (spark.read.options(**io.CSV_OPTIONS)
             .schema("feature string, importance double, importance_ratio double").csv(path))
+
+
+@register("write_features", sql=ORACLE["timeline_features"])
+def write_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows written as Parquet between stages (the format stages exchange) and read back."""
+    path = io.scratch_dir(spark, "features_parquet")
+    io.write_features(docs_queries.timeline_features(spark, sf), path, fmt="parquet")
+    return spark.read.parquet(path)

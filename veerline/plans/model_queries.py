@@ -101,3 +101,21 @@ def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     by_prefix = E.importance_by_prefix(ratios).select(F.lit("importance").alias("section"),
                                                       F.col("prefix").alias("name"), F.col("ratio").alias("value"))
     return metrics.unionByName(by_prefix)
+
+
+@register("multiclass_evaluate")
+def multiclass_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """Three-class run (M5 -> P14 -> A4 -> A7): class scores from the multiclass model, first-max
+    label, 3x3 confusion matrix with zero cells kept, balanced accuracy and macro P / R / F1."""
+    cv, test = cv_and_test(spark, sf)
+    model = M.multiclass_train(cv, label="label3", num_trees=20)
+    scored = model.transform(test).select(
+        F.col("label3").alias("label"),
+        E.argmax_prediction(vector_to_array("probability")).alias("pred"))
+    cm = E.confusion_matrix(scored, [0, 1, 2]).select(
+        F.lit("confusion").alias("section"),
+        F.concat(F.col("label").cast("string"), F.lit("->"), F.col("pred").cast("string")).alias("name"),
+        F.col("n").cast("double").alias("value"))
+    metrics = E.evaluate_run(scored, "three").select(F.lit("metric").alias("section"),
+                                                    F.col("metric").alias("name"), "value")
+    return cm.unionByName(metrics)
