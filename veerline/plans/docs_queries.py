@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veerline.functions import text as T
 from veerline.operators import docs as D
 from veerline.operators import timeline as tl
+from veerline.plans import feature_build as FB
 from veerline.plans.registry import register
 from veerline.plans.text_queries import KEYWORDS, LEXICON, PROMOTIONS, _sql_str, sql_clean
 from veerline.sources.tables import read_table
@@ -37,11 +38,19 @@ def conversation_timeline(spark: SparkSession, sf: str) -> DataFrame:
                     likes.alias("likes_raw"), reposts.alias("reposts_raw")))
 
 
+COLUMNS = FB.TimelineColumns(account="conv_id", pos="turn", flag="is_flag", handle="handle", text="text",
+                              likes="likes_raw", reposts="reposts_raw")
+
+
+def params(keywords=KEYWORDS, first_label: int = 1, later_label: int = 3) -> FB.FeatureParams:
+    return FB.FeatureParams(keywords=tuple(keywords), lexicon=tuple(LEXICON), promotions=tuple(PROMOTIONS),
+                            chunk_size=CHUNK, max_chunks=MAX_CHUNKS, budget=BUDGET, first_label=first_label,
+                            later_label=later_label, seed=SEED)
+
+
 def conversation_flags(timeline: DataFrame, keywords=KEYWORDS) -> DataFrame:
-    """W1 + P4 + P2: last flagged row, kept only when its raw text is non-empty and holds a keyword."""
-    flags = tl.last_flag(timeline, "conv_id", "turn", "is_flag",
-                         carry={"flag_text": "text", "flag_handle": "handle"})
-    return flags.where((F.length("flag_text") > 0) & T.contains_any("flag_text", keywords))
+    """W1 + P4 + P2 on the conversation timelines."""
+    return FB.flagged_accounts(timeline, COLUMNS, keywords)
 
 
 def path_account_handle() -> F.Column:
@@ -52,48 +61,21 @@ def path_account_handle() -> F.Column:
 
 def conversation_chunks(spark: SparkSession, sf: str, keywords=KEYWORDS,
                         account_handle: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """W2 -> P1 -> C10 -> P3 -> P5 -> W3/W4: the chunked rows after the flag, and the flags.
-
-    Own posts are those with the flagged row's handle, or ``account_handle`` when given."""
-    timeline = conversation_timeline(spark, sf)
-    flags = conversation_flags(timeline, keywords)
-    if account_handle is not None:
-        flags = flags.withColumn("flag_handle", account_handle)
-    stats = tl.last_flag(timeline, "conv_id", "turn", "is_flag")
-    tail = tl.tail_after_flag(timeline, flags, "conv_id", "turn", keep_salt=True, stats=stats)
-    tail = (tail.withColumn("likes", T.parse_abbrev_count("likes_raw"))
-            .withColumn("reposts", T.parse_abbrev_count("reposts_raw"))
-            .withColumn("text", T.clean_text("text", LEXICON)))
-    tail = tail.where(~T.matches_any_regex("text", PROMOTIONS))
-    tail = tail.withColumn("own", tl.split_own("handle", "flag_handle"))
-    return tl.chunk_sides(tail, CHUNK, MAX_CHUNKS, "conv_id", "own", "turn"), flags
+    """W2 -> P1 -> C10 -> P3 -> P5 -> W3/W4 on the conversation timelines."""
+    return FB.chunk_rows(conversation_timeline(spark, sf), COLUMNS, params(keywords), account_handle)
 
 
 def chunk_features(chunks: DataFrame, with_text: bool) -> DataFrame:
-    """A1 (+ W5, A2, T2): per (account, side, chunk) sums and, optionally, budgeted chunk texts."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"), F.sum("reposts").alias("reposts")]
-    if with_text:
-        chunks = D.mark_budget(chunks, ["conv_id", "own", "chunk_id"], "turn", "text", BUDGET)
-        aggs += D.chunk_text_aggs("turn", "text", ["conv_id", "own", "chunk_id"], SEED)
-    return chunks.groupBy("conv_id", "own", "chunk_id").agg(*aggs)
+    """A1 (+ W5, A2, T2) per (conversation, side, chunk)."""
+    return FB.chunk_aggregates(chunks, COLUMNS, params(), with_text)
 
 
 def feature_rows(spark: SparkSession, sf: str, with_text: bool, first_label: int = 1,
                  later_label: int = 3, keywords=KEYWORDS, account_handle: F.Column | None = None) -> DataFrame:
-    chunks, flags = conversation_chunks(spark, sf, keywords, account_handle)
-    pairs = tl.pair_carry_forward(chunk_features(chunks, with_text), "conv_id", "own")
-    out = pairs.join(flags.select("conv_id", "flag_handle", "flag_text"), "conv_id")
-    cols = [T.normalise_handle("flag_handle").alias("account_name"), F.col("chunk_id"),
-            F.col("own_likes").alias("posts_like"), F.col("other_likes").alias("reposts_like"),
-            F.col("own_reposts").alias("posts_repost"), F.col("other_reposts").alias("reposts_repost"),
-            tl.chunk_label("chunk_id", first_label, later_label).alias("label")]
-    if with_text:
-        cols += [F.col("own_text_sorted").alias("posts_text_sorted"), F.col("own_text_random").alias("posts_text_random"),
-                 F.col("other_text_sorted").alias("reposts_text_sorted"),
-                 F.col("other_text_random").alias("reposts_text_random"),
-                 F.col("own_n_kept").alias("posts_n_kept"), F.col("other_n_kept").alias("reposts_n_kept"),
-                 F.col("flag_text")]
-    return out.select(*cols)
+    """X1 (+ X2) on the conversation timelines through the generic feature build."""
+    out = FB.build_features(conversation_timeline(spark, sf), COLUMNS, params(keywords, first_label, later_label),
+                            account_handle, with_text)
+    return out.drop("conv_id")
 
 
 # ------------------------------------------------------------------ DuckDB oracle building blocks
