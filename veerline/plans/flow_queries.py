@@ -8,18 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veerline.operators import evaluate as E
 from veerline.operators import model as M
 from veerline.operators import sampling as S
 from veerline.operators import vectors as V
 from veerline.plans import docs_queries as DQ
+from veerline.plans import experiment as X
 from veerline.plans.registry import register
 from veerline.sources.tables import read_table
 
 N_FOLDS = 5
 RANDOM_KEYWORDS = ["e"]
 COUNTS = ["posts_like", "reposts_like", "posts_repost", "reposts_repost"]
-NAMES = M.feature_names(COUNTS, [("posts_embedding", 26), ("reposts_embedding", 26)])
 
 
 def feature_source(spark: SparkSession, sf: str, name: str, **kw) -> DataFrame:
@@ -45,20 +44,9 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 @register("end_to_end_run")
 def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
     """(section, name, value): split sizes, test metrics of the fold ensemble, importance shares."""
-    data = M.assemble_features(splits(spark, sf), COUNTS, ["posts_embedding", "reposts_embedding"])
-    data = S.materialise_sources([data])[0]
-    cv = M.stratified_folds(data.where(F.col("split") != "test"), ["row_id"], "label", N_FOLDS)
-    test = data.where(F.col("split") == "test")
-    models = M.train_cv_gbt(cv, n_folds=N_FOLDS)
+    data = S.materialise_sources([splits(spark, sf)])[0]
     sizes = (data.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select(F.lit("rows").alias("section"), F.col("split").alias("name"), "value"))
-    if not models:  # the splitting rule left no training rows (tiny inputs)
-        return sizes
-    preds = M.predict_folds(models, test, ["row_id", "label"])
-    avg = E.fold_average(preds, ["row_id", "label"]).withColumn("pred", E.threshold_prediction("prob_avg"))
-    metrics = E.evaluate_run(avg, "two").select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value")
-    paths = M.save_models(models, M.model_dir(data, "end_to_end_run"))
-    ratios = E.importance_mean_ratio(M.gain_importance(spark, paths, NAMES), N_FOLDS, digits=12)
-    shares = E.importance_by_prefix(ratios).select(F.lit("importance").alias("section"),
-                                                   F.col("prefix").alias("name"), F.col("ratio").alias("value"))
-    return sizes.unionByName(metrics).unionByName(shares)
+    result = X.run_experiment(data, ["row_id"], COUNTS, [("posts_embedding", 26), ("reposts_embedding", 26)],
+                              n_folds=N_FOLDS, model_path=M.model_dir(data, "end_to_end_run"))
+    return X.as_report(result, sizes)

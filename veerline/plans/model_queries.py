@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
 from veerline.operators import model as M
+from veerline.plans import experiment as X
 from veerline.plans.registry import register
 from veerline.sources.tables import read_table
 
@@ -90,17 +91,16 @@ def save_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("train_and_evaluate")
 def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """M1 -> M2 -> M3 -> M4 -> A8 -> P13 -> M7 (+ M6 -> A9 / A10): one long result table
+    """M1 -> M2 -> M3 -> M4 -> A8 -> P13 -> M7 (+ S9 -> M6 -> A9 / A10): one long result table
     (section, name, value)."""
-    models, test = trained(spark, sf)
-    preds = M.predict_folds(models, test.select("vec_id", "label", "features"), ["vec_id", "label"])
-    avg = E.fold_average(preds, ["vec_id", "label"]).withColumn("pred", E.threshold_prediction("prob_avg"))
-    metrics = E.evaluate_run(avg, "two").select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value")
-    paths = M.save_models(models, M.model_dir(test, "train_and_evaluate"))
-    ratios = E.importance_mean_ratio(M.gain_importance(spark, paths, NAMES), N_FOLDS, digits=12)
-    by_prefix = E.importance_by_prefix(ratios).select(F.lit("importance").alias("section"),
-                                                      F.col("prefix").alias("name"), F.col("ratio").alias("value"))
-    return metrics.unionByName(by_prefix)
+    e = read_table(spark, sf, "embeddings").select(
+        "vec_id", (F.col("label") < 5).cast("int").alias("label"),
+        F.slice("embedding", 1, 32).alias("posts_embedding"), F.slice("embedding", 33, 32).alias("reposts_embedding"))
+    ranked = M.stratified_folds(e, ["vec_id"], "label", N_FOLDS + 1, seed=42)
+    data = ranked.withColumn("split", F.when(F.col("fold") == N_FOLDS, "test").otherwise("train")).drop("fold")
+    result = X.run_experiment(data, ["vec_id"], [], [("posts_embedding", 32), ("reposts_embedding", 32)],
+                              n_folds=N_FOLDS, model_path=M.model_dir(e, "train_and_evaluate"))
+    return X.as_report(result)
 
 
 @register("multiclass_evaluate")
