@@ -56,3 +56,11 @@ def test_outcomes(spark):
     assert [r["o"] for r in rows] == ["tp", "fp", "fn", "tn", None]
     assert [r["m"] for r in rows] == ["t1", "f0", "f1", "t0", "f2"]
     assert df.select(E.argmax_prediction(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.5))).alias("a")).first()["a"] == 1
+
+
+def test_encode_with_checked_broadcast(spark):
+    docs = spark.createDataFrame([(1, ["ball", "play", "x"]), (2, [])], "k int, tokens array<string>")
+    plain = {r["k"]: r["ids"] for r in D.encode_tokens(docs, "k", "tokens", vocab(spark)).collect()}
+    small = {r["k"]: r["ids"] for r in D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=10).collect()}
+    over = {r["k"]: r["ids"] for r in D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=2).collect()}
+    assert plain == small == over == {1: [6, 4, 1], 2: []}

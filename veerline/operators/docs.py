@@ -97,7 +97,17 @@ def build_vocabulary(tokens: DataFrame, token: str = "token", hex_digits: int =
     return ranked.select(F.col(token), (F.col("rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"))
 
 
-def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
+def sized_side(table: DataFrame, max_rows: int | None) -> DataFrame:
+    """A lookup table for a join: broadcast only behind a size check (``count() <= max_rows``);
+    beyond the bound, or without one, it stays a normal shuffle-join side (AQE may still
+    broadcast it when its runtime size is small)."""
+    if max_rows is not None and table.count() <= max_rows:
+        return F.broadcast(table)
+    return table
+
+
+def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
+                  broadcast_max_rows: int | None = None) -> DataFrame:
     """V2: array<string> -> array<bigint> ids in token order; unknown tokens -> UNK_ID.
 
     posexplode_outer + equi-join on the token + ordered re-fold per document; a document without
@@ -130,7 +140,8 @@ def vocabulary_and_ids(docs: DataFrame, key: str, tokens_col: str, hex_digits: i
     return vocab, ids
 
 
-def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
+                  broadcast_max_rows: int | None = None) -> DataFrame:
     """V3: ids -> text by decoding each id alone, applying the special-token rules, and
     concatenating without separator; a null or empty id list decodes to ''."""
     specials = vocab.sparkSession.createDataFrame(
@@ -142,20 +153,21 @@ def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> Da
         piece = F.replace(piece, F.lit(s), F.lit(""))
     for s in DECODE_TO_BLANK:
         piece = F.replace(piece, F.lit(s), F.lit(" "))
-    joined = exploded.join(full_vocab, "token_id", "left")
+    joined = exploded.join(sized_side(full_vocab, broadcast_max_rows), "token_id", "left")
     item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), piece.alias("piece")))
     return joined.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
 
 
-def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
+                 broadcast_max_rows: int | None = None) -> DataFrame:
     """V3 for the flagged post: the id list decoded as one text, special tokens kept: tokens
     joined by blanks, '##' continuation pieces glued to the token before; null ids give ''."""
     specials = vocab.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id bigint")
     full_vocab = vocab.select("token", F.col("token_id").cast("bigint")).unionByName(specials)
     exploded = ids_df.select(key, F.posexplode_outer(ids).alias("p", "token_id"))
-    joined = exploded.join(full_vocab, "token_id", "left")
+    joined = exploded.join(sized_side(full_vocab, broadcast_max_rows), "token_id", "left")
     item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), F.coalesce("token", F.lit("")).alias("t")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " ")
     return joined.groupBy(key).agg(F.replace(text, F.lit(" ##"), F.lit("")).alias("decoded"))
