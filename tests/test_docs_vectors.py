@@ -64,3 +64,13 @@ def test_encode_with_checked_broadcast(spark):
     small = {r["k"]: r["ids"] for r in D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=10).collect()}
     over = {r["k"]: r["ids"] for r in D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=2).collect()}
     assert plain == small == over == {1: [6, 4, 1], 2: []}
+
+
+def test_checked_broadcast_shows_in_plan(spark):
+    import io
+    from contextlib import redirect_stdout
+    docs = spark.createDataFrame([(1, ["ball"])], "k int, tokens array<string>")
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=10).explain()
+    assert "BroadcastHashJoin" in buf.getvalue()

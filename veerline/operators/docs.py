@@ -112,9 +112,11 @@ def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
 
     posexplode_outer + equi-join on the token + ordered re-fold per document; a document without
     tokens keeps one null row, so it folds to an empty array without a second join. A hot token
-    is handled by AQE's skew-join split (the re-fold shuffles by document anyway)."""
+    is handled by AQE's skew-join split (the re-fold shuffles by document anyway). A model
+    vocabulary of known size can be broadcast with ``broadcast_max_rows`` (checked, see
+    ``sized_side``), which removes the shuffle by token."""
     exploded = docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
-    joined = exploded.join(vocab, "token", "left")
+    joined = exploded.join(sized_side(vocab, broadcast_max_rows), "token", "left")
     item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
     ids = F.array_sort(F.collect_list(item))
     return joined.groupBy(key).agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
