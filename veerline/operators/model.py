@@ -94,7 +94,7 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
     def fit_all(rounds: int) -> list[GBTClassificationModel]:
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
             # fits inherit the caller's job group / scheduler pool (cancellable together)
-            return list(pool.map(inheritable_thread_target(lambda k: fit(k, rounds)), range(n_folds)))
+            return list(pool.map(inheritable_thread_target(data.sparkSession)(lambda k: fit(k, rounds)), range(n_folds)))
 
     held = [k for k in range(n_folds) if 0 < sizes.get(k, 0) < total]
     rounds = min(max_iter, early_stopping_rounds + 1)
@@ -103,7 +103,7 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
         if not held:
             return models
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(held)))) as pool:
-            losses = list(pool.map(inheritable_thread_target(
+            losses = list(pool.map(inheritable_thread_target(data.sparkSession)(
                 lambda k: models[k].evaluateEachIteration(data.where(F.col(fold) == k))), held))
         mean = [sum(fl[r] for fl in losses) / len(losses) for r in range(rounds)]
         best, stopped = best_round(mean, early_stopping_rounds)
