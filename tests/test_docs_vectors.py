@@ -74,3 +74,11 @@ def test_checked_broadcast_shows_in_plan(spark):
     with redirect_stdout(buf):
         D.encode_tokens(docs, "k", "tokens", vocab(spark), broadcast_max_rows=10).explain()
     assert "BroadcastHashJoin" in buf.getvalue()
+
+
+def test_metrics_on_empty_input(spark):
+    empty = spark.createDataFrame([], "label int, pred int")
+    m = E.binary_metrics(empty).first()
+    assert (m["accuracy"], m["precision"], m["tp"]) == (0.0, 0.0, 0)
+    gains = spark.createDataFrame([(0, "f", 0.0)], "fold int, feature string, gain double")
+    assert E.importance_mean_ratio(gains, 5).first()["importance_ratio"] == 0.0

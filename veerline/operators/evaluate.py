@@ -73,7 +73,7 @@ def binary_metric_aggs(label: str = "label", pred: str = "pred", digits: int = 6
     n = F.count(F.lit(1))
     prec = _ratio(tp, tp + fp)
     rec = _ratio(tp, tp + fn)
-    return [F.round(F.count_if(y == p) / n, digits).alias("accuracy"),
+    return [F.round(_ratio(F.count_if(y == p), n), digits).alias("accuracy"),
             F.round(prec, digits).alias("precision"), F.round(rec, digits).alias("recall"),
             F.round(_ratio(2 * tp, 2 * tp + fp + fn), digits).alias("f1"),
             tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.count_if((y != 1) & (p != 1)).alias("tn")]
@@ -114,7 +114,7 @@ def importance_mean_ratio(gains: DataFrame, n_folds: int, fold: str = "fold", fe
     mean = gains.groupBy(feature).agg((F.sum(gain) / F.lit(n_folds)).alias("importance"))
     total = Window.partitionBy()
     order = Window.orderBy(F.desc("importance"), feature)
-    return (mean.withColumn("importance_ratio", F.col("importance") / F.sum("importance").over(total))
+    return (mean.withColumn("importance_ratio", _ratio(F.col("importance"), F.sum("importance").over(total)))
             .withColumn("rank", F.row_number().over(order))
             .select(feature, F.round("importance", digits).alias("importance"),
                     F.round("importance_ratio", digits).alias("importance_ratio"), "rank"))
