@@ -58,21 +58,26 @@ with fp as (select vec_id, case when label < 5 then 1 else 0 end as label, f.fol
             from embeddings, (select unnest(range(5)) as fold) f),
 p as (select fold, label, cast(round_even(prob, 0) as int) as pred from fp),
 m as (select fold, round(count_if(label = pred) / count(*), 6) as accuracy,
-             round(case when count_if(pred = 1) = 0 then 0.0 else count_if(label = 1 and pred = 1) / count_if(pred = 1) end, 6) as precision
+             round(case when count_if(pred = 1) = 0 then 0.0 else count_if(label = 1 and pred = 1) / count_if(pred = 1) end, 6) as precision,
+             round(case when count_if(label = 1) = 0 then 0.0 else count_if(label = 1 and pred = 1) / count_if(label = 1) end, 6) as recall,
+             round(case when count_if(label = 1) + count_if(pred = 1) = 0 then 0.0
+                        else 2 * count_if(label = 1 and pred = 1) / (count_if(label = 1) + count_if(pred = 1)) end, 6) as f1
       from p group by fold),
-l as (select fold, 'accuracy' as metric, accuracy as value from m union all select fold, 'precision', precision from m),
+l as (select fold, 'accuracy' as metric, accuracy as value from m union all select fold, 'precision', precision from m
+      union all select fold, 'recall', recall from m union all select fold, 'f1', f1 from m),
 runs as (select unnest(['r1', 'r2']) as run)
 select run, metric, max(case when fold = 0 then value end) as "0", max(case when fold = 1 then value end) as "1",
        max(case when fold = 2 then value end) as "2", max(case when fold = 3 then value end) as "3",
        max(case when fold = 4 then value end) as "4"
 from l, runs group by run, metric""")
 def append_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-fold metrics appended by two runs, read back in wide form (one column per fold)."""
+    """Per-fold accuracy, precision, recall and F1 appended by two runs, read back in wide form
+    (one row per run and metric, one column per fold)."""
     p = eval_queries.fold_predictions(spark, sf).withColumn("pred", E.threshold_prediction("prob"))
     fm = E.fold_metrics(p)
-    long = fm.select("fold", F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-        F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("value")))).alias("m")
+    long = fm.select("fold", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+        for name in ("accuracy", "precision", "recall", "f1")])).alias("m")
     ).select("fold", "m.metric", "m.value")
     path = io.scratch_dir(spark, "fold_metrics")
     for run in ("r1", "r2"):
