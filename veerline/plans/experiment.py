@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
 from veerline.operators import model as M
+from veerline.sources import io
 
 
 @dataclass
@@ -21,14 +22,18 @@ class ExperimentResult:
     metrics: DataFrame | None       # metric, value
     importance: DataFrame | None    # feature, importance, importance_ratio, rank
     shares: DataFrame | None        # prefix, ratio
+    slices: DataFrame | None = None  # outcome, n (rows written per confusion cell)
 
 
 def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[str],
                    vector_cols: Sequence[tuple[str, int]], label: str = "label", split: str = "split",
-                   n_folds: int = 5, model_path: str | None = None, **gbt) -> ExperimentResult:
+                   n_folds: int = 5, model_path: str | None = None, slices_path: str | None = None,
+                   trace_cols: Sequence[str] = (), **gbt) -> ExperimentResult:
     """Train on the rows whose ``split`` is not 'test', evaluate on 'test'. ``vector_cols`` are
     (array column, length) pairs; importance needs ``model_path`` (the fold models are saved
-    there, S9) because raw gains are read from the saved trees."""
+    there, S9) because raw gains are read from the saved trees. With ``slices_path`` the test
+    rows' ``trace_cols`` are written with label and prediction, one CSV folder per confusion
+    cell (J6 -> P15 -> S7)."""
     names = M.feature_names(scalar_cols, vector_cols)
     rows = M.assemble_features(data, scalar_cols, [c for c, _ in vector_cols])
     cv = M.stratified_folds(rows.where(F.col(split) != "test"), list(key), label, n_folds)
@@ -44,7 +49,14 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
         paths = M.save_models(models, model_path)
         importance = E.importance_mean_ratio(M.gain_importance(data.sparkSession, paths, names), n_folds, digits=12)
         shares = E.importance_by_prefix(importance)
-    return ExperimentResult(models, avg, metrics, importance, shares)
+    slices = None
+    if slices_path is not None:
+        traced = E.attach_predictions(test.select(*key, *trace_cols), avg.select(*key, label, "pred"), key)
+        traced = traced.withColumn("outcome", E.outcome_binary(label, "pred"))
+        io.write_outcome_slices(traced, slices_path, [*trace_cols, label, "pred"])
+        slices = (data.sparkSession.read.options(**io.CSV_OPTIONS).csv(slices_path)
+                  .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+    return ExperimentResult(models, avg, metrics, importance, shares, slices)
 
 
 def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataFrame:
@@ -54,6 +66,9 @@ def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataF
         parts.append(sizes)
     if result.metrics is not None:
         parts.append(result.metrics.select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value"))
+    if result.slices is not None:
+        parts.append(result.slices.select(F.lit("slice").alias("section"), F.col("outcome").alias("name"),
+                                          F.col("n").cast("double").alias("value")))
     if result.shares is not None:
         parts.append(result.shares.select(F.lit("importance").alias("section"), F.col("prefix").alias("name"),
                                           F.col("ratio").alias("value")))

@@ -14,6 +14,7 @@ from veerline.operators import vectors as V
 from veerline.plans import docs_queries as DQ
 from veerline.plans import experiment as X
 from veerline.plans.registry import register
+from veerline.sources import io
 from veerline.sources.tables import read_table
 
 N_FOLDS = 5
@@ -27,7 +28,8 @@ def feature_source(spark: SparkSession, sf: str, name: str, **kw) -> DataFrame:
         F.concat_ws(":", F.lit(name), "account_name", F.col("chunk_id").cast("string")).alias("row_id"),
         "account_name", "label", *COUNTS,
         V.letter_counts("posts_text_random").alias("posts_embedding"),
-        V.letter_counts("reposts_text_random").alias("reposts_embedding"))
+        V.letter_counts("reposts_text_random").alias("reposts_embedding"),
+        "flag_text", "posts_text_sorted", "reposts_text_sorted")
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,10 +45,14 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("end_to_end_run")
 def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
-    """(section, name, value): split sizes, test metrics of the fold ensemble, importance shares."""
+    """(section, name, value): split sizes, test metrics of the fold ensemble, rows per written
+    outcome slice (tp / fp / fn / tn CSVs with the trace columns), importance shares."""
     data = S.materialise_sources([splits(spark, sf)])[0]
     sizes = (data.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select(F.lit("rows").alias("section"), F.col("split").alias("name"), "value"))
     result = X.run_experiment(data, ["row_id"], COUNTS, [("posts_embedding", 26), ("reposts_embedding", 26)],
-                              n_folds=N_FOLDS, model_path=M.model_dir(data, "end_to_end_run"))
+                              n_folds=N_FOLDS, model_path=M.model_dir(data, "end_to_end_run"),
+                              slices_path=io.scratch_dir(spark, "outcome_slices"),
+                              trace_cols=["account_name", "true_label", "flag_text", "posts_text_sorted",
+                                          "reposts_text_sorted"])
     return X.as_report(result, sizes)
