@@ -82,3 +82,11 @@ def test_metrics_on_empty_input(spark):
     assert (m["accuracy"], m["precision"], m["tp"]) == (0.0, 0.0, 0)
     gains = spark.createDataFrame([(0, "f", 0.0)], "fold int, feature string, gain double")
     assert E.importance_mean_ratio(gains, 5).first()["importance_ratio"] == 0.0
+
+
+def test_hashed_embedding_idf_pca(spark):
+    df = spark.createDataFrame([(i, f"word{i % 3} common text {i}") for i in range(20)], "k int, t string")
+    out = V.hashed_embedding(df, "t", dim=64, idf=True, pca_k=4).collect()
+    assert len(out) == 20 and all(len(r["embedding"]) == 4 for r in out)
+    plain = V.hashed_embedding(df, "t", dim=64).collect()
+    assert all(abs(sum(x * x for x in r["embedding"]) - 1.0) < 1e-5 for r in plain)

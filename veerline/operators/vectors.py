@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,12 +63,25 @@ def embedding_to_columns(vec: Column | str, prefix: str, dim: int) -> list[Colum
     return [F.get(v, i).cast("double").alias(f"{prefix}_{i + 1}") for i in range(dim)]
 
 
-def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:
-    """V7 default without a model: L2-normalised hashed token counts (JVM-side Spark ML stages)."""
+def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = 256, idf: bool = False,
+                     pca_k: int | None = None) -> DataFrame:
+    """V7 default without a model: hashed token counts (``HashingTF``), optionally weighted by
+    inverse document frequency (``IDF``, fitted on ``df``), L2-normalised, optionally reduced to
+    ``pca_k`` principal components. Every stage is a Spark ML job (fits are distributed
+    aggregates); the vector is returned as array<float>."""
     toks = df.withColumn("_tokens", tokenize(text))
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(toks)
-    normed = Normalizer(inputCol="_tf", outputCol="_n", p=2.0).transform(tf)
-    return normed.withColumn(out, vector_to_array("_n", "float32")).drop("_tokens", "_tf", "_n")
+    vec = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(toks)
+    col = "_tf"
+    if idf:
+        vec = IDF(inputCol="_tf", outputCol="_idf").fit(vec).transform(vec)
+        col = "_idf"
+    vec = Normalizer(inputCol=col, outputCol="_n", p=2.0).transform(vec)
+    col = "_n"
+    if pca_k is not None:
+        vec = PCA(k=pca_k, inputCol="_n", outputCol="_p").fit(vec).transform(vec)
+        col = "_p"
+    return (vec.withColumn(out, vector_to_array(col, "float32"))
+            .drop("_tokens", "_tf", "_idf", "_n", "_p"))
 
 
 def embed_text(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], dim: int,

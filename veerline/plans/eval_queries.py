@@ -127,9 +127,10 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("hashed_embedding")
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """V7 default without a model: hashed token counts, normalised (rows-only check)."""
+    """V7 default without a model: hashed token counts -> IDF -> L2 norm -> PCA to 16 components
+    (rows-only check)."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return V.hashed_embedding(d, "text", dim=DIM).select("doc_id", "embedding")
+    return V.hashed_embedding(d, "text", dim=1024, idf=True, pca_k=16).select("doc_id", "embedding")
 
 
 @register("fold_average", sql=f"with {_SQL_PRED} select vec_id, label, prob_avg from av")
