@@ -124,3 +124,15 @@ def test_sort_merge_path_with_salting_equals_default(spark):
             else:
                 spark.conf.set(k, v)
     assert forced == default and len(default) == 105
+
+
+def test_skewed_account_is_salted_and_exact(spark):
+    t = TQ.events_timeline(spark, SF_MID).withColumn(
+        "user_id", F.when(F.col("user_id") < 50, F.lit(0).cast("bigint")).otherwise(F.col("user_id")))
+    stats = tl.last_flag(t, "user_id", "event_id", "is_flag")
+    hot = {r[0]: r[1] for r in tl.hot_accounts(stats, "user_id", TQ.SKEW_ROWS_PER_TASK).collect()}
+    assert hot.get(0, 0) > 1
+    salted = sorted(tuple(r) for r in TQ.event_chunk_pairs_skewed(spark, SF_MID).collect())
+    tail = tl.tail_after_flag(t, stats, "user_id", "event_id", keep_salt=True)
+    plain = TQ._pairs_select(TQ.pairs_of(tl.chunk_sides(tail, 5, 3, "user_id", "own", "event_id")), label=True)
+    assert salted == sorted(tuple(r) for r in plain.collect())

@@ -43,6 +43,10 @@ def event_chunks(spark: SparkSession, sf: str, chunk_size: int, max_chunks: int
 def event_pairs(spark: SparkSession, sf: str, chunk_size: int, max_chunks: int = 3) -> DataFrame:
     """Chunks per side, summed, paired with carry-forward (A1 + J3 + J4)."""
     chunks = event_chunks(spark, sf, chunk_size, max_chunks)
+    return pairs_of(chunks)
+
+
+def pairs_of(chunks: DataFrame) -> DataFrame:
     eng = tl.chunk_engagement(chunks, {"value": "value"}, "user_id", "own")
     return tl.pair_carry_forward(eng, "user_id", "own")
 
@@ -56,10 +60,11 @@ p as (select user_id, event_id, value, event_type in ('click', 'purchase') as ow
 """
 
 
-def _pairs_sql(size: int, label: bool) -> str:
+def _pairs_sql(size: int, label: bool, source: str | None = None) -> str:
     lab = ", case when o.chunk_id = 0 then 1 else 3 end as label" if label else ""
+    cte = _CTE_TAIL if source is None else f"ev as ({source}),\n" + _CTE_TAIL.replace("from events", "from ev")
     return f"""
-with {_CTE_TAIL},
+with {cte},
 c as (select user_id, own, cast(floor(side_rank / {size}.0) as int) as chunk_id, count(*) as n,
              round(sum(value), 2) as v from p group by 1, 2, 3),
 o as (select * from c where own and chunk_id <= 2),
@@ -209,3 +214,22 @@ where user_id in (select user_id from p group by user_id having count_if(own) >=
 """)
 def account_summary(spark: SparkSession, sf: str) -> DataFrame:
     return tl.account_summary(event_pairs(spark, sf, 5), "user_id")
+
+
+# One account holding about a third of all rows: the events of users 0..49 merged into user 0
+# (every row kept). A small rows_per_task makes the hot account really split over salts.
+SKEW_SOURCE = ("select event_id, case when user_id < 50 then 0 else user_id end as user_id, event_type, value, props "
+               "from events")
+SKEW_ROWS_PER_TASK = 200
+
+
+@register("event_chunk_pairs_skewed", sql=_pairs_sql(5, label=True, source=SKEW_SOURCE))
+def event_chunk_pairs_skewed(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum slice when one account holds a third of the rows: the hot account is split over
+    ceil(n / rows_per_task) salts in the tail join and the first-k window; same result as unsplit."""
+    timeline = events_timeline(spark, sf).withColumn(
+        "user_id", F.when(F.col("user_id") < 50, F.lit(0).cast("bigint")).otherwise(F.col("user_id")))
+    stats = tl.last_flag(timeline, "user_id", "event_id", "is_flag")
+    tail = tl.tail_after_flag(timeline, stats, "user_id", "event_id", SKEW_ROWS_PER_TASK, keep_salt=True)
+    chunks = tl.chunk_sides(tail, 5, 3, "user_id", "own", "event_id")
+    return _pairs_select(pairs_of(chunks), label=True)
