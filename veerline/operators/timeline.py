@@ -1,7 +1,8 @@
 """Timeline operators: last flag per account, tail after it, side chunks, engagement, carry-forward pairing.
 
-A timeline frame has one row per post with an account key, an order column (``pos``), a boolean flag
-column and a boolean side column (own post or repost). All operators are lazy DataFrame -> DataFrame.
+A timeline frame has one row per post with an account key, an order column (``pos``, unique within
+an account: file position or event id), a boolean flag column and a boolean side column (own post
+or repost). All operators are lazy DataFrame -> DataFrame.
 
 Scale notes
 -----------
