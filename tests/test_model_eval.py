@@ -38,3 +38,10 @@ def test_best_round_patience():
     assert best_round([3, 2, 1, 1.5, 1.2, 1.1], 3) == (3, True)
     assert best_round([3, 2, 1, 0.9], 3) == (4, False)
     assert best_round([1.0] * 5, 2) == (1, True)
+
+
+def test_empty_experiment_report(spark):
+    from veerline.plans import experiment as X
+    empty = spark.createDataFrame([], "k int, label int, split string, v array<double>")
+    res = X.run_experiment(empty, ["k"], [], [("v", 2)])
+    assert res.models == [] and X.as_report(res).count() == 0

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
@@ -72,6 +72,8 @@ def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataF
     if result.shares is not None:
         parts.append(result.shares.select(F.lit("importance").alias("section"), F.col("prefix").alias("name"),
                                           F.col("ratio").alias("value")))
+    if not parts:  # no training rows and no sizes asked for: an empty report
+        return SparkSession.active().createDataFrame([], "section string, name string, value double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
