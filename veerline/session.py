@@ -44,5 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="veerline-ckpt-", dir=os.environ.get("VEERLINE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:  # each setCheckpointDir call makes a new sub-folder: set once
+        sc.setCheckpointDir(current)
     return current
