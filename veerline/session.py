@@ -33,18 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this setting names a shared (distributed) folder and is only read here.
-    Only when it is unset (local tests) a fresh scratch folder is created and set.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="veerline-ckpt-", dir=os.environ.get("VEERLINE_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
+    """Return the shared checkpoint folder (``spark.checkpoint.dir``) and make sure the context uses it.
+
+    On a cluster the setting names a shared (distributed) folder and is only read here. Only when
+    it is unset (local tests) a fresh scratch folder is used. The setting itself is never changed
+    at run time (Spark refuses to modify core configs); the context's checkpoint folder is set
+    once, since every ``setCheckpointDir`` call makes a new sub-folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:  # each setCheckpointDir call makes a new sub-folder: set once
-        sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="veerline-ckpt-", dir=os.environ.get("VEERLINE_SCRATCH", "/tmp"))
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
