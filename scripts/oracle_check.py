@@ -46,7 +46,8 @@ def main() -> int:
     sf = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     names = [a for a in args if not os.path.isdir(a)]
     load_all()
-    spark = local_session(8)
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("ORACLE_SPARK_CONF", "").split(",") if kv)
+    spark = local_session(8, extra=extra)  # e.g. ORACLE_SPARK_CONF=spark.sql.ansi.enabled=false
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
