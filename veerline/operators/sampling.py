@@ -133,7 +133,8 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     t_neg = first_per_source(
         semi_join_accounts(src.where(F.col("_src") == 1), test_accounts, account)
         .unionByName(src.where(F.col("_src") == 2)), n // 2)
-    test = t_pos.unionByName(t_neg)
+    # the test split (at most 2n rows) feeds the anti-join and the result: written once
+    test = t_pos.unionByName(t_neg).checkpoint(eager=True)
 
     rest = anti_join_accounts(src, test.select(account).distinct(), account)
     pos = rest.where(is_pos)
