@@ -1,10 +1,11 @@
 """Model training and evaluation as Spark ML jobs: feature assembly, stratified folds, k-fold
-boosted trees with early stopping on the held-out fold, fold predictions, multiclass training,
+boosted trees cut at the fold-mean early-stopping round, fold predictions, multiclass training,
 per-fold gain importance, and model persistence.
 
 Folds are independent fits; they are submitted from a small thread pool (as CrossValidator's
-``parallelism`` does), so the cluster runs them side by side. Each fit is a distributed job over
-the cached training rows; nothing is collected except the fitted trees."""
+``parallelism`` does; threads inherit the caller's job group), so the cluster runs them side by
+side. Each fit is a distributed job over training rows checkpointed once; the driver only gets
+the fitted trees, per-fold row counts and per-round held-out losses (bounded by the round count)."""
 
 from __future__ import annotations
 
