@@ -146,12 +146,15 @@ def chunk_engagement(chunked: DataFrame, measures: Mapping[str, str | Column], a
 
 
 def pair_carry_forward(chunks: DataFrame, account: str = "account", side: str = "own",
-                       own_prefix: str = "own_", other_prefix: str = "other_") -> DataFrame:
-    """J3 + J4: pair own chunk i with other chunk min(i, last other chunk).
-
-    Accounts without any row on one side drop out (J4). ``chunks`` must come from a chunk limit
-    (``chunk_sides(max_chunks=...)``): one group by account folds each side into a sorted array of
-    at most max_chunks entries, so the pairing is an array lookup - one exchange, no range join."""
+                       own_prefix: str = "own_", other_prefix: str = "other_", max_chunks: int = 3) -> DataFrame:
+    """J3 + J4: pair own chunk i (i < max_chunks) with other chunk min(i, last other chunk).
+
+    Accounts without any row on one side drop out (J4). Only chunks below ``max_chunks`` can take
+    part on either side (i stops there, and min(i, last) never needs a later other chunk), so both
+    sides are cut to them first: one group by account then folds each side into a sorted array of
+    at most max_chunks entries and the pairing is an array lookup - one exchange, no range join,
+    no unbounded group even for a hot account."""
+    chunks = chunks.where(F.col("chunk_id") < max_chunks)
     value_cols = [c for c in chunks.columns if c not in (account, side, "chunk_id")]
     entry = F.struct("chunk_id", *value_cols)
     folded = (chunks.groupBy(account)

@@ -95,7 +95,8 @@ def build_features(posts: DataFrame, c: TimelineColumns = TimelineColumns(), p:
     """X1 (+ X2): one record per own chunk (at most ``max_chunks`` per account) of every account
     that passed the gates and has posts on both sides after its flag."""
     chunks, flags = chunk_rows(posts, c, p, account_handle)
-    pairs = tl.pair_carry_forward(chunk_aggregates(chunks, c, p, with_text, n_tokens), c.account, "own")
+    pairs = tl.pair_carry_forward(chunk_aggregates(chunks, c, p, with_text, n_tokens), c.account, "own",
+                                  max_chunks=p.max_chunks)
     out = pairs.join(flags.select(c.account, "flag_handle", "flag_text"), c.account)
     cols = [F.col(c.account), T.normalise_handle("flag_handle").alias("account_name"), F.col("chunk_id"),
             F.col("own_likes").alias("posts_like"), F.col("other_likes").alias("reposts_like"),
