@@ -31,3 +31,12 @@ def test_flagship_plan_shape(spark):
     assert "SortAggregate" not in text           # fixed-width hash aggregates only
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text   # no Python in the hot path
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in text   # pruned scan
+
+
+def test_readme_coverage_lists_every_query():
+    import os
+    import re
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md")).read()
+    coverage = readme[readme.index("## Coverage"):readme.index("## Verification")]
+    named = set(re.findall(r"`([a-z_0-9]+)`", coverage))
+    assert set(QUERIES) <= named
