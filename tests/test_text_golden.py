@@ -84,3 +84,10 @@ def test_pluggable_tokenizer_in_budget(spark):
 
 def test_emoji_trade_mark_and_text_symbols(spark):
     assert one(spark, T.remove_emoji("s"), "a™b↔c→d") == "abc→d"
+
+
+def test_lexicon_gate_is_exact(spark):
+    # no first character present -> untouched; a removal that creates a later match still works
+    assert one(spark, T.remove_words("s", ["政策", "選挙"]), "plain text") == "plain text"
+    assert one(spark, T.remove_words("s", ["AI", "DX"]), "DAIX and AI") == " and "
+    assert one(spark, T.remove_words("s", ["xy", ""]), None) is None

@@ -82,11 +82,19 @@ def remove_words(text: Column | str, words: Sequence[str]) -> Column:
     """Remove each word everywhere, one word after another in list order.
 
     A removal can create or destroy a later word's match, so this is a left fold over a literal
-    array (one expression, no deep nesting), not one alternation regex."""
+    array (one expression, no deep nesting), not one alternation regex. Each step scans the text,
+    so the fold is gated: removals only delete characters, hence a word can match at any point
+    only if its first character occurs in the original text. One hashed ``translate`` pass tells
+    whether any first character occurs; if none does, the text is returned as is (exact)."""
+    words = [w for w in words if w]
     if not words:
         return _c(text)
+    t = _c(text)
     lits = F.array(*[F.lit(w) for w in words])
-    return F.aggregate(lits, _c(text), lambda acc, w: F.replace(acc, w, F.lit("")))
+    fold = F.aggregate(lits, t, lambda acc, w: F.replace(acc, w, F.lit("")))
+    firsts = "".join(sorted({w[0] for w in words}))
+    may_match = F.length(F.translate(t, firsts, "")) < F.length(t)
+    return F.when(may_match, fold).otherwise(t)
 
 
 def remove_mentions(text: Column | str) -> Column:
