@@ -90,3 +90,14 @@ def test_hashed_embedding_idf_pca(spark):
     assert len(out) == 20 and all(len(r["embedding"]) == 4 for r in out)
     plain = V.hashed_embedding(df, "t", dim=64).collect()
     assert all(abs(sum(x * x for x in r["embedding"]) - 1.0) < 1e-5 for r in plain)
+
+
+def test_embed_text_with_factory(spark):
+    import numpy as np
+
+    def factory():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "k int, t string")
+    got = {r["k"]: r["embedding"] for r in V.embed_text(df, "t", dim=2, encode_factory=factory).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0]}

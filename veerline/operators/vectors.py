@@ -84,18 +84,24 @@ def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int
             .drop("_tokens", "_tf", "_idf", "_n", "_p"))
 
 
-def embed_text(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], dim: int,
-               out: str = "embedding", batch_size: int = 64) -> DataFrame:
+def embed_text(df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray] | None = None, dim: int = 0,
+               out: str = "embedding", batch_size: int = 64,
+               encode_factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
     """V7: text -> vector with a user's model, as a batch job.
 
     ``encode(list_of_texts) -> (n, dim) array`` is called on batches of ``batch_size`` inside
-    ``mapInPandas``; a model held by the callable is loaded once per Python worker, not per row."""
+    ``mapInPandas``. For a heavy model pass ``encode_factory`` instead: it is called once per
+    task (partition), never per batch or row; a factory cached in the user's own module (e.g.
+    ``functools.cache``) loads the model once per Python worker, since workers are reused."""
+    if (encode is None) == (encode_factory is None):
+        raise ValueError("give exactly one of encode / encode_factory")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
+        fn = encode if encode is not None else encode_factory()
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            vecs = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32)
+            vecs = [np.asarray(fn(texts[i:i + batch_size]), dtype=np.float32)
                     for i in range(0, len(texts), batch_size)]
             mat = np.vstack(vecs) if vecs else np.zeros((0, dim), dtype=np.float32)
             yield pdf.assign(**{out: pd.Series(list(mat), index=pdf.index)})
