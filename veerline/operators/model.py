@@ -47,10 +47,11 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", n_
     With ``by`` (e.g. the account column) whole groups go to one fold, so no group is both in a
     fold's training and validation part; groups are ranked in seeded order within their label."""
     if by is None:
-        ranked = shuffled_rank(df, list(key), seed, "_r", partition_by=[label])
+        # classes are few, so the per-class offset table is small enough to broadcast
+        ranked = shuffled_rank(df, list(key), seed, "_r", partition_by=[label], few_groups=True)
         return ranked.withColumn("fold", ((F.col("_r") - 1) % n_folds).cast("int")).drop("_r")
     groups = df.groupBy(by).agg(F.max(label).alias("_gl"))
-    ranked = shuffled_rank(groups, [by], seed, "_r", partition_by=["_gl"])
+    ranked = shuffled_rank(groups, [by], seed, "_r", partition_by=["_gl"], few_groups=True)
     folds = ranked.select(by, ((F.col("_r") - 1) % n_folds).cast("int").alias("fold"))
     return df.join(folds, by)
 

@@ -45,10 +45,10 @@ def global_rank(df: DataFrame, key: Column, tiebreak: Sequence[str] = (), hex_di
 
 
 def shuffled_rank(df: DataFrame, row_key: Sequence[str], seed: int, rank_col: str = "rank",
-                  partition_by: Sequence[str] = ()) -> DataFrame:
+                  partition_by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """T1 + W6: rank of each row in the seeded shuffle order (ties broken by the row key)."""
     return global_rank(df, seeded_key(row_key, seed), tiebreak=list(row_key), partition_by=partition_by,
-                       rank_col=rank_col)
+                       rank_col=rank_col, few_groups=few_groups)
 
 
 def head_after_shuffle(df: DataFrame, row_key: Sequence[str], seed: int, n: int) -> DataFrame:
