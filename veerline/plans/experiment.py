@@ -23,17 +23,21 @@ class ExperimentResult:
     importance: DataFrame | None    # feature, importance, importance_ratio, rank
     shares: DataFrame | None        # prefix, ratio
     slices: DataFrame | None = None  # outcome, n (rows written per confusion cell)
+    fold_metrics: DataFrame | None = None  # fold, accuracy, precision, recall, f1, tp, fp, fn, tn
 
 
 def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[str],
                    vector_cols: Sequence[tuple[str, int]], label: str = "label", split: str = "split",
                    n_folds: int = 5, model_path: str | None = None, slices_path: str | None = None,
-                   trace_cols: Sequence[str] = (), **gbt) -> ExperimentResult:
+                   trace_cols: Sequence[str] = (), metrics_path: str | None = None, run: str = "run",
+                   **gbt) -> ExperimentResult:
     """Train on the rows whose ``split`` is not 'test', evaluate on 'test'. ``vector_cols`` are
     (array column, length) pairs; importance needs ``model_path`` (the fold models are saved
     there, S9) because raw gains are read from the saved trees. With ``slices_path`` the test
     rows' ``trace_cols`` are written with label and prediction, one CSV folder per confusion
-    cell (J6 -> P15 -> S7)."""
+    cell (J6 -> P15 -> S7). Each fold model is also scored on the test rows on its own (A6); with
+    ``metrics_path`` those per-fold accuracy / precision / recall / F1 rows are appended there
+    under ``run`` (S6), as every run of the original adds a line per metric."""
     names = M.feature_names(scalar_cols, vector_cols)
     rows = M.assemble_features(data, scalar_cols, [c for c, _ in vector_cols])
     cv = M.stratified_folds(rows.where(F.col(split) != "test"), list(key), label, n_folds)
@@ -44,6 +48,12 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
     preds = M.predict_folds(models, test, [*key, label])
     avg = E.fold_average(preds, [*key, label]).withColumn("pred", E.threshold_prediction("prob_avg"))
     metrics = E.evaluate_run(avg.withColumnRenamed(label, "label") if label != "label" else avg, "two")
+    per_fold = E.fold_metrics(preds.withColumn("pred", E.threshold_prediction("prob")), "fold", label, "pred")
+    if metrics_path is not None:
+        long = per_fold.select("fold", F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")
+        ])).alias("m")).select("fold", "m.metric", "m.value")
+        io.append_fold_metrics(long, metrics_path, run)
     importance = shares = None
     if model_path is not None:
         paths = M.save_models(models, model_path)
@@ -56,7 +66,7 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
         io.write_outcome_slices(traced, slices_path, [*trace_cols, label, "pred"])
         slices = (data.sparkSession.read.options(**io.CSV_OPTIONS).csv(slices_path)
                   .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
-    return ExperimentResult(models, avg, metrics, importance, shares, slices)
+    return ExperimentResult(models, avg, metrics, importance, shares, slices, per_fold)
 
 
 def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataFrame:
@@ -66,6 +76,10 @@ def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataF
         parts.append(sizes)
     if result.metrics is not None:
         parts.append(result.metrics.select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value"))
+    if result.fold_metrics is not None:
+        parts.append(result.fold_metrics.select(
+            F.lit("fold_metric").alias("section"),
+            F.concat(F.lit("f1@fold"), F.col("fold").cast("string")).alias("name"), F.col("f1").alias("value")))
     if result.slices is not None:
         parts.append(result.slices.select(F.lit("slice").alias("section"), F.col("outcome").alias("name"),
                                           F.col("n").cast("double").alias("value")))

@@ -54,5 +54,6 @@ def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
                               n_folds=N_FOLDS, model_path=M.model_dir(data, "end_to_end_run"),
                               slices_path=io.scratch_dir(spark, "outcome_slices"),
                               trace_cols=["account_name", "true_label", "flag_text", "posts_text_sorted",
-                                          "reposts_text_sorted"])
+                                          "reposts_text_sorted"],
+                              metrics_path=io.scratch_dir(spark, "fold_metrics"), run="end_to_end_run")
     return X.as_report(result, sizes)
