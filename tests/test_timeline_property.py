@@ -51,15 +51,15 @@ def py_features(rows):
 def random_rows(seed: int):
     rnd = random.Random(seed)
     rows = []
-    for a in range(40):
-        n = rnd.randint(0, 15)
+    for a in range(150):
+        n = rnd.randint(0, 25)
         handle = f"@u{a}"
         for pos in range(n):
             author = handle if rnd.random() < 0.5 else f"@o{rnd.randint(0, 3)}"
-            text = rnd.choice(["key point", "hello", "big sale", "", "more key", "plain"])
+            text = rnd.choice(["key point", "key", "hello", "big sale", "", "more key", "plain"])
             likes = rnd.choice(["1.2K", "32.3K", "57", "3M", "0"])
             reposts = rnd.choice(["5", "1.5K", "2"])
-            rows.append((f"a{a}", pos, int(rnd.random() < 0.2), author if rnd.random() > 0.1 else handle, text,
+            rows.append((f"a{a}", pos, int(rnd.random() < 0.12), author, text,
                          likes, reposts))
     return rows
 
