@@ -60,3 +60,16 @@ def test_streaming_file_to_file(spark):
     q.stop()
     rows = spark.read.parquet(base + "/out").collect()
     assert [(r["id"], r["text"], r["likes"]) for r in rows] == [(1, "hello", 2000)]
+
+
+def test_streaming_running_counts(spark):
+    src = tempfile.mkdtemp(prefix="veerline-test-")
+    spark.createDataFrame([(1, "RT hi"), (2, "sale x"), (3, "ok")], "id int, text string").write.parquet(src + "/in")
+    stream = text_stream.clean_posts(spark.readStream.schema("id int, text string").parquet(src + "/in"),
+                                     "text", promotions=["sale"])
+    q = (text_stream.cleaned_counts_by_batch(stream).writeStream.format("memory").queryName("cleaned_counts")
+         .outputMode("complete").start())
+    q.processAllAvailable()
+    q.stop()
+    row = spark.sql("select * from cleaned_counts").collect()[-1]
+    assert (row["n_rows"], row["n_chars"]) == (2, len("hi") + len("ok"))
