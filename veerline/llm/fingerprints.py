@@ -19,17 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veerline.llm.common import plain
+from veerline.llm.common import let, plain
 
 SHINGLE_WORDS, SCALE = 5, 4
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def sketch(text: Column, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
     """Sorted array of the kept hashes (signed 64-bit integers) of a non-null text."""
     words = F.split(F.trim(F.lower(text), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")

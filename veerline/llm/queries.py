@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veerline.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, packing, quality, simhash, toxicity
+from veerline.llm import chat_format, exact_dedup, fingerprints, language_id, line_dedup, mixing, packing, quality, simhash, toxicity
 from veerline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_windows(turns.unionByName(extra)))
 
 
+@_query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("kept_lines").cast("bigint").alias("kept_lines"),
+                      F.char_length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
