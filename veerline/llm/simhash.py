@@ -22,12 +22,12 @@ star contractions over the written links; nothing is collected."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veerline.llm.common import written
@@ -56,8 +56,9 @@ def fingerprint_of(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int =
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer. Null or wordless text: 0."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED,
+                 carry: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp, carried columns): the fingerprint as a signed 64-bit integer. Null or wordless text: 0."""
     @F.arrow_udf("bigint")
     def fp(texts: pa.Array) -> pa.Array:
         out = np.empty(len(texts), dtype=np.uint64)
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
             out[i] = fingerprint_of(t.as_py() or b"", shingle_words, seed)
         return pa.array(out.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("string")).alias("fp"), *carry)
 
 
 def _moves(segments: int, radius: int, bits: int) -> np.ndarray:
@@ -217,18 +218,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     seed: int = SEED, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS,
-                    cell_rows: int = 20_000) -> DataFrame:
-    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
+                    cell_rows: int = 20_000, carry: Sequence[Column] = ()) -> DataFrame:
+    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
+    reachable), ``root`` (the component's smallest fingerprint, an integer) and the ``carry`` columns.
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other. Repeated rows
     are returned as often as they occur. Null ids never are the smallest; a component without an id
     has a null one. No rows: no rows."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle_words, seed), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, shingle_words, seed, carry), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(distinct, max_bits, segment_bits, cell_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "roots")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                                        "root", *[c for c in fps.columns if c not in ("doc_id", "fp")])
