@@ -55,8 +55,8 @@ def test_links_of_planted_fingerprints(spark):
     values = sorted(values)
     fps = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
     expected = plain_components(list(enumerate(values)))
-    for segment_bits, cell_rows in ((2, 20_000), (2, 16), (4, 20_000)):
-        got = components(near_links(fps, 4, segment_bits, cell_rows)).collect()
+    for segments, cell_rows in (((1,) * 24 + (2,) * 4, 20_000), ((2,) * 16, 16), ((4,) * 8, 20_000), ((2,) * 6 + (3, 5, 4, 4, 4), 20_000)):
+        got = components(near_links(fps, 4, segments, cell_rows)).collect()
         index = {int(np.uint64(v).view(np.int64)): i for i, v in enumerate(values)}
         roots = {index[r.node]: r.root for r in got}
         mine = {}

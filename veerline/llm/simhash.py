@@ -4,13 +4,15 @@ A text's 64-bit fingerprint holds a bit for each position that is set in more th
 shingles' hashes. Fingerprints at ``max_bits`` or fewer differing bits are linked, and a document's
 component is everything reachable over links.
 
-Candidates: a fingerprint is cut into segments of ``segment_bits`` bits; the segments' bit counts
+Candidates: a fingerprint is cut into segments of one or two bits (``SEGMENTS``); the segments' bit counts
 are its embedding, and the Manhattan distance of two embeddings is a lower bound of the differing
 bits (a flipped bit moves one count by one). The segments fall into two halves. Of two linked
 fingerprints, one half lies within ``max_bits // 2`` in Manhattan distance (else the whole would
 exceed ``max_bits``). Each fingerprint goes to the grid cell of each half and to all cells within
 ``radius`` = ceil((max_bits // 2) / 2) around it, so two halves within that distance meet in a
-cell halfway. Inside a cell the exact Hamming distance decides.
+cell halfway. Inside a cell the exact Hamming distance decides. Wider segments give fewer cells a
+fingerprint and more chance meetings, which grow with the square of the corpus: with two bits
+throughout, two random fingerprints share a cell once in 10^4 pairs, with this layout once in 10^6.
 
 Scale: equal fingerprints are one row (combined before the shuffle), so groups of copies cost one
 row. A cell is searched as a graph: from one fingerprint, all others not yet reached are compared
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from veerline.llm.common import written
 
-SHINGLE_WORDS, SEED, MAX_BITS, SEGMENT_BITS = 4, 42, 4, 2
+SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
+SEGMENTS = (1,) * 24 + (2,) * 4       # bits of the segments of a half (32 in all)
 
 
 def fingerprint_of(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -69,30 +72,32 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("string")).alias("fp"), *carry)
 
 
-def _moves(segments: int, radius: int, bits: int) -> np.ndarray:
-    """All count changes within Manhattan distance ``radius`` over ``segments`` counts of 0 to ``bits``."""
-    out = {(0,) * segments}
+def _moves(segments: Sequence[int], radius: int) -> np.ndarray:
+    """All count changes within Manhattan distance ``radius`` over counts of 0 to the segments' bits."""
+    out = {(0,) * len(segments)}
     edge = set(out)
     for _ in range(radius):
-        edge = {m[:i] + (m[i] + d,) + m[i + 1:] for m, i, d in product(edge, range(segments), (-1, 1)) if abs(m[i] + d) <= bits}
+        edge = {m[:i] + (m[i] + d,) + m[i + 1:] for m, i, d in product(edge, range(len(segments)), (-1, 1))
+                if abs(m[i] + d) <= segments[i]}
         out |= edge
     return np.array(sorted(out), dtype=np.int8)
 
 
-def cells_of(fps: np.ndarray, segment_bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cells_of(fps: np.ndarray, segments: Sequence[int], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index into ``fps``, cell) of both halves: the embedding's own cell and all within ``radius``."""
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    counts = bits.reshape(len(fps), 64 // segment_bits, segment_bits).sum(axis=2, dtype=np.int8)
-    base = segment_bits + 1
-    half = counts.shape[1] // 2
-    powers = (base ** np.arange(half, dtype=np.uint64)).astype(np.uint64)
-    moves = _moves(half, radius, segment_bits)
+    most = np.array(segments, dtype=np.int8)
+    starts = np.cumsum([0, *segments[:-1]])
+    powers = np.cumprod([1, *[w + 1 for w in segments[:-1]]], dtype=np.uint64)
     for side in (0, 1):
-        own = counts[:, side * half:(side + 1) * half]
-        for move in moves:
-            moved = own + move
-            ok = np.flatnonzero(((moved >= 0) & (moved <= segment_bits)).all(axis=1))
-            yield ok, (moved[ok].astype(np.uint64) @ powers) * np.uint64(2) + np.uint64(side)
+        own = np.add.reduceat(bits[:, 32 * side:32 * side + 32].astype(np.int8), starts, axis=1)
+        cell = own.astype(np.uint64) @ powers
+        for move in _moves(segments, radius):
+            at = np.flatnonzero(move)
+            moved = own[:, at] + move[at]
+            ok = np.flatnonzero(((moved >= 0) & (moved <= most[at])).all(axis=1))
+            shift = (move.astype(np.int64).view(np.uint64) * powers).sum(dtype=np.uint64)     # modulo 2^64
+            yield ok, (cell[ok] + shift) * np.uint64(2) + np.uint64(side)
 
 
 def spanning_links(a: np.ndarray, max_bits: int) -> tuple[list, list]:
@@ -114,7 +119,7 @@ def spanning_links(a: np.ndarray, max_bits: int) -> tuple[list, list]:
     return left, right
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS,
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: Sequence[int] = SEGMENTS,
                cell_rows: int = 20_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``): every two within ``max_bits`` bits
     are connected over links of at most ``max_bits`` bits."""
@@ -125,12 +130,14 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEG
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), 20_000):
                 part = fp[at:at + 20_000]
-                for rows, cell in cells_of(part, segment_bits, radius):
+                for rows, cell in cells_of(part, segments, radius):
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(part[rows].view(np.int64))],
                                                          ["cell", "fp"])
 
-    cells = fps.select("fp").mapInArrow(emit, "cell bigint, fp bigint")
+    # a row becomes some sixty: adaptive execution must not gather the rows into few tasks before that
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "cell bigint, fp bigint")
     # cells with one member have no pair; the sizes are a combined count
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = written(sizes, "cells")
@@ -217,7 +224,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
-                    seed: int = SEED, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS,
+                    seed: int = SEED, max_bits: int = MAX_BITS, segments: Sequence[int] = SEGMENTS,
                     cell_rows: int = 20_000, carry: Sequence[Column] = ()) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
     reachable), ``root`` (the component's smallest fingerprint, an integer) and the ``carry`` columns.
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null one. No rows: no rows."""
     fps = written(fingerprints(docs, id_col, text_col, shingle_words, seed, carry), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(distinct, max_bits, segment_bits, cell_rows))
+    roots = components(near_links(distinct, max_bits, segments, cell_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "roots")
