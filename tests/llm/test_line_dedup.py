@@ -70,8 +70,9 @@ def made_up(seed):
 def test_edits_chains_and_hot_variants(spark):
     for seed in (1, 2, 3):
         rows = made_up(seed)
-        out = line_dedup(clashing(docs(spark, rows))).collect()
-        assert {r.doc_id: r.text for r in out} == plain_dedup(rows)
+        for broadcast_rows in (500_000, 3):
+            out = line_dedup(clashing(docs(spark, rows)), broadcast_rows=broadcast_rows).collect()
+            assert {r.doc_id: r.text for r in out} == plain_dedup(rows)
 
 
 def test_variant_hashes():

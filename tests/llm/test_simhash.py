@@ -82,7 +82,7 @@ def test_odd_rows(spark):
 
 
 def test_spanning_forest_is_a_forest():
-    a = np.array([0, 1, 3, 7, 15, 31, 1 << 40], dtype=np.uint64)
+    a = np.array([0, 1, 3, 7, 15, 31, 0xFFFF << 40], dtype=np.uint64)
     left, right = spanning_links(a, 4)
     assert len(left) == 5 and all(int(x ^ y).bit_count() <= 4 for x, y in zip(left, right, strict=True))
 

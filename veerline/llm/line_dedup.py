@@ -10,25 +10,31 @@ A star per key is enough: lines that share (variant, place) are all within one e
 so each is paired with the earliest one only; lines that share a full line are paired with that
 line. So pairs grow with the lines, not with the square of a group.
 
-Scale: lines are compared once per distinct text. Before variants are emitted, lines that cannot
-have a partner are set aside exactly: with one edit, either the first or the last half of the
-shorter line's length is untouched, so partners share a hashed half (and that length). Lines
-travel as hashes (128 bits); texts of lines with a possible partner are shuffled, and whole
-documents once, to drop their lines. Hot lines are plain joins on a key, which adaptive
+Scale: before variants are emitted, lines that cannot have a partner are set aside exactly. With
+one edit, either a first or a last part of half the shorter length is untouched, so partners share
+a hashed part (part lengths are rounded down to a few, so that lengths next to each other agree);
+then, among those that do, all but one of ``PIECES`` pieces. Only lines that are left emit variants.
+Lines travel as 128-bit hashes; full texts are shuffled once, with the documents whose lines go.
+The few lines with a shared part are broadcast up to ``broadcast_rows`` hashes (counted), and are a
+plain join side beyond. A key's group holds at most one line per character (or one per character
+and place), so the window over it is bounded; hot lines meet in plain joins, which adaptive
 execution splits."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veerline.llm.common import let, plain, written
+from veerline.operators.docs import sized_side
 
 MIN_CHARS = 16          # shorter lines are compared exactly only
+PIECES = 16
 
 
 class VariantHashes:
@@ -39,70 +45,105 @@ class VariantHashes:
     def __init__(self):
         self.powers = [np.ones(1, dtype=np.uint64) for _ in self.BASES]
 
-    def of(self, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of the line [2], hashes of its variants [2, n], starts of runs of equal characters [n])."""
+    def _prefixes(self, line: str) -> tuple[np.ndarray, np.ndarray]:
         c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        whole, variants = np.empty(2, dtype=np.uint64), np.empty((2, len(c)), dtype=np.uint64)
+        pre = np.zeros((2, len(c) + 1), dtype=np.uint64)
         for k, base in enumerate(self.BASES):
             if len(self.powers[k]) < len(c):
-                self.powers[k] = np.cumprod(
-                    np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * len(c), base, dtype=np.uint64))), dtype=np.uint64)
-            pre = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * self.powers[k][:len(c)], dtype=np.uint64)))
-            inverse = np.uint64(pow(base, -1, 1 << 64))
-            whole[k] = pre[-1]
-            variants[k] = pre[:-1] + (pre[-1] - pre[1:]) * inverse
+                self.powers[k] = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * len(c), base, dtype=np.uint64))),
+                                            dtype=np.uint64)
+            pre[k, 1:] = np.cumsum(c * self.powers[k][:len(c)], dtype=np.uint64)
+        return c, pre
+
+    def of(self, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of the line [2], hashes of its variants [2, n], starts of runs of equal characters [n])."""
+        c, pre = self._prefixes(line)
+        inverse = np.array([[pow(b, -1, 1 << 64)] for b in self.BASES], dtype=np.uint64)
+        variants = pre[:, :-1] + (pre[:, -1:] - pre[:, 1:]) * inverse
         starts = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, dtype=bool)
-        return whole, variants, starts
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lh, line) -> (lh, a, b, place, full): place >= 0: variant with that character deleted; -1: a full
-    line (full) or a variant that may be one."""
-    hashes = VariantHashes()
-    for batch in batches:
-        out: list[tuple] = []
-        for lh, line in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            whole, variants, starts = hashes.of(line)
-            n, m = variants.shape[1], int(starts.sum())
-            out.append((lh, np.concatenate((variants, variants[:, starts], whole[:, None]), axis=1),
-                        np.concatenate((np.arange(n), np.full(m + 1, -1))), n + m))
-            if sum(x[1].shape[1] for x in out) > 200_000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    keys = np.concatenate([x[1] for x in out], axis=1).view(np.int64)
-    place = np.concatenate([x[2] for x in out]).astype(np.int32)
-    sizes = [x[1].shape[1] for x in out]
-    full = np.zeros(len(place), dtype=bool)
-    full[np.cumsum(sizes) - 1] = True
-    lh = pa.array([x[0].as_py() for x in out], type=pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
-    return pa.RecordBatch.from_arrays([lh, pa.array(keys[0]), pa.array(keys[1]), pa.array(place), pa.array(full)],
-                                      ["lh", "a", "b", "place", "full"])
+        return pre[:, -1], variants, starts
+
+    def without_pieces(self, line: str, pieces: int = PIECES) -> np.ndarray:
+        """Keys [2, n]: for the line's length and one less (the shorter of two partners), the line without
+        one of ``pieces`` pieces, the piece's end counted from the line's end."""
+        c, pre = self._prefixes(line)
+        n, keys = len(c), []
+        for length in {n, max(n - 1, 0)}:
+            cut = np.array([length * q // pieces for q in range(pieces + 1)])
+            tail = n - (length - cut[1:])                          # where the untouched last part starts
+            for k, base in enumerate(self.BASES):
+                inverse = pow(base, -1, 1 << 64)
+                back = np.array([pow(inverse, int(t), 1 << 64) for t in tail], dtype=np.uint64)
+                keys.append(pre[k, cut[:-1]] * np.uint64(31) + (pre[k, -1] - pre[k, tail]) * back * np.uint64(1_000_003)
+                            + np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E37) + np.uint64(length * 0x85EB))
+        return np.stack((np.concatenate(keys[0::2]), np.concatenate(keys[1::2])))
+
+
+def _emitter(what: str):
+    """(lid, line) -> rows of keys (a, b): ``pieces``: lines without a piece; ``variants``: (place, full) with
+    place >= 0: the variant without that character; -1: a full line, or a variant that may be one."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = VariantHashes()
+        held: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            ids = np.repeat([x[0] for x in held], [x[1].shape[1] for x in held])
+            keys = np.concatenate([x[1] for x in held], axis=1).view(np.int64)
+            columns, names = [pa.array(ids.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1])], ["lid", "a", "b"]
+            if what == "variants":
+                place = np.concatenate([x[2] for x in held]).astype(np.int32)
+                full = np.zeros(len(place), dtype=bool)
+                full[np.cumsum([x[1].shape[1] for x in held]) - 1] = True
+                columns, names = [*columns, pa.array(place), pa.array(full)], [*names, "place", "full"]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        size = 0
+        for batch in batches:
+            for lid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if what == "pieces":
+                    held.append((lid, hashes.without_pieces(line)))
+                else:
+                    whole, variants, starts = hashes.of(line)
+                    held.append((lid, np.concatenate((variants, variants[:, starts], whole[:, None]), axis=1),
+                                 np.concatenate((np.arange(len(starts)), np.full(int(starts.sum()) + 1, -1)))))
+                size += held[-1][1].shape[1]
+                if size > 200_000:
+                    yield rows()
+                    size = 0
+        if held:
+            yield rows()
+
+    return emit
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """Verified pairs (lh, other) of distinct lines within one edit; ``lines``: (lh, line, first), one row per
-    line. Of lines that share a replaced character's place, each is paired with the first one (by
-    ``first``); a line is paired with every line that has one character more."""
-    emitted = written(lines.select("lh", "line").mapInArrow(_emit, "lh binary, a bigint, b bigint, place int, full boolean")
-                      .join(lines.select("lh", "first"), "lh"), "variants")
-    key = ["a", "b", "place"]
-    heads = (emitted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"),
-                                       F.min(F.when((F.col("place") >= 0) | F.col("full"), F.struct("first", "lh"))).alias("head"))
-             .where("n > 1 and head is not null").select(*key, F.col("head.lh").alias("other")))
-    pairs = emitted.select("lh", *key).join(heads, key).where("lh <> other").select("lh", "other").distinct()
-    text = lines.select(F.col("lh").alias("_lh"), F.col("line").alias("_line"))
-    pairs = (pairs.join(lines.select("lh", "line"), "lh").join(text, F.col("other") == F.col("_lh"))
+    """Verified pairs (lid, other) of lines within one edit. ``lines``: (lid, line), distinct lines, numbered
+    from the earliest. Of the lines with a replaced character at one place, each is paired with the
+    earliest; a line is paired with every line that has one character more."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lines.select("lid", "line").repartition(tasks, "lid")
+    pieces = spread.mapInArrow(_emitter("pieces"), "lid bigint, a bigint, b bigint")
+    shared = (pieces.groupBy("a", "b").agg(F.min("lid").alias("x"), F.max("lid").alias("y")).where("x < y").select("a", "b"))
+    likely = spread.join(pieces.join(shared, ["a", "b"], "left_semi").select("lid").distinct(), "lid", "left_semi")
+    emitted = likely.mapInArrow(_emitter("variants"), "lid bigint, a bigint, b bigint, place int, full boolean")
+    head = F.min(F.when((F.col("place") >= 0) | F.col("full"), F.col("lid"))).over(Window.partitionBy("a", "b", "place"))
+    pairs = emitted.select("lid", head.alias("other")).where("lid <> other").distinct()
+    text = lines.select(F.col("lid").alias("_lid"), F.col("line").alias("_line"))
+    pairs = (pairs.join(lines.select("lid", "line"), "lid").join(text, F.col("other") == F.col("_lid"))
              .where(F.levenshtein("line", "_line", 1) == 1))
-    return pairs.select("lh", "other")
+    return pairs.select("lid", "other")
+
+
+def _part_length(length: Column) -> Column:
+    """Half the length, rounded down to a geometric series (eighths), so that most lengths next to each other agree."""
+    half = F.floor(length / 2)
+    step = F.floor(F.log(half / 8) / math.log(1.125))
+    return F.least(F.floor(F.lit(8) * F.pow(F.lit(1.125), step)), half).cast("int")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1,
-               min_chars: int = MIN_CHARS) -> DataFrame:
+               min_chars: int = MIN_CHARS, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_lines``, ``kept_lines`` and ``text``, the lines that stay.
 
     Lines are what line feeds separate, compared as they are; blank ones always stay. A line is
@@ -114,46 +155,54 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     base = plain(docs, id_col, text_col)
-    cut = base.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    cut = cut.where(F.trim(F.col("line"), F.lit(" \t\x0b\x0c\r")) != "")
-    n = F.char_length("line")
-
-    def half(length, tail: bool):
-        size = F.floor(length / 2).cast("int")
-        part = F.substring(F.col("line"), n - size + 1, size) if tail else F.substring(F.col("line"), F.lit(1), size)
-        return F.xxhash64(part, length, F.lit(tail))
-
-    near = (n >= min_chars) & F.lit(max_edits == 1)
-    halves = [F.when(near, half(length, tail)).alias(f"h{i}") for i, (length, tail) in
-              enumerate([(n, False), (n, True), (n - 1, False), (n - 1, True)])]
-    at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "no")
-    occurrences = written(cut.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lh"), at.alias("at"), *halves), "lines")
-    classes = occurrences.groupBy("lh").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"),
-                                            *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
-    classes = written(classes, "classes")
-
-    # lines with a possible partner: some half of the same length is shared with another line
-    keys = classes.where("h0 is not null").select(
-        "lh", "first", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("h"))
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    likely = keys.join(shared, "h", "left_semi").select("lh", "first").distinct()
-    texts = cut.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lh"), at.alias("at"), "line")
-    lines = texts.join(likely, "lh").where(F.col("at") == F.col("first")).select("lh", "line", "first").distinct()
-    lines = written(lines, "likely")
-    pairs = near_lines(lines)
-    first = lines.select(F.col("lh").alias("_lh"), F.col("first").alias("_first"))
-    ordered = (pairs.join(lines.select("lh", "first"), "lh").join(first, F.col("other") == F.col("_lh"))
-               .select(F.when(F.col("first") > F.col("_first"), F.col("lh")).otherwise(F.col("other")).alias("lh")).distinct())
-    late = written(ordered.withColumn("late", F.lit(True)), "late")
-
-    repeated = classes.select("lh", "first", "n").join(late, "lh", "left").where("n > 1 or late")
-    gone = (occurrences.select("lh", "at").join(repeated, "lh").where(F.coalesce("late", F.lit(False)) | (F.col("at") != F.col("first")))
+    own = base.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    cut = own.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    cut = cut.where(F.when(F.ascii("line") > 32, F.lit(True)).otherwise(F.trim(F.col("line"), F.lit(" \t\x0b\x0c\r")) != ""))
+    # 128 bits of a line: two hashes with different seeds
+    cut = cut.select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("line"), F.col("line")).alias("l2"),
+                     F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "no").alias("at"), "line")
+    late = _late_lines(cut, min_chars, broadcast_rows) if max_edits else None
+
+    occurrences = written(cut.select("l1", "l2", "at"), "lines")
+    classes = occurrences.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    if late is None:
+        repeated = classes.where("n > 1").withColumn("late", F.lit(False))
+    else:
+        repeated = classes.join(late, ["l1", "l2"], "left").where("n > 1 or late")
+    gone = (occurrences.join(repeated, ["l1", "l2"]).where(F.coalesce("late", F.lit(False)) | (F.col("at") != F.col("first")))
             .select("at.doc_id", "at.th", "at.no").distinct()
             .groupBy("doc_id", "th").agg(F.collect_list("no").alias("gone"))
             .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone"))
-    own = base.select("doc_id", F.xxhash64("text").alias("th"), "text")
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     rest = let(F.split("text", "\n"), lambda x: F.when(F.col("gone").isNull(), x).otherwise(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))))
     return (joined.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), rest.alias("rest"))
             .select("doc_id", "n_lines", F.size("rest").alias("kept_lines"), F.array_join("rest", "\n").alias("text")))
+
+
+def _late_lines(cut: DataFrame, min_chars: int, broadcast_rows: int) -> DataFrame:
+    """(l1, l2, late = true) of the lines within one edit of an earlier one."""
+    n = F.char_length("line")
+    eligible = cut.where(n >= min_chars)
+
+    def parts() -> Column:
+        def part(size: Column) -> list[Column]:
+            return [F.xxhash64(F.substring(F.col("line"), F.lit(1), size), F.lit(0)),
+                    F.xxhash64(F.substring(F.col("line"), n - size + 1, size), F.lit(1))]
+        own, less = _part_length(n), _part_length(n - 1)
+        return F.when(own == less, F.array(*part(own))).otherwise(F.array(*part(own), *part(less)))
+
+    keys = eligible.select("l1", F.explode(parts()).alias("h"))
+    shared = written(keys.groupBy("h").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).where("x <> y").select("h"), "shared")
+    if shared.count() <= broadcast_rows:
+        hit = eligible.select("l1", "l2", "at", "line", F.explode(parts()).alias("h")).join(F.broadcast(shared), "h", "left_semi")
+    else:  # narrow rows first, then the texts of the lines that are left
+        ids = (eligible.select("l1", "l2", F.explode(parts()).alias("h")).join(shared, "h", "left_semi")
+               .select("l1", "l2").distinct())
+        hit = eligible.join(sized_side(written(ids, "likely"), broadcast_rows), ["l1", "l2"], "left_semi")
+    lines = (hit.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.first("line").alias("line"))
+             .orderBy("first").withColumn("lid", F.monotonically_increasing_id()).select("lid", "l1", "l2", "line"))
+    lines = written(lines, "numbered")
+    late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
+    return written(lines.select("lid", "l1", "l2").join(late, "lid", "left_semi")
+                   .select("l1", "l2", F.lit(True).alias("late")), "late")
