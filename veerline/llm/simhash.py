@@ -135,9 +135,9 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: Sequence[int]
                         yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(part[rows].view(np.int64))],
                                                          ["cell", "fp"])
 
-    # a row becomes some sixty: adaptive execution must not gather the rows into few tasks before that
+    # a row becomes some sixty: spread by a key of its own, else the grouping's few (gathered) partitions are used again
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "cell bigint, fp bigint")
+    cells = fps.select("fp").repartition(tasks, F.xxhash64("fp")).mapInArrow(emit, "cell bigint, fp bigint")
     # cells with one member have no pair; the sizes are a combined count
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = written(sizes, "cells")
@@ -145,7 +145,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: Sequence[int]
 
 
 def _linked(cells: DataFrame, sizes: DataFrame, max_bits: int, cell_rows: int) -> DataFrame:
-    met = cells.join(sizes, "cell")
+    met = cells.join(sizes.hint("merge"), "cell")       # both sides grow with the input: the same plan at every size
     blocks = F.ceil(F.col("n") / F.lit(max(2, cell_rows) // 2)).cast("int")
     block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     # block i meets block j in task (min, max); a cell of one block is task (0, 0)
