@@ -79,6 +79,8 @@ def curriculum_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str
                        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("_k"),
                        F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
     rows = rows.withColumn("_b", F.substring("_k", 1, hex_digits))
+    # plain, non-null keys: the join and the window below share one exchange of the rows
+    rows = rows.withColumn("_z", F.col("source").isNull()).withColumn("_n", F.coalesce("source", F.lit("")))
     small = rows.groupBy("source", "_b").agg(F.sum("size").alias("size"))
     prior = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(small, weights, tilts, share_pct, max_passes)
@@ -87,8 +89,10 @@ def curriculum_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     targets = targets.withColumnRenamed("source", "_t")
     # both lookups are pre-aggregated (sources x buckets, sources); Spark chooses the join by their run-time size
     buckets = buckets.join(targets, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    joined = rows.join(buckets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb")))
-    inside = (Window.partitionBy("source", "_b").orderBy("_k", "_h", "size")
+    buckets = buckets.select(F.col("_s").isNull().alias("_z"), F.coalesce("_s", F.lit("")).alias("_n"),
+                             F.col("_bb").alias("_b"), "_off", "source_size", "target", "tilt")
+    joined = rows.join(buckets, ["_z", "_n", "_b"])
+    inside = (Window.partitionBy("_z", "_n", "_b").orderBy("_k", "_h", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     start = F.col("_off") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     joined = joined.withColumn("_start", start)
