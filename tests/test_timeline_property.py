@@ -1,7 +1,8 @@
-"""Random timelines: the Spark feature build equals a plain-Python loop over the same rules."""
+"""Random timelines: the Spark feature build equals a closed form over the whole table."""
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veerline.plans import feature_build as FB
@@ -11,41 +12,27 @@ PROMOTIONS = ("sale",)
 CHUNK, MAX_CHUNKS = 2, 3
 
 
-def parse(x: str) -> int:
-    if "K" in x:
-        return int(float(x[:-1]) * 1000)
-    if "M" in x:
-        return int(float(x[:-1]) * 1000000)
-    return int(x)
+NUMBERS = {"1.2K": 1200, "32.3K": 32299, "57": 57, "3M": 3000000, "0": 0, "5": 5, "1.5K": 1500, "2": 2}
 
 
-def py_features(rows):
-    out = []
-    for acc in sorted({r[0] for r in rows}):
-        tl = sorted((r for r in rows if r[0] == acc), key=lambda r: r[1])
-        flags = [i for i, r in enumerate(tl) if r[2] == 1]
-        if not flags:
-            continue
-        fi = flags[-1]
-        flag = tl[fi]
-        if len(flag[4]) == 0 or not any(k in flag[4] for k in KEYWORDS):
-            continue
-        tail = [r for r in tl[fi + 1:] if not any(p in r[4] for p in PROMOTIONS)]
-        own = [r for r in tail if r[3] == flag[3]]
-        other = [r for r in tail if r[3] != flag[3]]
-        if not own or not other:
-            continue
-        own_chunks = [own[i:i + CHUNK] for i in range(0, len(own), CHUNK)]
-        other_chunks = [other[i:i + CHUNK] for i in range(0, len(other), CHUNK)]
-        reposts = []
-        for i, chunk in enumerate(own_chunks):
-            if i > MAX_CHUNKS - 1:
-                break
-            if i <= len(other_chunks) - 1:
-                reposts = other_chunks[i]
-            out.append((flag[3].replace("@", ""), i, sum(parse(r[5]) for r in chunk), sum(parse(r[5]) for r in reposts),
-                        sum(parse(r[6]) for r in chunk), sum(parse(r[6]) for r in reposts), 1 if i == 0 else 3))
-    return sorted(out)
+def expected(rows):
+    """Closed form over the whole table: ranks inside each side give chunks, chunk i meets min(i, last)."""
+    t = pd.DataFrame(rows, columns=["account", "pos", "flag", "handle", "text", "likes", "reposts"])
+    t["likes"], t["reposts"] = t.likes.map(NUMBERS), t.reposts.map(NUMBERS)
+    last = t[t.flag == 1].groupby("account").pos.max().rename("at").reset_index()
+    flags = t.merge(last, left_on=["account", "pos"], right_on=["account", "at"])
+    flags = flags[flags.text.str.contains(KEYWORDS[0])][["account", "at", "handle"]].rename(columns={"handle": "owner"})
+    after = t.merge(flags, on="account").query("pos > at")
+    after = after[~after.text.str.contains(PROMOTIONS[0])].sort_values(["account", "pos"])
+    after["own"] = after.handle == after.owner
+    after["chunk"] = after.groupby(["account", "own"]).cumcount() // CHUNK
+    sums = after.groupby(["account", "owner", "own", "chunk"], as_index=False)[["likes", "reposts"]].sum()
+    own, other = sums[sums.own & (sums.chunk < MAX_CHUNKS)], sums[~sums.own]
+    own = own.merge(other.groupby("account").chunk.max().rename("end").reset_index(), on="account")
+    own["meets"] = own[["chunk", "end"]].min(axis=1)
+    pairs = own.merge(other, left_on=["account", "meets"], right_on=["account", "chunk"], suffixes=("", "_o"))
+    return sorted((r.owner.strip("@"), r.chunk, r.likes, r.likes_o, r.reposts, r.reposts_o, 3 if r.chunk else 1)
+                  for r in pairs.itertuples())
 
 
 def random_rows(seed: int):
@@ -74,4 +61,4 @@ def test_feature_build_matches_python(spark):
         got = sorted(tuple(r) for r in FB.build_features(df, cols, params, with_text=False)
                      .select("account_name", "chunk_id", "posts_like", "reposts_like", "posts_repost",
                              "reposts_repost", "label").collect())
-        assert got and got == py_features(rows), seed
+        assert got and got == expected(rows), seed

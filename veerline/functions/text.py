@@ -186,12 +186,12 @@ def parse_abbrev_count(x: Column | str) -> Column:
 
     'K' anywhere -> drop the last character, read as double, times 1000, truncate; same for 'M'
     with 1e6; otherwise read as an integer. The product is a double, as in the original
-    (so '32.3K' -> 32299)."""
+    (so '32.3K' -> 32299). Numeric columns work too (57.0 -> 57)."""
     s = _c(x).cast("string")
     body =F.substring(s, F.lit(1), F.length(s) - 1)
     return (F.when(s.contains("K"), (body.cast("double") * F.lit(1000.0)).cast("long"))
             .when(s.contains("M"), (body.cast("double") * F.lit(1000000.0)).cast("long"))
-            .otherwise(s.cast("long")))
+            .otherwise(F.coalesce(s.try_cast("long"), s.cast("double").cast("long"))))
 
 
 def normalise_handle(handle: Column | str) -> Column:

@@ -124,16 +124,11 @@ def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
 
 def vocabulary_and_ids(docs: DataFrame, key: str, tokens_col: str, hex_digits: int = 3
                        ) -> tuple[DataFrame, DataFrame]:
-    """V2 in one pass: the vocabulary built from the documents' own tokens, and every document
-    encoded with it. Tokens are exploded once into one exchange keyed by the token; the
-    vocabulary's distinct and the encoding join both need exactly that partitioning, so the
-    exchange is shared (tokenization and the big shuffle run once)."""
-    exploded = (docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
-                .repartition("token"))
-    # Same columns as the join side and a filter on an aggregate value: nothing is pushed
-    # below the shared exchange, so both sides read the very same shuffle output.
-    distinct = (exploded.groupBy("token").agg(F.max(key).alias("_k"), F.max("p").alias("_p"))
-                .where(F.col("_p").isNotNull() & F.col("_k").isNotNull()).select("token"))
+    """V2: the vocabulary built from the documents' own tokens, and every document encoded with it.
+    The vocabulary's distinct combines on the map side; the encoding join's exchange is Spark's own,
+    so adaptive execution can split a hot token (a fixed partitioning would forbid that)."""
+    exploded = docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
+    distinct = exploded.select("token").where(F.col("token").isNotNull()).distinct()
     ranked = global_rank(distinct, seeded_key(["token"], None), tiebreak=["token"], hex_digits=hex_digits)
     vocab = ranked.select("token", (F.col("rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"))
     joined = exploded.join(vocab, "token", "left")
@@ -180,6 +175,12 @@ def attention_mask(ids: Column | str, pad_id: int = PAD_ID, sep_id: int = SEP_ID
     return F.transform(_c(ids), lambda x: ~x.isin(pad_id, sep_id))
 
 
+def with_specials(ids: Column | str, cls_id: int = CLS_ID, sep_id: int = SEP_ID) -> Column:
+    """[CLS] + all ids + [SEP]."""
+    return F.concat(F.array(F.lit(cls_id).cast("bigint")), _c(ids).cast("array<bigint>"),
+                    F.array(F.lit(sep_id).cast("bigint")))
+
+
 def truncate_tokens(ids: Column | str, max_len: int = 512, cls_id: int = CLS_ID, sep_id: int = SEP_ID) -> Column:
     """V5: [CLS] + the first max_len - 2 ids + [SEP] (at most max_len ids including specials)."""
     return F.concat(F.array(F.lit(cls_id).cast("bigint")),

@@ -45,9 +45,10 @@ def outcome_multiclass(label: Column | str, pred: Column | str) -> Column:
     return F.concat(F.when(y == p, F.lit("t")).otherwise(F.lit("f")), y.cast("string"))
 
 
-def fold_average(preds: DataFrame, key: Sequence[str], prob: str = "prob", digits: int = 6) -> DataFrame:
-    """Mean probability over folds per row, rounded."""
-    return preds.groupBy(*key).agg(F.round(F.avg(prob), digits).alias("prob_avg"))
+def fold_average(preds: DataFrame, key: Sequence[str], prob: str = "prob", digits: int | None = 6) -> DataFrame:
+    """Mean probability over folds per row, rounded for display (None: as it is, for thresholds)."""
+    mean = F.avg(prob) if digits is None else F.round(F.avg(prob), digits)
+    return preds.groupBy(*key).agg(mean.alias("prob_avg"))
 
 
 def confusion_matrix(df: DataFrame, labels: Sequence[int], label: str = "label", pred: str = "pred") -> DataFrame:

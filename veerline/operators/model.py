@@ -9,6 +9,7 @@ the fitted trees, per-fold row counts and per-round held-out losses (bounded by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -137,8 +138,8 @@ def multiclass_train(df: DataFrame, features: str = "features", label: str = "la
 
 
 def model_dir(df: DataFrame, name: str) -> str:
-    """A folder under the shared checkpoint folder (``spark.checkpoint.dir``) for saved models."""
-    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/models/{name}"
+    """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``) for saved models."""
+    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/models/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def save_models(models: Sequence, path: str) -> list[str]:
@@ -152,14 +153,14 @@ def save_models(models: Sequence, path: str) -> list[str]:
 
 
 def gain_importance(spark, model_paths: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """M6: raw split gain per feature per fold, read from the saved trees' node data
-    (``featureImportances`` is only the normalised form)."""
+    """M6: total split gain per feature per fold, read from the saved trees' node data: a node's gain is
+    per row, so it counts times the node's rows."""
     name_arr = F.array(*[F.lit(n) for n in names])
     parts = []
     for k, p in enumerate(model_paths):
-        nodes = spark.read.parquet(f"{p}/data").select("nodeData.gain", "nodeData.split.featureIndex")
+        nodes = spark.read.parquet(f"{p}/data").select("nodeData.gain", "nodeData.rawCount", "nodeData.split.featureIndex")
         parts.append(nodes.where(F.col("featureIndex") >= 0)
-                     .groupBy("featureIndex").agg(F.sum("gain").alias("gain"))
+                     .groupBy("featureIndex").agg(F.sum(F.col("gain") * F.col("rawCount")).alias("gain"))
                      .select(F.lit(k).alias("fold"), F.get(name_arr, F.col("featureIndex")).alias("feature"), "gain"))
     out = parts[0]
     for p in parts[1:]:

@@ -251,19 +251,22 @@ def truncate_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("doc_id", F.size(t).alias("n_ids"), _ids_text(t).alias("ids_text"))
 
 
+_SQL_WHOLE = "list_concat([2::bigint], ids, [3::bigint])"
+
+
 @register("attention_mask", sql=f"""with {_SQL_VOCAB},
-padded as (select doc_id, list_concat({_SQL_TRUNC}, list_transform(range(greatest({MAX_IDS} - len({_SQL_TRUNC}), 0)), lambda x: 0::bigint)) as p from ids)
+padded as (select doc_id, list_concat({_SQL_WHOLE}, list_transform(range(greatest({MAX_IDS} - len({_SQL_WHOLE}), 0)), lambda x: 0::bigint)) as p from ids)
 select doc_id, array_to_string(list_transform(p, lambda x: case when x in (0, 3) then '0' else '1' end), '') as mask from padded""")
 def attention_mask(spark: SparkSession, sf: str) -> DataFrame:
     _, ids = doc_vocab_and_ids(spark, sf)
-    t = D.truncate_tokens("ids", MAX_IDS)
+    t = D.with_specials("ids")
     padded = F.concat(t, F.array_repeat(F.lit(D.PAD_ID).cast("bigint"), F.greatest(F.lit(MAX_IDS) - F.size(t), F.lit(0))))
     mask = D.attention_mask(padded)
     return ids.select("doc_id", F.array_join(F.transform(mask, lambda b: F.when(b, "1").otherwise("0")), "").alias("mask"))
 
 
 @register("decode_tokens", sql=f"""with {_SQL_VOCAB},
-tr as (select doc_id, {_SQL_TRUNC} as t from ids),
+tr as (select doc_id, {_SQL_WHOLE} as t from ids),
 full_vocab as (select token, token_id from vocab union all
                select * from (values ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, token_id)),
 ex2 as (select doc_id, unnest(t) as token_id, generate_subscripts(t, 1) as p from tr),
@@ -275,8 +278,7 @@ select tr.doc_id, coalesce(string_agg(piece, '' order by p), '') as decoded
 from tr left join pieces on tr.doc_id = pieces.doc_id group by tr.doc_id""")
 def decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     vocab, ids = doc_vocab_and_ids(spark, sf)
-    trunc = ids.select("doc_id", D.truncate_tokens("ids", MAX_IDS).alias("t"))
-    return D.decode_pieces(trunc, "doc_id", "t", vocab)
+    return D.decode_pieces(ids.select("doc_id", D.with_specials("ids").alias("t")), "doc_id", "t", vocab)
 
 
 # ------------------------------------------------------------------ X2, ranked variant
@@ -344,12 +346,12 @@ def letter_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ V3, flagged post decoded whole
 def flag_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Token ids of each conversation's flagged turn ([CLS] ... [SEP], at most 512 ids) and the
+    """Token ids of each conversation's flagged turn ([CLS] ... [SEP], whole) and the
     vocabulary of those texts."""
     flags = conversation_flags(conversation_timeline(spark, sf), keywords=[""])
     toks = flags.select("conv_id", D.tokenize("flag_text").alias("tokens"))
     vocab, ids = D.vocabulary_and_ids(toks, "conv_id", "tokens")
-    return vocab, ids.select("conv_id", D.truncate_tokens("ids", MAX_IDS).alias("ids"))
+    return vocab, ids.select("conv_id", D.with_specials("ids").alias("ids"))
 
 
 _SQL_FLAG_VOCAB = f"""
@@ -364,7 +366,7 @@ full_vocab as (select token, token_id from vocab union all
 ex as (select conv_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as p from toks),
 enc as (select ex.conv_id, list(coalesce(v.token_id, 1) order by ex.p) as ids
         from ex left join vocab v on ex.token = v.token group by ex.conv_id),
-ids as (select t.conv_id, list_concat([2::bigint], coalesce(enc.ids, [])[1:{MAX_IDS - 2}], [3::bigint]) as ids
+ids as (select t.conv_id, list_concat([2::bigint], coalesce(enc.ids, []), [3::bigint]) as ids
         from toks t left join enc on t.conv_id = enc.conv_id),
 ex2 as (select conv_id, unnest(ids) as token_id, generate_subscripts(ids, 1) as p from ids)
 """

@@ -46,7 +46,8 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
     if not models:
         return ExperimentResult([], None, None, None, None)
     preds = M.predict_folds(models, test, [*key, label])
-    avg = E.fold_average(preds, [*key, label]).withColumn("pred", E.threshold_prediction("prob_avg"))
+    avg = (E.fold_average(preds, [*key, label], digits=None).withColumn("pred", E.threshold_prediction("prob_avg"))
+           .withColumn("prob_avg", F.round("prob_avg", 6)))
     metrics = E.evaluate_run(avg.withColumnRenamed(label, "label") if label != "label" else avg, "two")
     per_fold = E.fold_metrics(preds.withColumn("pred", E.threshold_prediction("prob")), "fold", label, "pred")
     if metrics_path is not None:

@@ -38,7 +38,7 @@ class TimelineColumns:
 
 @dataclass(frozen=True)
 class FeatureParams:
-    keywords: Sequence[str] = field(default_factory=tuple)   # the flagged post must hold one
+    keywords: Sequence[str] | None = None                    # the flagged post must hold one (None: no gate)
     lexicon: Sequence[str] = field(default_factory=tuple)    # removed in order by the cleaning
     promotions: Sequence[str] = field(default_factory=tuple)  # cleaned rows matching one are dropped
     chunk_size: int = 20
@@ -50,11 +50,12 @@ class FeatureParams:
     rows_per_task: int = tl.DEFAULT_ROWS_PER_TASK
 
 
-def flagged_accounts(posts: DataFrame, c: TimelineColumns, keywords: Sequence[str]) -> DataFrame:
+def flagged_accounts(posts: DataFrame, c: TimelineColumns, keywords: Sequence[str] | None) -> DataFrame:
     """W1 + P4 + P2: each account's last flagged post, kept when its text is non-empty and holds
     a keyword (account, flag_pos, n_rows, flag_text, flag_handle)."""
     flags = tl.last_flag(posts, c.account, c.pos, c.flag, carry={"flag_text": c.text, "flag_handle": c.handle})
-    return flags.where((F.length("flag_text") > 0) & T.contains_any("flag_text", keywords))
+    flags = flags.where(F.length("flag_text") > 0)
+    return flags if keywords is None else flags.where(T.contains_any("flag_text", keywords))
 
 
 def chunk_rows(posts: DataFrame, c: TimelineColumns, p: FeatureParams,

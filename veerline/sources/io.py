@@ -34,7 +34,8 @@ def read_timelines(spark: SparkSession, path: str | Sequence[str], schema: Struc
     df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
     df = df.withColumn("pos", F.monotonically_increasing_id())
     if account_col is None:
-        df = df.withColumn("account", account_from_path(F.col("_metadata.file_name")))
+        df = df.withColumn("account", account_from_path(
+            F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))))  # the name is URI-escaped
     else:
         df = df.withColumn("account", F.col(account_col))
     return df
