@@ -68,8 +68,8 @@ def printed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), " ")
 
 
-def with_next(rows: DataFrame, columns: dict[str, Callable[[Column], Column]], rows_per_range: int = 20_000,
-              max_ranges: int = 1024) -> DataFrame:
+def with_next(rows: DataFrame, columns: dict[str, Callable[[Column], Column]], rows_per_range: int = 2_000,
+              max_ranges: int = 4096) -> DataFrame:
     """(doc_id, text) rows with ``columns`` (of the text), and ``next_text`` and ``next_<column>`` of the
     next row in descending id order (after the last row: the first).
 
