@@ -81,10 +81,11 @@ def chunk_text_aggs(pos: str, text: str, seed_cols: Sequence[str], seed: int = 4
             F.count_if(kept).alias(prefix + "n_kept")]
 
 
-def ranked_text_agg(order: str, pos: str, text: str, sep: str = SEP, name: str = "text_ranked") -> Column:
-    """A2 for the ranked variant (T4): kept sentences joined in ``order`` (nulls last), ties by ``pos``."""
+def ranked_text_agg(order: str, pos: str, text: str, sep: str = SEP, name: str = "text_ranked",
+                    kept: str = "kept") -> Column:
+    """A2 for the ranked variant (T4): ``kept`` sentences joined in ``order`` (nulls last), ties by ``pos``."""
     key = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"), F.col(pos).alias("p"))
-    items = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct(key.alias("k"), F.col(text).alias("t")))))
+    items = F.array_sort(F.collect_list(F.when(F.col(kept), F.struct(key.alias("k"), F.col(text).alias("t")))))
     return F.array_join(F.transform(items, lambda x: x["t"]), sep).alias(name)
 
 

@@ -51,6 +51,12 @@ def fold_average(preds: DataFrame, key: Sequence[str], prob: str = "prob", digit
     return preds.groupBy(*key).agg(mean.alias("prob_avg"))
 
 
+def fold_average_classes(preds: DataFrame, key: Sequence[str], n_classes: int, probs: str = "probs") -> DataFrame:
+    """A8 for several classes: mean probability of each class over folds per row (``probs_avg``)."""
+    means = [F.avg(F.get(probs, k)) for k in range(n_classes)]
+    return preds.groupBy(*key).agg(F.array(*means).alias("probs_avg"))
+
+
 def confusion_matrix(df: DataFrame, labels: Sequence[int], label: str = "label", pred: str = "pred") -> DataFrame:
     """A4: one row per (label, pred) of the given labels, zeros kept."""
     lits = F.array(*[F.lit(v) for v in labels])
@@ -90,18 +96,20 @@ def fold_metrics(df: DataFrame, fold: str = "fold", label: str = "label", pred:
     return df.groupBy(fold).agg(*binary_metric_aggs(label, pred))
 
 
-def macro_metrics(df: DataFrame, label: str = "label", pred: str = "pred", digits: int = 6) -> DataFrame:
+def macro_metrics(df: DataFrame, label: str = "label", pred: str = "pred", digits: int = 6,
+                  by: Sequence[str] = ()) -> DataFrame:
     """Balanced accuracy (mean recall over labels present in the truth) and macro precision,
-    recall, F1 over labels in truth or prediction; per-label values are 0 when undefined."""
-    per_true = df.groupBy(F.col(label).alias("k")).agg(F.count(F.lit(1)).alias("n_true"),
+    recall, F1 over labels in truth or prediction; per-label values are 0 when undefined. ``by``: one
+    row per value of these columns (a fold)."""
+    per_true = df.groupBy(*by, F.col(label).alias("k")).agg(F.count(F.lit(1)).alias("n_true"),
                                                          F.count_if(F.col(label) == F.col(pred)).alias("tp"))
-    per_pred = df.groupBy(F.col(pred).alias("k")).agg(F.count(F.lit(1)).alias("n_pred"))
-    per = per_true.join(per_pred, "k", "full").select(
-        "k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_true", "tp", "n_pred")])
+    per_pred = df.groupBy(*by, F.col(pred).alias("k")).agg(F.count(F.lit(1)).alias("n_pred"))
+    per = per_true.join(per_pred, [*by, "k"], "full").select(
+        *by, "k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_true", "tp", "n_pred")])
     prec = _ratio(F.col("tp"), F.col("n_pred"))
     rec = _ratio(F.col("tp"), F.col("n_true"))
     f1 = _ratio(2 * F.col("tp"), F.col("n_true") + F.col("n_pred"))
-    return per.agg(
+    return per.groupBy(*by).agg(
         F.round(F.avg(F.when(F.col("n_true") > 0, rec)), digits).alias("balanced_accuracy"),
         F.round(F.avg(prec), digits).alias("macro_precision"),
         F.round(F.avg(rec), digits).alias("macro_recall"),

@@ -116,18 +116,27 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
     return models if best == rounds else fit_all(best)
 
 
-def predict_folds(models: Sequence, rows: DataFrame, key: Sequence[str], features: str = "features") -> DataFrame:
+def predict_folds(models: Sequence, rows: DataFrame, key: Sequence[str], features: str = "features",
+                  n_classes: int | None = None) -> DataFrame:
     """M4: every fold model applied to the rows in one pass (each model adds its own probability
-    column), then unpivoted to a long table (key..., fold, prob of class 1)."""
+    column), then unpivoted to a long table (key..., fold, prob of class 1). With ``n_classes``:
+    (key..., fold, probs of all classes); a class that a fold never saw has probability 0."""
     scored = rows.select(*key, features)
     for k, m in enumerate(models):
         mk = m.copy()
         mk.setFeaturesCol(features).setPredictionCol(f"_pred{k}").setProbabilityCol(f"_prob{k}")
         mk.setRawPredictionCol(f"_raw{k}")
         scored = mk.transform(scored).drop(f"_pred{k}", f"_raw{k}")
-    probs = F.array(*[F.struct(F.lit(k).alias("fold"), F.get(vector_to_array(f"_prob{k}"), 1).alias("prob"))
-                      for k in range(len(models))])
-    return scored.select(*key, F.explode(probs).alias("_fp")).select(*key, "_fp.fold", "_fp.prob")
+
+    def values(k: int):
+        at = vector_to_array(f"_prob{k}")
+        if n_classes is None:
+            return F.get(at, 1).alias("prob")
+        return F.array(*[F.coalesce(F.get(at, i), F.lit(0.0)) for i in range(n_classes)]).alias("probs")
+
+    probs = F.array(*[F.struct(F.lit(k).alias("fold"), values(k)) for k in range(len(models))])
+    return scored.select(*key, F.explode(probs).alias("_fp")).select(*key, "_fp.fold",
+                                                                     "_fp.prob" if n_classes is None else "_fp.probs")
 
 
 def multiclass_train(df: DataFrame, features: str = "features", label: str = "label", num_trees: int = 50,
@@ -137,6 +146,26 @@ def multiclass_train(df: DataFrame, features: str = "features", label: str = "la
                                   seed=seed).fit(df)
 
 
+def train_cv_multiclass(df: DataFrame, features: str = "features", label: str = "label", fold: str = "fold",
+                        n_folds: int = 5, num_trees: int = 50, max_depth: int = 5, seed: int = 42,
+                        parallelism: int = 5) -> list:
+    """M3 for several classes: one multiclass model (M5) per fold, trained on the other folds. The
+    training rows are written once to the shared checkpoint folder; the fits run side by side."""
+    ensure_checkpoint_dir(df.sparkSession)
+    data = df.select(features, label, fold).checkpoint(eager=True)
+    sizes = {r[0]: r[1] for r in data.groupBy(fold).count().collect()}  # at most n_folds rows
+    if not sizes:
+        return []
+    total = sum(sizes.values())
+
+    def fit(k: int):
+        train = data.where(F.col(fold) != k) if 0 < sizes.get(k, 0) < total else data
+        return multiclass_train(train, features, label, num_trees, max_depth, seed)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
+        return list(pool.map(inheritable_thread_target(data.sparkSession)(fit), range(n_folds)))
+
+
 def model_dir(df: DataFrame, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``) for saved models."""
     return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/models/{name}-{uuid.uuid4().hex[:12]}"

@@ -8,6 +8,8 @@ have 2-8 turns), at most 3 chunks, token budget 64."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -344,6 +346,51 @@ def letter_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", V.letter_counts("text").alias("embedding"))
 
 
+# ------------------------------------------------------------------ the whole feature record
+def _sql_record() -> str:
+    from veerline.plans.registry import ORACLE
+    return f"""
+with feat as ({ORACLE["chunk_documents"]}), rk as ({ORACLE["chunk_documents_ranked"]}),
+last as (select conv_id, max(chunk_id) as m from rk where not own group by conv_id),
+rec as (select f.*, o.text_ranked as posts_text_ranked, t.text_ranked as reposts_text_ranked
+        from feat f join rk o on o.own and concat('user_', o.conv_id::varchar) = f.account_name and o.chunk_id = f.chunk_id
+        join last l on l.conv_id = o.conv_id
+        join rk t on not t.own and t.conv_id = o.conv_id and t.chunk_id = least(f.chunk_id, l.m)),
+texts as (select account_name, chunk_id, unnest(['posts', 'reposts', 'flag']) as part,
+                 unnest([posts_text_ranked, reposts_text_ranked, flag_text]) as text from rec),
+toks as (select account_name, chunk_id, part, {_SQL_TOKENS} as tokens from texts),
+vocab as (select token, row_number() over (order by md5(token), token) + 3 as token_id
+          from (select distinct unnest(tokens) as token from toks)),
+ex as (select account_name, chunk_id, part, unnest(tokens) as token, generate_subscripts(tokens, 1) as p from toks),
+enc as (select account_name, chunk_id, part, list(v.token_id order by ex.p) as ids
+        from ex join vocab v on ex.token = v.token group by account_name, chunk_id, part),
+pick as (select account_name, chunk_id, max(case when part = 'posts' then ids end) as posts,
+                max(case when part = 'reposts' then ids end) as reposts, max(case when part = 'flag' then ids end) as flag
+         from enc group by account_name, chunk_id)
+select r.account_name, r.chunk_id, r.label, r.posts_like, r.reposts_like, r.posts_repost, r.reposts_repost,
+       r.posts_text_ranked, r.reposts_text_ranked, r.flag_text,
+       list_concat([2::bigint], list_slice(coalesce(p.posts, []::bigint[]), 1, 510), [3::bigint]) as posts_tokenized,
+       list_concat([2::bigint], list_slice(coalesce(p.reposts, []::bigint[]), 1, 510), [3::bigint]) as reposts_tokenized,
+       list_concat([2::bigint], coalesce(p.flag, []::bigint[]), [3::bigint]) as flag_posts_tokenized,
+       {_sql_letters("r.posts_text_ranked")} as posts_embedding, {_sql_letters("r.reposts_text_ranked")} as reposts_embedding
+from rec r left join pick p on p.account_name = r.account_name and p.chunk_id = r.chunk_id"""
+
+
+@register("feature_record", sql=_sql_record())
+def feature_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole record: X1, ranked texts (C11 -> W5 -> V6 -> T4 -> A2), token ids of both sides and of the
+    flagged post with the vocabulary of the same rows (V1, V2, V5), and vectors (V7, letter counts)."""
+    from veerline.operators import vectors as V
+    from veerline.plans.text_queries import STRIP_WORDS
+    rows = FB.build_features(
+        conversation_timeline(spark, sf), COLUMNS, replace(params(), strip_words=tuple(STRIP_WORDS)),
+        distance=lambda text, flag: F.round(V.cosine_distance(V.letter_counts(text), V.letter_counts(flag)), 6))
+    record, _ = FB.encode_record(rows, ["account_name", "chunk_id"], "ranked", embed=V.letter_counts)
+    return record.select("account_name", "chunk_id", "label", *[f"{s}_{c}" for c in ("like", "repost") for s in ("posts", "reposts")],
+                         "posts_text_ranked", "reposts_text_ranked", "flag_text", "posts_tokenized", "reposts_tokenized",
+                         "flag_posts_tokenized", "posts_embedding", "reposts_embedding")
+
+
 # ------------------------------------------------------------------ V3, flagged post decoded whole
 def flag_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Token ids of each conversation's flagged turn ([CLS] ... [SEP], whole) and the

@@ -1,6 +1,9 @@
 """X4 for any split feature table: assemble -> stratified folds -> k-fold boosted trees with
 fold-mean early stopping -> fold predictions on the test split -> averaged, thresholded
-predictions -> metrics and importance shares (and, if asked, the saved fold models)."""
+predictions -> metrics and importance shares (and, if asked, the saved fold models).
+
+Mode "three": multiclass fold models, class probabilities averaged over folds, first maximum,
+t<k> / f<k> slices, the confusion matrix of all classes and macro metrics."""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veerline.operators import docs as D
 from veerline.operators import evaluate as E
 from veerline.operators import model as M
 from veerline.sources import io
@@ -23,36 +27,73 @@ class ExperimentResult:
     importance: DataFrame | None    # feature, importance, importance_ratio, rank
     shares: DataFrame | None        # prefix, ratio
     slices: DataFrame | None = None  # outcome, n (rows written per confusion cell)
-    fold_metrics: DataFrame | None = None  # fold, accuracy, precision, recall, f1, tp, fp, fn, tn
+    fold_metrics: DataFrame | None = None  # fold, accuracy, precision, recall, f1, tp, fp, fn, tn (three: macro)
+    confusion: DataFrame | None = None  # label, pred, n (mode "three")
+
+
+FOLD_METRICS = {"two": ("accuracy", "precision", "recall", "f1"),
+                "three": ("balanced_accuracy", "macro_precision", "macro_recall", "macro_f1")}
+
+
+@dataclass(frozen=True)
+class DecodedColumn:
+    """A trace column of decoded ids (V3): piece by piece, or as one text (``whole``)."""
+    ids: str
+    name: str
+    whole: bool = False
+
+
+def decode_columns(rows: DataFrame, key: Sequence[str], columns: Sequence[DecodedColumn], vocabulary: DataFrame) -> DataFrame:
+    """``rows`` with the decoded text of each of ``columns`` (ids columns) added, joined on ``key``."""
+    for d in columns:
+        ids = rows.select(F.struct(*key).alias("_key"), F.col(d.ids).alias("_ids"))
+        text = (D.decode_whole if d.whole else D.decode_pieces)(ids, "_key", "_ids", vocabulary)
+        rows = rows.join(text.select(*[F.col(f"_key.{k}").alias(k) for k in key], F.col("decoded").alias(d.name)), list(key))
+    return rows
 
 
 def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[str],
                    vector_cols: Sequence[tuple[str, int]], label: str = "label", split: str = "split",
                    n_folds: int = 5, model_path: str | None = None, slices_path: str | None = None,
                    trace_cols: Sequence[str] = (), metrics_path: str | None = None, run: str = "run",
-                   **gbt) -> ExperimentResult:
+                   mode: str = "two", n_classes: int = 3, decoded: Sequence[DecodedColumn] = (),
+                   vocabulary: DataFrame | None = None, **training) -> ExperimentResult:
     """Train on the rows whose ``split`` is not 'test', evaluate on 'test'. ``vector_cols`` are
     (array column, length) pairs; importance needs ``model_path`` (the fold models are saved
     there, S9) because raw gains are read from the saved trees. With ``slices_path`` the test
     rows' ``trace_cols`` are written with label and prediction, one CSV folder per confusion
     cell (J6 -> P15 -> S7). Each fold model is also scored on the test rows on its own (A6); with
     ``metrics_path`` those per-fold accuracy / precision / recall / F1 rows are appended there
-    under ``run`` (S6), as every run of the original adds a line per metric."""
+    under ``run`` (S6), as every run of the original adds a line per metric.
+
+    ``mode`` "three" trains on labels 0 to ``n_classes`` - 1. ``decoded`` ids columns are decoded with
+    ``vocabulary`` and written beside the trace columns. ``training`` goes to the fold training."""
+    if mode not in FOLD_METRICS:
+        raise ValueError(f"unknown mode {mode!r}")
+    if decoded and vocabulary is None:
+        raise ValueError("decoded columns need a vocabulary")
+    two = mode == "two"
     names = M.feature_names(scalar_cols, vector_cols)
     rows = M.assemble_features(data, scalar_cols, [c for c, _ in vector_cols])
     cv = M.stratified_folds(rows.where(F.col(split) != "test"), list(key), label, n_folds)
     test = rows.where(F.col(split) == "test")
-    models = M.train_cv_gbt(cv, label=label, n_folds=n_folds, **gbt)
+    models = (M.train_cv_gbt if two else M.train_cv_multiclass)(cv, label=label, n_folds=n_folds, **training)
     if not models:
         return ExperimentResult([], None, None, None, None)
-    preds = M.predict_folds(models, test, [*key, label])
-    avg = (E.fold_average(preds, [*key, label], digits=None).withColumn("pred", E.threshold_prediction("prob_avg"))
-           .withColumn("prob_avg", F.round("prob_avg", 6)))
-    metrics = E.evaluate_run(avg.withColumnRenamed(label, "label") if label != "label" else avg, "two")
-    per_fold = E.fold_metrics(preds.withColumn("pred", E.threshold_prediction("prob")), "fold", label, "pred")
+    preds = M.predict_folds(models, test, [*key, label], n_classes=None if two else n_classes)
+    confusion = None
+    if two:
+        avg = (E.fold_average(preds, [*key, label], digits=None).withColumn("pred", E.threshold_prediction("prob_avg"))
+               .withColumn("prob_avg", F.round("prob_avg", 6)))
+        per_fold = E.fold_metrics(preds.withColumn("pred", E.threshold_prediction("prob")), "fold", label, "pred")
+    else:
+        avg = E.fold_average_classes(preds, [*key, label], n_classes).withColumn("pred", E.argmax_prediction("probs_avg"))
+        per_fold = E.macro_metrics(preds.withColumn("pred", E.argmax_prediction("probs")), label, "pred", by=["fold"])
+        confusion = E.confusion_matrix(avg, range(n_classes), label, "pred")
+    metrics = E.evaluate_run(avg, mode, label)
     if metrics_path is not None:
         long = per_fold.select("fold", F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "precision", "recall", "f1")
+            F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in FOLD_METRICS[mode]
         ])).alias("m")).select("fold", "m.metric", "m.value")
         io.append_fold_metrics(long, metrics_path, run)
     importance = shares = None
@@ -62,12 +103,15 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
         shares = E.importance_by_prefix(importance)
     slices = None
     if slices_path is not None:
-        traced = E.attach_predictions(test.select(*key, *trace_cols), avg.select(*key, label, "pred"), key)
-        traced = traced.withColumn("outcome", E.outcome_binary(label, "pred"))
-        io.write_outcome_slices(traced, slices_path, [*trace_cols, label, "pred"])
+        traced = test.select(*key, *trace_cols, *[d.ids for d in decoded])
+        if decoded:
+            traced = decode_columns(traced, key, decoded, vocabulary)
+        traced = E.attach_predictions(traced, avg.select(*key, label, "pred"), key)
+        traced = traced.withColumn("outcome", (E.outcome_binary if two else E.outcome_multiclass)(label, "pred"))
+        io.write_outcome_slices(traced, slices_path, [*trace_cols, *[d.name for d in decoded], label, "pred"])
         slices = (data.sparkSession.read.options(**io.CSV_OPTIONS).csv(slices_path)
                   .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
-    return ExperimentResult(models, avg, metrics, importance, shares, slices, per_fold)
+    return ExperimentResult(models, avg, metrics, importance, shares, slices, per_fold, confusion)
 
 
 def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataFrame:
@@ -78,9 +122,15 @@ def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataF
     if result.metrics is not None:
         parts.append(result.metrics.select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value"))
     if result.fold_metrics is not None:
+        f1 = "f1" if "f1" in result.fold_metrics.columns else "macro_f1"
         parts.append(result.fold_metrics.select(
             F.lit("fold_metric").alias("section"),
-            F.concat(F.lit("f1@fold"), F.col("fold").cast("string")).alias("name"), F.col("f1").alias("value")))
+            F.concat(F.lit(f1 + "@fold"), F.col("fold").cast("string")).alias("name"), F.col(f1).alias("value")))
+    if result.confusion is not None:
+        parts.append(result.confusion.select(
+            F.lit("confusion").alias("section"),
+            F.concat(F.col("label").cast("string"), F.lit("->"), F.col("pred").cast("string")).alias("name"),
+            F.col("n").cast("double").alias("value")))
     if result.slices is not None:
         parts.append(result.slices.select(F.lit("slice").alias("section"), F.col("outcome").alias("name"),
                                           F.col("n").cast("double").alias("value")))

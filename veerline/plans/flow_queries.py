@@ -13,12 +13,15 @@ from veerline.operators import sampling as S
 from veerline.operators import vectors as V
 from veerline.plans import docs_queries as DQ
 from veerline.plans import experiment as X
+from veerline.plans import feature_build as FB
 from veerline.plans.registry import register
 from veerline.sources import io
 from veerline.sources.tables import read_table
 
 N_FOLDS = 5
 RANDOM_KEYWORDS = ["e"]
+TRACE_DECODED = [X.DecodedColumn("posts_tokenized", "posts_decoded"), X.DecodedColumn("reposts_tokenized", "reposts_decoded"),
+                 X.DecodedColumn("flag_posts_tokenized", "flag_posts_decoded", whole=True)]
 COUNTS = ["posts_like", "reposts_like", "posts_repost", "reposts_repost"]
 
 
@@ -50,10 +53,12 @@ def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
     data = S.materialise_sources([splits(spark, sf)])[0]
     sizes = (data.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select(F.lit("rows").alias("section"), F.col("split").alias("name"), "value"))
-    result = X.run_experiment(data, ["row_id"], COUNTS, [("posts_embedding", 26), ("reposts_embedding", 26)],
+    record, vocabulary = FB.encode_record(data, ["row_id"])
+    result = X.run_experiment(record, ["row_id"], COUNTS, [("posts_embedding", 26), ("reposts_embedding", 26)],
                               n_folds=N_FOLDS, model_path=M.model_dir(data, "end_to_end_run"),
                               slices_path=io.scratch_dir(spark, "outcome_slices"),
                               trace_cols=["account_name", "true_label", "flag_text", "posts_text_sorted",
                                           "reposts_text_sorted"],
-                              metrics_path=io.scratch_dir(spark, "fold_metrics"), run="end_to_end_run")
+                              metrics_path=io.scratch_dir(spark, "fold_metrics"), run="end_to_end_run",
+                              decoded=TRACE_DECODED, vocabulary=vocabulary)
     return X.as_report(result, sizes)

@@ -15,6 +15,7 @@ from veerline.operators import evaluate as E
 from veerline.operators import model as M
 from veerline.plans import experiment as X
 from veerline.plans.registry import register
+from veerline.sources import io
 from veerline.sources.tables import read_table
 
 N_FOLDS = 5
@@ -103,6 +104,22 @@ def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return X.as_report(result)
 
 
+@register("train_and_evaluate_three")
+def train_and_evaluate_three(spark: SparkSession, sf: str) -> DataFrame:
+    """X4 in three-class mode (label % 3): fold models, averaged class probabilities, first maximum,
+    macro metrics, 3x3 confusion matrix, t<k> / f<k> slices, importance shares (section, name, value)."""
+    e = read_table(spark, sf, "embeddings").select(
+        "vec_id", (F.col("label") % 3).cast("int").alias("label"),
+        F.slice("embedding", 1, 32).alias("posts_embedding"), F.slice("embedding", 33, 32).alias("reposts_embedding"))
+    ranked = M.stratified_folds(e, ["vec_id"], "label", N_FOLDS + 1, seed=42)
+    data = ranked.withColumn("split", F.when(F.col("fold") == N_FOLDS, "test").otherwise("train")).drop("fold")
+    result = X.run_experiment(data, ["vec_id"], [], [("posts_embedding", 32), ("reposts_embedding", 32)],
+                              n_folds=N_FOLDS, model_path=M.model_dir(e, "train_and_evaluate_three"),
+                              slices_path=io.scratch_dir(spark, "outcome_slices_three"), trace_cols=["vec_id"],
+                              mode="three", num_trees=20)
+    return X.as_report(result)
+
+
 @register("multiclass_evaluate")
 def multiclass_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     """Three-class run (M5 -> P14 -> A4 -> A7): class scores from the multiclass model, first-max
