@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
+from veerline.operators import sampling as S
 from veerline.operators import vectors as V
 from veerline.plans import experiment as X
 from veerline.plans import feature_build as FB
@@ -71,6 +72,25 @@ def test_record_encodes_long_flags_whole_and_cuts_sides(spark):
     assert vocab.count() == 701 and len(got["b"]["posts_embedding"]) == 26
 
 
+def test_similarity_ranking_splits_a_hot_group(spark):
+    rows = [(i, "g" if i % 3 else "h", [1.0, float(i % 40)], [1.0, 0.0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, v array<double>, q array<double>")
+    plain = V.rank_by_similarity(df, "v", "q", ["g"], "id")
+    split = V.rank_by_similarity(df, "v", "q", ["g"], "id", rows_per_task=20)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.collect()))
+    top = V.rank_by_similarity(df, "v", "q", ["g"], "id", k=7)
+    assert sorted(map(repr, top.collect())) == sorted(map(repr, plain.where("sim_rank <= 7").collect()))
+
+
+def test_head_after_shuffle_is_a_prefix_of_the_whole_rank(spark):
+    df = spark.range(3000).withColumn("k", F.col("id").cast("string"))
+    whole = S.shuffled_rank(df, ["k"], 7)
+    for n in (0, 1, 40, 5000):
+        for digits in (1, 3):
+            head = S.head_after_shuffle(df, ["k"], 7, n, hex_digits=digits)
+            assert {r["id"] for r in head.collect()} == {r["id"] for r in whole.where(F.col("rank") <= n).collect()}
+
+
 def test_ranked_form_puts_the_nearest_sentence_first(spark):
     posts = spark.createDataFrame([("u", 0, True, "@u", "aaa", "1", "1"), ("u", 1, False, "@u", "zzz", "1", "1"),
                                    ("u", 2, False, "@u", "drop aab", "1", "1"), ("u", 3, False, "@v", "aa", "1", "1")],

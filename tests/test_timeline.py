@@ -88,6 +88,21 @@ def test_rank_within_groups_splits_hot_groups(spark):
     assert h == list(range(1, 1001))
 
 
+def test_clustered_positions_spread_over_ranges(spark):
+    # ten far outliers: ranges of equal width would put nearly all rows into one
+    rows = [("h", i) for i in range(2000)] + [("h", 10**9 + i * 10**7) for i in range(10)] + [("h", None), ("c", 5), (None, 7)]
+    df = spark.createDataFrame(rows, "g string, o bigint").withColumn("k", F.xxhash64("o"))
+    split = tl.rank_within_groups(df, ["g"], "o", "r", rows_per_task=100, tiebreak=["k"])
+    plain = tl.rank_within_groups(df, ["g"], "o", "r", tiebreak=["k"])
+    order = lambda d: sorted(map(repr, d.collect()))
+    assert order(split) == order(plain)
+    assert split.where("o is null").first()["r"] == 2011
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in plan and "_bk" in plan
+    few = tl.rank_within_groups(df, ["g"], "o", "r", rows_per_task=100, max_ranges=4)
+    assert order(few) == order(plain)
+
+
 def test_chunk_timeline_with_hot_sides_equals_plain(spark):
     base = TQ.events_timeline(spark, SF_MID)
     stats = tl.last_flag(base, "user_id", "event_id", "is_flag")

@@ -42,17 +42,16 @@ def feature_names(scalar_cols: Sequence[str], vector_cols: Sequence[tuple[str, i
 
 
 def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", n_folds: int = 5,
-                     seed: int = 42, by: str | None = None) -> DataFrame:
+                     seed: int = 42, by: str | None = None, hex_digits: int = 3) -> DataFrame:
     """M2: fold = rank within label (seeded shuffle order) mod n_folds: balanced to +-1 per label.
 
     With ``by`` (e.g. the account column) whole groups go to one fold, so no group is both in a
     fold's training and validation part; groups are ranked in seeded order within their label."""
     if by is None:
-        # classes are few, so the per-class offset table is small enough to broadcast
-        ranked = shuffled_rank(df, list(key), seed, "_r", partition_by=[label], few_groups=True)
+        ranked = shuffled_rank(df, list(key), seed, "_r", partition_by=[label], hex_digits=hex_digits)
         return ranked.withColumn("fold", ((F.col("_r") - 1) % n_folds).cast("int")).drop("_r")
     groups = df.groupBy(by).agg(F.max(label).alias("_gl"))
-    ranked = shuffled_rank(groups, [by], seed, "_r", partition_by=["_gl"], few_groups=True)
+    ranked = shuffled_rank(groups, [by], seed, "_r", partition_by=["_gl"], hex_digits=hex_digits)
     folds = ranked.select(by, ((F.col("_r") - 1) % n_folds).cast("int").alias("fold"))
     return df.join(folds, by)
 

@@ -26,34 +26,41 @@ def seeded_key(cols: Sequence[str], seed: int | None) -> Column:
 
 
 def global_rank(df: DataFrame, key: Column, tiebreak: Sequence[str] = (), hex_digits: int = 3,
-                partition_by: Sequence[str] = (), rank_col: str = "rank", few_groups: bool = False) -> DataFrame:
+                partition_by: Sequence[str] = (), rank_col: str = "rank", few_groups: bool = False,
+                first_n: int | None = None) -> DataFrame:
     """1-based rank of each row in the order (key, *tiebreak), optionally within groups.
 
     ``key`` must be a hex string whose prefixes spread rows evenly (an md5). Buckets are the first
     ``hex_digits`` characters; at most 16**hex_digits buckets per group. ``few_groups`` states that
-    ``partition_by`` has a handful of values (e.g. a source tag), so the offsets stay small."""
+    ``partition_by`` has a handful of values (e.g. a source tag), so the offsets stay small. With
+    ``first_n`` only ranks up to it come back: buckets that start beyond it are dropped by the
+    offsets join, before the rows are shuffled."""
     d = df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, hex_digits))
     counts = d.groupBy(*partition_by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     prior = Window.partitionBy(*partition_by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*partition_by, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
+    offsets = offsets if first_n is None else offsets.where(F.col("_off") < first_n)
     # Without groups (or with a few) the offset table has at most 16**hex_digits rows per group.
     offsets = F.broadcast(offsets) if (not partition_by or few_groups) else offsets
     inner = Window.partitionBy(*partition_by, "_b").orderBy("_k", *tiebreak)
-    return (d.join(offsets, [*partition_by, "_b"])
-            .withColumn(rank_col, (F.col("_off") + F.row_number().over(inner)).cast("bigint"))
-            .drop("_k", "_b", "_off"))
+    ranked = (d.join(offsets, [*partition_by, "_b"])
+              .withColumn(rank_col, (F.col("_off") + F.row_number().over(inner)).cast("bigint"))
+              .drop("_k", "_b", "_off"))
+    return ranked if first_n is None else ranked.where(F.col(rank_col) <= first_n)
 
 
 def shuffled_rank(df: DataFrame, row_key: Sequence[str], seed: int, rank_col: str = "rank",
-                  partition_by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+                  partition_by: Sequence[str] = (), few_groups: bool = False, hex_digits: int = 3,
+                  first_n: int | None = None) -> DataFrame:
     """T1 + W6: rank of each row in the seeded shuffle order (ties broken by the row key)."""
-    return global_rank(df, seeded_key(row_key, seed), tiebreak=list(row_key), partition_by=partition_by,
-                       rank_col=rank_col, few_groups=few_groups)
+    return global_rank(df, seeded_key(row_key, seed), tiebreak=list(row_key), hex_digits=hex_digits,
+                       partition_by=partition_by, rank_col=rank_col, few_groups=few_groups, first_n=first_n)
 
 
-def head_after_shuffle(df: DataFrame, row_key: Sequence[str], seed: int, n: int) -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle (a rank filter, no single-task sort)."""
-    return shuffled_rank(df, row_key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
+def head_after_shuffle(df: DataFrame, row_key: Sequence[str], seed: int, n: int, hex_digits: int = 3) -> DataFrame:
+    """The first ``n`` rows of the seeded shuffle (a rank filter, no single-task sort; rows of later
+    buckets are not shuffled)."""
+    return shuffled_rank(df, row_key, seed, "_rank", hex_digits=hex_digits, first_n=n).drop("_rank")
 
 
 def semi_join_accounts(df: DataFrame, accounts: DataFrame, account: str = "account_name") -> DataFrame:
@@ -98,7 +105,7 @@ def drop_if_present(df: DataFrame, *names: str) -> DataFrame:
 
 def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame, test_accounts: DataFrame,
                      row_key: Sequence[str], account: str = "account_name", seed: int = 42,
-                     test_seed: int = 0, train_share: float = 0.8) -> DataFrame:
+                     test_seed: int = 0, train_share: float = 0.8, hex_digits: int = 3) -> DataFrame:
     """Test / train / valid splits without account leakage (column ``split``).
 
     Sources carry ``label`` as produced by the feature build (changers 1 / 3, others 2 / 0,
@@ -124,9 +131,8 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     is_pos = (F.col("_src") == 0) & (F.col("label") == 1)
 
     def first_per_source(df: DataFrame, n_each: int) -> DataFrame:
-        ranked = global_rank(df, seeded_key(keys, test_seed), tiebreak=keys, partition_by=["_src"],
-                             rank_col="_r", few_groups=True)
-        return ranked.where(F.col("_r") <= n_each).drop("_r")
+        return global_rank(df, seeded_key(keys, test_seed), tiebreak=keys, hex_digits=hex_digits, partition_by=["_src"],
+                           rank_col="_r", few_groups=True, first_n=n_each).drop("_r")
 
     t_pos = semi_join_accounts(src.where(is_pos), test_accounts, account)
     n = t_pos.count()
@@ -144,7 +150,7 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     grp = F.when(F.col("_src") == 0, F.lit(0)).otherwise(F.lit(1))
     key = F.when(F.col("_grp") == 0, seeded_key(keys, seed)).otherwise(seeded_key(keys, test_seed))
     both = pos.unionByName(neg).withColumn("_grp", grp)
-    ranked = global_rank(both, key, tiebreak=keys, partition_by=["_grp"], rank_col="_r", few_groups=True)
+    ranked = global_rank(both, key, tiebreak=keys, hex_digits=hex_digits, partition_by=["_grp"], rank_col="_r", few_groups=True)
     train_valid = ranked.withColumn("split", F.when(F.col("_r") <= k, F.lit("train")).otherwise(F.lit("valid")))
     return (test.withColumn("split", F.lit("test")).select(*common, "split")
             .unionByName(train_valid.select(*common, "split")))

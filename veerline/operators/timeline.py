@@ -19,7 +19,7 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,29 +97,36 @@ def first_rows_per_side(tail: DataFrame, k: int, account: str = "account", side:
 
 
 def rank_within_groups(df: DataFrame, keys: list[str], order: str, rank_col: str = "rank",
-                       rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
-    """Exact 1-based rank by ``order`` inside each group of ``keys``, without sorting a hot group
-    in one task.
-
-    Groups with more than ``rows_per_task`` rows are cut into ceil(n / rows_per_task) equal-width
-    ranges of ``order``; range sizes are prefix-summed into offsets and ``row_number`` runs inside
-    each range. The offsets table has fewer than 2 * total_rows / rows_per_task rows (a proven
-    bound, so it is broadcast); other groups are one range with offset 0."""
-    sizes = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-             .where(F.col("_n") > rows_per_task)
-             .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_nb"), "_lo", "_hi"))
-    span = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    bucket = F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor(span * F.col("_nb")).cast("int"), F.col("_nb") - 1))
-    d = df.join(F.broadcast(sizes), keys, "left").withColumn("_bk", bucket)
+                       rows_per_task: int = DEFAULT_ROWS_PER_TASK, tiebreak: Sequence[str] = (),
+                       max_ranges: int = 1000) -> DataFrame:
+    """Exact 1-based rank by ``order`` (nulls last, then ``tiebreak``) inside each group of ``keys``,
+    without sorting a hot group in one task.
+
+    Groups with more than ``rows_per_task`` rows are cut into ceil(n / rows_per_task) ranges of
+    ``order`` at approximate quantiles, so clustered values spread as evenly as uniform ones; range
+    sizes are prefix-summed into offsets and ``row_number`` runs inside each range. The quantiles
+    only place the cuts: ranks are exact whatever they are. Rows equal in ``order`` share a range. A
+    group of more than ``max_ranges`` * ``rows_per_task`` rows has larger ranges (at most
+    ``max_ranges`` of them). Hot groups number fewer than total_rows / rows_per_task and offsets fewer
+    than twice that (proven bounds, so both are broadcast); other groups are one range with offset 0."""
+    sizes = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+             .select(*keys, F.least(F.ceil(F.col("_n") / F.lit(rows_per_task)), F.lit(max_ranges)).cast("int").alias("_nb")))
+    grid = [i / max_ranges for i in range(1, max_ranges)]
+    quantiles = (df.join(F.broadcast(sizes), keys).groupBy(*keys, "_nb")
+                 .agg(F.percentile_approx(order, grid, F.lit(10 * max_ranges)).alias("_q")))
+    # the group's nb - 1 cuts out of the common grid
+    at = F.sequence(F.lit(1), F.col("_nb") - 1)
+    cuts = quantiles.select(*keys, F.transform(at, lambda i: F.get("_q", F.floor(i * max_ranges / F.col("_nb")).cast("int") - 1)).alias("_cuts"))
+    bucket = (F.when(F.col("_cuts").isNull(), F.lit(0)).when(F.col(order).isNull(), F.size("_cuts"))
+              .otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(order)))))
+    d = df.join(F.broadcast(cuts), keys, "left").withColumn("_bk", bucket)
     prior = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (d.where(F.col("_nb").isNotNull()).groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = (d.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
                .select(*keys, "_bk", F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_off")))
-    inner = Window.partitionBy(*keys, "_bk").orderBy(order)
-    return (d.join(F.broadcast(offsets), [*keys, "_bk"], "left")
+    inner = Window.partitionBy(*keys, "_bk").orderBy(F.asc_nulls_last(order), *tiebreak)
+    return (d.drop("_cuts").join(F.broadcast(offsets), [*keys, "_bk"], "left")
             .withColumn(rank_col, F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(inner))
-            .drop("_nb", "_lo", "_hi", "_bk", "_off"))
+            .select(*[c for c in df.columns if c != rank_col], rank_col))
 
 
 def chunk_sides(tail: DataFrame, chunk_size: int, max_chunks: int | None, account: str = "account",

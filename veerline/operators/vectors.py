@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veerline.operators.docs import tokenize
+from veerline.operators.timeline import DEFAULT_ROWS_PER_TASK, rank_within_groups
 
 
 def _c(x: Column | str) -> Column:
@@ -39,16 +40,23 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def rank_by_similarity(df: DataFrame, vec: str, query_vec: str, group: Sequence[str], pos: str,
-                       k: int | None = None, digits: int | None = None) -> DataFrame:
+                       k: int | None = None, digits: int | None = None,
+                       rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """T4: order the rows of each group by cosine distance to the group's query vector (ties by
     ``pos``); adds ``distance`` (rounded to ``digits`` when given, so float noise never reorders
-    near-ties) and 1-based ``sim_rank``; optional top ``k`` per group."""
+    near-ties) and 1-based ``sim_rank``; optional top ``k`` per group.
+
+    A full ranking splits groups of more than ``rows_per_task`` rows over ranges of the distance; a
+    top ``k`` is cut to k rows a task before the shuffle (Spark's window group limit)."""
     dist = cosine_distance(vec, query_vec)
     if digits is not None:
         dist = F.round(dist, digits)
+    scored = df.withColumn("distance", dist)
+    if k is None:
+        ranked = rank_within_groups(scored, list(group), "distance", "sim_rank", rows_per_task, tiebreak=[pos])
+        return ranked.withColumn("sim_rank", F.col("sim_rank").cast("int"))
     w = Window.partitionBy(*group).orderBy(F.asc_nulls_last("distance"), pos)
-    out = df.withColumn("distance", dist).withColumn("sim_rank", F.row_number().over(w))
-    return out.where(F.col("sim_rank") <= k) if k is not None else out
+    return scored.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
 
 
 def letter_counts(text: Column | str, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
