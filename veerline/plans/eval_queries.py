@@ -8,8 +8,6 @@ per fold come from the embedding positions: |x_i| summed per (vec_id % 5, featur
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +20,7 @@ from veerline.sources.tables import read_table
 
 N_FOLDS = 5
 DIM = 64
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def emb(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +29,9 @@ def emb(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_query_vector(spark: SparkSession, sf: str) -> DataFrame:
     e = emb(spark, sf)
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qvec"))
+    # the smallest id is a hash aggregate over two columns; the vectors of those ids come by a join
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    q = e.select("vec_id", F.col("embedding").alias("qvec")).join(first, "vec_id").select("label", "qvec")
     return e.join(q, "label")
 
 
@@ -99,38 +100,55 @@ def embedding_to_columns(spark: SparkSession, sf: str) -> DataFrame:
     return emb(spark, sf).select("vec_id", *V.embedding_to_columns("embedding", "e", DIM))
 
 
-@register("reduce_embeddings")
+N_COMPONENTS = 4
+
+
+def component_checks(reduced: DataFrame, k: int = N_COMPONENTS) -> DataFrame:
+    """(section, key, ok) of ``reduced`` (vec_id, reduced): ``row``: every vector has ``k`` components; ``pair`` i * k + j
+    (i < j): components i and j are uncorrelated; ``order`` i: component i varies no less than i + 1, which varies."""
+    c = [F.get("reduced", i) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    stats = reduced.agg(*[F.var_pop(c[i]).alias(f"v{i}") for i in range(k)],
+                        *[F.covar_pop(c[i], c[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    ok = lambda x: F.coalesce(x, F.lit(False)).alias("ok")
+    entry = lambda section, key, x: F.struct(F.lit(section).alias("section"), F.lit(key).cast("bigint").alias("key"), ok(x))
+    flags = F.array(*[entry("pair", i * k + j, F.abs(F.col(f"c{i}_{j}")) < 1e-6 * F.col("v0")) for i, j in pairs],
+                    *[entry("order", i, (F.col(f"v{i}") >= F.col(f"v{i + 1}")) & (F.col(f"v{i + 1}") > 0)) for i in range(k - 1)])
+    rows = reduced.select(F.lit("row").alias("section"), F.col("vec_id").alias("key"), ok(F.size("reduced") == k))
+    return rows.unionByName(stats.select(F.explode(flags).alias("f")).select("f.*"))
+
+
+@register("reduce_embeddings", sql=f"""
+select 'row' as section, vec_id as key, true as ok from embeddings
+union all select 'pair', i * {N_COMPONENTS} + j, true from range({N_COMPONENTS}) a(i), range({N_COMPONENTS}) b(j) where i < j
+union all select 'order', i, true from range({N_COMPONENTS - 1}) a(i)""")
 def reduce_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """V8: 4 principal components per vector (rows-only check)."""
+    """V8: 4 principal components per vector; SQL states that they are uncorrelated and ordered."""
     e = emb(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return V.reduce_embeddings(e, "embedding", 4).select("vec_id", "reduced")
+    return component_checks(V.reduce_embeddings(e, "embedding", N_COMPONENTS).select("vec_id", "reduced"))
 
 
-def _trigram_encoder(dim: int):
-    """A small stand-in model: hashed character trigrams, L2-normalised (numpy, per batch)."""
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for r, t in enumerate(texts):
-            for j in range(max(len(t) - 2, 0)):
-                out[r, zlib.crc32(t[j:j + 3].encode()) % dim] += 1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1.0, n)
-    return encode
+def _letter_encoder(texts: list[str]) -> np.ndarray:
+    """A small stand-in model: how often each letter occurs (one C-level count per text and letter)."""
+    return np.array([[t.count(ch) for ch in LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(LETTERS))
 
 
-@register("embed_text")
+@register("embed_text", sql="select doc_id, [" + ", ".join(
+    f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::float" for c in LETTERS) + "] as embedding from documents")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    """V7: every document's text to a 64-d vector, in batches of 64 (rows-only check)."""
+    """V7: every document's whole text to a vector, in batches of 64."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return V.embed_text(d, "text", _trigram_encoder(DIM), DIM).select("doc_id", F.size("embedding").alias("dim"))
+    return V.embed_text(d, "text", _letter_encoder, len(LETTERS)).select("doc_id", "embedding")
 
 
-@register("hashed_embedding")
+@register("hashed_embedding", sql="""
+select doc_id, 1024 as dim, regexp_matches(coalesce(text, ''), '\\S') as unit_norm from documents""")
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """V7 default without a model: hashed token counts -> IDF -> L2 norm -> PCA to 16 components
-    (rows-only check)."""
+    """V7 default without a model: hashed token counts -> L2 norm; a text with a token has norm 1, one without is zero."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return V.hashed_embedding(d, "text", dim=1024, idf=True, pca_k=16).select("doc_id", "embedding")
+    v = V.hashed_embedding(d, "text", dim=1024).select("doc_id", "embedding")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.select("doc_id", F.size("embedding").alias("dim"), F.coalesce(F.abs(norm - 1) < 1e-4, F.lit(False)).alias("unit_norm"))
 
 
 @register("fold_average", sql=f"with {_SQL_PRED} select vec_id, label, prob_avg from av")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veerline.operators import docs as D
@@ -143,3 +143,51 @@ def as_report(result: ExperimentResult, sizes: DataFrame | None = None) -> DataF
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def report_checks(report: DataFrame, labels: Sequence[int], mode: str = "two", slices: bool = False) -> DataFrame:
+    """What must hold in a report, as (section, name, value), in one pass over its few rows.
+
+    ``rows``: test rows of each label, summed from the confusion cells; ``slices`` (if asked): the same from
+    the written slices; ``folds``: fold models scored with an F1 in 0 to 1; ``check``: 1 if the metrics equal
+    those recomputed from the cells, 1 if the importance shares add up to 1, else 0. A missing value never
+    passes."""
+    def total(section: str, *names: str) -> Column:
+        hit = (F.col("section") == section) & F.col("name").isin(*names)
+        return F.sum(F.when(hit, F.col("value")))
+
+    two = mode == "two"
+    cell = ((lambda t, p: total("metric", ("tn", "fp", "fn", "tp")[2 * t + p])) if two
+            else (lambda t, p: total("confusion", f"{t}->{p}")))
+    cells = {(t, p): F.coalesce(cell(t, p), F.lit(-1.0)) for t in labels for p in labels}
+    in_label = {t: sum((cells[t, p] for p in labels[1:]), cells[t, labels[0]]) for t in labels}
+    pred_as = {p: sum((cells[t, p] for t in labels[1:]), cells[labels[0], p]) for p in labels}
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    if two:
+        recomputed = {"accuracy": ratio(cells[0, 0] + cells[1, 1], in_label[0] + in_label[1]),
+                      "precision": ratio(cells[1, 1], pred_as[1]), "recall": ratio(cells[1, 1], in_label[1]),
+                      "f1": ratio(2 * cells[1, 1], in_label[1] + pred_as[1])}
+    else:
+        # a class with neither true nor predicted rows is not a class of the run
+        seen = sum((F.when(in_label[k] + pred_as[k] > 0, 1).otherwise(0) for k in labels), F.lit(0))
+        mean = lambda part, n=seen: ratio(sum((part(k) for k in labels), F.lit(0.0)), n)
+        present = sum((F.when(in_label[k] > 0, 1).otherwise(0) for k in labels), F.lit(0))
+        recomputed = {"balanced_accuracy": mean(lambda k: ratio(cells[k, k], in_label[k]), present),
+                      "macro_precision": mean(lambda k: ratio(cells[k, k], pred_as[k])),
+                      "macro_recall": mean(lambda k: ratio(cells[k, k], in_label[k])),
+                      "macro_f1": mean(lambda k: ratio(2 * cells[k, k], in_label[k] + pred_as[k]))}
+    off = [F.abs(total("metric", m) - x) < 1e-5 for m, x in recomputed.items()]
+    flag = lambda ok: F.when(F.coalesce(ok, F.lit(False)), 1.0).otherwise(0.0)
+    all_off = off[0]
+    for x in off[1:]:
+        all_off = all_off & x
+    f1 = (F.col("section") == "fold_metric") & F.col("value").between(0, 1)
+    share = F.sum(F.when(F.col("section") == "importance", F.col("value")))
+    out = [("rows", str(t), in_label[t]) for t in labels]
+    if slices:
+        names = (lambda t: ("tp", "fn") if t else ("fp", "tn")) if two else (lambda t: (f"t{t}", f"f{t}"))
+        out += [("slices", str(t), F.coalesce(total("slice", *names(t)), F.lit(0.0))) for t in labels]
+    out += [("folds", "scored", F.sum(F.when(f1, 1.0).otherwise(0.0))), ("check", "metrics", flag(all_off)),
+            ("check", "importance", flag(F.abs(share - 1) < 1e-4))]
+    row = F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("name"), v.cast("double").alias("value")) for a, b, v in out])
+    return report.agg(row.alias("r")).select(F.explode("r").alias("r")).select("r.section", "r.name", "r.value")

@@ -1,7 +1,8 @@
 """The whole flow as the original runs it, on data Spark derives from ``conversations``:
 feature build for changers, non-changers and random users (X1 + X2) -> chunk texts to vectors
 (V7) -> balanced, leakage-free splits (X3) -> k-fold boosted trees, fold-averaged predictions on
-the test split, metrics and importance shares (X4). Rows-only check (model numbers)."""
+the test split, metrics and importance shares (X4). SQL states the sizes of the splits and what must add
+up in the report (model numbers are beyond it)."""
 
 from __future__ import annotations
 
@@ -14,7 +15,8 @@ from veerline.operators import vectors as V
 from veerline.plans import docs_queries as DQ
 from veerline.plans import experiment as X
 from veerline.plans import feature_build as FB
-from veerline.plans.registry import register
+from veerline.plans.registry import ORACLE, register
+from veerline.plans.sampling_queries import SQL_SPLITS
 from veerline.sources import io
 from veerline.sources.tables import read_table
 
@@ -46,10 +48,36 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
     return S.balanced_dataset(oc, onc, rnd, test_accounts, ["row_id"], "account_name")
 
 
-@register("end_to_end_run")
+def _sql_run() -> str:
+    rows = lambda name, sql: (f"{name} as (select concat('{name}:', account_name, ':', cast(chunk_id as varchar)) as doc_id, "
+                              f"account_name, label, 0 as n_chars from ({sql}))")
+    rnd = (f"with {DQ.sql_chunks(RANDOM_KEYWORDS)} select replace(fl.flag_handle, '@', '') as account_name, pairs.chunk_id, 0 as label "
+           "from pairs join fl on pairs.conv_id = fl.conv_id")
+    return f"""with {rows("oc", ORACLE["timeline_features"])}, {rows("onc", ORACLE["timeline_features_others"])}, {rows("rnd", rnd)},
+test_acc as (select account_name from (select distinct concat('user_', cast(conv_id as varchar)) as account_name from conversations)
+             where substr(md5(account_name), 1, 1) between '0' and '7'),
+{SQL_SPLITS},
+per as (select l, (select count(*) from bal where split = 'test' and label = l)::double as n from (select unnest([0, 1]) as l)),
+checks as (select 'rows' as section, cast(l as varchar) as name, n as value from per
+           union all select 'slices', cast(l as varchar), n from per
+           union all select 'folds', 'scored', {N_FOLDS} union all select 'check', 'metrics', 1 union all select 'check', 'importance', 1)
+select 'rows' as section, split as name, count(*)::double as value from bal group by split
+union all select * from checks where (select count(*) from bal where split <> 'test') > 0"""
+
+
+@register("end_to_end_run", sql=_sql_run())
 def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
-    """(section, name, value): split sizes, test metrics of the fold ensemble, rows per written
-    outcome slice (tp / fp / fn / tn CSVs with the trace columns), importance shares."""
+    """(section, name, value): rows of each split and, when there are rows to train on, the checks of the
+    run's report (``X.report_checks``)."""
+    result, sizes = flow_run(spark, sf)
+    if not result.models:
+        return sizes
+    return sizes.unionByName(X.report_checks(X.as_report(result), [0, 1], slices=True))
+
+
+def flow_run(spark: SparkSession, sf: str) -> tuple[X.ExperimentResult, DataFrame]:
+    """The run (metrics, appended fold metrics, tp / fp / fn / tn CSVs with the trace columns, importance
+    shares) and the rows of each split (section, name, value)."""
     data = S.materialise_sources([splits(spark, sf)])[0]
     sizes = (data.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select(F.lit("rows").alias("section"), F.col("split").alias("name"), "value"))
@@ -61,4 +89,4 @@ def end_to_end_run(spark: SparkSession, sf: str) -> DataFrame:
                                           "reposts_text_sorted"],
                               metrics_path=io.scratch_dir(spark, "fold_metrics"), run="end_to_end_run",
                               decoded=TRACE_DECODED, vocabulary=vocabulary)
-    return X.as_report(result, sizes)
+    return result, sizes

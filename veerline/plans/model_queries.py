@@ -2,13 +2,15 @@
 
 Mapping: binary label = label < 5; the 64 components are the features (named posts_embedding_1..32
 and reposts_embedding_1..32); stratified folds 0-4 (seeded) are the cross-validation folds and an
-extra sixth fold is the test set. Training is a Spark ML job; results are rows-only checks
-except for the assembly (M1), whose values SQL can state."""
+extra sixth fold is the test set. Training is a Spark ML job whose numbers SQL cannot state, so the
+trained queries return what SQL can: the test rows with a flag that each value is sound, and sums
+that must add up to the sizes of the test split. A flag is false (never null) when a value is missing."""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
@@ -22,6 +24,22 @@ N_FOLDS = 5
 NAMES = M.feature_names([], [("posts_embedding", 32), ("reposts_embedding", 32)])
 
 
+def _sql_test(label: str) -> str:
+    """The test rows (the sixth of six folds stratified by ``label``) with all label columns."""
+    return f"""folds as (
+  select *, (row_number() over (partition by {label} order by md5(concat_ws('|', cast(vec_id as varchar), '42')), vec_id) - 1) % 6 as f
+  from (select vec_id, case when label < 5 then 1 else 0 end as label2, label % 3 as label3 from embeddings)),
+test as (select * from folds where f = 5)"""
+
+
+_SQL_TEST = _sql_test("label2")
+
+
+def sound(condition: Column) -> Column:
+    """A flag that is false, not null, when a value is missing."""
+    return F.coalesce(condition, F.lit(False))
+
+
 def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") < 5).cast("int").alias("label"), (F.col("label") % 3).alias("label3"),
@@ -55,45 +73,69 @@ def train_cv_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, m.getNumTrees >= 1) for k, m in enumerate(models)], "fold int, has_trees boolean")
 
 
-@register("predict_folds")
+@register("predict_folds", sql=f"""with {_SQL_TEST}
+select vec_id, fold::int as fold, true as in_range from test, (select unnest(range(5)) as fold)""")
 def predict_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """M4: every fold model on the test rows (vec_id, fold, prob)."""
+    """M4: every fold model on every test row; the probability lies in 0 to 1."""
     models, test = trained(spark, sf)
-    return M.predict_folds(models, test, ["vec_id"])
+    return M.predict_folds(models, test, ["vec_id"]).select("vec_id", "fold", sound(F.col("prob").between(0, 1)).alias("in_range"))
 
 
-@register("multiclass_train")
+@register("multiclass_train", sql=f"with {_SQL_TEST} select vec_id, label3 as label, true as known_label from test")
 def multiclass_train(spark: SparkSession, sf: str) -> DataFrame:
-    """M5: three-class model (label % 3) trained on the CV rows, predictions for the test rows."""
+    """M5: three-class model (label % 3) trained on the CV rows; each test row gets one of the labels."""
     cv, test = cv_and_test(spark, sf)
     model = M.multiclass_train(cv, label="label3", num_trees=20)
-    return model.transform(test).select("vec_id", F.col("label3").alias("label"), F.col("prediction").cast("int").alias("pred"))
+    return model.transform(test).select("vec_id", F.col("label3").alias("label"),
+                                        sound(F.col("prediction").isin(0, 1, 2)).alias("known_label"))
+
 
+def importance_agreement(gains: DataFrame, expected: DataFrame) -> DataFrame:
+    """(fold, feature, agrees): the feature's share of its fold's total gain equals ``expected`` (fold, feature, share)."""
+    total = F.sum("gain").over(Window.partitionBy("fold"))
+    shares = expected.join(gains, ["fold", "feature"], "left").withColumn("got", F.coalesce("gain", F.lit(0.0)) / F.nullif(total, F.lit(0.0)))
+    return shares.select("fold", "feature", sound(F.abs(F.col("got") - F.col("share")) < 1e-6).alias("agrees"))
 
-@register("gain_importance")
+
+@register("gain_importance", sql="select f.fold::int as fold, n.feature, true as agrees from (select unnest(range(5)) as fold) f, (select unnest(["
+          + ", ".join(f"'{n}'" for n in NAMES) + "]) as feature) n")
 def gain_importance(spark: SparkSession, sf: str) -> DataFrame:
-    """M6 (+ S9): fold models saved, raw gain per feature read back from the saved trees."""
+    """M6 (+ S9): fold models saved, total gain per feature read back from the saved trees; its shares are
+    Spark's ``featureImportances`` (folds x features numbers of the models, from the driver)."""
     models, _ = trained(spark, sf)
     paths = M.save_models(models, M.model_dir(read_table(spark, sf, "embeddings"), "gain_importance"))
-    return M.gain_importance(spark, paths, NAMES)
+    expected = [(k, n, float(x)) for k, m in enumerate(models) for n, x in zip(NAMES, m.featureImportances.toArray(), strict=True)]
+    return importance_agreement(M.gain_importance(spark, paths, NAMES),
+                                spark.createDataFrame(expected, "fold int, feature string, share double"))
 
 
-@register("save_model")
+@register("save_model", sql=f"""with {_SQL_TEST}
+select fold::int as fold, true as has_trees, count(*) as n_rows, count(*) as n_equal
+from test, (select unnest(range(5)) as fold) group by fold""")
 def save_model(spark: SparkSession, sf: str) -> DataFrame:
-    """The fold ensemble written one model per fold; the saved trees read back."""
-    models, _ = trained(spark, sf)
+    """The fold ensemble written one model per fold and loaded again: the saved trees, and the test rows
+    on which the loaded model gives the same probability."""
+    models, test = trained(spark, sf)
     paths = M.save_models(models, M.model_dir(read_table(spark, sf, "embeddings"), "save_model"))
-    parts = [spark.read.parquet(f"{p}/data").select(F.lit(k).alias("fold"), "treeID") for k, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("fold").agg(F.count_distinct("treeID").alias("n_trees"), F.count(F.lit(1)).alias("n_nodes"))
+    loaded = [GBTClassificationModel.load(p) for p in paths]
+    before = M.predict_folds(models, test, ["vec_id"])
+    after = M.predict_folds(loaded, test, ["vec_id"]).withColumnRenamed("prob", "again")
+    trees = spark.createDataFrame([(k, m.getNumTrees >= 1) for k, m in enumerate(loaded)], "fold int, has_trees boolean")
+    rows = before.join(after, ["vec_id", "fold"], "left").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prob") == F.col("again")).alias("n_equal"))
+    return rows.join(trees, "fold").select("fold", "has_trees", "n_rows", "n_equal")
+
+
+@register("train_and_evaluate", sql=f"""with {_SQL_TEST}
+select 'rows' as section, cast(label2 as varchar) as name, count(*)::double as value from test group by label2
+union all select 'folds', 'scored', 5 union all select 'check', 'metrics', 1 union all select 'check', 'importance', 1""")
+def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 -> M2 -> M3 -> M4 -> A8 -> P13 -> M7 (+ S9 -> M6 -> A9 / A10), checked (``X.report_checks``)."""
+    return X.report_checks(two_class_report(spark, sf), [0, 1])
 
 
-@register("train_and_evaluate")
-def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """M1 -> M2 -> M3 -> M4 -> A8 -> P13 -> M7 (+ S9 -> M6 -> A9 / A10): one long result table
-    (section, name, value)."""
+def two_class_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's long result table (section, name, value)."""
     e = read_table(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") < 5).cast("int").alias("label"),
         F.slice("embedding", 1, 32).alias("posts_embedding"), F.slice("embedding", 33, 32).alias("reposts_embedding"))
@@ -104,10 +146,18 @@ def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return X.as_report(result)
 
 
-@register("train_and_evaluate_three")
+@register("train_and_evaluate_three", sql=f"""with {_sql_test("label3")}
+select 'rows' as section, cast(label3 as varchar) as name, count(*)::double as value from test group by label3
+union all select 'slices', cast(label3 as varchar), count(*)::double from test group by label3
+union all select 'folds', 'scored', 5 union all select 'check', 'metrics', 1 union all select 'check', 'importance', 1""")
 def train_and_evaluate_three(spark: SparkSession, sf: str) -> DataFrame:
     """X4 in three-class mode (label % 3): fold models, averaged class probabilities, first maximum,
-    macro metrics, 3x3 confusion matrix, t<k> / f<k> slices, importance shares (section, name, value)."""
+    macro metrics, 3x3 confusion matrix, t<k> / f<k> slices, importance shares, checked (``X.report_checks``)."""
+    return X.report_checks(three_class_report(spark, sf), [0, 1, 2], mode="three", slices=True)
+
+
+def three_class_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's long result table (section, name, value)."""
     e = read_table(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") % 3).cast("int").alias("label"),
         F.slice("embedding", 1, 32).alias("posts_embedding"), F.slice("embedding", 33, 32).alias("reposts_embedding"))
@@ -120,19 +170,18 @@ def train_and_evaluate_three(spark: SparkSession, sf: str) -> DataFrame:
     return X.as_report(result)
 
 
-@register("multiclass_evaluate")
+@register("multiclass_evaluate", sql=f"""with {_SQL_TEST}
+select 'rows' as section, cast(label3 as varchar) as name, count(*)::double as value from test group by label3
+union all select 'check', 'metrics', 1""")
 def multiclass_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     """Three-class run (M5 -> P14 -> A4 -> A7): class scores from the multiclass model, first-max
-    label, 3x3 confusion matrix with zero cells kept, balanced accuracy and macro P / R / F1."""
+    label, 3x3 confusion matrix with zero cells kept, balanced accuracy and macro P / R / F1; checked."""
     cv, test = cv_and_test(spark, sf)
     model = M.multiclass_train(cv, label="label3", num_trees=20)
     scored = model.transform(test).select(
         F.col("label3").alias("label"),
         E.argmax_prediction(vector_to_array("probability")).alias("pred"))
-    cm = E.confusion_matrix(scored, [0, 1, 2]).select(
-        F.lit("confusion").alias("section"),
-        F.concat(F.col("label").cast("string"), F.lit("->"), F.col("pred").cast("string")).alias("name"),
-        F.col("n").cast("double").alias("value"))
-    metrics = E.evaluate_run(scored, "three").select(F.lit("metric").alias("section"),
-                                                    F.col("metric").alias("name"), "value")
-    return cm.unionByName(metrics)
+    result = X.ExperimentResult([model], scored, E.evaluate_run(scored, "three"), None, None,
+                                confusion=E.confusion_matrix(scored, [0, 1, 2]))
+    return X.report_checks(X.as_report(result), [0, 1, 2], mode="three").where(F.col("section").isin("rows", "check")
+                                                                              & (F.col("name") != "importance"))

@@ -64,7 +64,8 @@ test_acc as (select distinct account_name from (select concat('u', cast(doc_id /
              where substr(md5(account_name), 1, 1) in ('0', '1', '2'))
 """
 
-SQL_BALANCED = SQL_SOURCES + f""",
+# the splits of any sources oc, onc, rnd (doc_id, account_name, label, n_chars) and test_acc (account_name)
+SQL_SPLITS = f"""
 oc2 as (select doc_id, account_name, label, label as true_label, n_chars from oc),
 onc2 as (select doc_id, account_name, 0 as label, label as true_label, n_chars from onc),
 rnd2 as (select doc_id, account_name, label, label as true_label, n_chars from rnd),
@@ -96,6 +97,8 @@ bal as (select doc_id, account_name, label, true_label, n_chars, 'test' as split
                          case when r <= (select k from kk) then 'train' else 'valid' end from negr)
 """
 
+SQL_BALANCED = f"{SQL_SOURCES},{SQL_SPLITS}"
+
 
 @register("balanced_dataset", sql=f"with {SQL_BALANCED} select * from bal")
 def balanced_dataset(spark: SparkSession, sf: str) -> DataFrame:
