@@ -13,14 +13,16 @@ window that holds a turn of nearly the whole budget is longer (turns are never c
 
 All built-in column expressions. Scale: running sums are taken in two steps (sums of runs of
 ``run`` turn numbers, combined before the shuffle, then inside a run), so a hot conversation is
-spread over its runs; a window's turns are a group bounded by the budget; a turn is repeated at
-most ``1 + 8 * history / budget`` times."""
+spread over its runs; the placed turns are written once and read by each use; a window's turns are
+a group bounded by the budget; a turn is repeated at most ``1 + 8 * history / budget`` times."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veerline.llm.common import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -75,6 +77,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     convs = convs.select("k", "conv_id", F.col("sys.start").alias("sys_at"), stride.alias("stride"),
                          F.least(F.greatest(F.lit(budget) - need - stride, F.lit(0)), F.lit(history)).alias("reach"))
     rows = rows.drop("conv_id").join(convs, "k").withColumn("w", F.floor(F.col("start") / F.col("stride")))
+    rows = written(rows.select("k", "conv_id", "w", "start", "stride", "reach", "sys_at", "tokens", "role", "head", "body"), "turns")
     windows = rows.groupBy("k", "w").agg(F.min("start").alias("first"))
 
     item = F.struct("start", "tokens", "head", "body", (F.col("role") == "assistant").alias("target"))
