@@ -117,9 +117,10 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
          neg = first m//2 shuffled others + first m//2 shuffled random users.
       5. k = int(train_share * m): train = first k of pos and of neg (shuffle order); valid = rest.
     Every split of the rule keeps only the columns common to the three sources, so they travel as
-    one union tagged by source (``_src``): three ranks partitioned by the tag instead of six.
-    Two counts (n and m) are the only actions; the union is materialised once (reliable
-    checkpoint in ``spark.checkpoint.dir``) because it feeds both counts and the result."""
+    one union tagged by source (``_src``): three ranks partitioned by the tag instead of six. The
+    ranks move only row key, account, label and a row number; the whole rows (texts, vectors) are
+    joined to the chosen numbers once. Two counts (n and m) are the only actions; the union is
+    materialised once (reliable checkpoint in ``spark.checkpoint.dir``), which also fixes the numbers."""
     keys = list(row_key)
     frames = [relabel(changers), relabel(others, constant=0), relabel(randoms)]
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
@@ -127,7 +128,8 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
                     [f.select(*common, F.lit(i).alias("_src")) for i, f in enumerate(frames)])
     from veerline.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(tagged.sparkSession)
-    src = tagged.checkpoint(eager=True)
+    whole = tagged.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    src = whole.select("_rid", "_src", *dict.fromkeys([*keys, account, "label"]))
     is_pos = (F.col("_src") == 0) & (F.col("label") == 1)
 
     def first_per_source(df: DataFrame, n_each: int) -> DataFrame:
@@ -152,8 +154,8 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     both = pos.unionByName(neg).withColumn("_grp", grp)
     ranked = global_rank(both, key, tiebreak=keys, hex_digits=hex_digits, partition_by=["_grp"], rank_col="_r", few_groups=True)
     train_valid = ranked.withColumn("split", F.when(F.col("_r") <= k, F.lit("train")).otherwise(F.lit("valid")))
-    return (test.withColumn("split", F.lit("test")).select(*common, "split")
-            .unionByName(train_valid.select(*common, "split")))
+    chosen = test.select("_rid", F.lit("test").alias("split")).unionByName(train_valid.select("_rid", "split"))
+    return whole.join(chosen, "_rid").select(*common, "split")
 
 
 def materialise_sources(frames: Sequence[DataFrame]) -> list[DataFrame]:
