@@ -99,3 +99,45 @@ def test_odd_rows(spark):
     exact = line_dedup(docs(spark, [(1, "a line of some length"), (2, "a line of some lengths")]), max_edits=0).collect()
     assert all(r.kept_lines == 1 for r in exact)
     assert line_dedup(docs(spark, [])).count() == 0
+
+
+def within(a, b, k):
+    """Edit distance of at most ``k``, by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1] <= k
+
+
+def test_wider_bounds_and_short_lines(spark):
+    for seed, k, min_chars, broadcast_rows in ((4, 2, 0, 500_000), (5, 3, 16, 3), (6, 4, 0, 3), (7, 3, 0, 500_000), (8, 1, 0, 3)):
+        rnd, lines = random.Random(seed), []
+        for _ in range(60):
+            line = "".join(rnd.choice("abc dé\U0001f600") for _ in range(rnd.choice((1, 2, 3, 5, 9, 14, 20, 33, 70)))).strip() or "x"
+            lines.append(line)
+            for _ in range(rnd.choice((0, 1, 2))):
+                for _ in range(rnd.randrange(1, k + 3)):
+                    at = rnd.randrange(len(line) + 1)
+                    line = rnd.choice([line[:at] + rnd.choice("ab ") + line[at:], line[:at] + line[at + 1:], line[:at] + "z" + line[at + 1:]])
+                lines.append(line)
+        rnd.shuffle(lines)
+        seen, want = [], {}
+        for i, line in enumerate(lines):
+            late = any(line == x or (min(len(line), len(x)) >= min_chars and within(line, x, k)) for x in seen)
+            want[i] = line if not late or not line.strip() else ""
+            seen += [line] if line.strip() else []
+        out = line_dedup(docs(spark, list(enumerate(lines))), max_edits=k, min_chars=min_chars, broadcast_rows=broadcast_rows).collect()
+        assert {r.doc_id: r.text for r in out} == want, (seed, k)
+
+
+def test_query_finds_three_edits(spark, tmp_path):
+    rows = [(1, "the first line of this text, quite long"), (2, "a first line of his text, quite long"), (3, "the first of this text, quite long")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_chars for r in out} == {1: 39, 2: 36, 3: 34}
+    near = [(1, rows[0][1]), (2, "the frst line of his text, quite lung")]
+    docs(spark, near).write.parquet(str(tmp_path / "near" / "documents.parquet"))
+    out = queries.QUERIES["op5_line_dedup"](spark, str(tmp_path / "near")).collect()
+    assert {r.doc_id: r.kept_chars for r in out} == {1: 39, 2: 0}

@@ -18,7 +18,14 @@ Lines travel as 128-bit hashes; full texts are shuffled once, with the documents
 The few lines with a shared part are broadcast up to ``broadcast_rows`` hashes (counted), and are a
 plain join side beyond. A key's group holds at most one line per character (or one per character
 and place), so the window over it is bounded; hot lines meet in plain joins, which adaptive
-execution splits."""
+execution splits.
+
+A bound of two or more (``near_lines_within``): k edits leave one of k + 1 pieces of the shorter line
+untouched, moved by no more than the edits on either side of it, so partners share a hashed piece.
+Pairs that share one are compared by length and by parities of character and character-pair
+counts (each edit flips at most two of the first, four of the second), then by their edit
+distance. Each line meets the earliest line of its pieces first; only lines without a partner
+there meet the others."""
 
 from __future__ import annotations
 
@@ -35,6 +42,7 @@ from veerline.operators.docs import sized_side
 
 MIN_CHARS = 16          # shorter lines are compared exactly only
 PIECES = 16
+SHORT_PIECE = 8         # shorter pieces agree by chance: their keys hold the length of the shorter line too
 
 
 class VariantHashes:
@@ -135,6 +143,81 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.select("lid", "other")
 
 
+def _pieces(max_edits: int, signed: bool = False):
+    """Rows whose last column is ``line`` -> the other columns, one row per piece key ``h`` that a partner's may equal.
+
+    The partner's length goes from ``max_edits`` less to the line's own; piece p is moved by s with at most p edits
+    before and ``max_edits`` - p after it. ``signed``: also ``n`` (length) and bit sets of the parities of the counts
+    of characters (``chars``) and of neighbouring pairs (``grams``, the end counts as a character), in 64 buckets."""
+    base, mix, one = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
+    steps = [(less, p, s) for less in range(max_edits + 1) for p in range(max_edits + 1)
+             for s in range(max(-p, less - (max_edits - p)), min(p, less + (max_edits - p)) + 1)]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, back = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+        for whole in batches:
+            lines = whole.column(whole.num_columns - 1).to_pylist()
+            ends = np.cumsum([len(x) for x in lines])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // 1_000_000)) + 1).tolist(), len(lines)] if lines else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                batch, part = whole.slice(i, j - i), lines[i:j]
+                c = np.frombuffer("".join(x + "\0" for x in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                c = c.astype(np.uint64) + one
+                if len(powers) < len(c) + 1:
+                    powers, back = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * len(c), x, dtype=np.uint64))),
+                                               dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+                sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * powers[:len(c)], dtype=np.uint64)))
+                n = np.array([len(x) for x in part])
+                at = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
+                keys, known = np.zeros((len(part), len(steps)), dtype=np.uint64), np.zeros((len(part), len(steps)), dtype=bool)
+                for k, (less, p, s) in enumerate(steps):
+                    length = n - less
+                    start, end = (length * q // (max_edits + 1) for q in (p, p + 1))
+                    fits = (length > 0) & (start + s >= 0) & (end + s <= n)
+                    a, b = at + np.where(fits, start + s, 0), at + np.where(fits, end + s, 0)
+                    salt = np.where(end - start < SHORT_PIECE, length + 1, 0).astype(np.uint64)
+                    h = ((sums[b] - sums[a]) * back[a] + np.uint64(p + 1) * np.uint64(0xD6E8FEB86659FD93)) * mix
+                    h = (h ^ (h >> np.uint64(29)) ^ salt * np.uint64(base)) * mix
+                    keys[:, k], known[:, k] = h ^ (h >> np.uint64(32)), fits
+                order = np.argsort(keys, axis=1, kind="stable")
+                keys, known = np.take_along_axis(keys, order, 1), np.take_along_axis(known, order, 1)
+                known[:, 1:] &= ~((keys[:, 1:] == keys[:, :-1]) & known[:, :-1])
+                row = np.repeat(np.arange(len(part)), known.sum(axis=1))
+                columns, names = [x.take(pa.array(row)) for x in batch.columns[:-1]], list(batch.schema.names[:-1])
+                if signed:
+                    pair = c * np.uint64(1_000_003) + np.concatenate((c[1:], c[:1]))
+                    pair[at + n] = 0                                # a line's end and the next line are no pair
+                    sets = [np.bitwise_xor.reduceat(one << ((x + one) * mix >> np.uint64(58)), at).view(np.int64) for x in (c, pair)]
+                    columns += [pa.array(x[row]) for x in (n.astype(np.int32), *sets)]
+                    names += ["n", "chars", "grams"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[known].view(np.int64))], [*names, "h"])
+
+    return emit
+
+
+def near_lines_within(lines: DataFrame, shared: DataFrame, max_edits: int) -> DataFrame:
+    """``lid`` of the lines within ``max_edits`` of an earlier one. ``lines``: (lid, line), distinct
+    lines, numbered from the earliest; ``shared``: the piece keys ``h`` of two lines or more."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = lines.select("lid", "line").repartition(tasks, "lid").mapInArrow(
+        _pieces(max_edits, signed=True), "lid bigint, n int, chars bigint, grams bigint, h bigint")
+    keyed = written(keyed.join(shared, "h", "left_semi"), "keyed")
+    text = lines.select(F.col("lid").alias("other"), F.col("line").alias("_line"))
+
+    def near(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.select("h", *[F.col(c).alias(f"_{c}") for c in ("lid", "n", "chars", "grams")])
+        flips = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
+        pairs = (x.join(y, "h").where((F.col("lid") > F.col("_lid")) & (F.abs(F.col("n") - F.col("_n")) <= max_edits)
+                                      & (flips("chars") <= 2 * max_edits) & (flips("grams") <= 4 * max_edits))
+                 .select("lid", F.col("_lid").alias("other")).distinct())
+        return (pairs.join(lines.select("lid", "line"), "lid").join(text, "other")
+                .where(F.levenshtein("line", "_line", max_edits).between(1, max_edits)).select("lid").distinct())
+
+    heads = keyed.groupBy("h").agg(F.min(F.struct("lid", "n", "chars", "grams")).alias("m")).select("h", "m.*")
+    first = written(near(keyed, heads), "settled")
+    return first.unionByName(near(keyed.join(first, "lid", "left_anti"), keyed))
+
+
 def _part_length(length: Column) -> Column:
     """Half the length, rounded down to a geometric series (eighths), so that most lengths next to each other agree."""
     half = F.floor(length / 2)
@@ -147,13 +230,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``doc_id``, ``n_lines``, ``kept_lines`` and ``text``, the lines that stay.
 
     Lines are what line feeds separate, compared as they are; blank ones always stay. A line is
-    dropped when an equal line, or (both of ``min_chars`` or more, ``max_edits`` = 1) one within one
-    edit, occurs earlier, in order of document id (null ids last), then text hash, then line number.
-    ``max_edits`` = 0 compares exactly only. A line goes even if the earlier one goes too (each is near
+    dropped when an equal line, or (both of ``min_chars`` or more) one within ``max_edits`` edits,
+    occurs earlier, in order of document id (null ids last), then text hash, then line number.
+    ``max_edits`` = 0 compares exactly only; ``min_chars`` = 0 holds lines of every length to the bound. A line goes even if the earlier one goes too (each is near
     an earlier one). Null text: empty, one blank line. Rows that repeat id and text are one
     document and get the same result."""
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+    if max_edits < 0:
+        raise ValueError("max_edits is 0 or more")
     base = plain(docs, id_col, text_col)
     own = base.select("doc_id", F.xxhash64("text").alias("th"), "text")
     cut = own.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -161,7 +244,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 128 bits of a line: two hashes with different seeds
     cut = cut.select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("line"), F.col("line")).alias("l2"),
                      F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "no").alias("at"), "line")
-    late = _late_lines(cut, min_chars, broadcast_rows) if max_edits else None
+    late = _late_lines(cut, max_edits, min_chars, broadcast_rows) if max_edits else None
 
     occurrences = written(cut.select("l1", "l2", "at"), "lines")
     classes = occurrences.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -180,8 +263,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("doc_id", "n_lines", F.size("rest").alias("kept_lines"), F.array_join("rest", "\n").alias("text")))
 
 
-def _late_lines(cut: DataFrame, min_chars: int, broadcast_rows: int) -> DataFrame:
-    """(l1, l2, late = true) of the lines within one edit of an earlier one."""
+def _late_lines(cut: DataFrame, max_edits: int, min_chars: int, broadcast_rows: int) -> DataFrame:
+    """(l1, l2, late = true) of the lines within ``max_edits`` of an earlier one."""
     n = F.char_length("line")
     eligible = cut.where(n >= min_chars)
 
@@ -192,17 +275,22 @@ def _late_lines(cut: DataFrame, min_chars: int, broadcast_rows: int) -> DataFram
         own, less = _part_length(n), _part_length(n - 1)
         return F.when(own == less, F.array(*part(own))).otherwise(F.array(*part(own), *part(less)))
 
-    keys = eligible.select("l1", F.explode(parts()).alias("h"))
+    if max_edits > 1:
+        keys = eligible.select("l1", "l2", "line").mapInArrow(_pieces(max_edits), "l1 bigint, l2 bigint, h bigint")
+    else:
+        keys = eligible.select("l1", "l2", F.explode(parts()).alias("h"))
     shared = written(keys.groupBy("h").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).where("x <> y").select("h"), "shared")
-    if shared.count() <= broadcast_rows:
+    if max_edits == 1 and shared.count() <= broadcast_rows:
         hit = eligible.select("l1", "l2", "at", "line", F.explode(parts()).alias("h")).join(F.broadcast(shared), "h", "left_semi")
     else:  # narrow rows first, then the texts of the lines that are left
-        ids = (eligible.select("l1", "l2", F.explode(parts()).alias("h")).join(shared, "h", "left_semi")
-               .select("l1", "l2").distinct())
+        ids = keys.join(sized_side(shared, broadcast_rows), "h", "left_semi").select("l1", "l2").distinct()
         hit = eligible.join(sized_side(written(ids, "likely"), broadcast_rows), ["l1", "l2"], "left_semi")
     lines = (hit.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.first("line").alias("line"))
              .orderBy("first").withColumn("lid", F.monotonically_increasing_id()).select("lid", "l1", "l2", "line"))
     lines = written(lines, "numbered")
-    late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
+    if max_edits > 1:
+        late = near_lines_within(lines, sized_side(shared, broadcast_rows), max_edits)
+    else:
+        late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
     return written(lines.select("lid", "l1", "l2").join(late, "lid", "left_semi")
                    .select("l1", "l2", F.lit(True).alias("late")), "late")

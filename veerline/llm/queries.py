@@ -89,7 +89,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"), max_edits=3)
     return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("kept_lines").cast("bigint").alias("kept_lines"),
                       F.char_length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
