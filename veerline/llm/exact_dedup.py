@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from veerline.llm.common import plain, written
 
 BLOCK_CHARS = 1024
+REPEATS = 10_000
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
@@ -28,12 +29,12 @@ def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                block_chars: int = BLOCK_CHARS) -> DataFrame:
+                block_chars: int = BLOCK_CHARS, repeated_rows: bool = False) -> DataFrame:
     """One row per document: ``doc_id``, ``keep_id`` (largest id among equal texts), ``group_size``,
     ``kept``, ``text_sha256``.
 
     Null text: empty; empty texts are equal to each other. Rows that repeat both id and text are one
-    document (one row, counted once); rows with one id and different texts are different documents.
+    document (one row, counted once), or with ``repeated_rows`` one row and one count each; rows with one id and different texts are different documents.
     A null id is kept only when no row of its group has an id. No input rows: no output rows."""
     base = plain(docs, id_col, text_col)
     cut = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(
@@ -58,14 +59,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done, level = [], 0
     while True:
         level += 1
+        # how often id and text come: each row has one block of an even number in a pair
+        times = F.count(F.when(F.col("i") % 2 == 0, F.lit(1))) if level == 1 else F.max("times")
         pairs = named.groupBy("doc_id", "th", F.shiftright("i", 1).alias("i")).agg(
-            F.max("sha").alias("sha"), F.max("n").alias("n"),
+            *([times.alias("times")] if repeated_rows else []), F.max("sha").alias("sha"), F.max("n").alias("n"),
             F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         pairs = written(pairs, f"pairs{level}")
         names = written(_numbered(pairs.select("a", "b").distinct(), "a", "b"), f"names{level}")
         named = pairs.join(names, ["a", "b"]).drop("a", "b")
-        done.append(named.where(F.col("n") <= 2 ** level).select("doc_id", "sha", F.lit(level).alias("level"), "name"))
+        done.append(named.where(F.col("n") <= 2 ** level).select("doc_id", "sha", F.lit(level).alias("level"), "name",
+                                                                 *(["times"] if repeated_rows else [])))
         longest = pairs.agg(F.max("n")).first()[0]
         if longest is None or longest <= 2 ** level:
             break
@@ -73,7 +77,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = done[0]
     for more in done[1:]:
         ids = ids.unionByName(more)
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    size = F.sum("times") if repeated_rows else F.count(F.lit(1))
+    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), size.alias("group_size"))
+    if repeated_rows:  # in two steps, so that no array is longer than REPEATS for one row's many copies
+        runs = ids.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / REPEATS))).alias("run"))
+        rest = F.least(F.col("times") - F.col("run") * REPEATS, F.lit(REPEATS)).cast("int")
+        ids = runs.select("doc_id", "sha", "level", "name", F.explode(F.array_repeat(F.lit(1), rest)).alias("_")).drop("_")
     return ids.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))

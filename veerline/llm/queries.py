@@ -29,7 +29,7 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
 from documents window g as (partition by coalesce(text, ''))
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), repeated_rows=True)
 
 
 @_query("op2_quality_ranking")
