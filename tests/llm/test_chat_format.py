@@ -96,3 +96,12 @@ def test_odd_rows(spark):
     assert out[None].turns_sha256 == sha("assistant\nc\nuser\nd\n") and out[None].n_turns == 2
     assert out[2].loss_chars == 200_000 and out[3].loss_chars == 0 and out[3].loss_sha256 == sha("") and out[4].n_turns == 1
     assert digest(format_windows(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_one_long_turn_shrinks_only_its_window(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", "x" * (3700 if i == 20 else 160)) for i in range(60)]
+    windows = sorted(format_windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda w: w.window)
+    long = [w for w in windows if "x" * 3700 in w.formatted]
+    plain = [w for w in windows[1:] if "x" * 3700 not in w.formatted]
+    assert all(w.tokens <= 1024 for w in plain) and len(long) == 1 and long[0].repeated < 3
+    assert sum(w.repeated > 3 for w in plain) > len(plain) // 2

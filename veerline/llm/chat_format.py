@@ -8,7 +8,7 @@ window also repeats its conversation's system turn and the last turns before it
 ``history`` tokens. Loss covers the texts of new assistant turns; repeated ones are masked.
 
 The stride of a conversation leaves room for its system turn, history and longest turn, so a window
-stays within ``budget``; a conversation with a turn that does not fit gets less history, and only a
+stays within ``budget``; a window whose new turns leave less room gets less history, and only a
 window that holds a turn of nearly the whole budget is longer (turns are never cut).
 
 All built-in column expressions. Scale: running sums are taken in two steps (sums of runs of
@@ -75,18 +75,20 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     need = F.coalesce(F.col("sys.tokens"), F.lit(0)) + F.col("longest")
     stride = F.greatest(F.lit(budget - history) - need, F.lit(max(1, budget // 8)))
     convs = convs.select("k", "conv_id", F.col("sys.start").alias("sys_at"), stride.alias("stride"),
-                         F.least(F.greatest(F.lit(budget) - need - stride, F.lit(0)), F.lit(history)).alias("reach"))
+                         F.coalesce(F.col("sys.tokens"), F.lit(0)).alias("sys_tokens"))
     rows = rows.drop("conv_id").join(convs, "k").withColumn("w", F.floor(F.col("start") / F.col("stride")))
-    rows = written(rows.select("k", "conv_id", "w", "start", "stride", "reach", "sys_at", "tokens", "role", "head", "body"), "turns")
-    windows = rows.groupBy("k", "w").agg(F.min("start").alias("first"))
+    rows = written(rows.select("k", "conv_id", "w", "start", "stride", "sys_tokens", "sys_at", "tokens", "role", "head", "body"), "turns")
+    room = F.lit(budget) - F.max("sys_tokens") - F.sum("tokens")
+    windows = rows.groupBy("k", "w").agg(F.min("start").alias("first"),
+                                         F.least(F.greatest(room, F.lit(0)), F.lit(history)).alias("reach"))
 
     item = F.struct("start", "tokens", "head", "body", (F.col("role") == "assistant").alias("target"))
-    turn = rows.select("k", "conv_id", "w", "start", "stride", "reach", "sys_at", item.alias("t"))
+    turn = rows.select("k", "conv_id", "w", "start", "stride", "sys_at", item.alias("t"))
     new = turn.select("k", "conv_id", "w", F.lit(2).alias("kind"), "t")
-    last = F.floor((F.col("start") + F.col("reach")) / F.col("stride"))
+    last = F.floor((F.col("start") + F.lit(history)) / F.col("stride"))
     later = F.when(last > F.col("w"), F.sequence(F.col("w") + 1, last)).otherwise(F.array().cast("array<bigint>"))
     again = (turn.where(F.col("sys_at").isNull() | (F.col("start") != F.col("sys_at")))
-             .select("k", "conv_id", "start", "reach", "t", F.explode(later).alias("w")).join(windows, ["k", "w"])
+             .select("k", "conv_id", "start", "t", F.explode(later).alias("w")).join(windows, ["k", "w"])
              .where(F.col("first") - F.col("start") <= F.col("reach")).select("k", "conv_id", "w", F.lit(1).alias("kind"), "t"))
     kept = (turn.where(F.col("start") == F.col("sys_at")).select("k", "conv_id", "start", "t").join(windows, "k")
             .where(F.col("first") > F.col("start")).select("k", "conv_id", "w", F.lit(0).alias("kind"), "t"))
