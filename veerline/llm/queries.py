@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veerline.llm import chat_format, exact_dedup, fingerprints, language_id, line_dedup, mixing, packing, quality, simhash, toxicity
+from veerline.llm import (
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    language_id,
+    line_dedup,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
 from veerline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +166,99 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.coalesce(F.get("positions", F.lit(0)), 1 + F.rand(0))     # rows not taken follow, spread
     return (mix.withColumn("_at", at).orderBy("_at")
             .select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken")))
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out: each assigns all parts and moves the entries to floored means."""
+    ctes = [f"""kept as materialized (
+  select row_number() over (order by vec_id, embedding) as n, vec_id, label, embedding, len(embedding) // {parts} as size
+  from embeddings
+  where embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true))""",
+            """comp as materialized (
+  select n, (i - 1) // size as part, (i - 1) % size as place, floor(4096 * embedding[i]::double)::bigint as x
+  from (select *, unnest(range(1, len(embedding) + 1)) as i from kept))""",
+            f"c0 as materialized (select part, n - 1 as e, place, x as v from comp where n <= {entries})"]
+    for r in range(rounds + 1):
+        ctes.append(f"""d{r} as materialized (
+  select n, part, e, sum((x - v) * (x - v))::bigint as d from comp join c{r} using (part, place) group by n, part, e)""")
+        ctes.append(f"""a{r} as materialized (
+  select n, part, e, d from d{r} qualify row_number() over (partition by n, part order by d, e) = 1)""")
+        if r < rounds:
+            ctes.append(f"""c{r + 1} as materialized (
+  select c.part, c.e, c.place, coalesce(m.v, c.v) as v
+  from c{r} c left join (
+    select part, e, place, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as v
+    from comp join a{r} using (n, part) group by part, e, place) m using (part, e, place))""")
+    return "with " + ",\n".join(ctes) + f""",
+coded as (
+  select n, string_agg(lower(printf('%02x', e::int)), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by n)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(v::varchar, ',' order by part, e, place)) from c{rounds}) as codebooks_sha256
+from coded join kept using (n)"""
+
+
+@_query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_SQL_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_SQL_LEAF = "sha256(" + " || ".join(_SQL_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+_SQL_CRC_ODD = """(xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) & 1) = 1"""
+
+
+@_query("op13_merkle_manifest", f"""
+with recursive
+tamper as (
+  select *, case when coalesce({_SQL_CRC_ODD}, true) then text else replace(text, chr(10), '') end as other from documents),
+digests as (
+  select doc_id, source, {_SQL_LEAF.format(_SQL_FIELD.format('text'))} as leaf, {_SQL_LEAF.format(_SQL_FIELD.format('other'))} as tampered
+  from tamper),
+leaves as materialized (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n
+  from digests),
+nodes as (
+  select source, 0 as lv, i, leaf as h, n from leaves
+  union all
+  select source, lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from nodes where n > 1 group by source, lv, i // 3, n),
+tops as (
+  select 0 as lv, row_number() over (order by source nulls first) - 1 as i, source, h, count(*) over () as n from nodes where n = 1
+  union all
+  select lv + 1, i // 3, null, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from tops where n > 1 group by lv, i // 3, n),
+beside as materialized (
+  select a.source, a.lv, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l,
+         coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from nodes a join nodes b on a.source is not distinct from b.source and a.lv = b.lv and a.i // 3 = b.i // 3
+  where a.n > 1 group by a.source, a.lv, a.i),
+beside_top as materialized (
+  select a.lv, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l,
+         coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from tops a join tops b on a.lv = b.lv and a.i // 3 = b.i // 3 where a.n > 1 group by a.lv, a.i),
+walk as (
+  select source, i as leaf_no, i, 0 as lv, tampered as node, '' as proof from leaves
+  union all
+  select w.source, w.leaf_no, w.i // 3, w.lv + 1, sha256(b.l || w.node || b.r), w.proof || b.l || b.r
+  from walk w join beside b on w.source is not distinct from b.source and w.lv = b.lv and w.i = b.i),
+walk_top as (
+  select w.source, w.leaf_no, t.i, 0 as lv, w.node, w.proof
+  from (select * from walk qualify lv = max(lv) over (partition by source, leaf_no)) w
+  join (select * from tops where lv = 0) t on w.source is not distinct from t.source
+  union all
+  select w.source, w.leaf_no, w.i // 3, w.lv + 1, sha256(b.l || w.node || b.r), w.proof || b.l || b.r
+  from walk_top w join beside_top b on w.lv = b.lv and w.i = b.i)
+select l.doc_id, l.leaf, s.h as subroot, t.h as root, sha256(w.proof) as proof_sha256, w.node as folded_root, w.node = t.h as verified
+from leaves l
+join (select * from walk_top qualify lv = max(lv) over (partition by source, leaf_no)) w
+  on l.source is not distinct from w.source and l.i = w.leaf_no
+join (select source, h from nodes where n = 1) s on l.source is not distinct from s.source,
+(select h from tops where n = 1) t
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(read_table(spark, sf_dir, "documents"))
