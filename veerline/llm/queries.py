@@ -39,7 +39,7 @@ def _query(name: str, sql: str | None = None):
 
 @_query("op1_exact_dedup", """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
-       doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+       doc_id is not distinct from max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
