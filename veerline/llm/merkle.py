@@ -104,17 +104,21 @@ def _tops(rounds: list[DataFrame]) -> DataFrame:
     return rounds[-1].select("t", F.element_at("levels", -1).alias("subroot"))
 
 
-def _paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def _paths(rounds: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """The nodes' own blocks (the first of ``rounds``) with ``path``, the flanks from their block's root up,
-    and the columns of ``above``: (t, path, more), the flanks from the trees' roots up."""
-    more = [c for c in above.columns if c not in ("t", "path")]
-    parents = above.select("t", F.lit(0).cast("bigint").alias("block"), "path", *more)
-    for blocks in reversed(rounds[1:]):
-        up = blocks.join(parents, ["t", "block"])
+    and the columns of ``above``: (t, path, more), the flanks from the trees' roots up (None: nothing is above)."""
+    last = rounds[-1]                                              # one block a tree
+    if above is None:
+        more, up = [], last.withColumn("path", F.array().cast("array<struct<l:string,r:string>>"))
+    else:
+        more, up = [c for c in above.columns if c not in ("t", "path")], last.join(above, "t")
+    for blocks in reversed(rounds[:-1]):
         each = F.transform("members", lambda m: F.struct(
             m["pos"].alias("pos"), F.concat(_flanks(F.col("levels"), m["pos"]), F.col("path")).alias("path")))
         parents = up.select("t", (F.col("block") * FAN ** DEPTH).alias("_from"), *more, F.inline(each)).select(
             "t", (F.col("_from") + F.col("pos")).alias("block"), "path", *more)
+        up = blocks.join(parents, ["t", "block"])
+    return up
     return rounds[0].join(parents, ["t", "block"])
 
 
@@ -137,9 +141,7 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     root = _tops(top).first()
     root = F.lit(root["subroot"] if root else None).cast("string")
 
-    no_path = F.array().cast("array<struct<l:string,r:string>>")
-    whole = _paths(top, docs.sparkSession.range(1).select(F.lit("").alias("t"), no_path.alias("path")))
-    sources = whole.select("path", "levels", F.explode("members").alias("m")).select(
+    sources = _paths(top).select("path", "levels", F.explode("members").alias("m")).select(
         F.col("m.source").alias("t"), F.concat(_flanks(F.col("levels"), F.col("m.pos")), F.col("path")).alias("path"),
         F.col("m.digest").alias("subroot"))
 
