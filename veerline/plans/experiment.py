@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veerline.operators import boosting as B
 from veerline.operators import docs as D
 from veerline.operators import evaluate as E
 from veerline.operators import model as M
@@ -57,7 +58,7 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
                    n_folds: int = 5, model_path: str | None = None, slices_path: str | None = None,
                    trace_cols: Sequence[str] = (), metrics_path: str | None = None, run: str = "run",
                    mode: str = "two", n_classes: int = 3, decoded: Sequence[DecodedColumn] = (),
-                   vocabulary: DataFrame | None = None, **training) -> ExperimentResult:
+                   vocabulary: DataFrame | None = None, trainer: str = "depthwise", **training) -> ExperimentResult:
     """Train on the rows whose ``split`` is not 'test', evaluate on 'test'. ``vector_cols`` are
     (array column, length) pairs; importance needs ``model_path`` (the fold models are saved
     there, S9) because raw gains are read from the saved trees. With ``slices_path`` the test
@@ -67,9 +68,13 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
     under ``run`` (S6), as every run of the original adds a line per metric.
 
     ``mode`` "three" trains on labels 0 to ``n_classes`` - 1. ``decoded`` ids columns are decoded with
-    ``vocabulary`` and written beside the trace columns. ``training`` goes to the fold training."""
+    ``vocabulary`` and written beside the trace columns. ``training`` goes to the fold training: the
+    ``trainer`` "leafwise" boosts best-first trees (softmax in mode "three") and takes the fields of
+    ``BoostParams``; "depthwise" takes Spark ML's boosted trees, in mode "three" its forest."""
     if mode not in FOLD_METRICS:
         raise ValueError(f"unknown mode {mode!r}")
+    if trainer not in ("leafwise", "depthwise"):
+        raise ValueError(f"unknown trainer {trainer!r}")
     if decoded and vocabulary is None:
         raise ValueError("decoded columns need a vocabulary")
     two = mode == "two"
@@ -77,10 +82,18 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
     rows = M.assemble_features(data, scalar_cols, [c for c, _ in vector_cols])
     cv = M.stratified_folds(rows.where(F.col(split) != "test"), list(key), label, n_folds)
     test = rows.where(F.col(split) == "test")
-    models = (M.train_cv_gbt if two else M.train_cv_multiclass)(cv, label=label, n_folds=n_folds, **training)
+    if trainer == "leafwise":
+        params = B.BoostParams(classes=2 if two else n_classes, **training)
+        fit = B.start_boosting(cv, list(key), label=label, n_folds=n_folds, params=params)
+        models = [fit.run().model()] if sum(fit.sizes) else []
+    else:
+        models = (M.train_cv_gbt if two else M.train_cv_multiclass)(cv, label=label, n_folds=n_folds, **training)
     if not models:
         return ExperimentResult([], None, None, None, None)
-    preds = M.predict_folds(models, test, [*key, label], n_classes=None if two else n_classes)
+    if trainer == "leafwise":
+        preds = models[0].predict(test, [*key, label])
+    else:
+        preds = M.predict_folds(models, test, [*key, label], n_classes=None if two else n_classes)
     confusion = None
     if two:
         avg = (E.fold_average(preds, [*key, label], digits=None).withColumn("pred", E.threshold_prediction("prob_avg"))
@@ -98,8 +111,12 @@ def run_experiment(data: DataFrame, key: Sequence[str], scalar_cols: Sequence[st
         io.append_fold_metrics(long, metrics_path, run)
     importance = shares = None
     if model_path is not None:
-        paths = M.save_models(models, model_path)
-        importance = E.importance_mean_ratio(M.gain_importance(data.sparkSession, paths, names), n_folds, digits=12)
+        if trainer == "leafwise":
+            models[0].save(data.sparkSession, model_path)
+            gains = models[0].gain_importance(data.sparkSession, names)
+        else:
+            gains = M.gain_importance(data.sparkSession, M.save_models(models, model_path), names)
+        importance = E.importance_mean_ratio(gains, n_folds, digits=12)
         shares = E.importance_by_prefix(importance)
     slices = None
     if slices_path is not None:

@@ -31,6 +31,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries are registered."""
     from veerline.plans import (  # noqa: F401
+        boost_queries,
         docs_queries,
         eval_queries,
         flow_queries,
