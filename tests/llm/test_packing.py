@@ -14,7 +14,6 @@ from veerline.llm.packing import LevelPacker, pack_documents
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -70,7 +69,7 @@ def test_level_rule_is_the_smallest_sum_of_squares():
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "<|endoftext|> a"), (4, "long text " * 30_000), (5, "é\U0001f600 x" * 50), (6, "\n\n  ")]
+    rows = [(1, None), (2, ""), (3, "<|endoftext|> a"), (7, "<|im_end|> a <|endoftext|>b<|endoftext|><|endoftext|"), (8, "x<|endoftext|>" * 3000), (4, "long text " * 30_000), (5, "é\U0001f600 x" * 50), (6, "\n\n  ")]
     out = pack_documents(clashing(docs(spark, rows).coalesce(1))).collect()
     check(out, dict(zip([r[0] for r in rows], ids_of([r[1] for r in rows]), strict=True)))
     assert all(len(r.ids) == r.length for r in out)
