@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veerline.operators.sampling import shuffled_rank
@@ -56,6 +56,30 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", n_
     return df.join(folds, by)
 
 
+def stratified_group_folds(df: DataFrame, group: str, label: str = "label", n_folds: int = 5, seed: int = 42,
+                           hex_digits: int = 3) -> DataFrame:
+    """M2 with whole groups (accounts), balanced in rows: no group is in two folds, and when a group has rows of
+    one label only, the rows of a label differ between two folds by at most that label's largest group.
+
+    A group's type is its number of rows by label. Within a group's main label (most rows; ties: the smallest)
+    types are ordered by size, the largest first, and dealt to the folds in turn: a type starts where the sizes of the types before
+    it (prefix sums over the table of types) end, and its groups follow in seeded order. Rows without a group form one
+    group. Groups are counted with map-side combine; a hot group is one row."""
+    rows = df.groupBy(F.col(group).alias("_g"), F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    sized = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_l", "_n"))).alias("_type"), F.sum("_n").alias("_rows"))
+    most = F.array_max(F.transform("_type", lambda x: x["_n"]))
+    sized = sized.withColumn("_main", F.coalesce(F.get(F.filter("_type", lambda x: x["_n"] == most), 0)["_l"].cast("string"), F.lit("")))
+    typed = sized.select("_g", "_main", most.alias("_most"), "_rows", F.to_json("_type").alias("_type"))
+    types = typed.groupBy("_main", "_most", "_rows", "_type").agg(F.count(F.lit(1)).alias("_k"))
+    before = (Window.partitionBy("_main").orderBy(F.desc("_most"), F.desc("_rows"), "_type").rowsBetween(Window.unboundedPreceding, -1))
+    starts = types.select(F.col("_main").alias("_m"), F.col("_type").alias("_t"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))
+    ranked = shuffled_rank(typed.select(F.coalesce(F.col("_g").cast("string"), F.lit("")).alias("_name"), "*"), ["_name"], seed, "_r",
+                           partition_by=["_main", "_type"], hex_digits=hex_digits)
+    joined = ranked.join(starts, (F.col("_main") == F.col("_m")) & (F.col("_type") == F.col("_t")))
+    folds = joined.select("_g", ((F.col("_start") + F.col("_r") - 1) % n_folds).cast("int").alias("fold"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
 def best_round(mean_losses: Sequence[float], patience: int) -> tuple[int, bool]:
     """Early stopping on the fold-mean held-out loss: the 1-based round with the lowest loss, and
     whether the rule fired (``patience`` rounds without a new best were seen)."""

@@ -48,9 +48,9 @@ def averaged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def three_class(spark: SparkSession, sf: str) -> DataFrame:
-    e = emb(spark, sf)
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
-    return e.select("vec_id", (F.col("label") % 3).alias("label"), E.argmax_prediction(scores).alias("pred"))
+    """The first maximum of the whole score array, as one of three classes (position mod 3)."""
+    best = E.argmax_prediction(F.col("embedding").cast("array<double>"))
+    return emb(spark, sf).select("vec_id", (F.col("label") % 3).alias("label"), (best % 3).alias("pred"))
 
 
 def feature_gains(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +74,8 @@ fp as (select vec_id, case when label < 5 then 1 else 0 end as label, f.fold, ((
        from embeddings, (select unnest(range(5)) as fold) f),
 av as (select vec_id, label, round(avg(prob), 6) as prob_avg from fp group by vec_id, label),
 pr as (select vec_id, label, prob_avg, cast(round_even(prob_avg, 0) as int) as pred from av),
-t3 as (select vec_id, label % 3 as label,
-              list_position(embedding[1:3]::double[], list_max(embedding[1:3]::double[])) - 1 as pred from embeddings)
+t64 as (select vec_id, label, list_position(embedding::double[], list_max(embedding::double[])) - 1 as pred from embeddings),
+t3 as (select vec_id, label % 3 as label, pred % 3 as pred from t64)
 """
 
 
@@ -161,9 +161,10 @@ def threshold_prediction(spark: SparkSession, sf: str) -> DataFrame:
     return averaged(spark, sf).select("vec_id", "prob_avg", "pred")
 
 
-@register("argmax_prediction", sql=f"with {_SQL_PRED} select vec_id, pred from t3")
+@register("argmax_prediction", sql=f"with {_SQL_PRED} select vec_id, pred from t64")
 def argmax_prediction(spark: SparkSession, sf: str) -> DataFrame:
-    return three_class(spark, sf).select("vec_id", "pred")
+    """The first maximum of all 64 scores."""
+    return emb(spark, sf).select("vec_id", E.argmax_prediction(F.col("embedding").cast("array<double>")).alias("pred"))
 
 
 @register("outcome_slices", sql=f"""with {_SQL_PRED}

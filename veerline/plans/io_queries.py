@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
+from veerline.operators import sampling
 from veerline.plans import docs_queries, eval_queries, sampling_queries
 from veerline.plans.registry import ORACLE, register
 from veerline.sources import io
@@ -53,6 +54,14 @@ def read_account_list(spark: SparkSession, sf: str) -> DataFrame:
     return io.read_account_list(spark, paths)
 
 
+def long_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    p = eval_queries.fold_predictions(spark, sf).withColumn("pred", E.threshold_prediction("prob"))
+    return E.fold_metrics(p).select("fold", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+        for name in ("accuracy", "precision", "recall", "f1")])).alias("m")
+    ).select("fold", "m.metric", "m.value")
+
+
 @register("append_fold_metrics", sql="""
 with fp as (select vec_id, case when label < 5 then 1 else 0 end as label, f.fold, ((vec_id * 7 + f.fold) % 11) / 10.0 as prob
             from embeddings, (select unnest(range(5)) as fold) f),
@@ -73,12 +82,7 @@ from l, runs group by run, metric""")
 def append_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Per-fold accuracy, precision, recall and F1 appended by two runs, read back in wide form
     (one row per run and metric, one column per fold)."""
-    p = eval_queries.fold_predictions(spark, sf).withColumn("pred", E.threshold_prediction("prob"))
-    fm = E.fold_metrics(p)
-    long = fm.select("fold", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
-        for name in ("accuracy", "precision", "recall", "f1")])).alias("m")
-    ).select("fold", "m.metric", "m.value")
+    long = long_fold_metrics(spark, sf)
     path = io.scratch_dir(spark, "fold_metrics")
     for run in ("r1", "r2"):
         io.append_fold_metrics(long, path, run)
@@ -114,3 +118,59 @@ def write_features(spark: SparkSession, sf: str) -> DataFrame:
     path = io.scratch_dir(spark, "features_parquet")
     io.write_features(docs_queries.timeline_features(spark, sf), path, fmt="parquet")
     return spark.read.parquet(path)
+
+
+@register("repeat_run_metrics", sql="select * from (" + ORACLE["append_fold_metrics"] + ") where true")
+def repeat_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """S6, run again: two runs, the first of them written three times (once with other values and folds); each
+    has one row per fold and metric."""
+    long, path = long_fold_metrics(spark, sf), io.scratch_dir(spark, "runs")
+    io.replace_run(long.withColumn("fold", F.col("fold") + 3).withColumn("value", -F.col("value")), path, "r1")
+    for run in ("r1", "r2", "r1"):
+        io.replace_run(long, path, run)
+    wide = spark.read.schema("fold int, metric string, value double, run string").parquet(path)
+    return wide.groupBy("run", "metric").pivot("fold", list(range(5))).agg(F.sum("value"))
+
+
+@register("repeat_run_slices", sql=f"""with {eval_queries._SQL_PRED}
+select run, case when label = 1 and pred = 1 then 'tp' when label = 0 and pred = 1 then 'fp'
+            when label = 1 and pred = 0 then 'fn' else 'tn' end as outcome, count(*) as n, sum(vec_id)::bigint as id_sum
+from pr, (select unnest(['r1', 'r2']) as run) group by all""")
+def repeat_run_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """S7, run again: the slices of two runs; the first run's earlier attempt, all in one cell, leaves nothing behind."""
+    df = eval_queries.averaged(spark, sf).withColumn("outcome", E.outcome_binary("label", "pred")).select("vec_id", "label", "pred", "outcome")
+    path = io.scratch_dir(spark, "run_slices")
+    io.replace_run(df.withColumn("outcome", F.lit("old")), path, "r1")
+    for run in ("r1", "r2", "r1"):
+        io.replace_run(df, path, run)
+    back = spark.read.schema("vec_id bigint, label int, pred int, outcome string, run string").parquet(path)
+    return back.groupBy("run", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("id_sum"))
+
+
+_IDS = ("posts_tokenized", "reposts_tokenized", "flag_posts_tokenized")
+
+
+def _record_trip(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
+    """The whole record, its ids nested and the flagged post's ids null where its label is 3, written and read back."""
+    record = docs_queries.feature_record(spark, sf)
+    record = record.withColumn("flag_posts_tokenized", F.when(F.col("label") != 3, F.col("flag_posts_tokenized")))
+    nested = io.nest_ids(record, *_IDS)
+    path = io.scratch_dir(spark, f"records_{fmt}")
+    io.write_features(nested, path, fmt=fmt)
+    back = io.read_feature_json(spark, path, nested.schema) if fmt == "json" else spark.read.parquet(path)
+    return back.withColumns({c: sampling.unwrap_first(c) for c in _IDS}).select(record.columns)
+
+
+_SQL_RECORD = "select * replace (case when label <> 3 then flag_posts_tokenized end as flag_posts_tokenized) from (" + ORACLE["feature_record"] + ")"
+
+
+@register("read_record_json", sql=_SQL_RECORD)
+def read_record_json(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 + S3, P10: whole records (texts, nested and nullable ids, both vectors) as JSON lines and back."""
+    return _record_trip(spark, sf, "json")
+
+
+@register("write_record_parquet", sql=_SQL_RECORD)
+def write_record_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through Parquet, the format between stages."""
+    return _record_trip(spark, sf, "parquet")

@@ -60,11 +60,26 @@ def trained(spark: SparkSession, sf: str):
 
 
 @register("assemble_features", sql="""
-select vec_id, 64 as n_features, embedding[1]::double as first_value, embedding[64]::double as last_value from embeddings""")
+select vec_id, 66 as n_features, list_concat([label::double, vec_id::double], embedding::double[]) as features from embeddings""")
 def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: two scalar columns and two array columns as one vector; all its values."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     arr = vector_to_array("features")
-    return labelled_vectors(spark, sf).select("vec_id", F.size(arr).alias("n_features"),
-                                              F.get(arr, 0).alias("first_value"), F.get(arr, 63).alias("last_value"))
+    return M.assemble_features(e, ["label", "vec_id"], ["a", "b"]).select("vec_id", F.size(arr).alias("n_features"), arr.alias("features"))
+
+
+@register("stratified_group_folds", sql="""
+with rows as (select vec_id, 'u' || (vec_id * vec_id % 97)::varchar as account, (vec_id * vec_id % 97 % 3)::int as label from embeddings),
+per as (select account, label, count(*) as n from rows group by account, label),
+grp as (select account, max(label) as label, sum(n) as n from per group by account),
+dealt as (select account, (row_number() over (partition by label order by n desc,
+                 md5(concat_ws('|', account, '42')), account) - 1) % 5 as fold from grp)
+select r.vec_id, r.account, r.label, d.fold::int as fold from rows r join dealt d using (account)""")
+def stratified_group_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 by account, balanced in rows: accounts of unequal size, each of one of three labels."""
+    no = F.col("vec_id") * F.col("vec_id") % 97
+    rows = read_table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("u"), no.cast("string")).alias("account"), (no % 3).cast("int").alias("label"))
+    return M.stratified_group_folds(rows, "account").select("vec_id", "account", "label", "fold")
 
 
 @register("train_cv_gbt", sql="select unnest(range(5))::int as fold, true as has_trees")

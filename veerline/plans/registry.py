@@ -38,6 +38,7 @@ def load_all() -> None:
         io_queries,
         model_queries,
         sampling_queries,
+        subword_queries,
         text_queries,
         timeline_queries,
     )

@@ -69,6 +69,11 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.parquet(path)
 
 
+def nest_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """Id lists wrapped in one more list, as a tokenizer's batch output is stored (null stays null; P10 unwraps)."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.array(F.col(c))) for c in columns})
+
+
 def read_account_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Account lists from CSV files with an ``account_name`` header, concatenated."""
     return spark.read.options(**CSV_OPTIONS).schema("account_name string").csv(list(paths))
@@ -80,6 +85,13 @@ def append_fold_metrics(metrics: DataFrame, path: str, run: str) -> None:
      .write.mode("append").options(**CSV_OPTIONS).csv(path))
 
 
+def replace_run(rows: DataFrame, path: str, run: str) -> None:
+    """The rows of one run as a partition of a table of runs. Writing a run again replaces its partition as
+    a whole and leaves the other runs alone (dynamic partition overwrite), so a repeated run never doubles its rows."""
+    (rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
+
+
 def read_fold_metrics(spark: SparkSession, path: str, n_folds: int) -> DataFrame:
     """S6 wide form: one row per (run, metric), one column per fold."""
     long = spark.read.options(**CSV_OPTIONS).schema("run string, fold int, metric string, value double").csv(path)
