@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import duckdb
+
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import clashing, duck, same_rows
 from veerline.llm import queries
@@ -105,3 +107,22 @@ def test_one_long_turn_shrinks_only_its_window(spark):
     plain = [w for w in windows[1:] if "x" * 3700 not in w.formatted]
     assert all(w.tokens <= 1024 for w in plain) and len(long) == 1 and long[0].repeated < 3
     assert sum(w.repeated > 3 for w in plain) > len(plain) // 2
+
+
+def test_the_query_and_its_sql_on_long_turns_and_null_conversations(spark, tmp_path):
+    long = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", "x" * (3500 if i in (12, 20) else 40 + i)) for i in range(40)]
+    rows = long + [(None, 0, "user", "hidden"), (None, 1, None, None), (-2, None, "assistant", "a"), (-2, 3, "assistant", "b" * 9000), (5, 1, "user", None)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    got = queries.QUERIES["op4_chat_format"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{path}/*.parquet')")
+    want = con.sql(queries.ORACLE["op4_chat_format"]).fetchall()
+    assert len(got) == 5 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_no_id_is_mistaken_for_a_null_one(spark):
+    schema = "conv_id string, turn bigint, role string, text string"
+    rows = [(None, 0, "user", "a"), ("null", 0, "user", "b"), ("", 0, "user", "c"), ("=", 0, "user", "d")]
+    out = digest(format_windows(spark.createDataFrame(rows, schema))).collect()
+    assert len(out) == 4 and {r.conv_id for r in out} == {None, "null", "", "="} and all(r.n_turns == 1 for r in out)

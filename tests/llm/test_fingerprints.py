@@ -108,3 +108,12 @@ def test_odd_rows(spark):
     assert fingerprint_documents(docs(spark, ties)).count() == 5
     assert [r.edited_sha256 for r in fingerprint_documents(docs(spark, [(None, "abc")])).collect()] == [hashlib.sha256(b"aba").hexdigest()]
     assert fingerprint_documents(docs(spark, [])).count() == 0
+
+
+def test_string_ids_in_many_ranges(spark):
+    rows = [(f"id{i * 7 % 1000:04d}", f"t{i * 7 % 1000}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for per in (10, 100, 5000):
+        got = with_next(plain(df, "doc_id", "text"), {}, rows_per_range=per).collect()
+        assert {(r.doc_id, r.next_text) for r in got} == {(f"id{i:04d}", f"t{(i - 1) % 1000}") for i in range(1000)}
+    assert fingerprint_documents(df).count() == 1000

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veerline.llm.common import written
+from veerline.llm.common import id_key, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -56,7 +56,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     body = escape(text)
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
-    rows = turns.select(F.coalesce(F.col(conv_col).cast("string"), F.lit("null")).alias("k"), F.col(conv_col).alias("conv_id"),
+    rows = turns.select(id_key(F.col(conv_col)).alias("k"), F.col(conv_col).alias("conv_id"),
                         F.col(turn_col).alias("turn"), role.alias("role"), body.alias("body"), head.alias("head"))
     rows = rows.withColumn("tokens", F.ceil((F.char_length("head") + F.char_length("body") + len(END) + 1) / 4).cast("bigint"))
     rows = rows.withColumn("seg", F.coalesce(F.floor(F.col("turn") / run), F.lit(-(2 ** 62))).cast("bigint"))
@@ -76,6 +76,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     stride = F.greatest(F.lit(budget - history) - need, F.lit(max(1, budget // 8)))
     convs = convs.select("k", "conv_id", F.col("sys.start").alias("sys_at"), stride.alias("stride"),
                          F.coalesce(F.col("sys.tokens"), F.lit(0)).alias("sys_tokens"))
+    convs = written(convs, "conversations")         # a join with its own written aggregate: a hot conversation can be split
     rows = rows.drop("conv_id").join(convs, "k").withColumn("w", F.floor(F.col("start") / F.col("stride")))
     rows = written(rows.select("k", "conv_id", "w", "start", "stride", "sys_tokens", "sys_at", "tokens", "role", "head", "body"), "turns")
     room = F.lit(budget) - F.max("sys_tokens") - F.sum("tokens")

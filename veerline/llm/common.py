@@ -44,10 +44,14 @@ def id_bucket(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def id_key(id_col: Column) -> Column:
+    """An id as a non-null string: ``=`` and its text, empty for null (no id looks like null)."""
+    return F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit(""))
+
+
 def row_key(id_col: Column, text: Column) -> Column:
     """A non-null key of a row: its id and the SHA-256 of its text (null-safe in joins)."""
-    return F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit("|"),
-                    F.sha2(F.coalesce(text, F.lit("")), 256))
+    return F.concat(id_key(id_col), F.lit("|"), F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veerline.llm.common import let, plain
 
@@ -73,17 +74,23 @@ def with_next(rows: DataFrame, columns: dict[str, Callable[[Column], Column]], r
     """(doc_id, text) rows with ``columns`` (of the text), and ``next_text`` and ``next_<column>`` of the
     next row in descending id order (after the last row: the first).
 
-    Rows that tie in id are ordered by their text; null ids come last. At most ``max_ranges`` cut ids
-    pass the driver; a range is sorted with spilling, never collected."""
+    Rows that tie in id are ordered by their text; null ids come last. Ids are of any type that has an order. At most
+    ``max_ranges`` cut ids (and some 20 sampled ids for each) pass the driver; a range is sorted with spilling, never collected."""
     n, top = rows.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = max(1, min(max_ranges, -(-n // rows_per_range)))
     cuts = [] if top is None else [top]
-    if ranges > 1 and top is not None:
+    kind = rows.schema["doc_id"].dataType
+    if ranges > 1 and top is not None and isinstance(kind, T.NumericType):
         at = [k / ranges for k in range(1, ranges)]
         cuts = sorted({top, *rows.agg(F.percentile_approx("doc_id", at, 20 * ranges)).first()[0]}, reverse=True)
+    elif ranges > 1 and top is not None:      # ids without quantiles: even steps through about 20 ids a range, chosen by their hash
+        one_of = F.lit(max(1, n // (20 * ranges)))
+        some = rows.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), one_of) == 0)).distinct()
+        ids = sorted(r["doc_id"] for r in some.collect())
+        cuts = sorted({top, *ids[::max(1, len(ids) // ranges)]}, reverse=True)
     m = max(1, len(cuts))
     if cuts:
-        ids = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+        ids = F.array(*[F.lit(c).cast(kind) for c in cuts])
         powers = F.array(*[F.lit(2 ** k) for k in reversed(range(m.bit_length()))])
         # how many cuts are at or above the id (binary search; cuts descend)
         above = F.aggregate(powers, F.lit(0), lambda a, p: F.when(
