@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veerline.llm import exact_dedup, language_id, mixing, packing, simhash
-from veerline.llm.common import id_bucket, row_key, written
+from veerline.llm.common import id_bucket, id_key, row_key, written
 from veerline.sources.tables import read_table
 
 
@@ -41,8 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1. Of equal texts the row with the largest id stays (without any id: one of them)."""
     kept = exact_dedup.exact_dedup(docs).where("kept")
-    return _rows_with(docs, kept.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"),
-                                                 "text_sha256").alias("key")))
+    return _rows_with(docs, kept.select(F.concat(id_key(F.col("doc_id")), F.lit("|"), "text_sha256").alias("key")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
