@@ -41,4 +41,5 @@ def load_all() -> None:
         subword_queries,
         text_queries,
         timeline_queries,
+        vector_queries,
     )
