@@ -144,7 +144,7 @@ def balanced_dataset(changers: DataFrame, others: DataFrame, randoms: DataFrame,
     # the test split (at most 2n rows) feeds the anti-join and the result: written once
     test = t_pos.unionByName(t_neg).checkpoint(eager=True)
 
-    rest = anti_join_accounts(src, test.select(account).distinct(), account)
+    rest = anti_join_accounts(src, test, account)     # no distinct below it: a hot account can then be split
     pos = rest.where(is_pos)
     m = pos.count()
     neg = first_per_source(rest.where(F.col("_src") != 0), m // 2)
