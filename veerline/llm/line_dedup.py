@@ -20,12 +20,16 @@ plain join side beyond. A key's group holds at most one line per character (or o
 and place), so the window over it is bounded; hot lines meet in plain joins, which adaptive
 execution splits.
 
-A bound of two or more (``near_lines_within``): k edits leave one of k + 1 pieces of the shorter line
-untouched, moved by no more than the edits on either side of it, so partners share a hashed piece.
-Pairs that share one are compared by length and by parities of character and character-pair
-counts (each edit flips at most two of the first, four of the second), then by their edit
-distance. Each line meets the earliest line of its pieces first; only lines without a partner
-there meet the others."""
+A bound k of two or more (``near_lines_within``): of k // 2 + 1 pieces of the shorter line, one holds at
+most one edit, so that piece and the same stretch of the other line share a variant with at most one
+deletion. Lines emit the variants of their pieces, the first counted from the line's start, the last
+from its end, those between also moved by the edits before them. Before that, lines that cannot have a
+partner are set aside exactly: k edits leave one of k + 1 pieces untouched, so partners share a hashed
+piece. A line is compared with the earliest line of each of its variants; only a line without a partner
+there is compared with the others, in a semi join whose condition is the edit distance, so that no
+pairs come out: rows grow with the lines. What the condition compares still grows with the square of a
+variant's group; lengths and parities of character and character-pair counts (each edit flips at most
+two of the first, four of the second) go before the edit distance. Adaptive execution splits a hot one."""
 
 from __future__ import annotations
 
@@ -143,12 +147,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.select("lid", "other")
 
 
-def _pieces(max_edits: int, signed: bool = False):
+def _pieces(max_edits: int):
     """Rows whose last column is ``line`` -> the other columns, one row per piece key ``h`` that a partner's may equal.
 
     The partner's length goes from ``max_edits`` less to the line's own; piece p is moved by s with at most p edits
-    before and ``max_edits`` - p after it. ``signed``: also ``n`` (length) and bit sets of the parities of the counts
-    of characters (``chars``) and of neighbouring pairs (``grams``, the end counts as a character), in 64 buckets."""
+    before and ``max_edits`` - p after it."""
     base, mix, one = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
     steps = [(less, p, s) for less in range(max_edits + 1) for p in range(max_edits + 1)
              for s in range(max(-p, less - (max_edits - p)), min(p, less + (max_edits - p)) + 1)]
@@ -184,38 +187,138 @@ def _pieces(max_edits: int, signed: bool = False):
                 known[:, 1:] &= ~((keys[:, 1:] == keys[:, :-1]) & known[:, :-1])
                 row = np.repeat(np.arange(len(part)), known.sum(axis=1))
                 columns, names = [x.take(pa.array(row)) for x in batch.columns[:-1]], list(batch.schema.names[:-1])
-                if signed:
-                    pair = c * np.uint64(1_000_003) + np.concatenate((c[1:], c[:1]))
-                    pair[at + n] = 0                                # a line's end and the next line are no pair
-                    sets = [np.bitwise_xor.reduceat(one << ((x + one) * mix >> np.uint64(58)), at).view(np.int64) for x in (c, pair)]
-                    columns += [pa.array(x[row]) for x in (n.astype(np.int32), *sets)]
-                    names += ["n", "chars", "grams"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[known].view(np.int64))], [*names, "h"])
 
     return emit
 
 
-def near_lines_within(lines: DataFrame, shared: DataFrame, max_edits: int) -> DataFrame:
-    """``lid`` of the lines within ``max_edits`` of an earlier one. ``lines``: (lid, line), distinct
-    lines, numbered from the earliest; ``shared``: the piece keys ``h`` of two lines or more."""
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = lines.select("lid", "line").repartition(tasks, "lid").mapInArrow(
-        _pieces(max_edits, signed=True), "lid bigint, n int, chars bigint, grams bigint, h bigint")
-    keyed = written(keyed.join(shared, "h", "left_semi"), "keyed")
-    text = lines.select(F.col("lid").alias("other"), F.col("line").alias("_line"))
-
-    def near(x: DataFrame, y: DataFrame) -> DataFrame:
-        y = y.select("h", *[F.col(c).alias(f"_{c}") for c in ("lid", "n", "chars", "grams")])
-        flips = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
-        pairs = (x.join(y, "h").where((F.col("lid") > F.col("_lid")) & (F.abs(F.col("n") - F.col("_n")) <= max_edits)
-                                      & (flips("chars") <= 2 * max_edits) & (flips("grams") <= 4 * max_edits))
-                 .select("lid", F.col("_lid").alias("other")).distinct())
-        return (pairs.join(lines.select("lid", "line"), "lid").join(text, "other")
-                .where(F.levenshtein("line", "_line", max_edits).between(1, max_edits)).select("lid").distinct())
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lid, line) -> also ``n`` (length) and bit sets of the parities of the counts of characters (``chars``)
+    and of neighbouring pairs (``grams``, the end counts as a character), in 64 buckets."""
+    mix, one = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
+    for batch in batches:
+        found = []
+        for line in batch.column(1).to_pylist():
+            c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + one
+            pair = c * np.uint64(1_000_003) + np.append(c[1:], one)
+            found.append((len(c), *(np.bitwise_xor.reduce(one << ((x + one) * mix >> np.uint64(58))) for x in (c, pair))))
+        n, chars, grams = (np.array([x[k] for x in found], dtype=np.uint64).view(np.int64) for k in range(3))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int32)), pa.array(chars), pa.array(grams)],
+                                         ["lid", "line", "n", "chars", "grams"])
+
+
+def _rounded(length: int) -> int:
+    """A length rounded down to eighths of its power of two, so that most lengths next to each other agree."""
+    return length - length % max(1, 1 << max(0, length.bit_length() - 4))
+
+
+class PieceVariants:
+    """Hashes of the one-deletion variants of a line's pieces (polynomials mod 2^64)."""
+
+    BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, max_edits: int):
+        self.edits, self.pieces = max_edits, max_edits // 2 + 1
+        self.powers = self.back = np.ones(1, dtype=np.uint64)
+        self.inverse = np.uint64(pow(self.BASE, -1, 1 << 64))
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            self.powers, self.back = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * n, x, dtype=np.uint64))),
+                                                 dtype=np.uint64) for x in (np.uint64(self.BASE), self.inverse))
+
+    def _stretches(self, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(piece, rounded length, start, end) of each piece as the shorter line has it, wherever it may lie in this one."""
+        last = self.pieces - 1
+        for length in sorted({_rounded(x) for x in range(max(1, n - self.edits), n + 1)}):
+            for p in range(self.pieces):
+                start, end = length * p // self.pieces, length * (p + 1) // self.pieces
+                moves = range(-self.edits, self.edits + 1) if 0 < p < last else [n - length if p == last else 0]
+                yield from ((p, length, start + s, end + s) for s in moves)
+
+    def of(self, line: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of a line, and for each the hash of the stretch that it is a variant of (an undeleted one: itself)."""
+        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(c)
+        self._grow(n + 2)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * self.powers[:n], dtype=np.uint64)))
+        runs = np.concatenate(([True], c[1:] != c[:-1])) if n else np.zeros(0, dtype=bool)
+        keys, owners = [], []
+        for p, length, start, end in self._stretches(n):
+            salt = np.uint64((p * 0xD6E8FEB86659FD93 + length * 0x85EBCA6B27D4EB2F) % (1 << 64))
+
+            def mixed(h: np.ndarray, a: int, salt: np.uint64 = salt) -> np.ndarray:
+                h = (h * self.back[a] ^ salt) * self.MIX
+                h = (h ^ (h >> np.uint64(29))) * self.MIX
+                return h ^ (h >> np.uint64(32))
+
+            grows = -1 if p == self.pieces - 1 and self.pieces > 1 else 1      # the last piece is counted from the line's end
+            for more in (-1, 0, 1):
+                a, b = (start - more, end) if grows < 0 else (start, end + more)
+                if not 0 <= a <= b <= n:
+                    continue
+                whole = mixed(sums[b:b + 1] - sums[a], a)
+                if more < 1:
+                    keys.append(whole)
+                    owners.append(whole)
+                if more > -1 and a < b:
+                    at = a + np.flatnonzero(runs[a:b] | (np.arange(a, b) == a))
+                    keys.append(mixed(sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse, a))
+                    owners.append(np.repeat(whole, len(at)))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        keys, first = np.unique(keys, return_index=True)
+        return keys.view(np.int64), owners[first].view(np.int64)
+
+    def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lid, line) -> (lid, h, w): variant keys and the stretches they come from."""
+        held: list[tuple] = []
 
-    heads = keyed.groupBy("h").agg(F.min(F.struct("lid", "n", "chars", "grams")).alias("m")).select("h", "m.*")
-    first = written(near(keyed, heads), "settled")
-    return first.unionByName(near(keyed.join(first, "lid", "left_anti"), keyed))
+        def rows() -> pa.RecordBatch:
+            columns = [np.repeat([x[0] for x in held], [len(x[1]) for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["lid", "h", "w"])
+
+        with np.errstate(over="ignore"):
+            size = 0
+            for batch in batches:
+                for lid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.append((lid, *self.of(line)))
+                    size += len(held[-1][1])
+                    if size > 200_000:
+                        yield rows()
+                        size = 0
+            if held:
+                yield rows()
+
+
+def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
+    """``lid`` of the lines within ``max_edits`` (two or more) of an earlier one. ``lines``: (lid, line),
+    distinct lines, numbered from the earliest."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lines.select("lid", "line").repartition(tasks, "lid")
+    signed = written(spread.mapInArrow(_signatures, "lid bigint, line string, n int, chars bigint, grams bigint"), "signed")
+    emitted = signed.select("lid", "line").mapInArrow(PieceVariants(max_edits).emit, "lid bigint, h bigint, w bigint")
+    # a variant that only equal stretches share links nothing that the stretch itself does not link
+    shared = (emitted.groupBy("h").agg(F.min("lid").alias("head"), F.max("lid").alias("y"), F.min("w").alias("w1"), F.max("w").alias("w2"),
+                                       F.count(F.lit(1)).alias("members"))
+              .where((F.col("head") < F.col("y")) & ((F.col("w1") != F.col("w2")) | (F.col("w1") == F.col("h"))))
+              .select("h", "head", "members"))
+    keyed = written(emitted.select("h", "lid").join(written(shared, "variants"), "h"), "keyed")
+
+    columns = ["lid", "line", "n", "chars", "grams"]
+    earlier = signed.select([F.col(c).alias(f"_{c}") for c in columns])
+
+    def flips(c: str) -> Column:
+        return F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
+
+    near = ((F.col("lid") > F.col("_lid")) & (F.abs(F.col("n") - F.col("_n")) <= max_edits) & (flips("chars") <= 2 * max_edits)
+            & (flips("grams") <= 4 * max_edits) & (F.levenshtein("line", "_line", max_edits) >= 0))
+    pairs = keyed.where("lid <> head").select("lid", F.col("head").alias("_lid")).distinct()
+    first = written(pairs.join(signed, "lid").join(earlier, "_lid").where(near).select("lid").distinct(), "settled")
+    rest = written(keyed.where("members > 2 and lid <> head").join(first, "lid", "left_anti").select("lid", "h"), "rest")
+    others = keyed.where("members > 2").select("h", F.col("lid").alias("_lid")).join(rest.select("h"), "h", "left_semi")
+    second = rest.join(signed, "lid").join(others.join(earlier, "_lid").withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & near, "left_semi")
+    return first.unionByName(second.select("lid").distinct())
 
 
 def _part_length(length: Column) -> Column:
@@ -289,7 +392,7 @@ def _late_lines(cut: DataFrame, max_edits: int, min_chars: int, broadcast_rows:
              .orderBy("first").withColumn("lid", F.monotonically_increasing_id()).select("lid", "l1", "l2", "line"))
     lines = written(lines, "numbered")
     if max_edits > 1:
-        late = near_lines_within(lines, sized_side(shared, broadcast_rows), max_edits)
+        late = near_lines_within(lines, max_edits)
     else:
         late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
     return written(lines.select("lid", "l1", "l2").join(late, "lid", "left_semi")
