@@ -23,9 +23,10 @@ execution splits.
 A bound k of two or more (``near_lines_within``): of k // 2 + 1 pieces of the shorter line, one holds at
 most one edit, so that piece and the same stretch of the other line share a variant with at most one
 deletion. Lines emit the variants of their pieces, the first counted from the line's start, the last
-from its end, those between also moved by the edits before them. Before that, lines that cannot have a
-partner are set aside exactly: k edits leave one of k + 1 pieces untouched, so partners share a hashed
-piece. A line is compared with the earliest line of each of its variants; only a line without a partner
+from its end, those between also moved by the edits before them. Before that, what cannot have a partner
+is set aside exactly: k edits leave one of k + 1 pieces untouched, so partners share a hashed piece; of
+the lines left, pieces within one edit of each other share all but one of ``PARTS`` parts, and only
+pieces that share them with an unlike piece emit variants (equal ones meet as they are). A line is compared with the earliest line of each of its variants; only a line without a partner
 there is compared with the others, in a semi join whose condition is the edit distance, so that no
 pairs come out: rows grow with the lines. What the condition compares still grows with the square of a
 variant's group; lengths and parities of character and character-pair counts (each edit flips at most
@@ -46,6 +47,7 @@ from veerline.operators.docs import sized_side
 
 MIN_CHARS = 16          # shorter lines are compared exactly only
 PIECES = 16
+PARTS = 8               # of a piece, for bounds above one
 SHORT_PIECE = 8         # shorter pieces agree by chance: their keys hold the length of the shorter line too
 
 
@@ -179,7 +181,7 @@ def _pieces(max_edits: int):
                     fits = (length > 0) & (start + s >= 0) & (end + s <= n)
                     a, b = at + np.where(fits, start + s, 0), at + np.where(fits, end + s, 0)
                     salt = np.where(end - start < SHORT_PIECE, length + 1, 0).astype(np.uint64)
-                    h = ((sums[b] - sums[a]) * back[a] + np.uint64(p + 1) * np.uint64(0xD6E8FEB86659FD93)) * mix
+                    h = ((sums[b] - sums[a]) * back[a] + np.uint64((p + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * mix
                     h = (h ^ (h >> np.uint64(29)) ^ salt * np.uint64(base)) * mix
                     keys[:, k], known[:, k] = h ^ (h >> np.uint64(32)), fits
                 order = np.argsort(keys, axis=1, kind="stable")
@@ -213,7 +215,7 @@ def _rounded(length: int) -> int:
 
 
 class PieceVariants:
-    """Hashes of the one-deletion variants of a line's pieces (polynomials mod 2^64)."""
+    """Hashes of a line's pieces, of them without a part, and of their one-deletion variants (polynomials mod 2^64)."""
 
     BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -236,53 +238,65 @@ class PieceVariants:
                 moves = range(-self.edits, self.edits + 1) if 0 < p < last else [n - length if p == last else 0]
                 yield from ((p, length, start + s, end + s) for s in moves)
 
-    def of(self, line: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of a line, and for each the hash of the stretch that it is a variant of (an undeleted one: itself)."""
+    def of(self, line: str, chosen: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of a line; for each the hash of the stretch that it comes from (a whole one: itself) and the
+        stretch's number. Besides whole stretches, keys are those without a part, or (``chosen``: numbers) the
+        one-deletion variants of the chosen ones."""
         c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         n = len(c)
         self._grow(n + 2)
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * self.powers[:n], dtype=np.uint64)))
         runs = np.concatenate(([True], c[1:] != c[:-1])) if n else np.zeros(0, dtype=bool)
-        keys, owners = [], []
-        for p, length, start, end in self._stretches(n):
-            salt = np.uint64((p * 0xD6E8FEB86659FD93 + length * 0x85EBCA6B27D4EB2F) % (1 << 64))
+        keys, owners, numbers = [], [], []
 
-            def mixed(h: np.ndarray, a: int, salt: np.uint64 = salt) -> np.ndarray:
-                h = (h * self.back[a] ^ salt) * self.MIX
-                h = (h ^ (h >> np.uint64(29))) * self.MIX
-                return h ^ (h >> np.uint64(32))
+        def add(h: np.ndarray, owner: np.ndarray | None, number: int) -> np.ndarray:
+            h = (h ^ np.uint64(number * 0xD6E8FEB86659FD93 % (1 << 64))) * self.MIX
+            h = (h ^ (h >> np.uint64(29))) * self.MIX
+            keys.append(h ^ (h >> np.uint64(32)))
+            owners.append(keys[-1] if owner is None else np.repeat(owner, len(h)))
+            numbers.append(np.full(len(h), number))
+            return keys[-1]
 
-            grows = -1 if p == self.pieces - 1 and self.pieces > 1 else 1      # the last piece is counted from the line's end
+        for p, length, start, end in self._stretches(n):
+            number = length * self.pieces + p
+            backward = p == self.pieces - 1 and p > 0                # the last piece is counted from the line's end
             for more in (-1, 0, 1):
-                a, b = (start - more, end) if grows < 0 else (start, end + more)
+                a, b = (start - more, end) if backward else (start, end + more)
                 if not 0 <= a <= b <= n:
                     continue
-                whole = mixed(sums[b:b + 1] - sums[a], a)
-                if more < 1:
-                    keys.append(whole)
-                    owners.append(whole)
-                if more > -1 and a < b:
+                whole = add((sums[b:b + 1] - sums[a]) * self.back[a], None, number)
+                if more == 1:                                       # one character more than the piece: only its variants count
+                    for x in (keys, owners, numbers):
+                        x.pop()
+                if chosen is None:
+                    for base in {b - a, b - a - 1} & {end - start, end - start - 1} - {-1}:
+                        cut = np.arange(PARTS + 1) * base // PARTS
+                        head, tail = a + cut[:-1], b - (base - cut[1:])
+                        h = (sums[head] - sums[a]) * self.back[a] * np.uint64(31) + (sums[b] - sums[tail]) * self.back[tail] * np.uint64(1_000_003)
+                        add(h + np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                            + np.uint64(base * 0xC2B2AE3D27D4EB4F % (1 << 64)), whole, number)
+                elif number in chosen and more > -1 and a < b:
                     at = a + np.flatnonzero(runs[a:b] | (np.arange(a, b) == a))
-                    keys.append(mixed(sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse, a))
-                    owners.append(np.repeat(whole, len(at)))
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
+                    add((sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse) * self.back[a], whole, number)
+        keys, owners, numbers = (np.concatenate(x) for x in (keys, owners, numbers))
         keys, first = np.unique(keys, return_index=True)
-        return keys.view(np.int64), owners[first].view(np.int64)
+        return keys.view(np.int64), owners[first].view(np.int64), numbers[first]
 
     def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lid, line) -> (lid, h, w): variant keys and the stretches they come from."""
+        """(lid, line[, chosen]) -> (lid, h, w, number): keys and the stretches they come from."""
         held: list[tuple] = []
 
         def rows() -> pa.RecordBatch:
-            columns = [np.repeat([x[0] for x in held], [len(x[1]) for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2))]
+            columns = [np.repeat([x[0] for x in held], [len(x[1]) for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["lid", "h", "w"])
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["lid", "h", "w", "number"])
 
         with np.errstate(over="ignore"):
             size = 0
             for batch in batches:
-                for lid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    held.append((lid, *self.of(line)))
+                chosen = [set(x or ()) for x in batch.column(2).to_pylist()] if batch.num_columns > 2 else [None] * len(batch)
+                for lid, line, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), chosen, strict=True):
+                    held.append((lid, *self.of(line, some)))
                     size += len(held[-1][1])
                     if size > 200_000:
                         yield rows()
@@ -297,13 +311,21 @@ def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = lines.select("lid", "line").repartition(tasks, "lid")
     signed = written(spread.mapInArrow(_signatures, "lid bigint, line string, n int, chars bigint, grams bigint"), "signed")
-    emitted = signed.select("lid", "line").mapInArrow(PieceVariants(max_edits).emit, "lid bigint, h bigint, w bigint")
-    # a variant that only equal stretches share links nothing that the stretch itself does not link
-    shared = (emitted.groupBy("h").agg(F.min("lid").alias("head"), F.max("lid").alias("y"), F.min("w").alias("w1"), F.max("w").alias("w2"),
-                                       F.count(F.lit(1)).alias("members"))
-              .where((F.col("head") < F.col("y")) & ((F.col("w1") != F.col("w2")) | (F.col("w1") == F.col("h"))))
-              .select("h", "head", "members"))
-    keyed = written(emitted.select("h", "lid").join(written(shared, "variants"), "h"), "keyed")
+    emit, row = PieceVariants(max_edits).emit, "lid bigint, h bigint, w bigint, number bigint"
+
+    def shared(keys: DataFrame) -> DataFrame:
+        """Keys of two lines or more; what only equal stretches share links nothing that the stretch itself does not link."""
+        return (keys.groupBy("h").agg(F.min("lid").alias("head"), F.max("lid").alias("y"), F.min("w").alias("w1"), F.max("w").alias("w2"),
+                                      F.count(F.lit(1)).alias("members"))
+                .where((F.col("head") < F.col("y")) & ((F.col("w1") != F.col("w2")) | (F.col("w1") == F.col("h"))))
+                .select("h", "head", "members", (F.col("w1") != F.col("w2")).alias("unlike")))
+
+    cuts = signed.select("lid", "line").mapInArrow(emit, row)
+    met = cuts.join(written(shared(cuts), "parts"), "h")
+    chosen = met.groupBy("lid").agg(F.collect_set(F.when(F.col("unlike"), F.col("number"))).alias("chosen"))
+    likely = written(signed.select("lid", "line").join(written(chosen, "chosen"), "lid"), "stretches")
+    variants = likely.mapInArrow(emit, row)
+    keyed = written(variants.select("h", "lid").join(written(shared(variants), "variants"), "h"), "keyed")
 
     columns = ["lid", "line", "n", "chars", "grams"]
     earlier = signed.select([F.col(c).alias(f"_{c}") for c in columns])
