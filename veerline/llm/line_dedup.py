@@ -47,7 +47,7 @@ from veerline.operators.docs import sized_side
 
 MIN_CHARS = 16          # shorter lines are compared exactly only
 PIECES = 16
-PARTS = 8               # of a piece, for bounds above one
+PARTS = 4               # of a piece, for bounds above one
 SHORT_PIECE = 8         # shorter pieces agree by chance: their keys hold the length of the shorter line too
 
 
@@ -209,100 +209,116 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["lid", "line", "n", "chars", "grams"])
 
 
-def _rounded(length: int) -> int:
-    """A length rounded down to eighths of its power of two, so that most lengths next to each other agree."""
-    return length - length % max(1, 1 << max(0, length.bit_length() - 4))
+def _rounded(length: np.ndarray) -> np.ndarray:
+    """Lengths rounded down to eighths of their power of two, so that most lengths next to each other agree."""
+    bits = np.frexp(length.astype(np.float64))[1]
+    return length - length % (1 << np.maximum(0, bits - 4).astype(np.int64))
 
 
 class PieceVariants:
-    """Hashes of a line's pieces, of them without a part, and of their one-deletion variants (polynomials mod 2^64)."""
+    """Keys of the pieces of lines (polynomials mod 2^64): whole ones, those without a part, one-deletion variants.
 
-    BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+    Keys come as (line's number, key, hash of the stretch that it comes from (a whole one: itself), stretch's number)."""
+
+    BASE, MIX, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
     def __init__(self, max_edits: int):
         self.edits, self.pieces = max_edits, max_edits // 2 + 1
         self.powers = self.back = np.ones(1, dtype=np.uint64)
         self.inverse = np.uint64(pow(self.BASE, -1, 1 << 64))
 
-    def _grow(self, n: int) -> None:
+    def _sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(c) + 2
         if len(self.powers) < n:
             self.powers, self.back = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * n, x, dtype=np.uint64))),
                                                  dtype=np.uint64) for x in (np.uint64(self.BASE), self.inverse))
+        return c, np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * self.powers[:len(c)], dtype=np.uint64)))
+
+    def _mixed(self, h: np.ndarray, number: np.ndarray) -> np.ndarray:
+        h = (h ^ number.astype(np.uint64) * self.SPREAD) * self.MIX
+        h = (h ^ (h >> np.uint64(29))) * self.MIX
+        return h ^ (h >> np.uint64(32))
 
-    def _stretches(self, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(piece, rounded length, start, end) of each piece as the shorter line has it, wherever it may lie in this one."""
+    def _stretches(self, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(lines, stretch's number, 1 / 0 / -1: characters more than the piece, start, end): each piece as the shorter
+        line has it, wherever it may lie in these lines of ``n`` characters, and one character longer or shorter."""
         last = self.pieces - 1
-        for length in sorted({_rounded(x) for x in range(max(1, n - self.edits), n + 1)}):
+        for less in range(self.edits + 1):
+            length = _rounded(np.maximum(n - less, 0))
+            new = (n > less) & ((length != _rounded(n - less + 1)) if less else True)
+            lines = np.flatnonzero(new)
+            length = length[lines]
             for p in range(self.pieces):
                 start, end = length * p // self.pieces, length * (p + 1) // self.pieces
-                moves = range(-self.edits, self.edits + 1) if 0 < p < last else [n - length if p == last else 0]
-                yield from ((p, length, start + s, end + s) for s in moves)
-
-    def of(self, line: str, chosen: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of a line; for each the hash of the stretch that it comes from (a whole one: itself) and the
-        stretch's number. Besides whole stretches, keys are those without a part, or (``chosen``: numbers) the
-        one-deletion variants of the chosen ones."""
-        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        n = len(c)
-        self._grow(n + 2)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * self.powers[:n], dtype=np.uint64)))
-        runs = np.concatenate(([True], c[1:] != c[:-1])) if n else np.zeros(0, dtype=bool)
-        keys, owners, numbers = [], [], []
-
-        def add(h: np.ndarray, owner: np.ndarray | None, number: int) -> np.ndarray:
-            h = (h ^ np.uint64(number * 0xD6E8FEB86659FD93 % (1 << 64))) * self.MIX
-            h = (h ^ (h >> np.uint64(29))) * self.MIX
-            keys.append(h ^ (h >> np.uint64(32)))
-            owners.append(keys[-1] if owner is None else np.repeat(owner, len(h)))
-            numbers.append(np.full(len(h), number))
-            return keys[-1]
-
-        for p, length, start, end in self._stretches(n):
-            number = length * self.pieces + p
-            backward = p == self.pieces - 1 and p > 0                # the last piece is counted from the line's end
-            for more in (-1, 0, 1):
-                a, b = (start - more, end) if backward else (start, end + more)
-                if not 0 <= a <= b <= n:
-                    continue
-                whole = add((sums[b:b + 1] - sums[a]) * self.back[a], None, number)
-                if more == 1:                                       # one character more than the piece: only its variants count
-                    for x in (keys, owners, numbers):
-                        x.pop()
-                if chosen is None:
-                    for base in {b - a, b - a - 1} & {end - start, end - start - 1} - {-1}:
-                        cut = np.arange(PARTS + 1) * base // PARTS
-                        head, tail = a + cut[:-1], b - (base - cut[1:])
-                        h = (sums[head] - sums[a]) * self.back[a] * np.uint64(31) + (sums[b] - sums[tail]) * self.back[tail] * np.uint64(1_000_003)
-                        add(h + np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                            + np.uint64(base * 0xC2B2AE3D27D4EB4F % (1 << 64)), whole, number)
-                elif number in chosen and more > -1 and a < b:
-                    at = a + np.flatnonzero(runs[a:b] | (np.arange(a, b) == a))
-                    add((sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse) * self.back[a], whole, number)
-        keys, owners, numbers = (np.concatenate(x) for x in (keys, owners, numbers))
-        keys, first = np.unique(keys, return_index=True)
-        return keys.view(np.int64), owners[first].view(np.int64), numbers[first]
+                moves = range(-self.edits, self.edits + 1) if 0 < p < last else [n[lines] - length if p == last else 0]
+                for s in moves:
+                    for more in (-1, 0, 1):     # the last piece is counted from the line's end
+                        a, b = (start + s - more, end + s) if p == last else (start + s, end + s + more)
+                        ok = (a >= 0) & (a <= b) & (b <= n[lines])
+                        yield lines[ok], (length * self.pieces + p)[ok], more, a[ok], b[ok]
+
+    def wholes(self, lines: list[str], parts: bool) -> list[np.ndarray]:
+        """Keys of whole stretches, and (``parts``) of stretches without a part."""
+        n = np.array([len(x) for x in lines], dtype=np.int64)
+        at = np.concatenate(([0], np.cumsum(n)[:-1]))
+        _, sums = self._sums("".join(lines))
+        out = []
+        for line, number, more, a, b in self._stretches(n):
+            size, a, b = b - a, at[line] + a, at[line] + b
+            whole = self._mixed((sums[b] - sums[a]) * self.back[a], number)
+            if more < 1:
+                out.append((line, whole, whole, number))
+            # unlike pieces within one edit: the shorter has ``base`` characters, the other one more or as many
+            for base in ([size] if more < 1 else []) + ([size - 1] if more > -1 else []) if parts else []:
+                ok = base >= 0
+                cut = np.arange(PARTS + 1) * base[ok, None] // PARTS
+                head, tail = a[ok, None] + cut[:, :-1], b[ok, None] - (base[ok, None] - cut[:, 1:])
+                h = ((sums[head] - sums[a[ok], None]) * self.back[a[ok], None] * np.uint64(31)
+                     + (sums[b[ok], None] - sums[tail]) * self.back[tail] * np.uint64(1_000_003)
+                     + np.arange(1, PARTS + 1, dtype=np.uint64) * self.SPREAD + base[ok, None].astype(np.uint64) * self.MIX)
+                out.append((np.repeat(line[ok], PARTS), self._mixed(h, number[ok, None]).ravel(),
+                            np.repeat(whole[ok], PARTS), np.repeat(number[ok], PARTS)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    def variants(self, line: str, chosen: set[int]) -> list[np.ndarray]:
+        """Keys of the one-deletion variants of the chosen stretches."""
+        c, sums = self._sums(line)
+        runs = np.concatenate(([True], c[1:] != c[:-1]))
+        out = []
+        for row, number, more, a, b in self._stretches(np.array([len(c)])):
+            if not len(row) or int(number[0]) not in chosen or more < 0 or a[0] == b[0]:
+                continue
+            a, b = int(a[0]), int(b[0])
+            whole = self._mixed((sums[b:b + 1] - sums[a]) * self.back[a], number)
+            at = a + np.flatnonzero(runs[a:b] | (np.arange(a, b) == a))
+            h = self._mixed((sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse) * self.back[a], number)
+            out.append((np.zeros(len(h), dtype=np.int64), h, np.repeat(whole, len(h)), np.repeat(number, len(h))))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lid, line[, chosen]) -> (lid, h, w, number): keys and the stretches they come from."""
-        held: list[tuple] = []
-
-        def rows() -> pa.RecordBatch:
-            columns = [np.repeat([x[0] for x in held], [len(x[1]) for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3))]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["lid", "h", "w", "number"])
+        """(lid, line) -> (lid, h, w, number): whole stretches and those without a part; with a third column,
+        the numbers of the chosen stretches: whole stretches and the variants of the chosen ones."""
+        def rows(lids: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+            row, h, w, number = keys
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (lids[row], h.view(np.int64), w.view(np.int64), number)],
+                                              ["lid", "h", "w", "number"])
 
         with np.errstate(over="ignore"):
-            size = 0
             for batch in batches:
-                chosen = [set(x or ()) for x in batch.column(2).to_pylist()] if batch.num_columns > 2 else [None] * len(batch)
-                for lid, line, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), chosen, strict=True):
-                    held.append((lid, *self.of(line, some)))
-                    size += len(held[-1][1])
-                    if size > 200_000:
-                        yield rows()
-                        size = 0
-            if held:
-                yield rows()
+                lids, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+                chosen = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(lines)
+                for lid, line, some in zip(lids, lines, chosen, strict=True):
+                    if some:    # a variant may be a whole stretch too: each key once, whole stretches first
+                        keys = [np.concatenate(x) for x in zip(self.wholes([line], False), self.variants(line, set(some)), strict=True)]
+                        first = np.unique(keys[1], return_index=True)[1]
+                        yield rows(np.array([lid]), [x[first] for x in keys])
+                rest = [i for i, some in enumerate(chosen) if not some]
+                lids, lines = lids[rest], [lines[i] for i in rest]
+                blocks = np.cumsum([len(x) + 200 for x in lines]) // 1_000_000
+                for block in np.unique(blocks):
+                    i, j = np.searchsorted(blocks, [block, block + 1])
+                    yield rows(lids[i:j], self.wholes(lines[i:j], parts=batch.num_columns == 2))
 
 
 def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
