@@ -47,7 +47,7 @@ from veerline.operators.docs import sized_side
 
 MIN_CHARS = 16          # shorter lines are compared exactly only
 PIECES = 16
-PARTS = 4               # of a piece, for bounds above one
+PARTS = 8               # of a piece, for bounds above one
 SHORT_PIECE = 8         # shorter pieces agree by chance: their keys hold the length of the shorter line too
 
 
@@ -259,7 +259,7 @@ class PieceVariants:
                         yield lines[ok], (length * self.pieces + p)[ok], more, a[ok], b[ok]
 
     def wholes(self, lines: list[str], parts: bool) -> list[np.ndarray]:
-        """Keys of whole stretches, and (``parts``) of stretches without a part."""
+        """Keys of whole stretches, or (``parts``) of stretches without a part."""
         n = np.array([len(x) for x in lines], dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(n)[:-1]))
         _, sums = self._sums("".join(lines))
@@ -267,7 +267,7 @@ class PieceVariants:
         for line, number, more, a, b in self._stretches(n):
             size, a, b = b - a, at[line] + a, at[line] + b
             whole = self._mixed((sums[b] - sums[a]) * self.back[a], number)
-            if more < 1:
+            if more < 1 and not parts:
                 out.append((line, whole, whole, number))
             # unlike pieces within one edit: the shorter has ``base`` characters, the other one more or as many
             for base in ([size] if more < 1 else []) + ([size - 1] if more > -1 else []) if parts else []:
@@ -297,8 +297,8 @@ class PieceVariants:
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lid, line) -> (lid, h, w, number): whole stretches and those without a part; with a third column,
-        the numbers of the chosen stretches: whole stretches and the variants of the chosen ones."""
+        """(lid, line) -> (lid, h, w, number): stretches without a part; with a third column, the numbers of
+        the chosen stretches (or null): whole stretches and the variants of the chosen ones."""
         def rows(lids: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
             row, h, w, number = keys
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (lids[row], h.view(np.int64), w.view(np.int64), number)],
@@ -329,19 +329,17 @@ def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
     signed = written(spread.mapInArrow(_signatures, "lid bigint, line string, n int, chars bigint, grams bigint"), "signed")
     emit, row = PieceVariants(max_edits).emit, "lid bigint, h bigint, w bigint, number bigint"
 
-    def shared(keys: DataFrame) -> DataFrame:
-        """Keys of two lines or more; what only equal stretches share links nothing that the stretch itself does not link."""
-        return (keys.groupBy("h").agg(F.min("lid").alias("head"), F.max("lid").alias("y"), F.min("w").alias("w1"), F.max("w").alias("w2"),
-                                      F.count(F.lit(1)).alias("members"))
-                .where((F.col("head") < F.col("y")) & ((F.col("w1") != F.col("w2")) | (F.col("w1") == F.col("h"))))
-                .select("h", "head", "members", (F.col("w1") != F.col("w2")).alias("unlike")))
-
     cuts = signed.select("lid", "line").mapInArrow(emit, row)
-    met = cuts.join(written(shared(cuts), "parts"), "h")
-    chosen = met.groupBy("lid").agg(F.collect_set(F.when(F.col("unlike"), F.col("number"))).alias("chosen"))
-    likely = written(signed.select("lid", "line").join(written(chosen, "chosen"), "lid"), "stretches")
-    variants = likely.mapInArrow(emit, row)
-    keyed = written(variants.select("h", "lid").join(written(shared(variants), "variants"), "h"), "keyed")
+    unlike = cuts.groupBy("h").agg(F.min("w").alias("w1"), F.max("w").alias("w2")).where("w1 <> w2").select("h")
+    met = cuts.select("h", "lid", "number").join(written(unlike, "parts"), "h", "left_semi")
+    chosen = written(met.groupBy("lid").agg(F.collect_set("number").alias("chosen")), "chosen")
+    variants = written(signed.select("lid", "line").join(chosen, "lid", "left"), "stretches").mapInArrow(emit, row)
+    # a variant that only equal stretches share links nothing that the stretch itself does not link
+    shared = (variants.groupBy("h").agg(F.min("lid").alias("head"), F.max("lid").alias("y"), F.min("w").alias("w1"), F.max("w").alias("w2"),
+                                        F.count(F.lit(1)).alias("members"))
+              .where((F.col("head") < F.col("y")) & ((F.col("w1") != F.col("w2")) | (F.col("w1") == F.col("h"))))
+              .select("h", "head", "members"))
+    keyed = written(variants.select("h", "lid").join(written(shared, "variants"), "h"), "keyed")
 
     columns = ["lid", "line", "n", "chars", "grams"]
     earlier = signed.select([F.col(c).alias(f"_{c}") for c in columns])
