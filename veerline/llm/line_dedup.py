@@ -279,7 +279,12 @@ class PieceVariants:
                      + np.arange(1, PARTS + 1, dtype=np.uint64) * self.SPREAD + base[ok, None].astype(np.uint64) * self.MIX)
                 out.append((np.repeat(line[ok], PARTS), self._mixed(h, number[ok, None]).ravel(),
                             np.repeat(whole[ok], PARTS), np.repeat(number[ok], PARTS)))
-        return [np.concatenate(x) for x in zip(*out, strict=True)]
+        out = [np.concatenate(x) for x in zip(*out, strict=True)]
+        # a line's key once, from its shortest stretch: lines whose shortest ones are equal meet there
+        order = np.lexsort((out[1], out[0]))
+        line, h = out[0][order], out[1][order]
+        order = order[np.concatenate((np.ones(min(1, len(h)), dtype=bool), (line[1:] != line[:-1]) | (h[1:] != h[:-1])))]
+        return [x[order] for x in out]
 
     def variants(self, line: str, chosen: set[int]) -> list[np.ndarray]:
         """Keys of the one-deletion variants of the chosen stretches."""
