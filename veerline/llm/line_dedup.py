@@ -258,72 +258,58 @@ class PieceVariants:
                         ok = (a >= 0) & (a <= b) & (b <= n[lines])
                         yield lines[ok], (length * self.pieces + p)[ok], more, a[ok], b[ok]
 
-    def wholes(self, lines: list[str], parts: bool) -> list[np.ndarray]:
-        """Keys of whole stretches, or (``parts``) of stretches without a part."""
+    def of(self, lines: list[str], chosen: list | None = None) -> list[np.ndarray]:
+        """Keys of stretches without a part, or (``chosen``: the numbers of stretches or null, by line) of whole
+        stretches and the one-deletion variants of the chosen ones."""
         n = np.array([len(x) for x in lines], dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(n)[:-1]))
-        _, sums = self._sums("".join(lines))
-        out = []
+        c, sums = self._sums("".join(lines))
+        runs = np.concatenate(([True], c[1:] != c[:-1]))
+        pairs = np.array([i << 32 | x for i, some in enumerate(chosen or ()) for x in some or ()], dtype=np.int64)
+        out, variants = [], []
         for line, number, more, a, b in self._stretches(n):
             size, a, b = b - a, at[line] + a, at[line] + b
             whole = self._mixed((sums[b] - sums[a]) * self.back[a], number)
-            if more < 1 and not parts:
+            if chosen is None:
+                # unlike pieces within one edit: the shorter has ``base`` characters, the other one more or as many
+                for base in ([size] if more < 1 else []) + ([size - 1] if more > -1 else []):
+                    ok = base >= 0
+                    cut = np.arange(PARTS + 1) * base[ok, None] // PARTS
+                    head, tail = a[ok, None] + cut[:, :-1], b[ok, None] - (base[ok, None] - cut[:, 1:])
+                    h = ((sums[head] - sums[a[ok], None]) * self.back[a[ok], None] * np.uint64(31)
+                         + (sums[b[ok], None] - sums[tail]) * self.back[tail] * np.uint64(1_000_003)
+                         + np.arange(1, PARTS + 1, dtype=np.uint64) * self.SPREAD + base[ok, None].astype(np.uint64) * self.MIX)
+                    out.append((np.repeat(line[ok], PARTS), self._mixed(h, number[ok, None]).ravel(),
+                                np.repeat(whole[ok], PARTS), np.repeat(number[ok], PARTS)))
+                continue
+            if more < 1:
                 out.append((line, whole, whole, number))
-            # unlike pieces within one edit: the shorter has ``base`` characters, the other one more or as many
-            for base in ([size] if more < 1 else []) + ([size - 1] if more > -1 else []) if parts else []:
-                ok = base >= 0
-                cut = np.arange(PARTS + 1) * base[ok, None] // PARTS
-                head, tail = a[ok, None] + cut[:, :-1], b[ok, None] - (base[ok, None] - cut[:, 1:])
-                h = ((sums[head] - sums[a[ok], None]) * self.back[a[ok], None] * np.uint64(31)
-                     + (sums[b[ok], None] - sums[tail]) * self.back[tail] * np.uint64(1_000_003)
-                     + np.arange(1, PARTS + 1, dtype=np.uint64) * self.SPREAD + base[ok, None].astype(np.uint64) * self.MIX)
-                out.append((np.repeat(line[ok], PARTS), self._mixed(h, number[ok, None]).ravel(),
-                            np.repeat(whole[ok], PARTS), np.repeat(number[ok], PARTS)))
-        out = [np.concatenate(x) for x in zip(*out, strict=True)]
-        # a line's key once, from its shortest stretch: lines whose shortest ones are equal meet there
+            if more > -1:
+                for i in np.flatnonzero((size > 0) & np.isin(line << 32 | number, pairs)):
+                    x, y = int(a[i]), int(b[i])
+                    gone = x + np.flatnonzero(runs[x:y] | (np.arange(x, y) == x))
+                    h = (sums[gone] - sums[x] + (sums[y] - sums[gone + 1]) * self.inverse) * self.back[x]
+                    variants.append([self._mixed(h, number[i:i + 1]) if v is None else np.repeat(v[i], len(h)) for v in (line, None, whole, number)])
+        out = [np.concatenate(x) for x in zip(*out, *variants, strict=True)]
+        # a line's key once, from its shortest stretch (lines whose shortest ones are equal meet there), or a whole one
         order = np.lexsort((out[1], out[0]))
         line, h = out[0][order], out[1][order]
         order = order[np.concatenate((np.ones(min(1, len(h)), dtype=bool), (line[1:] != line[:-1]) | (h[1:] != h[:-1])))]
         return [x[order] for x in out]
 
-    def variants(self, line: str, chosen: set[int]) -> list[np.ndarray]:
-        """Keys of the one-deletion variants of the chosen stretches."""
-        c, sums = self._sums(line)
-        runs = np.concatenate(([True], c[1:] != c[:-1]))
-        out = []
-        for row, number, more, a, b in self._stretches(np.array([len(c)])):
-            if not len(row) or int(number[0]) not in chosen or more < 0 or a[0] == b[0]:
-                continue
-            a, b = int(a[0]), int(b[0])
-            whole = self._mixed((sums[b:b + 1] - sums[a]) * self.back[a], number)
-            at = a + np.flatnonzero(runs[a:b] | (np.arange(a, b) == a))
-            h = self._mixed((sums[at] - sums[a] + (sums[b] - sums[at + 1]) * self.inverse) * self.back[a], number)
-            out.append((np.zeros(len(h), dtype=np.int64), h, np.repeat(whole, len(h)), np.repeat(number, len(h))))
-        return [np.concatenate(x) for x in zip(*out, strict=True)]
-
     def emit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lid, line) -> (lid, h, w, number): stretches without a part; with a third column, the numbers of
         the chosen stretches (or null): whole stretches and the variants of the chosen ones."""
-        def rows(lids: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
-            row, h, w, number = keys
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (lids[row], h.view(np.int64), w.view(np.int64), number)],
-                                              ["lid", "h", "w", "number"])
-
         with np.errstate(over="ignore"):
             for batch in batches:
                 lids, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-                chosen = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(lines)
-                for lid, line, some in zip(lids, lines, chosen, strict=True):
-                    if some:    # a variant may be a whole stretch too: each key once, whole stretches first
-                        keys = [np.concatenate(x) for x in zip(self.wholes([line], False), self.variants(line, set(some)), strict=True)]
-                        first = np.unique(keys[1], return_index=True)[1]
-                        yield rows(np.array([lid]), [x[first] for x in keys])
-                rest = [i for i, some in enumerate(chosen) if not some]
-                lids, lines = lids[rest], [lines[i] for i in rest]
-                blocks = np.cumsum([len(x) + 200 for x in lines]) // 1_000_000
+                chosen = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+                blocks = np.cumsum([len(x) + 200 for x in lines]) // 200_000
                 for block in np.unique(blocks):
                     i, j = np.searchsorted(blocks, [block, block + 1])
-                    yield rows(lids[i:j], self.wholes(lines[i:j], parts=batch.num_columns == 2))
+                    row, h, w, number = self.of(lines[i:j], None if chosen is None else chosen[i:j])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lids[i:j][row], h.view(np.int64), w.view(np.int64), number)],
+                                                     ["lid", "h", "w", "number"])
 
 
 def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
