@@ -10,7 +10,7 @@ import pytest
 from tests.conftest import SF_MID
 from tests.llm.helpers import clashing, docs
 from veerline.llm import queries
-from veerline.llm.toxicity import Restorer, _code, character_model, count_characters, decode, lattice, toxicity_scores
+from veerline.llm.toxicity import Restorer, _code, character_model, count_characters, decode, evidence, lattice, toxicity_scores
 
 
 @pytest.fixture(scope="module")
@@ -31,13 +31,14 @@ def test_held_out_accuracy(spark):
 def test_character_counts(spark):
     texts = ["ab  c\nd", "É1", "", None, "abcd"]
     counts = count_characters(docs(spark, list(enumerate(texts))).coalesce(1))
-    # the texts of a task are one stream with runs of white space as one
-    stream = b"".join((t or "").encode() for t in texts)
-    symbols = [0 if c in b" \n" else c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c > 127 else 28 for c in stream]
-    symbols = [s for i, s in enumerate(symbols) if s or not i or symbols[i - 1]]
+    # every text by itself, with runs of white space as one; no string crosses two texts
     want = {}
-    for i in range(len(symbols) - 3):
-        want[tuple(symbols[i:i + 4])] = want.get(tuple(symbols[i:i + 4]), 0) + 1
+    for t in texts:
+        stream = (t or "").encode()
+        symbols = [0 if c in b" \n" else c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c > 127 else 28 for c in stream]
+        symbols = [s for i, s in enumerate(symbols) if s or not i or symbols[i - 1]]
+        for i in range(len(symbols) - 3):
+            want[tuple(symbols[i:i + 4])] = want.get(tuple(symbols[i:i + 4]), 0) + 1
     assert {tuple(map(int, k)): int(counts[tuple(k)]) for k in np.argwhere(counts)} == want
 
 
@@ -50,8 +51,46 @@ def test_hidden_words_are_restored(model):
         assert r.restore(clean) == clean
 
 
+def test_counts_do_not_depend_on_the_split(spark, monkeypatch):
+    rows = [(i, ("word%d  of\ttext " % i) * (i % 7)) for i in range(60)]
+    whole = count_characters(docs(spark, rows).coalesce(1))
+    assert (count_characters(docs(spark, rows).repartition(5)) == whole).all()
+    assert whole.sum() == sum(max(0, len(" ".join(t.split())) + (t != "") - 3) for _, t in rows)
+
+
+@pytest.mark.parametrize("hidden, word", [
+    ("i  d  i  o  t", "idiot"), ("i/d/i/o/t", "idiot"), ("i - d - i - o - t", "idiot"), ("i**d**i**o**t", "idiot"), ("i|d|i|o|t", "idiot"),
+    ("i\nd\ni\no\nt", "idiot"), ("s.c*u.m", "scum"), ("b a d", "bad"), ("idi" + "o" * 50 + "t", "idiot"), ("1d" + "1" * 2 + "o" * 30 + "t", "idiot"),
+    ("m1serabl3" + "w0rthl3ss" * 3, "miserable" + "worthless" * 3)])
+def test_wide_gaps_short_words_and_long_runs_are_restored(model, hidden, word):
+    found = Restorer(model).restore(f"the {hidden} and")
+    assert found == f"the {word} and" or hidden.startswith("1d11") and found.startswith("the idi") and found.endswith("ot and")
+
+
+def test_words_that_end_in_signs_count_both_ways(model):
+    r = Restorer(model)
+    for hidden, plain, read in [("a$$", "a", "ass"), ("dumba55", "dumba", "dumbass"), ("id1o7", "idio", "idiot")]:
+        assert r.restore(f"the {hidden} and")[4:5] == hidden[0]
+        assert read in r.marks(f"the {hidden} and") and {"the", "and"} <= r.marks(f"the {hidden} and")
+        assert plain == "idio" or plain in r.marks(f"the {hidden} and")
+    assert r.marks("plain words only") == r.marks("PLAIN words only") and r.marks("") == set()
+
+
+def test_long_hidden_spans_are_read_whole(model):
+    r = Restorer(model)
+    spaced = " ".join("idiot" * 4000)
+    assert r.restore(spaced).replace(" ", "") == "idiot" * 4000
+    assert len(r.restore("ab1" * 20_000)) == 60_000
+
+
+def test_every_mark_counts():
+    odds = {f"w{i}": 2.0 for i in range(40)}
+    scores = [evidence(set(list(odds)[:n]), odds) for n in range(41)]
+    assert scores[0] == 0 and scores[1] == 2 and all(a < b for a, b in zip(scores, scores[1:], strict=False)) and scores[40] < 2 + 0.25 / 0.125 * 2
+
+
 def test_viterbi_is_the_best_of_all_paths(model):
-    for span in ("1d10t", "i.d 1.o", "aaab", "b@d!1", "s-c-u-m"):
+    for span in ("1d10t", "i.d 1.o", "aaab", "b@d!1", "s-c-u-m", "i//d//1//t", "b*t*c*h"):
         def score(text):
             total, last = 0.0, (0, 0, 0)
             for ch in text + " ":

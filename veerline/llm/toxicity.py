@@ -1,9 +1,10 @@
 """Toxicity of deobfuscated text, by a noisy channel.
 
-Channel: a writer hides a word by look-alike signs (1d10t), by signs between its letters (i d i o t)
-or by repeating letters (idiooot). Each hidden span is a lattice: a sign may stand for one of a few
-letters or for itself, a gap between single letters for nothing or a blank, a run of three or more
-equal letters for one or two. A character language model (the three characters before, smoothed
+Channel: a writer hides a word by look-alike signs (1d10t), by one to three signs or blanks between
+its letters (i d i o t, i//d//i//o//t) or by repeating letters (idiooot). Each hidden span is a
+lattice: a sign may stand for one of a few letters or for itself, a gap between single letters for
+nothing or a blank, a run of three or more equal letters for one or two. A word that only ends in
+signs (covid19, a$$) may well be meant as it stands: its reading in letters alone counts beside the word. A character language model (the three characters before, smoothed
 over shorter contexts, counted over the whole corpus) scores the paths, and Viterbi search takes
 the best one. The restored text is then scored by the words and word beginnings that mark rows
 labelled toxic.
@@ -39,15 +40,20 @@ STEP = 1 << 20
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
              "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 _SIGN = r"0-9@$!|+*€"
+_GAP = rf"(?:[^\w{_SIGN}]|_){{1,3}}"
 SUSPECT = re.compile(
-    rf"(?<![^\W_])(?:[a-z{_SIGN}][ .\-_*]){{3,}}[a-z{_SIGN}](?![^\W_])"            # single letters with signs between
-    rf"|(?<![\w{_SIGN}])(?=[{_SIGN}]*[a-z])(?=[a-z]*[{_SIGN}]+[a-z])[a-z{_SIGN}]{{3,24}}(?![\w])"  # look-alikes before letters
-    r"|(?<![^\W_])(?=[a-z]*([a-z])\1\1)[a-z]{4,40}(?![^\W_])")                     # a letter three times or more
+    rf"(?<![^\W_])(?:[a-z{_SIGN}]{_GAP}){{2,}}[a-z{_SIGN}](?![^\W_])"               # single letters, other signs between
+    r"|(?<![^\W_])[a-z0-9]([@$!|+*€])\1{0,2}[a-z0-9](?:\1{1,3}[a-z0-9])+(?![^\W_])"  # single letters, one of these between
+    rf"|(?<![^\W_])(?:[a-z{_SIGN}][ .\-_*]){{3,}}[a-z{_SIGN}](?![^\W_])"            # both kinds between
+    rf"|(?<![\w{_SIGN}])(?=[{_SIGN}]*[a-z])(?=[a-z]*[{_SIGN}]+[a-z])[a-z{_SIGN}]{{3,}}(?![\w])"  # look-alikes before letters
+    r"|(?<![^\W_])(?=[a-z]*([a-z])\2\2)[a-z]{4,}(?![^\W_])")                        # a letter three times or more
+SPACED = re.compile(rf".(?:{_GAP}.)+|.(?:([@$!|+*€])\1{{0,2}}.)+|(?:.[ .\-_*])+.", re.DOTALL)
+TAILED = re.compile(rf"(?<![\w{_SIGN}])(?=\S{{3}})[a-z]+[0-9@$€]+(?!\w)")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
 def count_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all four-character strings over the whole corpus, as a [29, 29, 29, 29] array."""
+    """Counts of all four-character strings of every text, as a [29, 29, 29, 29] array; none crosses two texts."""
     size = SYMBOLS ** 4
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,11 +61,16 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             raw, off = _buffers(batch.column(0))
             end = int(off[-1]) if len(off) else 0
+            c, text = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
             for at in range(int(off[0]) if len(off) else 0, end, STEP):
-                c = _CODE[raw[at:min(at + STEP, end)]]
-                c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]      # white space counts once
+                stop = min(at + STEP, end)
+                c = np.concatenate((c[-3:], _CODE[raw[at:stop]]))                  # three characters of the step before
+                text = np.concatenate((text[-3:], np.searchsorted(off, np.arange(at, stop), side="right")))
+                keep = np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0) | (text[1:] != text[:-1])))
+                c, text = c[keep], text[keep]                                      # white space counts once
                 if len(c) > 3:
-                    total += np.bincount(((c[:-3] * SYMBOLS + c[1:-2]) * SYMBOLS + c[2:-1]) * SYMBOLS + c[3:], minlength=size)
+                    grams = ((c[:-3] * SYMBOLS + c[1:-2]) * SYMBOLS + c[2:-1]) * SYMBOLS + c[3:]
+                    total += np.bincount(grams[text[:-3] == text[3:]], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
@@ -85,7 +96,8 @@ def _code(ch: str) -> int:
 
 def lattice(span: str) -> list[list[str]]:
     """The choices of each step of a hidden span (already in lower case)."""
-    spaced = re.fullmatch(r"(?:.[ .\-_*])+.", span) is not None
+    if SPACED.fullmatch(span):
+        return _spaced_lattice(span)
     steps: list[list[str]] = []
     i = 0
     while i < len(span):
@@ -93,12 +105,8 @@ def lattice(span: str) -> list[list[str]]:
         j = i
         while j < len(span) and span[j] == ch:
             j += 1
-        if spaced and i % 2 == 1:
-            steps.append(["", " "])
-            i += 1
-            continue
-        letters = [ch] if ch.isalpha() else [*LOOKALIKE.get(ch, ""), ch]
-        if not spaced and j - i >= 3:
+        letters = _letters(ch)
+        if j - i >= 3:
             steps.append([x for c in letters for x in (c, c * 2)])
             i = j
         else:
@@ -107,12 +115,37 @@ def lattice(span: str) -> list[list[str]]:
     return steps
 
 
-def decode(span: str, model: np.ndarray) -> str:
-    """The most likely reading of a hidden span, between blanks."""
-    best = {(0, 0, 0): (0.0, "")}                      # last three characters -> (log probability, text)
-    for choices in [*lattice(span), [" "]]:
+def _letters(ch: str) -> list[str]:
+    return [ch] if ch.isalpha() else [*LOOKALIKE.get(ch, ""), ch]
+
+
+def _spaced_lattice(span: str) -> list[list[str]]:
+    """Single letters and gaps in turn; a gap that is a single look-alike sign may also be a letter."""
+    steps: list[list[str]] = []
+    i = 0
+    while i < len(span):
+        if not steps or len(steps) % 2 == 0:
+            steps.append(_letters(span[i]))
+            i += 1
+            continue
+        j = i + 1                                       # the gap: up to the next letter or look-alike sign
+        if span[i] in LOOKALIKE:
+            while j < len(span) - 1 and span[j] == span[i]:
+                j += 1
+        else:
+            while j < len(span) - 1 and span[j] not in LOOKALIKE and not "a" <= span[j] <= "z" and not span[j].isdigit():
+                j += 1
+        steps.append(["", " ", *(LOOKALIKE.get(span[i], "") if j == i + 1 else "")])
+        i = j
+    return steps
+
+
+def decode(span: str, model: np.ndarray, steps: list[list[str]] | None = None) -> str:
+    """The most likely reading of a hidden span (or of the given steps), between blanks."""
+    best: dict = {(0, 0, 0): (0.0, None)}              # last three characters -> (log probability, (path before, choice))
+    for choices in [*(lattice(span) if steps is None else steps), [" "]]:
         after: dict = {}
-        for (a, b, c), (score, text) in best.items():
+        for (a, b, c), (score, path) in best.items():
             for choice in choices:
                 s, x, y, z = score, a, b, c
                 for ch in choice:
@@ -121,9 +154,14 @@ def decode(span: str, model: np.ndarray) -> str:
                     x, y, z = y, z, k
                 old = after.get((x, y, z))
                 if old is None or s > old[0]:
-                    after[(x, y, z)] = (s, text + choice)
+                    after[(x, y, z)] = (s, (path, choice))
         best = after
-    return max(best.values())[1][:-1]
+    path = max(best.values(), key=lambda found: found[0])[1]
+    out = []
+    while path is not None:
+        path, choice = path
+        out.append(choice)
+    return "".join(reversed(out))[:-1]
 
 
 class Restorer:
@@ -141,9 +179,19 @@ class Restorer:
             got = self.known[span] = decode(span, self.model)
         return got
 
+    def _read_tail(self, m: re.Match) -> str:
+        """A word that ends in signs, with each of them a letter where it can stand for one."""
+        steps = [[x for x in choices if x.isalpha()] or choices for choices in lattice(m.group(0))]
+        return decode("", self.model, steps)
+
     def restore(self, text: str) -> str:
         return SUSPECT.sub(self._read, text.lower())
 
+    def marks(self, text: str) -> set[str]:
+        """The marks of the restored text and of the readings of words that end in signs."""
+        restored = self.restore(text)
+        return marks(" ".join([restored, *(self._read_tail(m) for m in TAILED.finditer(restored))]))
+
 
 def marks(restored: str) -> set[str]:
     """The distinct words of a text, and their first three and four letters (as '^abc', '^abcd')."""
@@ -151,18 +199,6 @@ def marks(restored: str) -> set[str]:
     return words | {"^" + w[:3] for w in words} | {"^" + w[:4] for w in words}
 
 
-def restored_texts(spark, model: np.ndarray):
-    """A column function: text -> restored text (lower case; null stays null)."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("string")
-    def restore(texts: pa.Array) -> pa.Array:
-        r = Restorer(shared.value)
-        return pa.array([None if t is None else r.restore(t) for t in texts.to_pylist()], type=pa.string())
-
-    return restore
-
-
 def learn_marks(sample: DataFrame, restorer: Restorer, alpha: float = 0.05, max_marks: int = 20_000) -> dict[str, float]:
     """Log odds of the marks of toxic rows. ``sample``: (text, toxic 0 / 1), distinct texts.
 
@@ -172,7 +208,7 @@ def learn_marks(sample: DataFrame, restorer: Restorer, alpha: float = 0.05, max_
         for batch in batches:
             n: Counter = Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n.update((m, y) for m in marks(restorer.restore(text or "")))
+                n.update((m, y) for m in restorer.marks(text or ""))
                 n["", y] += 1
             keys = list(n)
             yield pa.RecordBatch.from_arrays(
@@ -197,10 +233,11 @@ def learn_marks(sample: DataFrame, restorer: Restorer, alpha: float = 0.05, max_
     return out
 
 
-def evidence(restored: str, odds: dict[str, float]) -> float:
-    """The strongest mark of a text, and a little for each further one."""
-    found = sorted((odds[m] for m in marks(restored) & odds.keys()), reverse=True)
-    return found[0] + 0.25 * sum(found[1:9]) if found else 0.0
+def evidence(found: set[str], odds: dict[str, float], share: float = 0.25, fade: float = 0.875) -> float:
+    """The strongest mark of a text, and a ``share`` of each further one, less by ``fade`` from one to the next:
+    every mark counts, all further ones together at most ``share / (1 - fade)`` times the second."""
+    ranked = sorted((odds[m] for m in found & odds.keys()), reverse=True)
+    return ranked[0] + share * sum(x * fade ** i for i, x in enumerate(ranked[1:])) if ranked else 0.0
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -244,7 +281,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def found(part: pa.Array) -> pa.Array:
         model, odds = shared.value
         r = Restorer(model)
-        return pa.array([evidence(r.restore(t or ""), odds) for t in part.to_pylist()], type=pa.float64())
+        return pa.array([evidence(r.marks(t or ""), odds) for t in part.to_pylist()], type=pa.float64())
 
     learned = sample.select(found("_text").alias("x"), "_y").toArrow()
     sample.unpersist()
