@@ -10,7 +10,20 @@ import pytest
 from tests.conftest import SF_MID
 from tests.llm.helpers import clashing, docs
 from veerline.llm import queries
-from veerline.llm.toxicity import Restorer, _code, character_model, count_characters, decode, evidence, lattice, toxicity_scores
+from veerline.llm.toxicity import (
+    HINTS,
+    SUSPECT,
+    TAIL_HINT,
+    TAILED,
+    Restorer,
+    _code,
+    character_model,
+    count_characters,
+    decode,
+    evidence,
+    lattice,
+    toxicity_scores,
+)
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +102,14 @@ def test_every_mark_counts():
     assert scores[0] == 0 and scores[1] == 2 and all(a < b for a, b in zip(scores, scores[1:], strict=False)) and scores[40] < 2 + 0.25 / 0.125 * 2
 
 
+def test_hints_miss_no_match():
+    rng = np.random.default_rng(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("ab1$! ._/*Z\n"), rng.integers(1, 14))).lower()
+        assert not SUSPECT.search(text) or any(h.search(" " + text) for h in HINTS), text
+        assert not TAILED.search(text) or TAIL_HINT.search(text), text
+
+
 def test_viterbi_is_the_best_of_all_paths(model):
     for span in ("1d10t", "i.d 1.o", "aaab", "b@d!1", "s-c-u-m", "i//d//1//t", "b*t*c*h"):
         def score(text):

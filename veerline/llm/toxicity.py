@@ -49,6 +49,10 @@ SUSPECT = re.compile(
     r"|(?<![^\W_])(?=[a-z]*([a-z])\2\2)[a-z]{4,}(?![^\W_])")                        # a letter three times or more
 SPACED = re.compile(rf".(?:{_GAP}.)+|.(?:([@$!|+*€])\1{{0,2}}.)+|(?:.[ .\-_*])+.", re.DOTALL)
 TAILED = re.compile(rf"(?<![\w{_SIGN}])(?=\S{{3}})[a-z]+[0-9@$€]+(?!\w)")
+# What any match needs, quickly found: three single letters in a row, a letter after a look-alike, a letter three times; a sign after a letter.
+HINTS = [re.compile(rf"[\W_][a-z{_SIGN}][\W_]{{1,3}}[a-z{_SIGN}][\W_]{{1,3}}[a-z{_SIGN}](?![^\W_])"),
+         re.compile(rf"[{_SIGN}][a-z]"), re.compile(r"([a-z])\1\1")]
+TAIL_HINT = re.compile(r"[a-z][0-9@$€]")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -185,11 +189,14 @@ class Restorer:
         return decode("", self.model, steps)
 
     def restore(self, text: str) -> str:
-        return SUSPECT.sub(self._read, text.lower())
+        text = text.lower()
+        return SUSPECT.sub(self._read, text) if any(hint.search(" " + text) for hint in HINTS) else text
 
     def marks(self, text: str) -> set[str]:
         """The marks of the restored text and of the readings of words that end in signs."""
         restored = self.restore(text)
+        if not TAIL_HINT.search(restored):
+            return marks(restored)
         return marks(" ".join([restored, *(self._read_tail(m) for m in TAILED.finditer(restored))]))
 
 
