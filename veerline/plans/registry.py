@@ -37,6 +37,7 @@ def load_all() -> None:
         flow_queries,
         io_queries,
         model_queries,
+        neighbour_queries,
         sampling_queries,
         subword_queries,
         text_queries,
