@@ -78,7 +78,7 @@ def test_coordinates_against_a_dense_solution(spark, shape):
     assert np.allclose(w, (plain + plain.T) / 2, atol=1e-12)
     degree = w.sum(axis=1)
     values, dense = np.linalg.eigh(np.eye(120) / 2 + w / np.sqrt(np.outer(degree, degree)) / 2)
-    got = {r.id: r.reduced for r in N.reduce_by_neighbours(df, "id", "v", 3, k=8, extra=60, rounds=3).collect()}
+    got = {r.id: r.reduced for r in N.reduce_by_neighbours(df, "id", "v", 3, k=8, extra=40, rounds=10).collect()}
     y = np.array([got[i] for i in range(120)]) * np.sqrt(degree)[:, None]
     assert np.allclose(y.T @ y, np.eye(3), atol=1e-6)
     m = np.eye(120) / 2 + w / np.sqrt(np.outer(degree, degree)) / 2
