@@ -3,6 +3,8 @@ to a fresh folder under the shared checkpoint folder and returns what reads back
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from veerline.operators import evaluate as E
 from veerline.operators import sampling
 from veerline.plans import docs_queries, eval_queries, sampling_queries
 from veerline.plans.registry import ORACLE, register
-from veerline.sources import io
+from veerline.sources import bucketed, io
 from veerline.sources.tables import read_table
 
 
@@ -174,3 +176,17 @@ def read_record_json(spark: SparkSession, sf: str) -> DataFrame:
 def write_record_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """The same through Parquet, the format between stages."""
     return _record_trip(spark, sf, "parquet")
+
+
+@register("bucketed_hand_off", sql=f"""with {sampling_queries.SQL_SOURCES}
+select account_name, count(*) as n, sum(n_chars)::bigint as chars, min(doc_id) as first_doc
+from (select doc_id, account_name, n_chars from onc union all select doc_id, account_name, n_chars from rnd)
+where account_name not in (select account_name from test_acc) group by account_name""")
+def bucketed_hand_off(spark: SparkSession, sf: str) -> DataFrame:
+    """Features stored by account; the anti join and the sums by account read them without an exchange."""
+    _, onc, rnd = sampling_queries.labelled_sources(spark, sf)
+    both = sampling.union_common_columns([onc, rnd])
+    name = f"hand_off_{uuid.uuid4().hex[:12]}"
+    stored = bucketed.write_bucketed(both.select("doc_id", "account_name", "n_chars"), name, ["account_name"])
+    rest = sampling.anti_join_accounts(bucketed.read_bucketed(spark, stored), sampling_queries.test_accounts(spark, sf))
+    return rest.groupBy("account_name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_doc"))
