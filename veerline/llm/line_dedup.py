@@ -382,6 +382,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated = classes.where("n > 1").withColumn("late", F.lit(False))
     else:
         repeated = classes.join(late, ["l1", "l2"], "left").where("n > 1 or late")
+    repeated = written(repeated.select("l1", "l2", "first", "late"), "repeated")     # apart, so that a hot line's occurrences can be split
     gone = (occurrences.join(repeated, ["l1", "l2"]).where(F.coalesce("late", F.lit(False)) | (F.col("at") != F.col("first")))
             .select("at.doc_id", "at.th", "at.no").distinct()
             .groupBy("doc_id", "th").agg(F.collect_list("no").alias("gone"))
