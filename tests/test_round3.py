@@ -47,6 +47,12 @@ def test_empty_vocabulary_and_no_documents(spark):
     assert S.encode_subwords(docs.limit(0), "id", "words", table(spark, {"x": 9})).count() == 0
 
 
+def test_substrings_are_not_broadcast(spark):
+    words = spark.createDataFrame([(f"word{i}",) for i in range(50)], "word string")
+    found = S.longest_matches(words, table(spark, {"w": 4, "##o": 5}))
+    assert found.count() == 100 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_both_decode_rules_fire_on_the_fixture(spark):
     ids, vocab = subword_queries.encoded(spark, SF_SMALL)
     tokens = {r["token_id"]: r["token"] for r in vocab.collect()}

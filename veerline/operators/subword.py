@@ -5,8 +5,9 @@ vocabulary with ``##`` before it. A word that cannot be cut whole, or is longer
 [UNK]. The vocabulary is a table (``token``, ``token_id``) of any size and is joined, never collected.
 
 Scale: each distinct word is cut once (its occurrences combine on the map side). Its substrings up to the
-longest piece meet the vocabulary in one join; per place only the longest match stays, at most ``max_chars``
-per word, and a fold over them walks the word. Occurrences then look up their word's pieces."""
+longest piece meet the vocabulary in one shuffled join (they are many times the words they come from, which
+is all that Spark's size estimate knows: it would broadcast them); per place only the longest match stays, at
+most ``max_chars`` per word, and a fold over them walks the word. Occurrences then look up their word's pieces."""
 
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ def longest_matches(words: DataFrame, vocab: DataFrame, word: str = "word", max_
     sizes = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.char_length("word") - F.col("start")))
     pieces = places.select("word", "start", F.explode(sizes).alias("size"))
     pieces = pieces.withColumn("token", _marked(F.col("start"), F.substring(F.col("word"), F.col("start") + 1, F.col("size"))))
-    found = pieces.join(vocab.select("token", F.col("token_id").cast("bigint").alias("token_id")), "token")
+    found = pieces.hint("merge").join(vocab.select("token", F.col("token_id").cast("bigint").alias("token_id")), "token")
     best = F.max(F.struct("size", "token_id"))
     return found.groupBy("word", "start").agg(best.alias("b")).select("word", "start", "b.size", "b.token_id")
 

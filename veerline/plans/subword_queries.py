@@ -13,6 +13,7 @@ from veerline.operators import docs as D
 from veerline.operators import subword as S
 from veerline.plans.docs_queries import _SQL_TOKENS
 from veerline.plans.registry import register
+from veerline.sources import io
 from veerline.sources.tables import read_table
 
 _SQL = f"""
@@ -57,8 +58,15 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The turns' ids and the vocabulary; the distinct words and the vocabulary are written once, as each has many readers."""
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = io.scratch_dir(spark, name)
+        io.write_features(df, path)
+        return spark.read.schema(df.schema).parquet(path)
+
     turns = turn_words(spark, sf)
-    vocab = vocabulary(turns.select(F.explode("words").alias("word")).distinct())
+    words = written(turns.select(F.explode("words").alias("word")).distinct(), "subword_words")
+    vocab = written(vocabulary(words), "subword_vocabulary")
     return S.encode_subwords(turns, "turn_id", "words", vocab), vocab
 
 
