@@ -8,7 +8,7 @@ import pandas as pd
 from tests.conftest import SF_MID
 from tests.llm.helpers import clashing, docs
 from veerline.llm import queries
-from veerline.llm.quality import N_FEATURES, features, fit_ranking, quality_scores
+from veerline.llm.quality import N_FEATURES, features, fit_ranking, learn_ranking, preference_pairs, quality_scores
 
 
 def test_held_out_accuracy(spark):
@@ -55,3 +55,26 @@ def test_odd_rows(spark):
     assert quality_scores(docs(spark, []), labels).count() == 0
     alone = quality_scores(docs(spark, rows), labels.where("quality = 1")).collect()
     assert {round(r.score, 9) for r in alone} == {0.3}
+
+
+def labelled(spark, x, y):
+    return spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "_id long, x array<double>, y int")
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30_000, N_FEATURES))[:, :2]
+    x = np.c_[x, np.zeros((30_000, N_FEATURES - 2))]
+    y = (x[:, 0] > -0.5).astype(int)
+    rows = labelled(spark, x[:300], y[:300])
+    good, bad = int(y[:300].sum()), 300 - int(y[:300].sum())
+    met = preference_pairs(rows, 1, good, bad, 10, 3).collect()
+    assert len(met) == 3 * good and len({tuple(r.more) for r in met}) == good and len({tuple(r.less) for r in met}) == bad
+    assert preference_pairs(rows, 1, good, bad, 60_000, 3).distinct().count() == good * bad    # few rows: all pairs
+    m = learn_ranking(spark.createDataFrame(pd.DataFrame({"_id": range(30_000), "x": x.tolist(), "y": y}), "_id long, x array<double>, y int"), 1000, 0.3)
+    np.testing.assert_allclose(m.mean, x.mean(axis=0), atol=1e-9)                              # no sample: the moments of all rows
+    np.testing.assert_allclose(m.scale, np.maximum(x.std(axis=0), 1e-6), atol=1e-9)
+    s = np.sort(m.rank(x))
+    n = int((y == 0).sum())
+    assert abs(m.threshold - (s[n - 1] + s[n]) / 2) < 1e-9
+    assert abs(m.slope - 8 / (np.median(s[n:]) - np.median(s[:n]))) < 1e-6
