@@ -40,6 +40,12 @@ def test_counts_and_information_against_plain_counting(spark):
     assert x.keys() == {p for p, v in plain.items() if v > 0} and all(abs(x[p] - plain[p]) < 1e-12 for p in x)
 
 
+def test_pairs_are_counted_once(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"])], "id int, words array<string>")
+    counts = W.cooccurrences(docs, "words", 2, 1)
+    assert counts.inputFiles() and all("/vectors/pairs-" in f for f in counts.inputFiles())
+
+
 def test_leading_values_and_vectors_against_a_dense_solution(spark):
     cells = Q.associations(spark, SF_SMALL)
     found = W.word_vectors(cells, 8, extra=40, rounds=14)

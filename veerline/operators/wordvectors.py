@@ -6,7 +6,8 @@ The table is never dense: it is rows (a, b, x). A block of ``dims + extra`` vect
 small Gram matrix, and the table's values on the block's span give the eigenvectors. The starting block comes from
 hashes of the words, so nothing depends on partitioning but the last bits of sums.
 
-Scale: pairs combine on the map side and rare words go before the table is used; a multiplication shuffles the
+Scale: pairs are counted once, combined on the map side, and written without rare words, each pair one way round;
+sums and the table read them from there. A multiplication shuffles the
 table once and the block once. Blocks are written after every step. The driver holds matrices of
 ``dims + extra`` rows and columns only."""
 
@@ -41,6 +42,9 @@ def cooccurrences(docs: DataFrame, tokens_col: str, window: int = 5, min_count:
     pairs = docs.select(F.explode(neighbours(tokens_col, window)).alias("p")).select("p.a", "p.b").where("a is not null and b is not null")
     once = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     once = (once.join(frequent.withColumnRenamed("word", "a"), "a", "left_semi").join(frequent.withColumnRenamed("word", "b"), "b", "left_semi"))
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/vectors/pairs-{uuid.uuid4().hex[:12]}"
+    once.write.parquet(path)                                     # sums, total and table all read it
+    once = docs.sparkSession.read.schema(once.schema).parquet(path)
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")))).otherwise(
         F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n")))
     return once.select(F.explode(both).alias("c")).select("c.a", "c.b", "c.n")
