@@ -66,6 +66,15 @@ def test_encode_with_checked_broadcast(spark):
     assert plain == small == over == {1: [6, 4, 1], 2: []}
 
 
+def test_ids_are_folded_in_natural_order_without_a_comparator(spark):
+    docs = spark.createDataFrame([(1, [f"t{i % 7}" for i in range(300)]), (2, []), (3, None)], "id bigint, tokens array<string>")
+    vocab, ids = D.vocabulary_and_ids(docs, "id", "tokens")
+    at = {r["token"]: r["token_id"] for r in vocab.collect()}
+    assert {r["id"]: r["ids"] for r in ids.collect()} == {1: [at[f"t{i % 7}"] for i in range(300)], 2: [], 3: []}
+    decoded = D.decode_pieces(ids, "id", "ids", vocab)
+    assert all("array_sort" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (ids, decoded))
+
+
 def test_checked_broadcast_shows_in_plan(spark):
     import io
     from contextlib import redirect_stdout

@@ -119,7 +119,7 @@ def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
     exploded = docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
     joined = exploded.join(sized_side(vocab, broadcast_max_rows), "token", "left")
     item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
-    ids = F.array_sort(F.collect_list(item))
+    ids = F.sort_array(F.collect_list(item))
     return joined.groupBy(key).agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
 
 
@@ -134,7 +134,7 @@ def vocabulary_and_ids(docs: DataFrame, key: str, tokens_col: str, hex_digits: i
     vocab = ranked.select("token", (F.col("rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"))
     joined = exploded.join(vocab, "token", "left")
     item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
-    ids = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("ids"))
+    ids = joined.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["id"]).alias("ids"))
     return vocab, ids
 
 
@@ -154,7 +154,7 @@ def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
     joined = exploded.join(sized_side(full_vocab, broadcast_max_rows), "token_id", "left")
     item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), piece.alias("piece")))
     return joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
 
 
 def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
@@ -167,7 +167,7 @@ def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
     exploded = ids_df.select(key, F.posexplode_outer(ids).alias("p", "token_id"))
     joined = exploded.join(sized_side(full_vocab, broadcast_max_rows), "token_id", "left")
     item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), F.coalesce("token", F.lit("")).alias("t")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), " ")
     return joined.groupBy(key).agg(F.replace(text, F.lit(" ##"), F.lit("")).alias("decoded"))
 
 

@@ -64,5 +64,5 @@ def encode_subwords(docs: DataFrame, key: str, words_col: str, vocab: DataFrame,
     cut = word_pieces(placed, vocab, max_chars=max_chars, unk_id=unk_id)
     joined = placed.join(cut, "word", "left")
     item = F.when(F.col("ids").isNotNull(), F.struct("p", "ids"))
-    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["ids"])
+    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["ids"])
     return joined.groupBy(key).agg(F.flatten(ordered).alias("ids"))
