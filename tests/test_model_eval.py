@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veerline.operators import evaluate as E
+from veerline.operators import model as M
 from veerline.plans import model_queries as MQ
 from tests.conftest import SF_SMALL
 
@@ -33,6 +34,14 @@ def test_macro_metrics_labels_only_predicted(spark):
     assert abs(m["macro_precision"] - round((0.5 + 1.0 + 0.0) / 3, 6)) < 1e-9
 
 
+def test_first_fit_is_long_enough_to_stop_early(spark, monkeypatch):
+    rounds, classifier = [], M.GBTClassifier
+    monkeypatch.setattr(M, "GBTClassifier", lambda **kw: (rounds.append(kw["maxIter"]), classifier(**kw))[1])
+    rows = spark.range(40).selectExpr("array(cast(id % 10 as double)) as a", "cast(id % 10 < 5 as int) as label", "cast(id % 2 as int) as fold")
+    M.train_cv_gbt(M.assemble_features(rows, [], ["a"]), n_folds=2, max_iter=6, early_stopping_rounds=2, max_depth=1)
+    assert rounds[:2] == [6, 6]                                  # not 3, 3, 6, 6
+
+
 def test_best_round_patience():
     from veerline.operators.model import best_round
     assert best_round([3, 2, 1, 1.5, 1.2, 1.1], 3) == (3, True)

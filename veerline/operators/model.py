@@ -123,7 +123,7 @@ def train_cv_gbt(df: DataFrame, features: str = "features", label: str = "label"
             return list(pool.map(inheritable_thread_target(data.sparkSession)(lambda k: fit(k, rounds)), range(n_folds)))
 
     held = [k for k in range(n_folds) if 0 < sizes.get(k, 0) < total]
-    rounds = min(max_iter, early_stopping_rounds + 1)
+    rounds = min(max_iter, 2 * (early_stopping_rounds + 1))      # half of it suffices only if the first round is the best
     while True:
         models = fit_all(rounds)
         if not held:
