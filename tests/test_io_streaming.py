@@ -2,6 +2,7 @@
 
 import json
 import os
+import pathlib
 import tempfile
 
 from pyspark.sql import functions as F
@@ -73,3 +74,33 @@ def test_streaming_running_counts(spark):
     q.stop()
     row = spark.sql("select * from cleaned_counts").collect()[-1]
     assert (row["n_rows"], row["n_chars"]) == (2, len("hi") + len("ok"))
+
+
+def test_account_files_equal_sparks_own(spark, tmp_path):
+    rows = [("a b", 2, 'x "q", y'), ("a b", 1, "two\nlines"), ("a b", 3, None), ("a b", 4, ""), ("a/b:%", 1, "  trimmed "),
+            ("é#", 1, "ä, ö"), (None, 1, "\\ back"), (None, 2, ""), ("", 3, "no name")]
+    df = spark.createDataFrame(rows, "account string, turn int, text string")
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    io.write_timelines(df, ours, "account", "turn")
+    io.write_timelines(df, ours, "account", "turn")     # overwrites
+    (df.replace("", None, "account").repartition("account").sortWithinPartitions("account", "turn").write.options(**io.CSV_OPTIONS).partitionBy("account").csv(theirs))
+
+    def files(path):
+        return {p.parent.name: p.read_text() for p in pathlib.Path(path).glob("*/*.csv")}
+
+    assert files(ours) == files(theirs) and len(files(ours)) == 4
+    assert [p.name for p in pathlib.Path(ours).glob("*/*")] == ["part-00000.csv"] * 4     # no checksum file for each account
+    read = [sorted(map(tuple, io.read_timelines(spark, p, "turn int, text string", "account").drop("pos").collect()), key=str) for p in (ours, theirs)]
+    assert read[0] == read[1] and len(read[0]) == len(rows)
+
+
+def test_account_file_goes_on_over_batches(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") % 2).alias("account"), "id")
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        io.write_timelines(df, "file:" + str(tmp_path / "t"), "account", "id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+    for k in (0, 1):
+        assert (tmp_path / "t" / f"account={k}" / "part-00000.csv").read_text().split() == ["id", *map(str, range(k, 5000, 2))]

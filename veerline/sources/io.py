@@ -7,9 +7,12 @@ File order is the timeline order: CSVs are read with ``multiLine`` (a file is ne
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +21,7 @@ from veerline.functions.text import account_from_path
 from veerline.session import ensure_checkpoint_dir
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+_ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")     # in folder names
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -41,14 +45,63 @@ def read_timelines(spark: SparkSession, path: str | Sequence[str], schema: Struc
     return df
 
 
+def _partition_folder(column: str, value: str | None) -> str:
+    """The folder name that ``partitionBy`` gives to a value."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if c < " " or c in _ESCAPED else c for c in value)
+
+
+def _account_files(folder: str, column: str, header: str):
+    """(account, line) in order of the accounts -> one file for each, put in place when it is whole."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, account, out, made = 0, None, None, ""
+        for batch in batches:
+            accounts, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cuts = [0, *(i for i in range(1, len(lines)) if accounts[i] != accounts[i - 1]), len(lines)] if lines else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if out is None or accounts[i] != account:
+                    if out is not None:
+                        out.close()
+                        os.replace(out.name, made)
+                    account, files = accounts[i], files + 1
+                    own = os.path.join(folder, _partition_folder(column, account))
+                    os.makedirs(own, exist_ok=True)
+                    made = os.path.join(own, "part-00000.csv")
+                    out = open(os.path.join(own, f"_{uuid.uuid4().hex}"), "w", encoding="utf-8", newline="")
+                    out.write(header)
+                out.write("".join(f"{x}\n" for x in lines[i:j]))
+        if out is not None:
+            out.close()
+            os.replace(out.name, made)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+    return write
+
+
 def write_timelines(df: DataFrame, path: str, account: str, order: str) -> None:
     """One CSV folder per account (``account=<key>``), rows in ``order`` inside each file.
 
     This is the interchange layout of per-account timelines: one file per account, so one task
     writes each account. For very large accounts keep Parquet with an explicit order column
-    instead (readers then need no file order)."""
-    (df.repartition(account).sortWithinPartitions(account, order)
-     .write.mode("overwrite").options(**CSV_OPTIONS).partitionBy(account).csv(path))
+    instead (readers then need no file order).
+
+    On a shared folder of the local file system the tasks write Spark's CSV lines to the files themselves: there
+    Hadoop starts a ``chmod`` process for each folder, file and checksum, which costs far more than the rows."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # given, or few bytes would come to few tasks
+    local = urlsplit(path)
+    if local.scheme not in ("", "file") or not local.path.startswith("/"):
+        (df.repartition(tasks, account).sortWithinPartitions(account, order)
+         .write.mode("overwrite").options(**CSV_OPTIONS).partitionBy(account).csv(path))
+        return
+    df.limit(0).write.mode("overwrite").options(**CSV_OPTIONS).partitionBy(account).csv(path)     # an empty folder
+    columns = [c for c in df.columns if c != account]
+    heads = df.sparkSession.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(columns)]), CSV_OPTIONS))
+    line = F.to_csv(F.struct(*[F.col(c) for c in columns]), CSV_OPTIONS)
+    name = F.nullif(F.col(account).cast("string"), F.lit(""))      # both have one folder
+    rows = df.select(name.alias("account"), F.col(order).alias("at"), line.alias("line")).repartition(tasks, "account")
+    files = rows.sortWithinPartitions("account", "at").select("account", "line").mapInArrow(
+        _account_files(path.removeprefix("file:") if local.scheme else path, account, heads.first()[0] + "\n"), "files bigint")
+    files.agg(F.sum("files")).collect()
 
 
 def read_feature_json(spark: SparkSession, path: str, schema: StructType | str | None = None,
