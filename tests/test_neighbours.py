@@ -84,3 +84,24 @@ def test_coordinates_against_a_dense_solution(spark, shape):
     m = np.eye(120) / 2 + w / np.sqrt(np.outer(degree, degree)) / 2
     assert np.allclose(np.diag(y.T @ m @ y), values[::-1][1:4], atol=1e-3)
     assert np.abs(m @ y - y * values[::-1][1:4]).max() < 0.01
+
+
+def test_meetings_give_only_what_may_stay(spark):
+    x = np.random.default_rng(3).normal(size=(200, 5))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    links = vectors.selectExpr("0L as a", "id as m", "true as fresh")
+    found = N._measured(links, vectors, None, 7, 200)
+    got = {(r.a, r.b): r.d for r in found.collect()}
+    want = exact(np.arange(200), x, 7)
+    assert found.count() == len(got) == 7 * 200 and got.keys() == want.keys()     # not all pairs
+    assert all(abs(got[p] ** 0.5 - want[p]) < 1e-12 for p in got)
+    assert {(r.a, r.b) for r in N._measured(links, vectors, found, 7, 200).collect()} == got.keys()     # nothing nearer
+    assert N._measured(links.withColumn("fresh", links.m < 0), vectors, found, 7, 200).count() == 0
+
+
+def test_repeated_ids_and_missing_components(spark):
+    schema = "id long, v array<float>"
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [None, 1.0]), (4, [0.0, 1.0])], schema)
+    got = {(r.id, r.neighbour): r.distance for r in N.neighbour_graph(df, "id", "v", 10).collect()}
+    assert got.keys() == {(a, b) for a in range(1, 5) for b in range(1, 5) if a != b}
+    assert got[1, 2] == got[2, 1] == 5.0 and got[1, 4] == 1.0 and got[1, 3] is got[3, 4] is None
