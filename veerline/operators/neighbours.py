@@ -8,9 +8,10 @@ involve an edge found in the round before are new. ``reduce_by_neighbours`` weig
 relative to both ends' own scale, and takes eigenvectors of the normalised graph by power iteration on a block.
 
 Scale: a row meets through its own ``width`` edges and as many of the edges to it, drawn by hash, so a row
-that is near a great many (a hub) costs no more than others, and every group of a join is bounded by these
-parameters. Each unordered pair is measured once a round. Top-k windows are cut in the tasks before the shuffle.
-Rounds are written to the shared folder. The driver gets counts only.
+that is near a great many (a hub) costs no more than others. The meetings of a block of rows (a bounded number on
+average) come to one task, with the vector of each row that meets there once; the task measures the pairs and gives the edges
+that may be among a row's ``width`` nearest, at most ``width`` for each row. Rounds are written to the shared
+folder. The driver gets counts only.
 
 Rows with a null id or a null or empty vector are left out; ids are unique; vectors have one length and no nulls."""
 
