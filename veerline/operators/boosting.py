@@ -4,10 +4,13 @@ All fold models grow side by side, one tree per fold and class a round. Features
 bins once and the binned rows are written to the shared folder with their scores. A pass reads them,
 walks every row down the trees so far and finds the best split of all open leaves:
 
-* leaves with many rows send (leaf, feature, bin) sums of gradients and Hessians, combined by Spark;
-  running sums over the bins give every split's gain, and one row per leaf comes back;
-* leaves of at most ``local_rows`` rows send their binned rows to the task of that leaf, which goes on
-  splitting there. Both ways give the same splits.
+* leaves with many rows send their (feature, bin) sums of gradients and Hessians, one row per task and leaf; the task
+  of a leaf adds them up as they come; running sums over the bins give every split's gain, and one row per leaf comes back;
+* leaves of at most ``local_rows`` rows send their binned rows, packed, to the task of that leaf, which goes on
+  splitting there. Both ways give the same splits, and both go through one shuffle of one job.
+
+Rows are kept in blocks (one table row with the bins of some thousand rows, feature by feature), so that a task walks a
+tree by cutting the rows of a node in two and Spark moves few, large values.
 
 The next leaf to split is always the one with the largest gain (best first, up to ``leaves``), not the
 next of a level. The driver replays that order on the known splits; a pass asks for the leaves the order
@@ -33,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veerline.session import ensure_checkpoint_dir
@@ -44,6 +47,8 @@ CHUNK = 2_000_000     # cells (rows x features) a task works on at once
 LOCAL_CELLS = 8_000_000
 
 FOUND = "model int, node bigint, feature int, bin int, gain double, g bigint, h bigint, n bigint, gl bigint, hl bigint, nl bigint"
+KINDS = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+STATE = "label binary, fold binary, bins binary, scores binary"
 
 
 @dataclass(frozen=True)
@@ -61,7 +66,7 @@ class BoostParams:
     max_bins: int = 255
     bin_rows: int = 200_000
 
-    local_rows: int = 20_000          # fewer, if rows x features would pass LOCAL_CELLS
+    local_rows: int = 125_000         # fewer, if rows x features would pass LOCAL_CELLS
     max_cells: int = 4_000_000
     rewrite_every: int = 10
 
@@ -156,19 +161,34 @@ def binned(features: np.ndarray, borders: list[np.ndarray]) -> np.ndarray:
         if borders else np.zeros((len(features), 0), np.uint8)
 
 
-def _bytes_column(rows: np.ndarray) -> pa.Array:
-    at = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
+def _blocks(batch: pa.RecordBatch, borders: list[np.ndarray], base: list[float]) -> Iterator[pa.RecordBatch]:
+    step = max(1, CHUNK // max(1, len(borders)))
+    for at in range(0, len(batch), step):
+        rows = batch.slice(at, step)
+        bins = binned(matrix(rows.column("features"), len(borders)), borders)
+        label, fold = (rows.column(c).to_numpy().astype(np.int32) for c in ("label", "fold"))
+        yield _packed(label, fold, bins.T, np.tile(np.array(base, float), (len(rows), 1)))
+
+
+def _packed(label: np.ndarray, fold: np.ndarray, bins: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Rows as one table row: labels, folds, bins (feature by feature) and scores (row by row)."""
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (label, fold, bins, scores)],
+                                      ["label", "fold", "bins", "scores"])
+
+
+def _unpacked(batch: pa.RecordBatch, width: int, models: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(label, fold, bins (features, rows), scores (rows, models)) of every block of a batch."""
+    for block in zip(*(batch.column(c) for c in ("label", "fold", "bins", "scores")), strict=True):
+        label, fold, bins, scores = (x.as_buffer() for x in block)
+        label, fold = np.frombuffer(label, np.int32), np.frombuffer(fold, np.int32)
+        yield (label, fold, np.frombuffer(bins, np.uint8).reshape(width, len(label)),
+               np.frombuffer(scores, float).reshape(len(label), models).copy())
 
 
 def _bin_batches(borders: list[np.ndarray], base: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = _bytes_column(binned(matrix(batch.column("features"), len(borders)), borders))
-            scores = pa.array([base] * len(batch), pa.list_(pa.float64()))
-            columns = [batch.column(c) for c in batch.schema.names if c != "features"]
-            names = [c for c in batch.schema.names if c != "features"]
-            yield pa.RecordBatch.from_arrays([*columns, bins, scores], [*names, "bins", "scores"])
+            yield from _blocks(batch, borders, base)
     return run
 
 
@@ -197,28 +217,39 @@ def losses(scores: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.rint(-np.log(np.clip(p, 1e-15, None)) * SCALE).astype(np.int64)
 
 
-def nodes_of(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
-    """The node each row ends in."""
-    nodes, feature, border = tree[:3]
-    at = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    while len(nodes) and len(rows):
-        i = np.minimum(np.searchsorted(nodes, at[rows]), len(nodes) - 1)
-        inner = nodes[i] == at[rows]
-        rows, i = rows[inner], i[inner]
-        at[rows] = 2 * at[rows] + 1 + (bins[rows, feature[i]] > border[i])
+def rows_by_node(tree: tuple[np.ndarray, ...], bins: np.ndarray, rows: np.ndarray, wanted: set[int] | None = None) -> dict[int, np.ndarray]:
+    """The rows (numbers of columns of ``bins``) by the node they end in; ``wanted``: only below these nodes."""
+    at = {0: rows}
+    for node, feature, border in zip(*(x.tolist() for x in tree[:3]), strict=True):      # parents come first
+        mine = at.pop(node, None)
+        if mine is not None and (wanted is None or node in wanted):
+            right = bins[feature].take(mine) > border
+            at[2 * node + 1], at[2 * node + 2] = mine[~right], mine[right]
     return at
 
 
-def _with_trees(batch: pa.RecordBatch, width: int, trees: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, scores) of a batch, with the trees that the written scores lack."""
-    n = len(batch)
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, width)
-    scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(n, len(trees)).copy()
+def add_trees(scores: np.ndarray, bins: np.ndarray, trees: list[list[tuple]]) -> None:
+    """Add what the trees of every model give its column of ``scores``."""
+    rows = np.arange(len(scores))
     for m, more in enumerate(trees):
         for tree in more:
-            scores[:, m] += tree[4][np.searchsorted(tree[3], nodes_of(tree, bins))]
-    return bins, scores
+            values = dict(zip(tree[3].tolist(), tree[4].tolist(), strict=True))
+            for node, mine in rows_by_node(tree, bins, rows).items():
+                scores[mine, m] += values[node]
+
+
+def cell_sums(bins: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(3, features, bins): sums of ``g`` and ``h`` and numbers of some rows; whole numbers far below 2^53."""
+    width, bins, g, h = len(bins), bins.take(rows, 1), g[rows], h[rows]
+    if len(rows) < BINS:
+        cell = (bins + np.arange(width)[:, None] * BINS).ravel()
+        return np.stack([np.bincount(cell, np.tile(x, width), width * BINS) for x in (g, h, np.ones(len(g)))]).reshape(3, width, BINS)
+    out = np.empty((3, width, BINS))
+    g, h = g.astype(float), h.astype(float)
+    for f in range(width):
+        x = bins[f].astype(np.intp)
+        out[0, f], out[1, f], out[2, f] = np.bincount(x, g, BINS), np.bincount(x, h, BINS), np.bincount(x, minlength=BINS)
+    return out
 
 
 @dataclass(frozen=True)
@@ -229,110 +260,76 @@ class _Pass:
     all_rows: frozenset[int]            # folds without held-out rows: they learn from all
     recent: list[list[tuple]]           # per model: trees that are not in the written scores
     growing: list[tuple]                # per model: the tree that grows
-    open: dict[int, list[int]]          # per model: nodes whose split is asked for
+    large: dict[int, list[int]]         # per model: nodes whose split is asked for and found from sums
+    small: dict[int, list[int]]         # the same from rows
+    slots: dict[tuple[int, int], int]   # (model, node) -> the partition that finds its splits
     loss: bool
 
-    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """For each piece of a batch: losses by fold, and (model, bins, open node index, g, h) of its open rows."""
-        step = max(1, CHUNK // max(1, self.width))
-        for whole in batches:
-            for at in range(0, len(whole), step):
-                batch = whole.slice(at, step)
-                bins, scores = _with_trees(batch, self.width, self.recent)
-                label, fold = (batch.column(c).to_numpy().astype(np.int64) for c in ("label", "fold"))
-                loss, found = [], []
-                for f in range(len(self.growing) // self.outputs):
-                    mine = slice(f * self.outputs, (f + 1) * self.outputs)
-                    held = fold == f if f not in self.all_rows else np.zeros(len(fold), bool)
-                    if self.loss and held.any():
-                        loss.append((f, int(losses(scores[held, mine], label[held]).sum()), int(held.sum())))
-                    asked = [m for m in range(mine.start, mine.stop) if self.open.get(m)]
-                    if not asked:
-                        continue
-                    g, h = gradients(scores[:, mine], label)
-                    for m in asked:
-                        node = nodes_of(self.growing[m], bins)
-                        ids = np.array(sorted(self.open[m]), np.int64)
-                        i = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
-                        use = (ids[i] == node) & ~held
-                        found.append((m, bins[use], i[use], g[use, m - mine.start], h[use, m - mine.start]))
-                yield loss, found
+    def wanted(self, m: int) -> set[int]:
+        """The nodes above those asked for."""
+        out = set()
+        for node in (*self.large.get(m, ()), *self.small.get(m, ())):
+            while node:
+                node = (node - 1) // 2
+                out.add(node)
+        return out
 
 
-def _cell_batches(p: _Pass):
-    """Sums by (model, node, feature, bin); a fold's held-out loss as node -1."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, size = p.width, p.width * BINS
-        sums = {m: np.zeros((3, len(nodes) * size), np.int64) for m, nodes in p.open.items() if nodes}
-        loss: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for lost, found in p.rows(batches):
-            for f, value, n in lost:
-                loss[f][0] += value
-                loss[f][1] += n
-            for m, bins, i, g, h in found:
-                cell = ((i[:, None] * width + np.arange(width)) * BINS + bins).ravel()
-                for k, weight in enumerate((g, h, np.ones(len(g)))):     # each sum stays far below 2^53
-                    sums[m][k] += np.bincount(cell, np.repeat(weight, width), sums[m].shape[1]).astype(np.int64)
-        names = ["model", "node", "feature", "bin", "g", "h", "n"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-
-        def rows(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        if loss:
-            yield rows(list(loss), [-1] * len(loss), [-1] * len(loss), [0] * len(loss), [v for v, _ in loss.values()],
-                       [0] * len(loss), [n for _, n in loss.values()])
-        for m, (g, h, n) in sums.items():
-            cell = np.flatnonzero(n)
-            node = np.array(sorted(p.open[m]), np.int64)[cell // size]
-            yield rows(np.full(len(cell), m), node, cell % size // BINS, cell % BINS, g[cell], h[cell], n[cell])
-    return run
+PARTS = "slot int, model int, node bigint, sums binary, bins binary, g binary, h binary"
+
 
+def _part(slot: int, model: int, node: int, *values: np.ndarray | None) -> pa.RecordBatch:
+    kinds = [("slot", pa.int32()), ("model", pa.int32()), ("node", pa.int64())]
+    arrays = [pa.array([x], kind) for x, (_, kind) in zip((slot, model, node), kinds, strict=True)]
+    arrays += [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in values]
+    return pa.RecordBatch.from_arrays(arrays, [*(n for n, _ in kinds), "sums", "bins", "g", "h"])
+
+
+def _part_batches(p: _Pass):
+    """Of every asked node its sums (large nodes, one row per task) or its rows, packed by block; a fold's held-out
+    loss as node -1."""
+    wanted = {m: p.wanted(m) for m in range(len(p.growing))}
 
-def _row_batches(p: _Pass):
-    """The binned rows of the open nodes; a fold's held-out loss as node -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lost, found in p.rows(batches):
-            for m, bins, i, g, h in [*found, *((f, None, None, [value], [n]) for f, value, n in lost)]:
-                node = np.full(len(g), -1) if i is None else np.array(sorted(p.open[m]), np.int64)[i]
-                packed = pa.array([b""] * len(g), pa.binary()) if bins is None else _bytes_column(bins)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), m), pa.int32()), pa.array(node, pa.int64()), packed,
-                                                  pa.array(g, pa.int64()), pa.array(h, pa.int64())], ["model", "node", "bins", "g", "h"])
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        loss: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(2, np.int64))
+        for batch in batches:
+            for label, fold, bins, scores in _unpacked(batch, p.width, len(p.growing)):
+                add_trees(scores, bins, p.recent)
+                for f in range(len(p.growing) // p.outputs):
+                    mine = slice(f * p.outputs, (f + 1) * p.outputs)
+                    held = fold == f if f not in p.all_rows else np.zeros(len(fold), bool)
+                    if p.loss and held.any():
+                        loss[f] += [losses(scores[held, mine], label[held]).sum(), held.sum()]
+                    asked = [m for m in range(mine.start, mine.stop) if p.large.get(m) or p.small.get(m)]
+                    if not asked:
+                        continue
+                    g, h = (x.T.copy() for x in gradients(scores[:, mine], label))
+                    learning = np.flatnonzero(~held)
+                    for m in asked:
+                        at, gm, hm = rows_by_node(p.growing[m], bins, learning, wanted[m]), g[m - mine.start], h[m - mine.start]
+                        for node in p.large.get(m, ()):
+                            if len(at[node]):
+                                if (m, node) not in sums:
+                                    sums[m, node] = np.zeros((3, p.width, BINS), np.int64)
+                                sums[m, node] += cell_sums(bins, at[node], gm, hm).astype(np.int64)
+                        for node in p.small.get(m, ()):
+                            if len(rows := at[node]):
+                                yield _part(p.slots[m, node], m, node, None, bins.take(rows, 1), gm[rows], hm[rows])
+        for (m, node), x in sums.items():
+            yield _part(p.slots[m, node], m, node, x, None, None, None)
+        for f, x in loss.items():
+            yield _part(0, f, -1, x, None, None, None)
     return run
 
 
 # --- splits ----------------------------------------------------------------------------------------------
 
-def _gain(gl: Column, hl: Column, g: Column, h: Column) -> Column:
-    gl, hl, g, h = (c.cast("double") for c in (gl, hl, g, h))
-    over = lambda x: F.nullif(x, F.lit(0.0))
-    return gl * gl / over(hl) + (g - gl) * (g - gl) / over(h - hl) - g * g / over(h)
-
-
-def best_splits(cells: DataFrame, params: BoostParams) -> DataFrame:
-    """The best split of every (model, node) from its cells, running sums over the bins of each feature.
-    Ties: the lowest feature, then the lowest bin. Nodes that cannot be split have no row."""
-    feature = Window.partitionBy("model", "node", "feature")
-    upto = feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = cells.select("*", *[F.sum(c).over(upto).alias(f"{c}l") for c in ("g", "h", "n")],
-                        *[F.sum(c).over(feature).alias(f"{c}t") for c in ("g", "h", "n")])
-    least = int(params.min_hessian * SCALE)
-    fits = (F.least("nl", F.col("nt") - F.col("nl")) >= params.min_rows) & (F.least("hl", F.col("ht") - F.col("hl")) >= max(least, 1))
-    rows = rows.where(fits).select("model", "node", "feature", "bin", _gain(F.col("gl"), F.col("hl"), F.col("gt"), F.col("ht")).alias("gain"),
-                                   F.col("gt").alias("g"), F.col("ht").alias("h"), F.col("nt").alias("n"), "gl", "hl", "nl")
-    order = F.struct("gain", -F.col("feature"), -F.col("bin"))
-    kept = ["feature", "bin", "gain", "g", "h", "n", "gl", "hl", "nl"]
-    return (rows.where("gain > 0").groupBy("model", "node").agg(F.max_by(F.struct(*kept), order).alias("s"))
-            .select("model", "node", "s.*"))
-
-
-def best_split(bins: np.ndarray, g: np.ndarray, h: np.ndarray, params: BoostParams) -> Split | None:
-    """The same for the rows of one node."""
-    width = bins.shape[1]
-    cell = (np.arange(width) * BINS + bins).ravel()
-    gl, hl, nl = (np.cumsum(np.bincount(cell, np.repeat(w, width), width * BINS).reshape(width, BINS), 1)
-                  for w in (g, h, np.ones(len(g))))
-    gt, ht, nt = float(g.sum()), float(h.sum()), len(g)
+def best_of(sums: np.ndarray, params: BoostParams) -> Split | None:
+    """The best split of a node from its sums by (feature, bin). Ties: the lowest feature, then the lowest bin."""
+    sums = sums.astype(float)
+    gl, hl, nl = np.cumsum(sums, 2)
+    gt, ht, nt = (float(x) for x in sums[:, 0].sum(1)) if sums.shape[1] else (0.0, 0.0, 0.0)
     least = max(int(params.min_hessian * SCALE), 1)
     if ht < 2 * least:
         return None
@@ -342,7 +339,7 @@ def best_split(bins: np.ndarray, g: np.ndarray, h: np.ndarray, params: BoostPara
     if not fits.any():
         return None
     f, b = np.unravel_index(np.where(fits, gain, -1.0).argmax(), gain.shape)
-    return Split(int(f), int(b), float(gain[f, b]), int(gt), int(ht), nt, int(gl[f, b]), int(hl[f, b]), int(nl[f, b]))
+    return Split(int(f), int(b), float(gain[f, b]), int(gt), int(ht), int(nt), int(gl[f, b]), int(hl[f, b]), int(nl[f, b]))
 
 
 def best_first(known: dict[int, Split | None], params: BoostParams) -> tuple[dict[int, Split], list[int]]:
@@ -376,34 +373,57 @@ def finished_tree(splits: dict[int, Split], learning_rate: float) -> Tree:
     return Tree(splits, values or {0: 0.0})
 
 
-def _grow_here(params: BoostParams, width: int):
-    """All splits below a small node, best first (or the sum of a fold's loss parts)."""
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        model, top = int(rows["model"].iloc[0]), int(rows["node"].iloc[0])
-        g, h = rows["g"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
-        if top < 0:
-            found = {-1: Split(-1, 0, 0.0, int(g.sum()), 0, int(h.sum()), 0, 0, 0)}
-        else:
-            bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), width)
-            members, found, queue = {top: np.arange(len(rows))}, {}, []
-
-            def reach(node: int) -> None:
-                mine = members[node]
-                s = best_split(bins[mine], g[mine], h[mine], params) if len(mine) >= 2 * params.min_rows else None
-                if s is not None:
-                    heapq.heappush(queue, (-s.gain, node, s))
-
-            reach(top)
-            while queue and len(found) < params.leaves - 1:
-                _, node, s = heapq.heappop(queue)
-                found[node] = s
-                left = bins[members[node], s.feature] <= s.bin
-                members[2 * node + 1], members[2 * node + 2] = members[node][left], members[node][~left]
-                reach(2 * node + 1)
-                reach(2 * node + 2)
-        out = [(model, node, s.feature, s.bin, s.gain, s.g, s.h, s.n, s.gl, s.hl, s.nl) for node, s in found.items()]
-        return pd.DataFrame(out, columns=["model", "node", "feature", "bin", "gain", "g", "h", "n", "gl", "hl", "nl"])
-    return grow
+def splits_here(top: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, params: BoostParams) -> dict[int, Split]:
+    """All splits below a small node, best first. Sums of the larger child of a split with many rows are its own
+    less those of the smaller one (whole numbers: exactly the same)."""
+    found, queue = {}, []
+
+    def reach(node: int, rows: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray | None:
+        if len(rows) < 2 * params.min_rows:
+            return None
+        sums = cell_sums(bins, rows, g, h) if sums is None else sums
+        s = best_of(sums, params)
+        if s is not None:
+            heapq.heappush(queue, (-s.gain, node, s, rows, sums if len(rows) > 4 * BINS else None))
+        return sums
+
+    reach(top, np.arange(len(g)))
+    while queue and len(found) < params.leaves - 1:
+        _, node, s, rows, sums = heapq.heappop(queue)
+        found[node] = s
+        right = bins[s.feature].take(rows) > s.bin
+        children = sorted([(2 * node + 1, rows[~right]), (2 * node + 2, rows[right])], key=lambda x: len(x[1]))
+        less = reach(*children[0])
+        reach(*children[1], None if sums is None or less is None else sums - less)
+    return found
+
+
+def _split_batches(params: BoostParams, width: int):
+    """Splits from the parts of a partition's nodes: the best one of a node's sums, or all below a small node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        rows: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        for batch in batches:
+            for model, node, *values in zip(*(batch.column(c).to_pylist() for c in ("model", "node", "sums", "bins", "g", "h")), strict=True):
+                if values[0] is None:
+                    rows[model, node].append(values[1:])
+                else:
+                    x = np.frombuffer(values[0], np.int64)
+                    sums[model, node] = sums[model, node] + x if (model, node) in sums else x
+        found = []
+        for (model, node), x in sums.items():
+            s = Split(-1, 0, 0.0, int(x[0]), 0, int(x[1]), 0, 0, 0) if node < 0 else best_of(x.reshape(3, width, BINS), params)
+            found += [] if s is None else [(model, node, s)]
+        for model, top in list(rows):
+            parts = rows.pop((model, top))
+            bins = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(width, len(x[1]) // 8) for x in parts], 1)
+            g, h = (np.concatenate([np.frombuffer(x[k], np.int64) for x in parts]) for k in (1, 2))
+            found += [(model, node, s) for node, s in splits_here(top, bins, g, h, params).items()]
+        if found:
+            table = [(model, node, s.feature, s.bin, s.gain, s.g, s.h, s.n, s.gl, s.hl, s.nl) for model, node, s in found]
+            schema = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table, strict=True), schema, strict=True)], schema=schema)
+    return run
 
 
 # --- the fit ---------------------------------------------------------------------------------------------
@@ -428,11 +448,9 @@ class BoostedModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bins = binned(matrix(batch.column("_features"), len(borders)), borders)
+                bins = np.ascontiguousarray(binned(matrix(batch.column("_features"), len(borders)), borders).T)
                 scores = np.tile(np.array(base, float), (len(batch), 1))
-                for m, more in enumerate(trees):
-                    for tree in more:
-                        scores[:, m] += tree[4][np.searchsorted(tree[3], nodes_of(tree, bins))]
+                add_trees(scores, bins, trees)
                 probs = [probabilities(scores[:, f:f + outputs]).tolist() for f in range(0, len(trees), outputs)]
                 folds = pa.array([list(row) for row in zip(*probs, strict=True)], pa.list_(pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), folds], [*names, "_probs"])
@@ -511,31 +529,20 @@ class Boosting:
         local = {m: [i for i, n in nodes.items() if self._small(n)] for m, nodes in asked.items()}
         large = [(m, i) for m, nodes in asked.items() for i, n in nodes.items() if not self._small(n)]
         step = max(1, p.max_cells // max(1, width * BINS))
-        jobs = [(_cell_batches, large[at:at + step]) for at in range(0, len(large), step)]
+        jobs = [large[at:at + step] for at in range(0, len(large), step)] or [[]]
         here = [(m, i) for m, nodes in local.items() for i in nodes]
-        if here or not jobs:
-            jobs.append((_row_batches, here))
         recent = [[t.arrays() for t in trees[self.written:]] for trees in self.trees]
         partial = [Tree(splits, {}).arrays() for splits in growing]
         everyone = frozenset(range(len(self.sizes))) - frozenset(self.held)
         found, lost = defaultdict(dict), {}
-        for k, (batches, nodes) in enumerate(jobs):
-            open_nodes = defaultdict(list)
-            for m, i in nodes:
-                open_nodes[m].append(i)
-            what = _Pass(width, p.outputs, everyone, recent, partial, dict(open_nodes), loss and k == 0)
-            if batches is _cell_batches:
-                cells = (self.state.mapInArrow(_cell_batches(what), "model int, node bigint, feature int, bin int, g bigint, h bigint, n bigint")
-                         .groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]))
-                zero = F.lit(0).cast("bigint")
-                parts = cells.where("node = -1").select("model", "node", "feature", "bin", F.lit(0.0).alias("gain"), "g", "h", "n",
-                                                        zero.alias("gl"), zero.alias("hl"), zero.alias("nl"))
-                out = best_splits(cells.where("node >= 0"), p)
-                out = out.unionByName(parts) if what.loss else out
-            else:
-                rows = self.state.mapInArrow(_row_batches(what), "model int, node bigint, bins binary, g bigint, h bigint")
-                out = rows.groupBy("model", "node").applyInPandas(_grow_here(p, width), FOUND)
-            for r in out.collect():       # at most ``leaves`` rows per asked node
+        for k, sums in enumerate(jobs):
+            rows = here if k == 0 else []
+            nodes = sorted([*sums, *rows], key=lambda x: -asked[x[0]][x[1]])
+            tasks = max(1, min(len(nodes), self.state.sparkSession.sparkContext.defaultParallelism))
+            what = _Pass(width, p.outputs, everyone, recent, partial, _by_model(sums), _by_model(rows),
+                         {at: i % tasks for i, at in enumerate(nodes)}, loss and k == 0)
+            parts = self.state.mapInArrow(_part_batches(what), PARTS).repartitionById(tasks, F.col("slot"))
+            for r in parts.mapInArrow(_split_batches(p, width), FOUND).collect():       # at most ``leaves`` rows per asked node
                 if r["node"] < 0:
                     lost[r["model"]] = r["g"] / SCALE / r["n"]
                 else:
@@ -611,9 +618,9 @@ class Boosting:
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = _with_trees(batch, width, recent)[1]
-                yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), batch.column("bins"),
-                                                  pa.array(scores.tolist(), pa.list_(pa.float64()))], ["label", "fold", "bins", "scores"])
+                for label, fold, bins, scores in _unpacked(batch, width, len(recent)):
+                    add_trees(scores, bins, recent)
+                    yield _packed(label, fold, bins, scores)
 
         self.state = _written(self.state.mapInArrow(add, self.state.schema), f"{self.path}/round={self.rounds}")
         self.written = self.rounds
@@ -629,6 +636,13 @@ class Boosting:
         return spark.createDataFrame(rows, "fold int, round int, loss double")
 
 
+def _by_model(nodes: list[tuple[int, int]]) -> dict[int, list[int]]:
+    out = defaultdict(list)
+    for m, i in nodes:
+        out[m].append(i)
+    return dict(out)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -672,5 +686,5 @@ def start_boosting(df: DataFrame, key: Sequence[str], features: str = "features"
     counts = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}   # folds x classes
     base, sizes, held = starting_scores(counts, n_folds, params)
     narrow = rows.select("label", "fold", "features")
-    state = _written(narrow.mapInArrow(_bin_batches(borders, base), "label int, fold int, bins binary, scores array<double>"), f"{path}/round=0")
+    state = _written(narrow.mapInArrow(_bin_batches(borders, base), STATE), f"{path}/round=0")
     return Boosting(params, borders, base, sizes, held, path, state, [[] for _ in base])
