@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import clashing, docs, documents
 from veerline.llm import queries
+from veerline.llm import line_dedup as module
 from veerline.llm.line_dedup import VariantHashes, line_dedup
 
 
@@ -141,3 +143,40 @@ def test_query_finds_three_edits(spark, tmp_path):
     docs(spark, near).write.parquet(str(tmp_path / "near" / "documents.parquet"))
     out = queries.QUERIES["op5_line_dedup"](spark, str(tmp_path / "near")).collect()
     assert {r.doc_id: r.kept_chars for r in out} == {1: 39, 2: 0}
+
+
+def edited(rnd, line, edits):
+    for _ in range(edits):
+        at = rnd.randrange(len(line) + 1)
+        line = rnd.choice([line[:at] + rnd.choice("ab ") + line[at:], line[:at] + line[at + 1:], line[:at] + "z" + line[at + 1:]])
+    return line
+
+
+def test_partners_share_a_key_and_keys_are_few():
+    rnd = random.Random(9)
+    for k in (2, 3, 4, 7):
+        lines = ["".join(rnd.choice("abcdefgh é\U0001f600") for _ in range(rnd.randrange(1, 260))) for _ in range(300)]
+        lines += [edited(rnd, line, rnd.randrange(k + 1)) or "x" for line in lines]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], ["l1", "line"])
+        keys = [set(x) for b in module._coded(k, 0)(iter([batch])) for x in b.column(b.num_columns - 1).to_pylist()]
+        assert len(keys) == len(lines) and all(keys[i] & keys[i + 300] for i in range(300)), k
+        assert k != 3 or sum(len(x) for x, line in zip(keys, lines, strict=True) if len(line) > 127) < 9 * sum(len(line) > 127 for line in lines)
+
+
+def test_only_lines_of_like_signatures_are_compared(spark, monkeypatch):
+    rnd, seen = random.Random(10), []
+    word = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(42)]
+    rows = [(i, word[0] + word[i + 1] + word[i + 2] + word[i + 3]) for i in range(38)]      # unlike lines with a common first piece
+    rows += [(38, rows[5][1][:50] + "z" + rows[5][1][51:])]
+    near = module.near_lines_within
+
+    def counted(lines, max_edits):
+        seen.append(lines.count())
+        return near(lines, max_edits)
+
+    monkeypatch.setattr(module, "near_lines_within", counted)
+    for crowd in (64, 2):
+        monkeypatch.setattr(module, "CROWD", crowd, raising=False)
+        out = line_dedup(docs(spark, rows), max_edits=3).collect()
+        assert {r.doc_id for r in out if not r.kept_lines or not r.text} == {38}
+    assert seen == [2, 39]

@@ -24,8 +24,10 @@ A bound k of two or more (``near_lines_within``): of k // 2 + 1 pieces of the sh
 most one edit, so that piece and the same stretch of the other line share a variant with at most one
 deletion. Lines emit the variants of their pieces, the first counted from the line's start, the last
 from its end, those between also moved by the edits before them. Before that, what cannot have a partner
-is set aside exactly: k edits leave one of k + 1 pieces untouched, so partners share a hashed piece; of
-the lines left, pieces within one edit of each other share all but one of ``PARTS`` parts, and only
+is set aside exactly: k edits leave one of k + 1 pieces untouched, so partners share a hashed stretch
+(``_coded``, hashed once and written with the lines' places); lines that share one are compared by their
+lengths and parities (below), but for stretches that more than ``CROWD`` lines share, whose lines are all
+kept; texts are read again for the lines left only. Of these, pieces within one edit of each other share all but one of ``PARTS`` parts, and only
 pieces that share them with an unlike piece emit variants (equal ones meet as they are). A line is compared with the earliest line of each of its variants; only a line without a partner
 there is compared with the others, in a semi join whose condition is the edit distance, so that no
 pairs come out: rows grow with the lines. What the condition compares still grows with the square of a
@@ -48,7 +50,8 @@ from veerline.operators.docs import sized_side
 MIN_CHARS = 16          # shorter lines are compared exactly only
 PIECES = 16
 PARTS = 8               # of a piece, for bounds above one
-SHORT_PIECE = 8         # shorter pieces agree by chance: their keys hold the length of the shorter line too
+CROWD = 64              # lines that share a stretch: up to so many are compared by their signatures
+CODES = {"n": "int", "chars": "bigint", "grams": "bigint", "keys": "array<bigint>"}
 
 
 class VariantHashes:
@@ -149,14 +152,16 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.select("lid", "other")
 
 
-def _pieces(max_edits: int):
-    """Rows whose last column is ``line`` -> the other columns, one row per piece key ``h`` that a partner's may equal.
+def _coded(max_edits: int, min_chars: int):
+    """Rows whose last column is ``line`` -> the other columns, ``n`` (length), bit sets of the parities of the counts
+    of characters (``chars``) and of neighbouring pairs (``grams``, the end counts as a character), in 64 buckets, and
+    ``keys``: hashes of stretches, one of which a partner's equals (none for lines under ``min_chars``).
 
-    The partner's length goes from ``max_edits`` less to the line's own; piece p is moved by s with at most p edits
-    before and ``max_edits`` - p after it."""
+    Of ``max_edits`` + 1 pieces of the shorter line, some piece p is untouched, with at most p edits before and
+    ``max_edits`` - p after it. Pieces of the first half are counted from the line's start, the others from its end, so a
+    partner has them up to min(p, ``max_edits`` - p) places off. Both lines emit the same few stretches of each piece,
+    moved by ``_moves``. Lengths are rounded down, so that most partners cut the same pieces."""
     base, mix, one = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
-    steps = [(less, p, s) for less in range(max_edits + 1) for p in range(max_edits + 1)
-             for s in range(max(-p, less - (max_edits - p)), min(p, less + (max_edits - p)) + 1)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, back = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
@@ -174,26 +179,45 @@ def _pieces(max_edits: int):
                 sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(c * powers[:len(c)], dtype=np.uint64)))
                 n = np.array([len(x) for x in part])
                 at = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
-                keys, known = np.zeros((len(part), len(steps)), dtype=np.uint64), np.zeros((len(part), len(steps)), dtype=bool)
-                for k, (less, p, s) in enumerate(steps):
-                    length = n - less
-                    start, end = (length * q // (max_edits + 1) for q in (p, p + 1))
-                    fits = (length > 0) & (start + s >= 0) & (end + s <= n)
-                    a, b = at + np.where(fits, start + s, 0), at + np.where(fits, end + s, 0)
-                    salt = np.where(end - start < SHORT_PIECE, length + 1, 0).astype(np.uint64)
-                    h = ((sums[b] - sums[a]) * back[a] + np.uint64((p + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * mix
-                    h = (h ^ (h >> np.uint64(29)) ^ salt * np.uint64(base)) * mix
-                    keys[:, k], known[:, k] = h ^ (h >> np.uint64(32)), fits
-                order = np.argsort(keys, axis=1, kind="stable")
-                keys, known = np.take_along_axis(keys, order, 1), np.take_along_axis(known, order, 1)
-                known[:, 1:] &= ~((keys[:, 1:] == keys[:, :-1]) & known[:, :-1])
-                row = np.repeat(np.arange(len(part)), known.sum(axis=1))
-                columns, names = [x.take(pa.array(row)) for x in batch.columns[:-1]], list(batch.schema.names[:-1])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[known].view(np.int64))], [*names, "h"])
+                pair = c * np.uint64(1_000_003) + np.append(c[1:], one)
+                bounds = np.stack((at, at + n), axis=1).ravel()
+                chars, grams = (np.bitwise_xor.reduceat(one << ((x + one) * mix >> np.uint64(58)), bounds)[::2] for x in (c, pair))
+                rows, keys = [], []
+                for less in range(max_edits + 1):
+                    length = _rounded(np.maximum(n - less, 0))
+                    new = (n >= min_chars) & (n > less) & ((length != _rounded(n - less + 1)) if less else True)
+                    row = np.flatnonzero(new)
+                    length = length[row]
+                    for p in range(max_edits + 1):
+                        start, end = length * p // (max_edits + 1), length * (p + 1) // (max_edits + 1)
+                        moves = _moves(min(p, max_edits - p))
+                        size = np.maximum(end - start - moves[-1], 0)
+                        first = at[row] + start + (n[row] - length if 2 * p > max_edits else 0)
+                        salt = (length * (max_edits + 1) + p + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                        for s in moves:
+                            a = np.where(size > 0, first + s, first)
+                            h = ((sums[a + size] - sums[a]) * back[a] ^ salt) * mix
+                            h = (h ^ (h >> np.uint64(29))) * mix
+                            rows.append(row)
+                            keys.append(h ^ (h >> np.uint64(32)))
+                row, h = np.concatenate(rows), np.concatenate(keys)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                once = np.concatenate((np.ones(min(1, len(h)), dtype=bool), (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(row[once], minlength=len(part)))))
+                found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[once].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int32)), pa.array(chars.view(np.int64)),
+                                                  pa.array(grams.view(np.int64)), found], [*batch.schema.names[:-1], *CODES])
 
     return emit
 
 
+def _moves(most: int) -> list[int]:
+    """Places whose differences take every value up to ``most``, ascending from 0."""
+    step = math.isqrt(most) or 1
+    return sorted({*range(step), *range(0, most + step, step)})
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lid, line) -> also ``n`` (length) and bit sets of the parities of the counts of characters (``chars``)
     and of neighbouring pairs (``grams``, the end counts as a character), in 64 buckets."""
@@ -335,11 +359,7 @@ def near_lines_within(lines: DataFrame, max_edits: int) -> DataFrame:
     columns = ["lid", "line", "n", "chars", "grams"]
     earlier = signed.select([F.col(c).alias(f"_{c}") for c in columns])
 
-    def flips(c: str) -> Column:
-        return F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
-
-    near = ((F.col("lid") > F.col("_lid")) & (F.abs(F.col("n") - F.col("_n")) <= max_edits) & (flips("chars") <= 2 * max_edits)
-            & (flips("grams") <= 4 * max_edits) & (F.levenshtein("line", "_line", max_edits) >= 0))
+    near = (F.col("lid") > F.col("_lid")) & _near_signatures(max_edits) & (F.levenshtein("line", "_line", max_edits) >= 0)
     pairs = keyed.where("lid <> head").select("lid", F.col("head").alias("_lid")).distinct()
     first = written(pairs.join(signed, "lid").join(earlier, "_lid").where(near).select("lid").distinct(), "settled")
     rest = written(keyed.where("members > 2 and lid <> head").join(first, "lid", "left_anti").select("lid", "h"), "rest")
@@ -374,9 +394,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 128 bits of a line: two hashes with different seeds
     cut = cut.select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("line"), F.col("line")).alias("l2"),
                      F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "no").alias("at"), "line")
-    late = _late_lines(cut, max_edits, min_chars, broadcast_rows) if max_edits else None
-
-    occurrences = written(cut.select("l1", "l2", "at"), "lines")
+    if max_edits > 1:
+        schema = cut.select("l1", "l2", "at", *[F.lit(None).cast(t).alias(c) for c, t in CODES.items()]).schema
+        occurrences = written(cut.select("l1", "l2", "at", "line").mapInArrow(_coded(max_edits, min_chars), schema), "lines")
+        late = _late_lines_within(own, occurrences, max_edits, broadcast_rows)
+    else:
+        late = _late_lines(cut, min_chars, broadcast_rows) if max_edits else None
+        occurrences = written(cut.select("l1", "l2", "at"), "lines")
     classes = occurrences.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     if late is None:
         repeated = classes.where("n > 1").withColumn("late", F.lit(False))
@@ -394,8 +418,42 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("doc_id", "n_lines", F.size("rest").alias("kept_lines"), F.array_join("rest", "\n").alias("text")))
 
 
-def _late_lines(cut: DataFrame, max_edits: int, min_chars: int, broadcast_rows: int) -> DataFrame:
-    """(l1, l2, late = true) of the lines within ``max_edits`` of an earlier one."""
+def _near_signatures(max_edits: int) -> Column:
+    """Whether the signatures (``n``, ``chars``, ``grams`` and the same with ``_``) may be of lines within ``max_edits``:
+    an edit flips at most two parities of characters and four of pairs."""
+    def flips(c: str) -> Column:
+        return F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
+
+    return (F.abs(F.col("n") - F.col("_n")) <= max_edits) & (flips("chars") <= 2 * max_edits) & (flips("grams") <= 4 * max_edits)
+
+
+def _late_lines_within(own: DataFrame, coded: DataFrame, max_edits: int, broadcast_rows: int) -> DataFrame:
+    """(l1, l2, late = true) of the lines within ``max_edits`` (two or more) of an earlier one. ``own``: (doc_id, th, text);
+    ``coded``: (l1, l2, at, n, chars, grams, keys). Lines that share no stretch, or only with lines of other
+    signatures, are set aside; those of a stretch that more than ``CROWD`` lines share are all kept."""
+    keys = coded.select("l1", F.explode("keys").alias("h"))
+    shared = written(keys.groupBy("h").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).where("x <> y").select("h"), "shared")
+    met = written(keys.join(sized_side(shared, broadcast_rows), "h", "left_semi").distinct(), "met")     # narrow rows first
+    signed = coded.select("l1", "l2", "n", "chars", "grams").join(sized_side(met, broadcast_rows), "l1").distinct()
+    sizes = met.groupBy("h").agg(F.count(F.lit(1)).alias("members"))
+    signed = written(signed.join(sizes, "h"), "signed")
+    few = signed.where(F.col("members") <= CROWD).drop("members")
+    other = few.select([F.col(c).alias(f"_{c}") for c in few.columns])
+    pairs = few.join(other, (F.col("h") == F.col("_h")) & (F.struct("l1", "l2") < F.struct("_l1", "_l2")) & _near_signatures(max_edits))
+    likely = pairs.select(F.explode(F.array(F.struct("l1", "l2"), F.struct(F.col("_l1").alias("l1"), F.col("_l2").alias("l2")))).alias("x")).select("x.*")
+    likely = written(likely.unionByName(signed.where(F.col("members") > CROWD).select("l1", "l2")).distinct(), "likely")
+    lines = (coded.select("l1", "l2", "at").join(sized_side(likely, broadcast_rows), ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first"))
+             .orderBy("first").withColumn("lid", F.monotonically_increasing_id()))
+    lines = written(lines, "numbered")
+    places = sized_side(lines.select("lid", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.no").alias("no")), broadcast_rows)
+    texts = own.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    texts = texts.select("lid", F.get(F.split("text", "\n"), F.col("no")).alias("line")).groupBy("lid").agg(F.first("line").alias("line"))
+    late = near_lines_within(written(texts, "texts"), max_edits)
+    return written(lines.join(late, "lid", "left_semi").select("l1", "l2", F.lit(True).alias("late")), "late")
+
+
+def _late_lines(cut: DataFrame, min_chars: int, broadcast_rows: int) -> DataFrame:
+    """(l1, l2, late = true) of the lines within one edit of an earlier one."""
     n = F.char_length("line")
     eligible = cut.where(n >= min_chars)
 
@@ -406,12 +464,9 @@ def _late_lines(cut: DataFrame, max_edits: int, min_chars: int, broadcast_rows:
         own, less = _part_length(n), _part_length(n - 1)
         return F.when(own == less, F.array(*part(own))).otherwise(F.array(*part(own), *part(less)))
 
-    if max_edits > 1:
-        keys = eligible.select("l1", "l2", "line").mapInArrow(_pieces(max_edits), "l1 bigint, l2 bigint, h bigint")
-    else:
-        keys = eligible.select("l1", "l2", F.explode(parts()).alias("h"))
+    keys = eligible.select("l1", "l2", F.explode(parts()).alias("h"))
     shared = written(keys.groupBy("h").agg(F.min("l1").alias("x"), F.max("l1").alias("y")).where("x <> y").select("h"), "shared")
-    if max_edits == 1 and shared.count() <= broadcast_rows:
+    if shared.count() <= broadcast_rows:
         hit = eligible.select("l1", "l2", "at", "line", F.explode(parts()).alias("h")).join(F.broadcast(shared), "h", "left_semi")
     else:  # narrow rows first, then the texts of the lines that are left
         ids = keys.join(sized_side(shared, broadcast_rows), "h", "left_semi").select("l1", "l2").distinct()
@@ -419,9 +474,6 @@ def _late_lines(cut: DataFrame, max_edits: int, min_chars: int, broadcast_rows:
     lines = (hit.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.first("line").alias("line"))
              .orderBy("first").withColumn("lid", F.monotonically_increasing_id()).select("lid", "l1", "l2", "line"))
     lines = written(lines, "numbered")
-    if max_edits > 1:
-        late = near_lines_within(lines, max_edits)
-    else:
-        late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
+    late = near_lines(lines).select(F.greatest("lid", "other").alias("lid")).distinct()
     return written(lines.select("lid", "l1", "l2").join(late, "lid", "left_semi")
                    .select("l1", "l2", F.lit(True).alias("late")), "late")
