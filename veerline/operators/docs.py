@@ -3,8 +3,8 @@ vocabulary, encode / decode, attention mask, truncation.
 
 All group sizes here are bounded (a chunk has at most chunk_size sentences; a document's token
 array is bounded by its length), so per-group arrays are safe. Vocabulary-sized data is never
-broadcast blindly: encoding joins on the token, and AQE picks broadcast only when the vocabulary
-is small at run time.
+broadcast blindly: encoding joins on the token (of packed documents, on the distinct tokens of each
+block), and AQE picks broadcast only when the vocabulary is small at run time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veerline.operators import blocks
 from veerline.operators.sampling import global_rank, seeded_key
 
 # Default tokenizer: runs of word characters, or one other non-blank character.
@@ -126,35 +127,31 @@ def encode_tokens(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
 def vocabulary_and_ids(docs: DataFrame, key: str, tokens_col: str, hex_digits: int = 3
                        ) -> tuple[DataFrame, DataFrame]:
     """V2: the vocabulary built from the documents' own tokens, and every document encoded with it.
-    The vocabulary's distinct combines on the map side; the encoding join's exchange is Spark's own,
-    so adaptive execution can split a hot token (a fixed partitioning would forbid that)."""
-    exploded = docs.select(key, F.posexplode_outer(tokens_col).alias("p", "token"))
-    distinct = exploded.select("token").where(F.col("token").isNotNull()).distinct()
-    ranked = global_rank(distinct, seeded_key(["token"], None), tiebreak=["token"], hex_digits=hex_digits)
-    vocab = ranked.select("token", (F.col("rank") + len(SPECIAL_TOKENS) - 1).alias("token_id"))
-    joined = exploded.join(vocab, "token", "left")
-    item = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
-    ids = joined.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["id"]).alias("ids"))
-    return vocab, ids
+    The documents are packed into blocks (``blocks``): vocabulary and encoding read a token once per block,
+    so a hot token is no more than a row of each block."""
+    packed = blocks.in_blocks(docs, key, tokens_col)
+    tokens = packed.select(F.explode("items").alias("token"))
+    vocab = blocks.written(build_vocabulary(tokens, hex_digits=hex_digits), "vocabulary")
+    token_id = F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint")
+    return vocab, blocks.look_up(packed, key, vocab, "token", token_id, "ids")
 
 
 def decode_pieces(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
                   broadcast_max_rows: int | None = None) -> DataFrame:
     """V3: ids -> text by decoding each id alone, applying the special-token rules, and
-    concatenating without separator; a null or empty id list decodes to ''."""
+    concatenating without separator; a null or empty id list decodes to ''. The rows are packed into
+    blocks (``blocks``), of which each id is decoded once."""
     specials = vocab.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id bigint")
     full_vocab = vocab.select("token", F.col("token_id").cast("bigint")).unionByName(specials)
-    exploded = ids_df.select(key, F.posexplode_outer(ids).alias("p", "token_id"))
     piece = F.coalesce(F.col("token"), F.lit(""))
     for s in DECODE_REMOVE:
         piece = F.replace(piece, F.lit(s), F.lit(""))
     for s in DECODE_TO_BLANK:
         piece = F.replace(piece, F.lit(s), F.lit(" "))
-    joined = exploded.join(sized_side(full_vocab, broadcast_max_rows), "token_id", "left")
-    item = F.when(F.col("p").isNotNull(), F.struct(F.col("p"), piece.alias("piece")))
-    return joined.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["piece"]), "").alias("decoded"))
+    packed = blocks.in_blocks(ids_df, key, ids)
+    pieces = blocks.look_up(packed, key, sized_side(full_vocab, broadcast_max_rows), "token_id", piece, "pieces")
+    return pieces.select(key, F.array_join("pieces", "").alias("decoded"))
 
 
 def decode_whole(ids_df: DataFrame, key: str, ids: str, vocab: DataFrame,
